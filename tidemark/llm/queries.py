@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, substring_dedup
+from . import decontaminate, exact_dedup, mixing, simhash, substring_dedup, toxicity as tox
 from .common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -17,9 +25,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op6_mixing, op7_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_decontamination, op6_mixing, op7_exact_dedup, op9_simhash_dedup, op10_substring_dedup)}
 ORACLES = {"op6_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
