@@ -168,7 +168,7 @@ def _overlaps(ix: Index, i: int, w: list[str], p: int) -> tuple[float, float]:
     return (len(q & have) / len(q) if q else 1.0), (sum(x in there for x in a) / len(a) if a else 1.0)
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard: int = 4096, block: int = 8, least_window: int = 64) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shard: int = 1024, block: int = 4, least_window: int = 64) -> DataFrame:
     """One row per document and test item that it holds: doc_id, item_id, passage_word, score, question_overlap, answer_overlap.
 
     `items` has item_id and question and answer, or text, which is then split (see question_answer). The index is
@@ -220,7 +220,7 @@ def _by_hash():
     return Window.orderBy("item_id", "q")
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, shard: int = 4096, block: int = 8, least_window: int = 64) -> DataFrame:
+def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shard: int = 1024, block: int = 4, least_window: int = 64) -> DataFrame:
     """`docs` without the documents that hold a test item, all columns unchanged; one pass per shard of items."""
     at = docs.columns.index("text")
     for index in _indexes(items, shard, block, least_window):
