@@ -1,4 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import clean
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "clean"]
