@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-from .plans import clean
+from .plans import clean, series
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean"]
+__all__ = ["ORACLES", "QUERIES", "clean", "series"]
