@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-from .plans import clean, series
+from .plans import clean, series, stats
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean", "series"]
+__all__ = ["ORACLES", "QUERIES", "clean", "series", "stats"]
