@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-from .plans import clean, series, stats
+from .plans import clean, scalars, series, stats, verify
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean", "series", "stats"]
+__all__ = ["ORACLES", "QUERIES", "clean", "scalars", "series", "stats", "verify"]

@@ -165,12 +165,12 @@ def a31_regime_split(spark, sf):
 
 
 @query("""WITH p AS (SELECT user_id, event_type, avg(value) AS mu, var_pop(value) AS s2, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS w FROM p),
-m AS (SELECT user_id, sum(w * mu) AS mean FROM w GROUP BY 1) SELECT w.user_id, round(mean, 6) AS mean, round(sum(w.w * (s2 + (mu - mean) * (mu - mean))), 6) AS variance FROM w JOIN m ON w.user_id = m.user_id GROUP BY 1, mean""")
+m AS (SELECT user_id, sum(w * mu) AS mean FROM w GROUP BY 1) SELECT w.user_id, round(mean, 8) AS mean, round(sum(w.w * (s2 + (mu - mean) * (mu - mean))), 6) AS variance FROM w JOIN m ON w.user_id = m.user_id GROUP BY 1, mean""")
 def a32_mixture_moments(spark, sf):
     p = events(spark, sf).groupBy("user_id", "event_type").agg(F.avg("value").alias("mu"), F.var_pop("value").alias("s2"), F.count(F.lit(1)).alias("n"))
     w = F.col("n")
     g = p.groupBy("user_id").agg((F.sum(w * F.col("mu")) / F.sum(w)).alias("mean"), (F.sum(w * (F.col("s2") + F.col("mu") * F.col("mu"))) / F.sum(w)).alias("second"))
-    return g.select("user_id", R("mean").alias("mean"), R(F.col("second") - F.col("mean") * F.col("mean")).alias("variance"))
+    return g.select("user_id", R("mean", 8).alias("mean"), R(F.col("second") - F.col("mean") * F.col("mean")).alias("variance"))
 
 
 @query(f"""WITH {WIDE15}, h AS (SELECT time_bucket(INTERVAL 30 minute, time) AS t, median(click) AS soc, median(view - error) AS p, median(purchase) AS load FROM wide15 GROUP BY 1), q AS (SELECT * FROM h WHERE soc IS NOT NULL AND p IS NOT NULL),
