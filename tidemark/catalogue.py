@@ -1,6 +1,6 @@
 """All queries of the library's own operators and their SQL."""
 
-from .plans import clean, scalars, series, stats, verify
+from .plans import clean, ingest, scalars, series, stats, streams, verify
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "clean", "scalars", "series", "stats", "verify"]
+__all__ = ["ORACLES", "QUERIES", "clean", "ingest", "scalars", "series", "stats", "streams", "verify"]
