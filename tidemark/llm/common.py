@@ -33,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct column `doc`, so that no column of theirs can clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def unpacked(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.select(*[F.col("doc").getField(c).alias(c) for c in names])
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, spread: Column, hot_parts: int = 1000) -> DataFrame:
     """Left join of `facts`, one row a key, to `rows`, of which a few keys may hold most.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, materialise
+from .common import SPACE, attach, materialise, packed, unpacked
 
 def _num(x: int) -> Column:
     return F.expr(f"{x}BD")
@@ -63,13 +63,12 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     """`docs` with one document of each group, all columns unchanged."""
-    names = docs.columns
     facts = materialise(winners(docs, salts), "exact").where(F.col("group_size") > 0)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = facts.select(F.col("digest").alias("_d"), F.col("keep_id").alias("_k"), F.col("keep_n").alias("_n"))
-    rows = docs.withColumns({"_digest": F.sha2(F.regexp_replace(text, f"{SPACE}+", ""), 256), "_len": F.char_length(text)})
-    on = (F.col("_digest") == F.col("_d")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_k")) & (F.col("_len") == F.col("_n"))
-    return rows.join(kept, on, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    rows = packed(docs).select("doc", F.sha2(F.regexp_replace(text, f"{SPACE}+", ""), 256).alias("digest"), F.char_length(text).alias("n"), F.col("doc.doc_id").cast("long").alias("id"))
+    kept = facts.select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), F.col("keep_n").alias("m"))
+    on = (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("k")) & (F.col("n") == F.col("m"))
+    return unpacked(rows.join(kept, on, "left_semi"), docs.columns)
 
 
 ORACLE = r"""

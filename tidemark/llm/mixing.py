@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(facts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     rest = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_start") - F.col("_in")))
     return joined.select("doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"), "source")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, materialise
+from .common import attach, materialise, packed, unpacked
 from .components import components
 
 BLOCKS, BITS = 4, 16
@@ -99,6 +99,6 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int =
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
     """`docs` with the document of the smallest doc_id of each component, all columns unchanged."""
-    names = docs.columns
-    keep = simhash_dedup(docs, shingle, bits, seed).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    keep = simhash_dedup(docs, shingle, bits, seed).select(F.col("component_id").alias("keep")).distinct()
+    rows = packed(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
+    return unpacked(rows.join(keep, F.col("id").eqNullSafe(F.col("keep")), "left_semi"), docs.columns)

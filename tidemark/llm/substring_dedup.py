@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, materialise
+from .common import SPACE, attach, materialise, packed
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -45,15 +45,15 @@ def repeated_lines(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
-    """`docs` with the repeated lines cut from `text`, and `removed`: their offsets in the original text."""
-    names = [c for c in docs.columns if c != "removed"]
-    spans = repeated_lines(docs, min_run_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "start_char", "end_char"))).alias("_spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d, s = docs.withColumn("_key", F.unhex(F.sha2(text, 256))).alias("d"), spans.alias("s")
-    joined = d.join(s, F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.col("d._key") == F.col("s.text_key")), "left")
-    gone = F.transform("_spans", lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return joined.select(*[F.when(F.col("_spans").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in names], F.coalesce(F.transform("_spans", lambda x: F.struct(x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>")).alias("removed"))
+    """`docs` with the repeated lines cut from `text`, and `removed`: their offsets in the original text (a column of that name is replaced)."""
+    spans = repeated_lines(docs, min_run_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "start_char", "end_char"))).alias("spans"))
+    rows = packed(docs).select("doc", F.col("doc.doc_id").cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col("doc.text").cast("string"), F.lit("")), 256)).alias("key"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    gone = F.transform("spans", lambda x: x["line"])
+    kept = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    offsets = F.coalesce(F.transform("spans", lambda x: F.struct(x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>"))
+    cells = [F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(kept).alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "removed"]
+    return joined.select(*cells, offsets.alias("removed"))
 
 
 ORACLE = r"""
