@@ -85,9 +85,9 @@ def prefer_nested(files: DataFrame) -> DataFrame:
     return f.withColumn("any", F.max("nested").over(Window.partitionBy("name"))).where(F.col("nested") | ~F.col("any")).drop("any")
 
 
-def readable(files: DataFrame, signatures: Sequence[str]) -> DataFrame:
+def readable(files: DataFrame, signatures: Sequence[str | bytes]) -> DataFrame:
     """path, length, head (first 8 bytes) -> with `reason`: null if the file can be read."""
-    known = F.col("head").isin(*[F.lit(s.encode()) for s in signatures])
+    known = F.col("head").isin(*[F.lit(s.encode() if isinstance(s, str) else s) for s in signatures])
     return files.withColumn("reason", F.when(F.coalesce(F.col("length"), F.lit(0)) == 0, "empty").when(~F.coalesce(known, F.lit(False)), "unknown signature"))
 
 
