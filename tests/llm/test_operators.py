@@ -242,50 +242,54 @@ def test_chat_pairs(spark):
     assert chat.preference_pairs(df.limit(0)).count() == 0
 
 
-def brute_lines(rows, least):
-    seen, occ = {}, []
+def brute_units(rows, least):
+    import xxhash
+
+    occ, seen = [], {}
     for i, t in {(i, t or "") for i, t in rows}:
-        at = 0
-        for k, raw in enumerate(t.split("\n")):
+        key, k, at = xxhash.xxh3_64_intdigest(t.encode()), 0, 0
+        key -= (key >> 63) << 64
+        for raw in re.split(r"(\n|(?<=\.)(?=[ \t\x0b\x0c\r]))", t):
             norm = re.sub(r"[\x20\x09-\x0D]+", " ", raw.lower()).strip(" ")
-            occ.append((i, hashlib.sha256(t.encode()).digest(), k, at, at + len(raw), norm, len(norm.split(" ")) if norm else 0))
-            at += len(raw) + 1
+            if norm:
+                occ.append((i, key, k, at, at + len(raw), norm, len(norm.split(" "))))
+                k += 1
+            at += len(raw)
+    rank = lambda o: (o[0] is None, o[0] or 0, o[2], o[1])
     for o in occ:
-        if o[6]:
-            key = (o[0] is None, o[0] or 0, o[2], o[1])
-            seen[o[5]] = min(seen.get(o[5], key), key)
-    out = []
-    by = defaultdict(list)
+        seen[o[5]] = min(seen.get(o[5], rank(o)), rank(o))
+    out, by = [], defaultdict(list)
     for o in occ:
         by[o[:2]].append(o)
     for part in by.values():
         run = []
         for o in [*sorted(part, key=lambda o: o[2]), None]:
-            later = o is not None and o[6] and seen[o[5]] != (o[0] is None, o[0] or 0, o[2], o[1])
-            if later:
+            if o is not None and seen[o[5]] != rank(o):
                 run.append(o)
-            elif o is None or o[6]:
-                if sum(x[6] for x in run) >= least:
-                    out += [(str(x[0]), x[2], x[3], x[4]) for x in run]
-                run = []
+                continue
+            if sum(x[6] for x in run) >= least:
+                out += [(str(x[0]), x[2], x[3], x[4]) for x in run]
+            run = []
     return sorted(out)
 
 
 @pytest.mark.parametrize("least", [1, 6, 30])
-def test_line_dedup(spark, least):
+def test_passage_dedup(spark, least):
     r = random.Random(3)
-    pool = ["one two three four", "Short", "", "  a\tb  ", "x " * 40, "é ß ⅷ", "tail of it"]
-    rows = [(i, "\n".join(r.choices(pool, k=r.randint(1, 7)))) for i in range(40)] + [(None, "Short\nShort"), (50, None), (51, ""), (3, "one two three four\nfresh"), (60, "a b"), (60, "a b"), (None, "Short\nShort"), (61, "z\n" * 3000)]
-    got = substring_dedup.repeated_lines(docs(spark, rows), least)
-    assert sorted((str(x.doc_id), x.line, x.start_char, x.end_char) for x in got.collect()) == brute_lines(rows, least)
+    pool = ["one two three four", "Short", "", "  a\tb  ", "x " * 40, "é ß ⅷ", "tail. of it. twice.", "v1.5 of it. Tail", "...", "of it."]
+    rows = [(i, r.choice(["\n", ". "]).join(r.choices(pool, k=r.randint(1, 7)))) for i in range(40)] + [(None, "Short\nShort"), (50, None), (51, ""), (3, "one two three four\nfresh"), (3, "new\nfresh"), (60, "a b"), (60, "a b"), (None, "Short\nShort"), (61, "z\n" * 3000), (62, "z. " * 3000)]
+    got = substring_dedup.repeated_units(docs(spark, rows), least)
+    assert sorted((str(x.doc_id), x.unit, x.start_char, x.end_char) for x in got.collect()) == brute_units(rows, least)
     cut = substring_dedup.remove_repeats(docs(spark, rows), least).collect()
     assert len(cut) == len(rows) and all(x.digest == "q" for x in cut)
     text = dict(r for r in rows if r[0] not in (3, 60, None))
     for x in cut:
-        if x.doc_id in text and text[x.doc_id]:
-            gone = {k for s in x.removed for k in [text[x.doc_id][: s.start_char].count("\n")]}
-            assert x.text == "\n".join(y for k, y in enumerate(text[x.doc_id].split("\n")) if k not in gone)
-    assert substring_dedup.repeated_lines(docs(spark, []), least).count() == 0
+        if x.doc_id in text:
+            t, said, at = text[x.doc_id], "", 0
+            for s in x.removed:
+                said, at = said + t[at : s.start_char], s.end_char
+            assert x.text == (said + t[at:] if t is not None else None)
+    assert substring_dedup.repeated_units(docs(spark, []), least).count() == 0
 
 
 def labelled(spark, n=400):

@@ -1,73 +1,111 @@
-"""Removal of repeated passages by line hashing."""
+"""Removal of repeated passages by hashing lines and the sentences in them."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, materialise, packed
+from .common import attach, materialise, packed
+
+#: A unit ends with its line, or with a full stop and white space after it.
+_UNIT = re.compile(r"[^\n]*?(?:\.(?=[\x20\x09\x0B-\x0D])|(?=\n)|\Z)", re.S)
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text digest, line, offsets (code points) and the digest of each normalised line of the whole texts.
+def units(text: str | None) -> list[tuple[int, int, str, int]]:
+    """start, end, normalised text and number of words of each unit with words of a whole text.
 
-    A line is normalised by lower-casing and by writing each run of white space as one blank, none at the ends.
+    A unit is normalised by lower-casing and by writing each run of white space as one blank, none at the ends.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    norm = F.trim(F.regexp_replace(F.lower("raw"), f"{SPACE}+", " "))
-    return rows.select("doc_id", "text_key", "line", F.char_length("raw").alias("chars"), norm.alias("norm")).select("doc_id", "text_key", "line", "chars", F.when(F.col("norm") == "", 0).otherwise(F.regexp_count("norm", F.lit(" ")) + 1).alias("words"), F.unhex(F.sha2("norm", 256)).alias("digest"))
+    out, at, text = [], 0, text or ""
+    while at < len(text):
+        end = _UNIT.match(text, at).end()
+        norm = _SPACES.sub(" ", text[at:end].lower()).strip(" ")
+        if norm:
+            out.append((at, end, norm, norm.count(" ") + 1))
+        at = max(end, at + 1) if end == at else end
+    return out
+
+
+def hashed_units(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, unit, start_char, end_char, words and the 128-bit XXH3 (h1, h2) of every unit of all texts."""
+    names = ["doc_id", "text_key", "unit", "start_char", "end_char", "words", "h1", "h2"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+    def flush(parts: list[tuple]) -> pa.RecordBatch:
+        ids = [p[0] for p in parts for _ in p[2]]
+        keys = np.repeat(np.array([p[1] for p in parts], dtype=np.uint64).view(np.int64), [len(p[2]) for p in parts])
+        flat = [u for p in parts for u in p[2]]
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u[2].encode("utf-8", "surrogatepass")) for u in flat), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        nth = [i for p in parts for i in range(len(p[2]))]
+        cols = [ids, keys, nth, [u[0] for u in flat], [u[1] for u in flat], [u[3] for u in flat], h[:, 0], h[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, held = [], 0
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                t = text.as_py() or ""
+                parts.append((doc_id, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), units(t)))
+                held += len(t)
+                if held > 4_000_000:
+                    yield flush(parts)
+                    parts, held = [], 0
+            yield flush(parts)
 
-def repeated_lines(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
-    """One row per removed line: doc_id, line, start_char, end_char, words, run_words, keep_doc_id, keep_line.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key long, unit int, start_char int, end_char int, words int, h1 long, h2 long")
 
-    Occurrences of a line are ranked by (doc_id, line, text digest), null doc_ids last; the first stays. A later
-    one goes if it lies in a run of such lines, blank lines between them included, that together have at least
-    `min_run_words` words, so that passages go and a short line that texts share by chance stays. Offsets are those
-    of the original text, end exclusive. Null texts count as empty, empty texts have no removable line, rows that
-    repeat doc_id and text count once, an empty table gives an empty result; only doc_id and text are read.
+
+def repeated_units(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
+    """One row per removed unit: doc_id, text_key, unit, start_char, end_char, words, run_words, keep_doc_id, keep_unit.
+
+    Occurrences of a unit are ranked by (doc_id, unit, text), null doc_ids last; the first stays. A later one goes if
+    it lies in a run of such units that together have at least `min_run_words` words, so that passages go and a short
+    line that texts share stays. Units without words aren't counted. Offsets are code points of the original text,
+    end exclusive. Null texts count as empty, empty texts have no unit, rows that repeat doc_id and text count once,
+    an empty table gives an empty result; only doc_id and text are read.
     """
-    parts = lines(docs)
-    solid = parts.where("words > 0")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "text_key")
-    facts = materialise(solid.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
-    told = attach(parts, facts, ["digest"], "n", F.struct("doc_id", "line"))
+    parts = hashed_units(docs)
+    h = ["h1", "h2"]
+    # null ids come last: the order is that of two numbers, and a decimal of both keeps the aggregation in hash tables
+    place = lambda d, u: (F.coalesce(d.cast("decimal(20,0)"), F.expr("9223372036854775808BD")) * F.expr("4294967296BD") + u.cast("decimal(10,0)")).cast("decimal(38,0)")
+    counted = parts.groupBy(*h).agg(F.min(place(F.col("doc_id"), F.col("unit"))).alias("at"), F.count(F.lit(1)).alias("n"))
+    facts = materialise(counted.where("n > 1"), "units")
+    told = attach(parts, facts.withColumn("copies", F.col("n")), h, "n", F.struct("doc_id", "unit")).where("copies > 1").drop("copies")
     doc = ["doc_id", "text_key"]
-    once = told.withColumn("_copy", F.row_number().over(Window.partitionBy(*doc, "line").orderBy("digest"))).where("_copy = 1")
-    same = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "text_key")
-    order = Window.partitionBy(*doc).orderBy("line")
-    flags = once.withColumns({"start_char": F.coalesce(F.sum(F.col("chars") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_later": (F.col("words") > 0) & ~same.eqNullSafe(F.col("first"))})
-    runs = flags.withColumn("_run", F.sum(F.when((F.col("words") > 0) & ~F.col("_later"), 1).otherwise(0)).over(order))
-    sums = runs.withColumn("run_words", F.sum(F.when(F.col("_later"), F.col("words")).otherwise(0)).over(Window.partitionBy(*doc, "_run")))
-    gone = sums.where(F.col("_later") & (F.col("run_words") >= min_run_words))
-    return gone.select("doc_id", "text_key", "line", "start_char", (F.col("start_char") + F.col("chars")).alias("end_char"), "words", "run_words", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line").alias("keep_line"))
+    once = told.withColumn("nth", F.row_number().over(Window.partitionBy(*doc, "unit").orderBy("start_char"))).where("nth = 1").drop("nth")
+    # of texts with one doc_id that hold a unit at the same place, the one with the least key is first
+    tied = once.withColumn("least", F.min("text_key").over(Window.partitionBy("doc_id", "unit", *h)))
+    first = (place(F.col("doc_id"), F.col("unit")) == F.col("at")) & (F.col("text_key") == F.col("least"))
+    later = tied.where(~first)
+    runs = later.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy(*doc).orderBy("unit")))
+    sums = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*doc, "run"))).where(F.col("run_words") >= min_run_words)
+    keep = F.expr("floor(at / 4294967296BD)").cast("decimal(38,0)")
+    return sums.select("doc_id", "text_key", "unit", "start_char", "end_char", "words", "run_words", F.when(keep < F.expr("9223372036854775808BD"), keep.cast("long")).alias("keep_doc_id"), F.expr("cast(pmod(at, 4294967296BD) as int)").alias("keep_unit"))
 
 
 def remove_repeats(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
-    """`docs` with the repeated lines cut from `text`, and `removed`: their offsets in the original text (a column of that name is replaced)."""
-    spans = repeated_lines(docs, min_run_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "start_char", "end_char"))).alias("spans"))
-    rows = packed(docs).select("doc", F.col("doc.doc_id").cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col("doc.text").cast("string"), F.lit("")), 256)).alias("key"))
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
-    gone = F.transform("spans", lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    offsets = F.coalesce(F.transform("spans", lambda x: F.struct(x["start_char"].alias("start_char"), x["end_char"].alias("end_char"))), F.array().cast("array<struct<start_char:bigint,end_char:bigint>>"))
-    cells = [F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(kept).alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "removed"]
-    return joined.select(*cells, offsets.alias("removed"))
-
-
-ORACLE = r"""
-WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
-r AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS line FROM s),
-n AS (SELECT *, length(raw) AS chars, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM r),
-w AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS words FROM n),
-f AS (SELECT *, first_value(doc_id) OVER o AS keep_doc_id, first_value(line) OVER o AS keep_line FROM w
-      WINDOW o AS (PARTITION BY norm ORDER BY doc_id, line)),
-g AS (SELECT *, words > 0 AND NOT (doc_id = keep_doc_id AND line = keep_line) AS later,
-             coalesce(sum(chars + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char FROM f),
-k AS (SELECT *, sum(CASE WHEN words > 0 AND NOT later THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM g),
-z AS (SELECT *, sum(CASE WHEN later THEN words ELSE 0 END) OVER (PARTITION BY doc_id, run) AS run_words FROM k)
-SELECT doc_id, CAST(line AS INT) AS line, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + chars AS BIGINT) AS end_char,
-       CAST(words AS INT) AS words, CAST(run_words AS BIGINT) AS run_words, keep_doc_id, CAST(keep_line AS INT) AS keep_line
-FROM z WHERE later AND run_words >= 30
-"""
+    """`docs` with the repeated units cut from `text`, and `removed`: their offsets in the original text (a column of that name is replaced)."""
+    names = [c for c in docs.columns if c != "removed"]
+    spans = repeated_units(docs, min_run_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.array([xxhash.xxh3_64_intdigest((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.int64())], names=["doc", "key"])
+
+    rows = packed(docs)
+    keyed = rows.select("doc", F.col("doc.text").cast("string").alias("text")).mapInArrow(keys, f"doc {rows.schema['doc'].dataType.simpleString()}, key long")
+    joined = keyed.join(spans, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    none = F.array().cast("array<struct<start_char:int,end_char:int>>")
+    found = joined.select("doc", F.coalesce("spans", none).alias("spans"))
+    zero = F.struct(F.lit("").alias("said"), F.lit(0).alias("at"))
+    text = F.col("doc.text").cast("string")
+    cut = F.aggregate("spans", zero, lambda a, s: F.struct(F.concat(a["said"], F.substring(text, a["at"] + 1, s["start_char"] - a["at"])).alias("said"), s["end_char"].alias("at")), lambda a: F.concat(a["said"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    return found.select(*[F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(cut).alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in names], F.col("spans").alias("removed"))
