@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def t9_skip_unchanged(spark, sf):
 def t10_windowed_counters(spark, sf):
     """Daily counters in complete mode, so that the open day is there too."""
     out = st.window_counts(_stream(spark, sf), "ts", ["event_type"], "1 day")
-    name = f"counters_{id(out)}"
+    name = f"counters_{uuid.uuid4().hex}"
     out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
