@@ -137,9 +137,8 @@ def downsample(df: DataFrame, key: str, time: str, value: str, budget: int) -> D
 def bounded_balance(df: DataFrame, key: str | Sequence[str], time: str, delta: str, start: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """`balance`: x = min(high, max(low, x + delta)) from `start`, in order of time.
 
-    Each step is the map x -> min(h, max(l, x + a)), and such maps compose to one of their kind. For a running sum S
-    from the start, x_t = max(l + S_t - min..., ...) has no closed form with both bounds, so a series is folded; the
-    fold is over one array per key, which suits forecast horizons of some thousand steps (see balance_by_block).
+    The fold is over one array per key, which suits forecast horizons of some thousand steps; balance_by_block takes
+    longer series.
     """
     keys = [key] if isinstance(key, str) else list(key)
     steps = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.coalesce(F.col(delta), F.lit(0.0)).alias("d")))).alias("s"))
@@ -152,7 +151,8 @@ def bounded_balance(df: DataFrame, key: str | Sequence[str], time: str, delta: s
 def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Column, start: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """bounded_balance of long series: blocks (days, say) are folded to one map each, the maps give each block its start.
 
-    The fold over blocks is over one short array per key; inside, every block is folded alone.
+    A step is the map x -> min(h, max(l, x + a)), and such maps compose to one of their kind. The fold over blocks is
+    over one short array per key; inside, every block is folded alone.
     """
     clip = lambda x, a, b: F.least(b, F.greatest(a, x))
     d = df.withColumn("_block", block)
@@ -160,9 +160,11 @@ def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Colu
     ident = F.struct(F.lit(0.0).alias("a"), F.lit(float(low)).alias("l"), F.lit(float(high)).alias("h"))
     step = lambda m, e: F.struct((m["a"] + e["d"]).alias("a"), clip(m["l"] + e["d"], F.lit(low), F.lit(high)).alias("l"), clip(m["h"] + e["d"], F.lit(low), F.lit(high)).alias("h"))
     maps = parts.withColumn("m", F.aggregate("s", ident, step))
-    before = F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), F.col("m"))).over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.aggregate(before, F.lit(float(start)), lambda x, e: F.least(e["m"]["h"], F.greatest(e["m"]["l"], x + e["m"]["a"])))
-    placed = maps.withColumn("_x0", at)
+    listed = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), F.col("m")))).alias("ms"))
+    first = F.struct(F.array().cast("array<double>").alias("xs"), F.lit(float(start)).alias("x"))
+    along = F.aggregate("ms", first, lambda acc, e: F.struct(F.concat(acc["xs"], F.array(acc["x"])).alias("xs"), F.least(e["m"]["h"], F.greatest(e["m"]["l"], acc["x"] + e["m"]["a"])).alias("x")), lambda acc: acc["xs"])
+    starts = listed.withColumn("x0", along).select(key, F.explode(F.arrays_zip("ms", "x0")).alias("z")).select(key, F.col("z.ms.b").alias("_block"), F.col("z.x0").alias("_x0"))
+    placed = maps.join(starts, [key, "_block"])
     zero = F.struct(F.array().cast("array<double>").alias("xs"), F.col("_x0").alias("x"))
     fold = F.aggregate("s", zero, lambda acc, e: F.struct(F.concat(acc["xs"], F.array(clip(acc["x"] + e["d"], F.lit(low), F.lit(high)))).alias("xs"), clip(acc["x"] + e["d"], F.lit(low), F.lit(high)).alias("x")), lambda acc: acc["xs"])
     return placed.withColumn("x", fold).select(key, F.explode(F.arrays_zip("s", "x")).alias("z")).select(key, F.col("z.s.t").alias(time), F.col("z.x").alias("balance"))
