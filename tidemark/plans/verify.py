@@ -311,9 +311,13 @@ def _scenarios(spark, sf):
     start = 3 + 9 * F.expr("scenario div 3")
     m = m.withColumn("kit", F.when((F.col("lead") >= start) & (F.col("lead") < start + 24), 6.0 * (F.col("scenario") % 3)).otherwise(0.0)).withColumn("d", F.col("value") - 20 - F.col("kit"))
     keys = ["site", "issue_time", "member", "scenario"]
-    low = so.bounded_balance(m, keys, "lead", "d", 60.0).groupBy(*keys).agg(F.min("balance").alias("low"))
-    used = m.groupBy(*keys).agg(F.sum("kit").alias("used"))
-    return low.join(used, keys).groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.lit(0.1)).alias("p10"))
+    steps = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lead", "d"))).alias("s"), F.sum("kit").alias("used"))
+    # only the lowest balance is asked for, so the fold carries it instead of listing the balances
+    zero = F.struct(F.lit(60.0).alias("x"), F.lit(100.0).alias("low"))
+    clip = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))
+    fold = F.aggregate("s", zero, lambda acc, e: F.struct(clip(acc["x"] + e["d"]).alias("x"), F.least(acc["low"], clip(acc["x"] + e["d"])).alias("low")), lambda acc: acc["low"])
+    low = steps.select(*keys, "used", fold.alias("low"))
+    return low.groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.lit(0.1)).alias("p10"))
 
 
 @query(f"WITH {_SCEN} SELECT site, issue_time, CAST(scenario AS INT) AS scenario, used, round(p10, 6) AS p10 FROM e")
