@@ -170,6 +170,9 @@ def test_decontamination(spark):
         assert sorted((str(x.doc_id), x.item_id) for x in got) == want
         clean = decontaminate.drop_leaking(df, bench, shard=shard, block=block)
         assert clean.columns == df.columns and {str(x.doc_id) for x in clean.collect()} == {"300", "301", "302", "303"}
+    # the statistics are those of all items: scores don't depend on the shards, and rows that repeat an item count once
+    scores = [sorted((str(x.doc_id), x.item_id, x.score) for x in decontaminate.leaks(df, b, shard=shard).collect()) for shard, b in ((1024, bench), (20, bench), (1024, bench.union(bench)))]
+    assert scores[0] == scores[1] == scores[2]
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 

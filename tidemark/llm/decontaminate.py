@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,15 +59,27 @@ class Index:
     window: int  # half a passage, in words
 
 
-def build(rows: list[tuple[int, str, str]], block: int, least_window: int) -> Index:
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all items: their number, mean length, and how many hold each of a shard's terms."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str, str]]) -> Statistics:
+        texts = [words(q) + words(a) for _, q, a in rows]
+        return cls(len(rows), max(1.0, sum(map(len, texts)) / max(1, len(rows))), Counter(w for t in texts for w in set(t)))
+
+
+def build(rows: list[tuple[int, str, str]], block: int, least_window: int, known: Statistics | None = None) -> Index:
+    """The index of one shard, under the statistics of all items (of `rows` alone if None)."""
+    known = known or Statistics.of(rows)
     texts = [(words(q), words(a)) for _, q, a in rows]
     whole = [q + a for q, a in texts]
     tf = [dict(zip(*np.unique(w, return_counts=True))) if w else {} for w in whole]
-    df: dict[str, int] = {}
-    for t in tf:
-        for w in t:
-            df[w] = df.get(w, 0) + 1
-    n, mean = len(rows), max(1.0, sum(map(len, whole)) / max(1, len(rows)))
+    n, mean, df = known.n, known.mean, {w: known.df[w] for t in tf for w in t}
     vocabulary = {w: i for i, w in enumerate(sorted(df))}
     posts: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
     for i, t in enumerate(tf):
@@ -172,11 +185,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
     """One row per document and test item that it holds: doc_id, item_id, passage_word, score, question_overlap, answer_overlap.
 
     `items` has item_id and question and answer, or text, which is then split (see question_answer). The index is
-    cut into shards of `shard` items at most, and each is sent to all executors in turn, so that what is broadcast
+    cut into shards of about `shard` items at most, and each is sent to all executors in turn, so that what is broadcast
     is bounded, and every passage of every whole text is searched in each. An item is found if a passage reaches
     `threshold` of the item's own BM25 score, and holds `overlap` of the question's five-word shingles and of the
     answer's words. Null texts count as empty and hold nothing; items without words or with a null item_id are left
-    out; items with equal text are each found; rows that repeat a document are each searched. Without items or
+    out; items with equal text are each found, rows that repeat an item count once; rows that repeat a document are each searched. Without items or
     documents the result is empty. Only doc_id, text and the columns of the items named above are read.
     """
     schema = "doc_id long, item_id long, passage_word int, score double, question_overlap double, answer_overlap double"
@@ -197,27 +210,39 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
 
 
 def _indexes(items: DataFrame, shard: int, block: int, least_window: int) -> Iterator[Index]:
-    """The shards in order of item_id; the driver holds one shard of items at a time."""
+    """The shards, dealt by a hash: one if `shard` items are all, else of half as many on average.
+
+    The driver holds one shard of items and its terms at a time. BM25's statistics are those of all items, so an
+    item has the same score whatever shard it is in.
+    """
     if "question" in items.columns:
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("question").cast("string"), F.lit("")).alias("q"), F.coalesce(F.col("answer").cast("string"), F.lit("")).alias("a"))
     else:
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("q"), F.lit(None).cast("string").alias("a"))
-    rows = rows.where("item_id is not null")
+    rows = materialise(rows.where("item_id is not null").distinct(), "items")
     n = rows.count()
-    parts = max(1, -(-n // shard))
-    dealt = rows if parts == 1 else materialise(rows.withColumn("part", F.ntile(parts).over(_by_hash())), "items")
+    parts = 1 if n <= shard else -(-2 * n // shard)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(parts)).cast("int"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(p, words(q) + words(a)) for p, q, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            # the empty term counts items, and its occurrences their words
+            rows = [x for p, w in got if w for x in [(p, "", 1, len(w)), *((p, t, 1, 0) for t in set(w))]]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "term", "items", "words"])
+
+    counted = dealt.select("part", "q", "a").mapInArrow(count, "part int, term string, items long, words long").groupBy("part", "term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
+    counted = materialise(counted, "item-terms")
+    total = counted.groupBy("term").agg(F.sum("items").alias("df"), F.sum("words").alias("all_words"))
+    terms = materialise(counted.select("part", "term").join(total, "term"), "terms")
     for k in range(parts):
-        mine = dealt if parts == 1 else dealt.where(F.col("part") == k + 1)
-        got = [(r.item_id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in mine.orderBy("item_id", "q").collect()]
+        got = [(r.item_id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in dealt.where(F.col("part") == k).orderBy("item_id", "q", "a").collect()]
         got = [x for x in got if words(x[1]) or words(x[2])]
         if got:
-            yield build(got, block, least_window)
-
-
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item_id", "q")
+            df = {r.term: (r.df, r.all_words) for r in terms.where(F.col("part") == k).collect()}
+            every, length = df.pop("")
+            yield build(got, block, least_window, Statistics(every, max(1.0, length / every), {t: x[0] for t, x in df.items()}))
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shard: int = 1024, block: int = 4, least_window: int = 64) -> DataFrame:
