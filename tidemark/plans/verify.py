@@ -307,16 +307,20 @@ e AS (SELECT site, issue_time, scenario, max(used) AS used, quantile_cont(low, 0
 
 
 def _scenarios(spark, sf):
-    m = members(spark, sf).withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    """Members are gathered once, before the scenarios multiply them: what is shuffled doesn't grow with the scenarios."""
+    keys = ["site", "issue_time", "member"]
+    path = members(spark, sf).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lead", "value"))).alias("s"))
+    m = path.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(8))))
     start = 3 + 9 * F.expr("scenario div 3")
-    m = m.withColumn("kit", F.when((F.col("lead") >= start) & (F.col("lead") < start + 24), 6.0 * (F.col("scenario") % 3)).otherwise(0.0)).withColumn("d", F.col("value") - 20 - F.col("kit"))
-    keys = ["site", "issue_time", "member", "scenario"]
-    steps = m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lead", "d"))).alias("s"), F.sum("kit").alias("used"))
-    # only the lowest balance is asked for, so the fold carries it instead of listing the balances
-    zero = F.struct(F.lit(60.0).alias("x"), F.lit(100.0).alias("low"))
-    clip = lambda x: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x))
-    fold = F.aggregate("s", zero, lambda acc, e: F.struct(clip(acc["x"] + e["d"]).alias("x"), F.least(acc["low"], clip(acc["x"] + e["d"])).alias("low")), lambda acc: acc["low"])
-    low = steps.select(*keys, "used", fold.alias("low"))
+    kit = lambda e: F.when((e["lead"] >= start) & (e["lead"] < start + 24), 6.0 * (F.col("scenario") % 3)).otherwise(0.0)
+    # only the lowest balance and the kit's sum are asked for, so the fold carries them instead of listing the balances
+    zero = F.struct(F.lit(60.0).alias("x"), F.lit(100.0).alias("low"), F.lit(0.0).alias("used"))
+
+    def step(acc, e):
+        x = F.least(F.lit(100.0), F.greatest(F.lit(0.0), acc["x"] + (e["value"] - 20 - kit(e))))
+        return F.struct(x.alias("x"), F.least(acc["low"], x).alias("low"), (acc["used"] + kit(e)).alias("used"))
+
+    low = m.select(*keys, "scenario", F.aggregate("s", zero, step).alias("f")).select(*keys, "scenario", "f.low", "f.used")
     return low.groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.lit(0.1)).alias("p10"))
 
 
