@@ -295,6 +295,25 @@ def test_passage_dedup(spark, least):
     assert substring_dedup.repeated_units(docs(spark, []), least).count() == 0
 
 
+def test_passage_dedup_of_lines_and_sentences(spark):
+    r = random.Random(4)
+    pool = ["one two three four five", "one two. three four", "Short", "", "  a\tb  ", "tail. of it. twice.", "of it.", "Of it.  tail.", "six words are here at last"]
+    rows = [(i, r.choice(["\n", ". "]).join(r.choices(pool, k=r.randint(1, 7)))) for i in range(60)] + [(70, "short\nof it. of it."), (71, "of it. of it.\nlone of it."), (None, "SHORT\nfresh here")]
+    norm = lambda t: " ".join(t.lower().split())
+    seen, lines, want = set(), set(), set()
+    for i, t in rows:
+        k = 0
+        for line in t.split("\n"):
+            for u in filter(None, map(norm, re.split(r"(?<=\.)(?=[ \t])", line))):
+                if u in seen and (norm(line) in lines or len(u.split()) >= 5):
+                    want.add((i, k))
+                seen.add(u)
+                k += 1
+            lines.add(norm(line))
+    got = [(x.doc_id, x.unit) for x in substring_dedup.repeated_units(docs(spark, rows), 10_000, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(70, 0), (71, 0), (71, 1), (None, 0)} <= want
+
+
 def labelled(spark, n=400):
     r = random.Random(9)
     rows, labels = [], []

@@ -51,7 +51,8 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents")).drop("text_key")
+    """Later sentences of five words or more and later whole lines of any length; shorter fragments in runs of 30 words."""
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_unit_words=5).drop("text_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +19,57 @@ _UNIT = re.compile(r"[^\n]*?(?:\.(?=[\x20\x09\x0B-\x0D])|(?=\n)|\Z)", re.S)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def units(text: str | None) -> list[tuple[int, int, str, int]]:
-    """start, end, normalised text and number of words of each unit with words of a whole text.
+def units(text: str | None) -> list[tuple[int, int, str, int, int]]:
+    """start, end, normalised text, number of words and number of the line of each unit with words of a whole text.
 
     A unit is normalised by lower-casing and by writing each run of white space as one blank, none at the ends.
     """
-    out, at, text = [], 0, text or ""
+    out, at, line, text = [], 0, 0, text or ""
     while at < len(text):
         end = _UNIT.match(text, at).end()
         norm = _SPACES.sub(" ", text[at:end].lower()).strip(" ")
         if norm:
-            out.append((at, end, norm, norm.count(" ") + 1))
-        at = max(end, at + 1) if end == at else end
+            out.append((at, end, norm, norm.count(" ") + 1, line))
+        if end == at:  # a newline
+            at, line = at + 1, line + 1
+        else:
+            at = end
     return out
 
 
-def hashed_units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, unit, start_char, end_char, words and the 128-bit XXH3 (h1, h2) of every unit of all texts."""
-    names = ["doc_id", "text_key", "unit", "start_char", "end_char", "words", "h1", "h2"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+def lines(parts: list[tuple], below: int) -> list[tuple[int, int, str, int]]:
+    """The lines among `units` that hold one of fewer than `below` words: first unit, number of units, normalised text and words."""
+    out, at = [], 0
+    for _, same in groupby(parts, key=lambda u: u[4]):
+        of = list(same)
+        if any(u[3] < below for u in of):
+            out.append((at, len(of), " ".join(u[2] for u in of), sum(u[3] for u in of)))
+        at += len(of)
+    return out
+
+
+def hashed_units(docs: DataFrame, lines_below: int = 0) -> DataFrame:
+    """doc_id, text_key, unit, start_char, end_char, words, holds and the 128-bit XXH3 (h1, h2) of every unit of all texts.
+
+    holds is 0; a line with a unit of fewer than `lines_below` words has a row besides, at its first unit, in which
+    it is the number of units that the line holds. Such a row has a hash of its own: no unit has a newline before it.
+    """
+    names = ["doc_id", "text_key", "unit", "start_char", "end_char", "words", "holds", "h1", "h2"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64()]
+
+    def entries(text: str) -> list[tuple[int, int, int, int, int, str]]:
+        parts = units(text)
+        out = [(k, u[0], u[1], u[3], 0, u[2]) for k, u in enumerate(parts)]
+        if lines_below:
+            out += [(k, parts[k][0], parts[k + n - 1][1], words, n, "\n" + norm) for k, n, norm, words in lines(parts, lines_below)]
+        return out
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         ids = [p[0] for p in parts for _ in p[2]]
         keys = np.repeat(np.array([p[1] for p in parts], dtype=np.uint64).view(np.int64), [len(p[2]) for p in parts])
         flat = [u for p in parts for u in p[2]]
-        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u[2].encode("utf-8", "surrogatepass")) for u in flat), dtype=">i8").astype(np.int64).reshape(-1, 2)
-        nth = [i for p in parts for i in range(len(p[2]))]
-        cols = [ids, keys, nth, [u[0] for u in flat], [u[1] for u in flat], [u[3] for u in flat], h[:, 0], h[:, 1]]
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(u[5].encode("utf-8", "surrogatepass")) for u in flat), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        cols = [ids, keys, *[[u[i] for u in flat] for i in range(5)], h[:, 0], h[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,26 +77,27 @@ def hashed_units(docs: DataFrame) -> DataFrame:
             parts, held = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = text.as_py() or ""
-                parts.append((doc_id, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), units(t)))
+                parts.append((doc_id, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")), entries(t)))
                 held += len(t)
                 if held > 4_000_000:
                     yield flush(parts)
                     parts, held = [], 0
             yield flush(parts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key long, unit int, start_char int, end_char int, words int, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key long, unit int, start_char int, end_char int, words int, holds int, h1 long, h2 long")
 
 
-def repeated_units(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
+def repeated_units(docs: DataFrame, min_run_words: int = 30, min_unit_words: int | None = None) -> DataFrame:
     """One row per removed unit: doc_id, text_key, unit, start_char, end_char, words, run_words, keep_doc_id, keep_unit.
 
     Occurrences of a unit are ranked by (doc_id, unit, text), null doc_ids last; the first stays. A later one goes if
-    it lies in a run of such units that together have at least `min_run_words` words, so that passages go and a short
-    line that texts share stays. Units without words aren't counted. Offsets are code points of the original text,
+    it lies in a run of such units that together have at least `min_run_words` words. With `min_unit_words` a later
+    one of so many words goes by itself too, and so do all units of a line that, as a whole and normalised alike, is
+    a line before; what stays of later ones are shorter fragments inside lines that are new as a whole. Units without words aren't counted. Offsets are code points of the original text,
     end exclusive. Null texts count as empty, empty texts have no unit, rows that repeat doc_id and text count once,
     an empty table gives an empty result; only doc_id and text are read.
     """
-    parts = hashed_units(docs)
+    parts = hashed_units(docs, min_unit_words or 0)
     h = ["h1", "h2"]
     # null ids come last: the order is that of two numbers, and a decimal of both keeps the aggregation in hash tables
     place = lambda d, u: (F.coalesce(d.cast("decimal(20,0)"), F.expr("9223372036854775808BD")) * F.expr("4294967296BD") + u.cast("decimal(10,0)")).cast("decimal(38,0)")
@@ -79,21 +105,28 @@ def repeated_units(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
     facts = materialise(counted.where("n > 1"), "units")
     told = attach(parts, facts.withColumn("copies", F.col("n")), h, "n", F.struct("doc_id", "unit")).where("copies > 1").drop("copies")
     doc = ["doc_id", "text_key"]
-    once = told.withColumn("nth", F.row_number().over(Window.partitionBy(*doc, "unit").orderBy("start_char"))).where("nth = 1").drop("nth")
+    once = told.withColumn("nth", F.row_number().over(Window.partitionBy(*doc, "unit", F.col("holds") > 0).orderBy("start_char"))).where("nth = 1").drop("nth")
     # of texts with one doc_id that hold a unit at the same place, the one with the least key is first
     tied = once.withColumn("least", F.min("text_key").over(Window.partitionBy("doc_id", "unit", *h)))
     first = (place(F.col("doc_id"), F.col("unit")) == F.col("at")) & (F.col("text_key") == F.col("least"))
     later = tied.where(~first)
-    runs = later.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy(*doc).orderBy("unit")))
-    sums = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*doc, "run"))).where(F.col("run_words") >= min_run_words)
+    # a line comes before its units
+    upto = Window.partitionBy(*doc).orderBy("unit", F.desc("holds")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = F.sum(F.when(F.col("holds") == 0, 1).otherwise(0)).over(upto)
+    lined = F.coalesce(F.max(F.when(F.col("holds") > 0, F.col("unit") + F.col("holds"))).over(upto), F.lit(0)) > F.col("unit")
+    runs = later.withColumns({"run": F.col("unit") - nth, "lined": lined}).where("holds = 0")
+    goes = F.col("run_words") >= min_run_words
+    if min_unit_words is not None:
+        goes = goes | (F.col("words") >= min_unit_words) | F.col("lined")
+    sums = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*doc, "run"))).where(goes)
     keep = F.expr("floor(at / 4294967296BD)").cast("decimal(38,0)")
     return sums.select("doc_id", "text_key", "unit", "start_char", "end_char", "words", "run_words", F.when(keep < F.expr("9223372036854775808BD"), keep.cast("long")).alias("keep_doc_id"), F.expr("cast(pmod(at, 4294967296BD) as int)").alias("keep_unit"))
 
 
-def remove_repeats(docs: DataFrame, min_run_words: int = 30) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_run_words: int = 30, min_unit_words: int | None = None) -> DataFrame:
     """`docs` with the repeated units cut from `text`, and `removed`: their offsets in the original text (a column of that name is replaced)."""
     names = [c for c in docs.columns if c != "removed"]
-    spans = repeated_units(docs, min_run_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"))
+    spans = repeated_units(docs, min_run_words, min_unit_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
