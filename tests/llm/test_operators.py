@@ -314,6 +314,12 @@ def test_passage_dedup_of_lines_and_sentences(spark):
     assert len(got) == len(set(got)) and set(got) == want and {(70, 0), (71, 0), (71, 1), (None, 0)} <= want
 
 
+def test_units_end_at_marks():
+    text = "One? two! v1;5 three; four؟ five. six 七。八！ nine\nten"
+    assert [u[2] for u in substring_dedup.units(text)] == ["one?", "two!", "v1;5 three;", "four؟", "five.", "six 七。", "八！", "nine", "ten"]
+    assert all(text[a:z].lower().strip() == norm for a, z, norm, *_ in substring_dedup.units(text))
+
+
 def labelled(spark, n=400):
     r = random.Random(9)
     rows, labels = [], []

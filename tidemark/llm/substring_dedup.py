@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import attach, materialise, packed
 
-#: A unit ends with its line, or with a full stop and white space after it.
-_UNIT = re.compile(r"[^\n]*?(?:\.(?=[\x20\x09\x0B-\x0D])|(?=\n)|\Z)", re.S)
+#: A unit ends with its line, with a mark that ends a sentence and white space after it, or with a full-width mark.
+_UNIT = re.compile(r"[^\n]*?(?:[.?!;؟؛۔।॥](?=[\x20\x09\x0B-\x0D])|[。｡！？；]|(?=\n)|\Z)", re.S)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
