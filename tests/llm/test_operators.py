@@ -428,6 +428,34 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_over_line_ends():
+    import textwrap
+    from collections import Counter
+
+    vocabulary = {w for x in licenses.TEMPLATES.values() for f in x for w in licenses.terms(f)}
+    m = licenses.Matcher(licenses.TEMPLATES, {w: 9000 // (3 + len(w) ** 2) for w in vocabulary}, 10_000, 0.8)
+    wrap = lambda t, n, lead="": "\n".join(lead + x for x in textwrap.wrap(t, n))
+    code = "\n".join(f"value{i} = call{i}(x{i})" for i in range(80))
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(licenses._MIT, 76)
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrap(licenses._BSD, 76)
+    gpl = wrap(licenses.TEMPLATES["GPL-3.0"][1], 60, "# ") + "\n" + code
+    lgpl = wrap("This library is free software: " + licenses._GNU.format("Lesser General Public License"), 60, " * ") + "\n" + code
+    got = [m.scan(t) for t in (mit, bsd, gpl, lgpl, code, "x\nAll rights reserved.\n" + code)]
+    assert [g[0] for g in got] == ["MIT", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", None, "Proprietary"]
+    assert all(g[1] > 0.99 for k, g in enumerate(got) if k != 4) and got[0][3] > 0.9 and got[1][3] > 0.9 and got[2][3] < 0.5
+    words = licenses.terms(code + gpl + bsd)
+    for k, (_, f, size) in enumerate(m.windows):
+        want = {}
+        for a in range(len(words) - size + 1):
+            v = m.vector(Counter(words[a : a + size]))
+            if (c := sum(x * v.get(w, 0) for w, x in f.items())) >= 0.8:
+                want[a] = c
+        m.at_anchor, kept = {w: [i for i in x if i == k] for w, x in m.at_anchor.items()}, m.at_anchor
+        found = {a: s for s, _, a, _ in m.slide(words)}
+        m.at_anchor = kept
+        assert found == pytest.approx(want)
+
+
 def test_license_anchors_lose_nothing():
     r = random.Random(8)
     forms = [f for x in licenses.TEMPLATES.values() for f in x]

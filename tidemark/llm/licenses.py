@@ -27,6 +27,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.",),
 }
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+#: Full texts, and the notices and titles of licences too long to stand here, added to the header forms.
+for _name, _text in (
+    ("MIT", _MIT),
+    ("BSD-3-Clause", _BSD),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: " + _GNU.format("Lesser General Public License")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+):
+    TEMPLATES[_name] += (_text,)
+#: What other licenses' files say too: any other license in a text outranks these.
+GENERIC = frozenset({"Proprietary"})
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)[^/]*$"
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -36,7 +67,10 @@ def terms(text: str | None) -> list[str]:
 
 
 class Matcher:
-    """Cosines of a text's lines and of the whole text with the templates, under the corpus's inverse document frequencies.
+    """Cosines of a text's lines, word windows and the whole text with the templates, under the corpus's inverse document frequencies.
+
+    A template's windows have as many words as it and run over line ends, so that wrapped paragraphs and comment
+    blocks are found.
 
     Words of no template have the weight of an unseen word. Each template has anchors, its heaviest terms without
     which no text reaches the threshold (Cauchy-Schwarz); lines without any anchor are passed over.
@@ -46,16 +80,18 @@ class Matcher:
         self.idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
         self.other, self.threshold = math.log(1 + n) + 1, threshold
         self.weight = {w: self.idf(w) for forms in templates.values() for f in forms for w in terms(f)}
-        self.forms, self.anchors = [], set()
+        self.forms, self.anchors, self.windows, self.at_anchor = [], set(), [], {}
         for name, forms in templates.items():
             for f in forms:
                 v = self.vector(Counter(terms(f)))
                 self.forms.append((name, v))
+                self.windows.append((name, v, len(terms(f))))
                 rest = 1.0
                 for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
                     if math.sqrt(max(rest, 0)) < threshold:
                         break
                     self.anchors.add(w)
+                    self.at_anchor.setdefault(w, []).append(len(self.forms) - 1)
                     rest -= x * x
 
     def vector(self, tf: Counter) -> dict[str, float]:
@@ -70,22 +106,68 @@ class Matcher:
         score, name = max((sum(x * v.get(w, 0.0) for w, x in f.items()), name) for name, f in self.forms)
         return score, name
 
+    def slide(self, words: list[str]) -> Iterator[tuple[float, str, int, int]]:
+        """score, name, start and end of every window of a template's length that reaches the threshold."""
+        starts: dict[int, list[list[int]]] = {}
+        for p, w in enumerate(words):
+            for k in self.at_anchor.get(w, ()):
+                size = self.windows[k][2]
+                a, z = max(0, p - size + 1), min(p, len(words) - size)
+                if a <= z:
+                    spans = starts.setdefault(k, [])
+                    if spans and a <= spans[-1][1] + 1:
+                        spans[-1][1] = z
+                    else:
+                        spans.append([a, z])
+        for k, spans in starts.items():
+            name, form, size = self.windows[k]
+            for a, z in spans:
+                if sum(form.get(w, 0.0) ** 2 for w in set(words[a : z + size])) < self.threshold**2 - 1e-9:
+                    continue  # Cauchy-Schwarz
+                tf: Counter = Counter()
+                dot = square = 0.0
+                for at in range(a, z + size):
+                    for w, step in ((words[at], 1), (words[at - size], -1))[: 1 + (at - size >= a)]:
+                        x, y = self.weight.get(w, self.other), form.get(w, 0.0)
+                        for sign in (-1, 1):
+                            if c := tf[w]:
+                                t = (1 + math.log(c)) * x
+                                dot, square = dot + sign * t * y, square + sign * t * t
+                            if sign < 0:
+                                tf[w] += step
+                    if at >= a + size - 1 and dot >= (self.threshold - 1e-9) * math.sqrt(square):
+                        yield min(1.0, dot / math.sqrt(square)), name, at - size + 1, at + 1
+
     def scan(self, text: str | None) -> tuple[str | None, float, int, float]:
-        """License, score and line (-1: the whole text) of the best match, and the share of words in lines that match."""
-        score, name, at, said, total = 0.0, None, None, 0, 0
+        """License, score and line (-1: the whole text) of the best match, and the share of words in lines or windows that match.
+
+        A match of a license that isn't GENERIC outranks all that are.
+        """
+        best, name, at, every, of = (False, 0.0), None, None, [], []
+        said = set()
+
+        def offer(s: float, x: str, line: int) -> None:
+            nonlocal best, name, at
+            if name is None or (x not in GENERIC, s) > (best[0], best[1] + (1e-9 if best[0] == (x not in GENERIC) else 0)):
+                best, name, at = (x not in GENERIC, s), x, line
+
         for i, line in enumerate((text or "").split("\n")):
             words = terms(line)
-            total += len(words)
             s, x = self.best(words)
             if s >= self.threshold:
-                said += len(words)
-                if s > score + 1e-12:
-                    score, name, at = s, x, i
-        if total and not (self.anchors.isdisjoint(w := terms(text))):
-            s, x = self.best(w)
-            if s >= self.threshold and s > score + 1e-12:
-                score, name, at, said = s, x, -1, total
-        return name, round(score, 6), -2 if at is None else at, said / total if total else 0.0
+                said.update(range(len(every), len(every) + len(words)))
+                offer(s, x, i)
+            every += words
+            of += [i] * len(words)
+        if every and not self.anchors.isdisjoint(every):
+            for s, x, a, z in self.slide(every):
+                said.update(range(a, z))
+                offer(s, x, of[a])
+            s, x = self.best(every)
+            if s >= self.threshold:
+                said.update(range(len(every)))
+                offer(s, x, -1)
+        return name, round(best[1], 6), -2 if at is None else at, len(said) / len(every) if every else 0.0
 
 
 def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -122,8 +204,8 @@ def license_scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     method is `file` for a licence file (by name, or at least `file_share` of its words lie in matching lines),
     `header` for another file whose own text matches, `inherited` for one that takes the license of the licence file
     in the nearest directory above it or its own, else `none` with a null license. Of several licence files in a
-    directory that of the highest score, then the least path counts; of several licenses in a file the best match,
-    then the first line. Directories are joined by path: each distinct directory is listed with its ancestors, so
+    directory that of the highest score, then the least path counts; of several licenses in a file the best match
+    (in a line, a window over line ends or the whole), then the first line, GENERIC ones last. Directories are joined by path: each distinct directory is listed with its ancestors, so
     that what grows with a directory's files is one lookup per file. Null and empty texts match nothing, null paths
     lie in the root, repeated rows are each returned, an empty table gives an empty result; other columns than
     file_id, path and text aren't read.
