@@ -41,6 +41,9 @@ def test_exact_dedup(spark):
     assert sorted((str(x.doc_id), str(x.keep_id), x.group_size, x.text_sha256) for x in got) == want
     assert all(x.kept == (x.doc_id == x.keep_id) for x in got if x.doc_id not in (None, rows[10][0]))
     kept = exact_dedup.keep_first(docs(spark, rows))
+    assert kept.count() == len(groups)  # one row a group, though ids repeat and some are null
+    again = [(1, "t"), (1, "t"), (2, "t"), (None, "u v"), (None, "u  v"), (None, "uv"), (3, "t u"), (3, "w")]
+    assert sorted((str(x.doc_id), x.text) for x in exact_dedup.keep_first(docs(spark, again)).collect()) == [("1", "t"), ("3", "t u"), ("3", "w"), ("None", "u  v")]
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert {norm(x.text) for x in kept.collect()} == set(groups)
     assert all(x.digest == "q" for x in kept.collect())
@@ -126,8 +129,19 @@ def test_simhash(spark):
     want = sorted((str(i), f"{f:016x}", str(min(least[c])[1])) for (i, _), f, c in zip(rows, fps, comp))
     assert sorted((str(x.doc_id), x.fingerprint, str(x.component_id)) for x in got) == want
     assert simhash.simhash_dedup(docs(spark, [])).count() == 0
-    kept = simhash.keep_one(docs(spark, [r for r in rows if r[0] is not None])).collect()
-    assert {x.doc_id for x in kept} <= {x.component_id for x in got} and all(x.doc == "d" for x in kept)
+    for some in (rows, [r for r in rows if r[0] is not None]):
+        comp, best = brute_components([brute_fingerprint(t) for _, t in some]), {}
+        for (i, t), c in zip(some, comp):
+            best[c] = min(best.get(c, (True, 0)), (i is None, i or 0))
+        kept = simhash.keep_one(docs(spark, some)).collect()
+        of = {(i, t): c for (i, t), c in zip(some, comp)}
+        assert len(kept) == len(best) == len({of[x.doc_id, x.text] for x in kept}) and all(x.doc == "d" for x in kept)
+        assert all(best[of[x.doc_id, x.text]] == (x.doc_id is None, x.doc_id or 0) for x in kept)
+    # ids of keepers that occur with unrelated texts
+    base = "alpha beta gamma delta epsilon " * 400
+    mixed = [(1, base), (None, base + "x"), (5, base + "y"), (5, "lone five"), (None, "lone none"), (1, base + "x"), (5, "lone five")]
+    texts = [x.text for x in simhash.keep_one(docs(spark, mixed)).collect()]
+    assert sorted(t[:9] for t in texts) == ["alpha bet", "lone five", "lone none"]
 
 
 @pytest.mark.parametrize("cap", [1, 8, 10_000])
@@ -170,6 +184,15 @@ def test_decontamination(spark):
         assert sorted((str(x.doc_id), x.item_id) for x in got) == want
         clean = decontaminate.drop_leaking(df, bench, shard=shard, block=block)
         assert clean.columns == df.columns and {str(x.doc_id) for x in clean.collect()} == {"300", "301", "302", "303"}
+    # nor does a long item in the shard change what is found of a short one: here its halves lie too far apart
+    halves = fill(30), fill(30)
+    apart = docs(spark, [(1, halves[0] + " other" * 140 + " " + halves[1]), (2, " ".join(halves)), (3, fill(90) + " " + fill(400))])
+    short, long = spark.createDataFrame([(1, " ".join(halves))], "item_id long, text string"), spark.createDataFrame([(2, fill(400))], "item_id long, text string")
+    for shard in (1, 2, 1024):
+        assert [(x.doc_id, x.item_id) for b in (short, short.union(long)) for x in decontaminate.leaks(apart, b, shard=shard).collect()] == [(2, 1), (2, 1)]
+    # of an item's passages the best is told
+    twice = docs(spark, [(1, " ".join(ITEM.split()[:-3]) + " grey river " + fill(300) + " " + ITEM)])
+    assert [(x.score, x.passage_word > 64) for x in decontaminate.leaks(twice, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()] == [(1.0, True)]
     # the statistics are those of all items: scores don't depend on the shards, and rows that repeat an item count once
     scores = [sorted((str(x.doc_id), x.item_id, x.score) for x in decontaminate.leaks(df, b, shard=shard).collect()) for shard, b in ((1024, bench), (20, bench), (1024, bench.union(bench)))]
     assert scores[0] == scores[1] == scores[2]
@@ -180,11 +203,11 @@ def test_wand_finds_all_above_threshold():
     r = random.Random(2)
     words = [f"t{i}" for i in range(60)]
     items = [(i, " ".join(r.choices(words, k=r.randint(5, 20))), "") for i in range(40)]
-    ix = decontaminate.build(items, 4, 16)
+    (ix,) = decontaminate.build(items, 4, 32)
     for _ in range(60):
-        text = " ".join(r.choices(words, k=r.randint(1, 40)))
-        got = {h[0] for h in decontaminate.search(ix, text, 0.5, 0.0)}
+        text = " ".join(r.choices(words, k=r.randint(1, 90)))
         w, best = decontaminate.words(text), set()
+        got = {h[0] for h in decontaminate.search(ix, w, 0.5, 0.0)}
         for p in range(0, max(1, len(w)), ix.window):
             terms = {ix.vocabulary[x] for x in w[p : p + 2 * ix.window] if x in ix.vocabulary}
             for i in range(40):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +17,20 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Lists of the tables that `materialise` has written since a `temporary` block began, innermost last.
+_open: list[list[str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a local one is made if driver and executors are one process, else the call fails:
+    executors would write elsewhere.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -26,9 +40,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """An empty folder in the shared one for files that tasks write themselves, as a URI."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    uri = path if re.match(r"[a-z][a-z0-9+.-]*:/", path) else f"file://{path}"
+    fs, at = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if re.match(r"file:/[^/]", uri) else uri)
+    fs.create_dir(at, recursive=True)
+    return uri
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of the scratch folder that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that `materialise` writes inside: what is to stay is written outside, or is read before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _open.pop())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,12 +86,20 @@ def unpacked(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*[F.col("doc").getField(c).alias(c) for c in names])
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, spread: Column, hot_parts: int = 1000) -> DataFrame:
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """again: the values of doc_id that several rows have, null among them; None if there are none. Only doc_id is read."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("again")).groupBy("again").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    found = materialise(ids, "repeated")
+    return None if found.isEmpty() else found
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, spread: Column, hot_parts: int = 20_000) -> DataFrame:
     """Left join of `facts`, one row a key, to `rows`, of which a few keys may hold most.
 
-    `facts[n]` is the number of `rows` with that key. Keys with at least a thousandth of all rows are at most
-    `hot_parts`, whatever the input, so they are broadcast; rows with such a key are dealt by `spread` instead of
-    the key, so that no task of the shuffled join gets a hot key. `facts` should be materialised: it is read thrice.
+    `facts[n]` is the number of `rows` with that key. Keys with at least one of `hot_parts` parts of all rows are at
+    most `hot_parts`, whatever the input, so they are broadcast (values should be some numbers or short texts); rows
+    with such a key are dealt by `spread` instead of the key. So a task of the shuffled join has few rows of any one
+    key as long as there are no more partitions than `hot_parts`. `facts` should be materialised: it is read thrice.
     """
     total = facts.agg(F.sum(n)).first()[0] or 0
     values = [c for c in facts.columns if c not in keys]

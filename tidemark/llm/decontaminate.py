@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, new_folder
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -42,7 +46,7 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Posting lists of one shard of items, cut at the bounds of item blocks, with each block's largest impact.
+    """Posting lists of some items, cut at the bounds of item blocks, with each block's largest impact.
 
     An impact is a term's BM25 weight in an item divided by what the item's own text would score, so that a score is
     the share of an item that a passage holds and one threshold serves all items.
@@ -73,11 +77,25 @@ class Statistics:
         return cls(len(rows), max(1.0, sum(map(len, texts)) / max(1, len(rows))), Counter(w for t in texts for w in set(t)))
 
 
-def build(rows: list[tuple[int, str, str]], block: int, least_window: int, known: Statistics | None = None) -> Index:
-    """The index of one shard, under the statistics of all items (of `rows` alone if None)."""
+def window_of(n_words: int, least: int) -> int:
+    """The window of an item: `least` doubled until it has as many words, so that it depends on no other item."""
+    while least < n_words:
+        least *= 2
+    return least
+
+
+def build(rows: list[tuple[int, str, str]], block: int, least_window: int, known: Statistics | None = None) -> list[Index]:
+    """The indexes of a shard, one per window length, under the statistics of all items (of `rows` alone if None)."""
     known = known or Statistics.of(rows)
-    texts = [(words(q), words(a)) for _, q, a in rows]
-    whole = [q + a for q, a in texts]
+    classes: dict[int, list[tuple[int, list[str], list[str]]]] = {}
+    for i, q, a in rows:
+        q, a = words(q), words(a)
+        classes.setdefault(window_of(len(q) + len(a), least_window), []).append((i, q, a))
+    return [_index(classes[w], block, w, known) for w in sorted(classes)]
+
+
+def _index(rows: list[tuple[int, list[str], list[str]]], block: int, window: int, known: Statistics) -> Index:
+    whole = [q + a for _, q, a in rows]
     tf = [dict(zip(*np.unique(w, return_counts=True))) if w else {} for w in whole]
     n, mean, df = known.n, known.mean, {w: known.df[w] for t in tf for w in t}
     vocabulary = {w: i for i, w in enumerate(sorted(df))}
@@ -90,21 +108,21 @@ def build(rows: list[tuple[int, str, str]], block: int, least_window: int, known
     starts = np.cumsum([0, *map(len, posts)])
     items = np.array([i for p in posts for i, _ in p], dtype=np.int32)
     impacts = np.array([x for p in posts for _, x in p], dtype=np.float32)
-    best = np.zeros((len(posts), max(1, -(-n // block))), dtype=np.float32)
+    best = np.zeros((len(posts), max(1, -(-len(rows) // block))), dtype=np.float32)
     term = np.repeat(np.arange(len(posts)), np.diff(starts))
     np.maximum.at(best, (term, items // block), impacts)
-    parts = [(shingles(q), a) for q, a in texts]
-    return Index([r[0] for r in rows], parts, vocabulary, starts, items, impacts, best, block, max(least_window, max(map(len, whole), default=1)))
+    parts = [(shingles(q), a) for _, q, a in rows]
+    return Index([r[0] for r in rows], parts, {str(w): i for w, i in vocabulary.items()}, starts, items, impacts, best, block, window)
 
 
-def search(ix: Index, text: str | None, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
-    """item, first word of the passage, score, question and answer overlap of each item that the text holds.
+def search(ix: Index, w: list[str], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """item, first word of the passage, score, question and answer overlap of each item that a text's words hold.
 
     The text is cut into passages of two windows, each starting a window after the last, so that any item lies in
     one. Blocks of items whose largest impacts can't add up to the threshold are passed over for a passage; in the
-    others, pivoting by the terms' largest impacts in the block skips items that can't reach it.
+    others, pivoting by the terms' largest impacts in the block skips items that can't reach it. Of an item's
+    passages that pass, the one of the highest score, then overlaps, then the first is told.
     """
-    w = words(text)
     if not w or not ix.ids:
         return []
     get = ix.vocabulary.get
@@ -121,7 +139,7 @@ def search(ix: Index, text: str | None, threshold: float, overlap: float) -> lis
     live = bounds[:-1] + bounds[1:] >= threshold - 1e-4
     if len(w) > ix.window:
         live = live[:-1] if len(live) > 1 else live
-    found: dict[int, tuple[int, int, float, float, float]] = {}
+    found: dict[int, tuple[float, float, float, int]] = {}
     for p in np.flatnonzero(live.any(axis=1)).tolist():
         passage = np.unique(terms[p * ix.window : (p + 2) * ix.window])
         passage = passage[passage >= 0]
@@ -129,12 +147,10 @@ def search(ix: Index, text: str | None, threshold: float, overlap: float) -> lis
             if (ix.best[passage, b]).sum() < threshold - 1e-4:
                 continue
             for i, score in _wand(ix, passage, b, threshold):
-                if i in found:
-                    continue
                 q, a = _overlaps(ix, i, w, p)
                 if q >= overlap and a >= overlap:
-                    found[i] = (ix.ids[i], p * ix.window, round(score, 4), round(q, 4), round(a, 4))
-    return [found[i] for i in sorted(found)]
+                    found[i] = max(found.get(i, (-1.0, 0.0, 0.0, 0)), (round(score, 4), round(q, 4), round(a, 4), -p))
+    return [(ix.ids[i], -p * ix.window, score, q, a) for i, (score, q, a, p) in sorted(found.items())]
 
 
 def _wand(ix: Index, passage: np.ndarray, b: int, threshold: float) -> list[tuple[int, float]]:
@@ -173,9 +189,9 @@ def _wand(ix: Index, passage: np.ndarray, b: int, threshold: float) -> list[tupl
 
 
 def _overlaps(ix: Index, i: int, w: list[str], p: int) -> tuple[float, float]:
-    """Shares of the question's shingles and of the answer's words in the passage and a window on either side."""
+    """Shares of the question's shingles and of the answer's words in the passage."""
     q, a = ix.parts[i]
-    near = w[max(0, (p - 1) * ix.window) : (p + 3) * ix.window]
+    near = w[p * ix.window : (p + 2) * ix.window]
     have = shingles(near) if len(next(iter(q), ())) in (0, SHINGLE) else {tuple(near[k : k + len(next(iter(q)))]) for k in range(len(near))}
     there = set(near)
     return (len(q & have) / len(q) if q else 1.0), (sum(x in there for x in a) / len(a) if a else 1.0)
@@ -185,35 +201,57 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
     """One row per document and test item that it holds: doc_id, item_id, passage_word, score, question_overlap, answer_overlap.
 
     `items` has item_id and question and answer, or text, which is then split (see question_answer). The index is
-    cut into shards of about `shard` items at most, and each is sent to all executors in turn, so that what is broadcast
-    is bounded, and every passage of every whole text is searched in each. An item is found if a passage reaches
-    `threshold` of the item's own BM25 score, and holds `overlap` of the question's five-word shingles and of the
-    answer's words. Null texts count as empty and hold nothing; items without words or with a null item_id are left
-    out; items with equal text are each found, rows that repeat an item count once; rows that repeat a document are each searched. Without items or
-    documents the result is empty. Only doc_id, text and the columns of the items named above are read.
+    cut into shards of about `shard` items at most, files in the shared folder, which a task takes in turn for each of
+    its Arrow batches: all items in one scan of the documents, with one shard in memory. Every passage of every whole text
+    is searched. An item is found if a passage reaches `threshold` of the item's own BM25 score, and holds `overlap` of
+    the question's five-word shingles and of the answer's words. A passage's length depends on the item alone, and BM25's
+    statistics are those of all items, so what is found depends neither on the shards nor on the lengths of other items.
+    Null texts count as empty and hold nothing; items without words or with a null item_id are left out; items with
+    equal text are each found, rows that repeat an item count once; rows that repeat a document are each searched.
+    Without items or documents the result is empty. Only doc_id, text and the columns of the items named above are read.
     """
-    schema = "doc_id long, item_id long, passage_word int, score double, question_overlap double, answer_overlap double"
-    out = None
-    for index in _indexes(items, shard, block, least_window):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    paths = _indexes(items, shard, block, least_window)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for hit in search(sent.value, t.as_py(), threshold, overlap)]
-                cols = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "passage_word", "score", "question_overlap", "answer_overlap"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, shards in _with_shards(batches, paths):
+            hits = [(d, *hit) for found in shards for d, t in zip(b.column(0).to_pylist(), b.column(1)) for hit in _held(found, t.as_py(), threshold, overlap)]
+            cols = list(zip(*hits)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "passage_word", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, item_id long, passage_word int, score double, question_overlap double, answer_overlap double")
 
 
-def _indexes(items: DataFrame, shard: int, block: int, least_window: int) -> Iterator[Index]:
-    """The shards, dealt by a hash: one if `shard` items are all, else of half as many on average.
+def _held(found: list[Index], text: str | None, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    w = words(text)
+    return [hit for ix in found for hit in search(ix, w, threshold, overlap)]
+
 
-    The driver holds one shard of items and its terms at a time. BM25's statistics are those of all items, so an
-    item has the same score whatever shard it is in.
+def _with_shards(batches: Iterator[pa.RecordBatch], paths: list[str], keep: int = 2) -> Iterator[tuple[pa.RecordBatch, Iterator[list[Index]]]]:
+    """Each batch with all shards in turn; up to `keep` stay in memory, more are read again for each batch."""
+    kept: dict[str, list[Index]] = {}
+
+    def load() -> Iterator[list[Index]]:
+        for path in paths:
+            if path in kept:
+                yield kept[path]
+                continue
+            fs, at = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(at) as file:
+                found = [Index(*x) for x in pickle.loads(file.read())]
+            if len(paths) <= keep:
+                kept[path] = found
+            yield found
+
+    for b in batches:
+        yield b, load()
+
+
+def _indexes(items: DataFrame, shard: int, block: int, least_window: int) -> list[str]:
+    """The files of the shards, dealt by a hash: one if `shard` items are all, else of half as many on average.
+
+    Each shard is built by a task; only the files' names reach the driver.
     """
     if "question" in items.columns:
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("question").cast("string"), F.lit("")).alias("q"), F.coalesce(F.col("answer").cast("string"), F.lit("")).alias("a"))
@@ -235,25 +273,42 @@ def _indexes(items: DataFrame, shard: int, block: int, least_window: int) -> Ite
     counted = dealt.select("part", "q", "a").mapInArrow(count, "part int, term string, items long, words long").groupBy("part", "term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
     counted = materialise(counted, "item-terms")
     total = counted.groupBy("term").agg(F.sum("items").alias("df"), F.sum("words").alias("all_words"))
-    terms = materialise(counted.select("part", "term").join(total, "term"), "terms")
-    for k in range(parts):
-        got = [(r.item_id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in dealt.where(F.col("part") == k).orderBy("item_id", "q", "a").collect()]
+    terms = counted.select("part", "term").join(total, "term")
+    folder = new_folder(items.sparkSession, "bm25")
+
+    def make(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        got = sorted((int(i), *(question_answer(q) if a is None else (q, a))) for i, q, a in zip(held["item_id"], held["q"].replace({np.nan: None}), held["a"].replace({np.nan: None})))
         got = [x for x in got if words(x[1]) or words(x[2])]
-        if got:
-            df = {r.term: (r.df, r.all_words) for r in terms.where(F.col("part") == k).collect()}
-            every, length = df.pop("")
-            yield build(got, block, least_window, Statistics(every, max(1.0, length / every), {t: x[0] for t, x in df.items()}))
+        if not got:
+            return pd.DataFrame({"path": []}, dtype=str)
+        df = {t: (int(d), int(w)) for t, d, w in zip(told["term"], told["df"], told["all_words"])}
+        every, length = df.pop("")
+        made = build(got, block, least_window, Statistics(every, max(1.0, length / every), {t: x[0] for t, x in df.items()}))
+        path = f"{folder}/{uuid.uuid4().hex}"  # a repeated attempt writes another file; the path that is returned counts
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_output_stream(at) as file:
+            file.write(pickle.dumps([tuple(getattr(ix, f.name) for f in fields(ix)) for ix in made]))
+        return pd.DataFrame({"path": [path]})
+
+    shards = dealt.groupBy("part").cogroup(terms.groupBy("part")).applyInPandas(make, "path string")
+    return sorted(r.path for r in materialise(shards, "shards").collect())
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, shard: int = 1024, block: int = 4, least_window: int = 64) -> DataFrame:
-    """`docs` without the documents that hold a test item, all columns unchanged; one pass per shard of items."""
-    at = docs.columns.index("text")
-    for index in _indexes(items, shard, block, least_window):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    """`docs` without the documents that hold a test item, all columns unchanged, in one scan.
+
+    What holds an item is told under `leaks`. Null and empty texts hold nothing and stay; each of several rows that
+    repeat a document is judged; without items all stay, and an empty table gives an empty result. Columns other than
+    text may have any name and type.
+    """
+    paths, at = _indexes(items, shard, block, least_window), docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not search(sent.value, t.as_py(), threshold, overlap) for t in b.column(at)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, shards in _with_shards(batches, paths):
+            clean = np.ones(b.num_rows, dtype=bool)
+            for found in shards:
+                for i in np.flatnonzero(clean).tolist():
+                    clean[i] = not _held(found, b.column(at)[i].as_py(), threshold, overlap)
+            yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, materialise, packed, unpacked
+from .common import SPACE, attach, materialise, packed, repeated_ids, unpacked
+
 
 def _num(x: int) -> Column:
     return F.expr(f"{x}BD")
@@ -62,13 +63,23 @@ def exact_dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """`docs` with one document of each group, all columns unchanged."""
+    """`docs` with one row of each group of equal texts, all columns unchanged.
+
+    The groups and the row that stays are those of exact_dedup; null counts as empty, a null doc_id loses every tie.
+    Of rows that repeat the keeper's doc_id and length, one stays: that of the least hash of its original text. An
+    empty table gives an empty result; other columns than doc_id and text may have any name and type.
+    """
     facts = materialise(winners(docs, salts), "exact").where(F.col("group_size") > 0)
     text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     rows = packed(docs).select("doc", F.sha2(F.regexp_replace(text, f"{SPACE}+", ""), 256).alias("digest"), F.char_length(text).alias("n"), F.col("doc.doc_id").cast("long").alias("id"))
     kept = facts.select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), F.col("keep_n").alias("m"))
     on = (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("k")) & (F.col("n") == F.col("m"))
-    return unpacked(rows.join(kept, on, "left_semi"), docs.columns)
+    found, again = rows.join(kept, on, "left_semi"), repeated_ids(docs)
+    if again is None:  # then no two rows tie
+        return unpacked(found, docs.columns)
+    single = found.join(again, F.col("id").eqNullSafe(F.col("again")), "left_anti").select("doc")
+    tied = found.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").groupBy("digest").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc")
+    return unpacked(single.union(tied), docs.columns)
 
 
 ORACLE = r"""

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, materialise, packed, unpacked
+from .common import attach, materialise, packed, repeated_ids, unpacked
 from .components import components
 
 BLOCKS, BITS = 4, 16
@@ -79,26 +79,51 @@ def links(distinct: DataFrame, bits: int = 2, cap: int = 64) -> DataFrame:
     return pairs.union(by_value).distinct()
 
 
+def _members(docs: DataFrame, shingle: int, bits: int, seed: int, cap: int) -> DataFrame:
+    """doc_id, fp, root (the component's least fingerprint) and component_id of every row."""
+    rows = materialise(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    roots = materialise(components(links(distinct.select("fp"), bits, cap)), "roots")
+    rooted = materialise(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "components")
+    facts = materialise(attach(rooted, ids, ["root"], "fps", F.col("fp")).select("fp", "n", "root", "component_id"), "facts")
+    return attach(rows, facts, ["fp"], "n", F.col("doc_id"))
+
+
 def simhash_dedup(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42, cap: int = 64) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, fp.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links reach, the document's own included; links join fingerprints that
     differ in `bits` bits at most. Null and empty texts have fingerprint zero and are linked like any other; null
     doc_ids get a component like others and are its component_id only if no member has an id; rows that repeat a
     doc_id each have a row. An empty table gives an empty result. Only doc_id and text are read.
     """
-    rows = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = materialise(components(links(distinct.select("fp"), bits, cap)), "roots")
-    rooted = materialise(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "components")
-    facts = materialise(attach(rooted, ids, ["root"], "fps", F.col("fp")).select("fp", "n", "component_id"), "facts")
-    out = attach(rows, facts, ["fp"], "n", F.col("doc_id"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _members(docs, shingle, bits, seed, cap).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42, cap: int = 64) -> DataFrame:
+    """`docs` with one row of each component, all columns unchanged.
 
-def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 2, seed: int = 42) -> DataFrame:
-    """`docs` with the document of the smallest doc_id of each component, all columns unchanged."""
-    keep = simhash_dedup(docs, shingle, bits, seed).select(F.col("component_id").alias("keep")).distinct()
+    That is the row of the component's smallest doc_id, null ids last; of several rows with it in the component that
+    of the least fingerprint, then of the least hash of its text. A row that only shares its doc_id with a keeper of
+    another component goes. Null texts count as empty; an empty table gives an empty result; other columns than doc_id and
+    text may have any name and type.
+    """
+    keepers = _members(docs, shingle, bits, seed, cap).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("component_id").alias("keep"), F.min("fp").alias("keep_fp"))
+    keepers, again = materialise(keepers, "keepers"), repeated_ids(docs)
     rows = packed(docs).withColumn("id", F.col("doc.doc_id").cast("long"))
-    return unpacked(rows.join(keep, F.col("id").eqNullSafe(F.col("keep")), "left_semi"), docs.columns)
+    first = rows.join(keepers, F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    if again is None:  # then an id is a row
+        return unpacked(first, docs.columns)
+    single = first.join(again, F.col("id").eqNullSafe(F.col("again")), "left_anti").select("doc")
+    shape = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc", "own"])
+
+    tied = rows.join(again, F.col("id").eqNullSafe(F.col("again")), "left_semi").select("doc", F.col("doc.text").cast("string").alias("text")).mapInArrow(run, f"doc {shape}, own long")
+    found = tied.join(keepers, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("keep")) & (F.col("own") == F.col("keep_fp")))
+    one = found.groupBy("root").agg(F.min_by("doc", F.xxhash64("doc.text")).alias("doc")).select("doc")
+    return unpacked(single.union(one), docs.columns)
