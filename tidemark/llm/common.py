@@ -93,6 +93,18 @@ def repeated_ids(docs: DataFrame) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def least_hashes(ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """`most` rows of `ids` at most, those of the least hashes: a bounded sample that reruns repeat.
+
+    Rows whose hash is above twice the share that is wanted are left out before the order, so that the one task that
+    orders gets about twice `most` rows, whatever the input.
+    """
+    n = ids.count()
+    u = F.pmod(F.xxhash64(F.lit(seed), *ids.columns), F.lit(1 << 40))
+    few = ids.withColumn("_u", u).where(F.col("_u") <= min(1 << 40, 2 * most * (1 << 40) // max(1, n)))
+    return few.orderBy("_u", *ids.columns).limit(most).drop("_u")
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, spread: Column, hot_parts: int = 20_000) -> DataFrame:
     """Left join of `facts`, one row a key, to `rows`, of which a few keys may hold most.
 
