@@ -244,9 +244,9 @@ def test_warc_frames_and_seek_table(tmp_path):
     data = (tmp_path / "a.warc.zst").read_bytes()
     frames = warc.seek_table(data)
     assert len(frames) > 3 and sum(f[0] for f in frames) + 8 + 8 * len(frames) + 9 == len(data)
-    for page, _, start, size, at, n in index:
-        frame = zstandard.ZstdDecompressor().decompress(data[start : start + size])
-        assert warc.parse(frame[at : at + n])["page_id"] == page
+    bundle = warc.BundleReader(f"file://{tmp_path}/a.warc.zst")
+    for page, _, frame, at, n in reversed(index):
+        assert warc.parse(bundle.record(frame, at, n))["page_id"] == page
     whole = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(data)
     assert whole.count(b"WARC/1.1") == 20
 
@@ -268,6 +268,20 @@ def test_chat_pairs(spark):
     assert chat.preference_pairs(df.limit(0)).count() == 0
 
 
+def test_neighbours(spark):
+    rows = [(1, i + 1, "user" if i % 2 else "assistant", f"one {i}") for i in range(4)] + [(0, i, "user", f"zero {i}") for i in range(3)]  # turns from 1 and from 0
+    rows += [(6, None, "user", "first"), (6, 3, "user", "long " * 100_000), (6, 3, "user", "long " * 100_000), (9, 1, None, None), (None, 1, "user", "x")]
+    got = defaultdict(list)
+    for x in chat.neighbours(spark.createDataFrame([(*x, 1, "p") for x in rows], "conv_id long, turn long, role string, text string, pair_id int, side string")).collect():
+        got[x.pair_id, x.side].append((x.turn, x.text))
+    said = lambda pair, side: [t for _, t in sorted(got[pair, side])]
+    assert said(1, "chosen") == ["one 0", "one 1", "one 2", "one 3"] and said(1, "rejected") == ["one 0", "one 1", "zero 2"]
+    assert said(0, "rejected") == ["zero 0", "zero 1", "one 2", "one 3"] and said(9, "rejected") == [""] == said(9, "chosen")
+    assert said(6, "rejected") == ["first", "long " * 100_000] and len(said(6, "chosen")) == 3 and {k[0] for k in got} == {0, 1, 6, 9}
+    pairs = {x.pair_id: x for x in chat.preference_pairs(chat.neighbours(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert {k: x.shared_turns for k, x in pairs.items()} == {0: 2, 1: 2, 6: 2, 9: 1} and len(pairs[6].prompt) > 500_000
+
+
 def brute_units(rows, least):
     import xxhash
 
@@ -407,22 +421,37 @@ def test_quality(spark):
         text = " | ".join(x.upper() + "!!" for x in w) if junk else " ".join(w).capitalize() + "."
         rows.append((i, text))
         labels.append((i, int(not junk), 0))
-    extra = [(1000, None), (1001, ""), (None, "A b c."), (2, rows[2][1])]
+    extra = [(1000, None), (1001, ""), (None, "A b c."), (2, rows[2][1]), (1002, "long text. " * 50_000)]
     df = docs(spark, rows + extra, [None, "h1", "h1", "h1", "h2"])
     lab = spark.createDataFrame([*labels[:300], (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     got = quality.quality(df, lab, "source", "lang").collect()
     assert len(got) == len(rows) + len(extra)
-    seen = [x for x in got if x.doc_id is not None and x.doc_id < 400]
-    assert sum(x.keep == (x.doc_id % 5 != 0) for x in seen) >= 0.97 * len(seen)
-    # posteriors against the formula on the evidence
-    total = sum(x.evidence for x in got) / len(got)
-    hosts = defaultdict(list)
+    held = [x for x in got if x.doc_id is not None and 300 <= x.doc_id < 400]  # without labels
+    assert sum(x.keep == (x.doc_id % 5 != 0) for x in held) >= 0.97 * len(held) == 97
+    # the formula on the evidence, by hand: strengths by moments, each document's own evidence left out
+    hosts, paths = defaultdict(list), defaultdict(list)
     for x in got:
         hosts[x.host].append(x.evidence)
+        paths[x.host, x.path].append(x.evidence)
+    total = sum(x.evidence for x in got) / len(got)
+
+    def strength(groups):
+        groups = [(e, c) for e, c in groups if len(e) >= 2]
+        mean = lambda e: sum(e) / len(e)
+        between = mean([(mean(e) - c) ** 2 - max(mean([v * v for v in e]) - mean(e) ** 2, 0) / len(e) for e, c in groups])
+        return min(max(mean([c * (1 - c) for _, c in groups]) / max(between, 1e-6) - 1, 1.0), 1000.0)
+
+    k = strength([(e, total) for e in hosts.values()])
+    k2 = strength([(e, (sum(hosts[h]) + k * total) / (len(hosts[h]) + k)) for (h, _), e in paths.items()])
     for x in got:
-        e = hosts[x.host]
-        lo, hi = sorted((sum(e) / len(e), total))
-        assert lo - 1e-9 <= x.host_posterior <= hi + 1e-9
+        h, p = hosts[x.host], paths[x.host, x.path]
+        of_host = (sum(h) - x.evidence + k * total) / (len(h) - 1 + k)
+        of_path = (sum(p) - x.evidence + k2 * of_host) / (len(p) - 1 + k2)
+        assert x.host_posterior == pytest.approx(of_host) and x.path_posterior == pytest.approx(of_path)
+        odds = x.evidence / (1 - x.evidence) * of_path / (1 - of_path) / (total / (1 - total))
+        assert x.quality == pytest.approx(odds / (1 + odds), abs=1e-6)
+    # a bad site pulls its unsure documents down, and a sparse one little
+    assert len({round(x.path_posterior, 3) for x in got}) > 3
     assert quality.quality(docs(spark, []), lab, "source", "lang").count() == 0
     assert {x["quality"] for x in quality.quality(docs(spark, [(1, "a")]), lab.limit(0), "source", "lang").collect()} == {0.5}
 
@@ -451,6 +480,37 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_inheritance(spark):
+    r = random.Random(6)
+    names = {"MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", None: "nothing to see"}
+    files = []
+    for i in range(150):
+        folder = "/".join(r.choices(["a", "b", "c"], k=r.randint(0, 4)))
+        own = r.choice(list(names)) if (licence := r.random() < 0.15) else None
+        files.append((i, f"{folder}/LICENSE{i}" if licence else f"{folder}/f{i}.txt", names[own]))
+    files = [(i, p.removeprefix("/"), t) for i, p, t in files]
+    given = defaultdict(list)  # per directory; all scores are equal, so the least path counts
+    said = {t: k for k, t in names.items()}
+    for _, p, t in files:
+        if said[t]:
+            given[p.rpartition("/")[0]].append((p, said[t]))
+    got = {x.file_id: (x.license, x.method, x.from_path) for x in licenses.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    for i, p, t in files:
+        at, want = p.rpartition("/")[0], (None, "none", None)
+        if said[t]:
+            want = (said[t], "file", p)
+        else:
+            while True:
+                if given[at]:
+                    path, name = min(given[at])
+                    want = (name, "inherited", path)
+                    break
+                if not at:
+                    break
+                at = at.rpartition("/")[0]
+        assert got[i] == want, p
+
+
 def test_licenses_over_line_ends():
     import textwrap
     from collections import Counter

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,22 +46,28 @@ def neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs from a table of conversations: each is chosen once, against its first half continued as its neighbour goes on.
 
     The neighbour of conversation 2k is 2k + 1 and the reverse; the halves part at half the number of turns, rounded
-    up. Rows with a null conv_id are left out, as they belong to no conversation.
+    up. Turns are numbered from 0 in the order of (turn, role, text), null turns first, so that it doesn't matter where
+    a table's numbers begin; null roles and texts count as empty, repeated rows are repeated turns. A conversation without a
+    neighbour is rejected with its first half alone. Rows with a null conv_id are left out, as they belong to no
+    conversation; an empty table gives an empty result; other columns than those four aren't read.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").where("conv_id is not null")
-    pivots = rows.groupBy("conv_id").agg(F.ceil(F.count(F.lit(1)) / 2).alias("pivot"))
-    chosen = rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    own = rows.join(pivots, "conv_id").where("turn < pivot").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    other = rows.withColumn("pair_id", F.col("conv_id").bitwiseXOR(F.lit(1))).join(pivots.withColumnRenamed("conv_id", "pair_id"), "pair_id").where("turn >= pivot").select("pair_id", F.lit("rejected").alias("side"), "turn", "role", "text")
-    return chosen.union(own).union(other)
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("conv_id is not null")
+    each = Window.partitionBy("conv_id")
+    nth = F.row_number().over(each.orderBy(F.col("turn").asc_nulls_first(), "role", "text")) - 1
+    turns = rows.withColumns({"nth": nth.cast("long"), "pivot": F.ceil(F.count(F.lit(1)).over(each) / 2)})
+    said = lambda df, pair, side: df.select(F.col(pair).alias("pair_id"), F.lit(side).alias("side"), F.col("nth").alias("turn"), "role", "text")
+    pivots = rows.groupBy(F.col("conv_id").alias("pair_id")).agg(F.ceil(F.count(F.lit(1)) / 2).alias("at"))
+    other = turns.withColumn("pair_id", F.col("conv_id").bitwiseXOR(F.lit(1))).join(pivots, "pair_id").where("nth >= at")
+    return said(turns, "conv_id", "chosen").union(said(turns.where("nth < pivot"), "conv_id", "rejected")).union(said(other, "pair_id", "rejected"))
 
 
 ORACLE = """
-WITH v AS (SELECT conv_id, ceil(count(*) / 2.0) AS half FROM conversations GROUP BY 1),
+WITH v AS (SELECT conv_id, ceil(count(*) / 2.0) AS half FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS turn FROM conversations WHERE conv_id IS NOT NULL),
 t AS (
-  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
-  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM conversations c JOIN v USING (conv_id) WHERE turn < half
-  UNION ALL SELECT v.conv_id, 'rejected', turn, role, text FROM conversations c JOIN v ON v.conv_id = xor(c.conv_id, 1) WHERE turn >= half),
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM c
+  UNION ALL SELECT c.conv_id, 'rejected', turn, role, text FROM c JOIN v USING (conv_id) WHERE turn < half
+  UNION ALL SELECT v.conv_id, 'rejected', turn, role, text FROM c JOIN v ON v.conv_id = xor(c.conv_id, 1) WHERE turn >= half),
 n AS (SELECT pair_id, side, coalesce(role, '') AS role, coalesce(text, '') AS text,
              row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM t),
 s AS (SELECT pair_id, CAST(least(coalesce(min(i) FILTER (WHERE NOT same), 1000000) - 1, min(m)) AS INT) AS shared_turns FROM (

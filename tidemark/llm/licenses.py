@@ -217,7 +217,9 @@ def license_scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     dirs = materialise(found.groupBy("dir").agg(F.count(F.lit(1)).alias("n")), "dirs")
     parts = F.split("dir", "/")
     ups = dirs.select("dir", "n", F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))).alias("a")).select("dir", "n", "a.depth", "a.above")
-    near = ups.join(given, "above").groupBy("dir").agg(F.max_by(F.struct("from_path", "dir_license", "dir_score"), "depth").alias("g"))
+    # the root and the top folders lie above most directories: they are dealt out, see attach
+    above = materialise(ups.groupBy("above").agg(F.count(F.lit(1)).alias("below")).join(given, "above", "left"), "above")
+    near = attach(ups.select("dir", "depth", "above"), above, ["above"], "below", F.col("dir")).where("dir_license is not null").groupBy("dir").agg(F.max_by(F.struct("from_path", "dir_license", "dir_score"), "depth").alias("g"))
     facts = materialise(dirs.join(near, "dir", "left").select("dir", "n", "g.from_path", "g.dir_license", "g.dir_score"), "inherited")
     out = attach(found, facts, ["dir"], "n", F.col("file_id"))
     method = F.when(licence, "file").when(F.col("license").isNotNull(), "header").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")

@@ -3,46 +3,38 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialise
-
-FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "distinct", "repeated_lines", "line_words", "ended_lines", "long_words", "top_word")
-_LETTERS = re.compile(r"[^\W\d_]")
-
-
-def features(text: str | None) -> list[float]:
-    """Shape of a whole text: lengths, shares of kinds of characters, repetition of words and lines."""
-    text = text or ""
-    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
-    n, m, chars = len(words), len(lines), max(1, len(text))
-    if not n:
-        return [0.0] * len(FEATURES)
-    letters = max(1, len(_LETTERS.findall(text)))
-    counts = Counter(words)
-    return [
-        math.log1p(n),
-        sum(map(len, words)) / n,
-        sum(map(str.isupper, text)) / letters,
-        sum(map(str.isdigit, text)) / chars,
-        sum(not (c.isalnum() or c.isspace() or c in ".,'\"-;:()") for c in text) / chars,
-        sum(w[-1] in "!|?*#=<>{}" for w in words) / n,
-        len(counts) / n**0.8,
-        1 - len(set(lines)) / m,
-        math.log1p(n / m),
-        sum(x.rstrip()[-1] in ".!?" for x in lines) / m,
-        sum(len(w) > 20 for w in words) / n,
-        max(counts.values()) / n,
-    ]
+from .common import SPACE, WORD, attach, least_hashes, materialise
+
+FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "distinct", "repeated_lines", "line_words", "ended_lines", "long_words")
+
+
+def features(text: Column) -> list[Column]:
+    """Shape of a whole text, all 0 without words: lengths, shares of kinds of characters, repetition of words and lines."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    words, chars = count(WORD), F.char_length(text)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    n, m = F.greatest(F.lit(1.0), words), F.greatest(F.lit(1), F.size(lines)).cast("double")
+    shapes = {
+        "log_words": F.log1p(words),
+        "word_length": F.char_length(F.regexp_replace(text, f"{SPACE}+", "")) / n,
+        "upper": count(r"\p{Lu}") / F.greatest(F.lit(1.0), count(r"\p{L}")),
+        "digit": count(r"\p{Nd}") / chars,
+        "symbol": count(r"[^\p{L}\p{N}\s.,'\"\-;:()]") / chars,
+        "mark": count(r"[!|?*#=<>{}](?=[\x20\x09-\x0D]|\z)") / n,
+        "distinct": F.size(F.array_distinct(F.split(text, f"{SPACE}+"))) / F.pow(n, 0.8),
+        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / m,
+        "line_words": F.log1p(n / m),
+        "ended_lines": count(r"[.!?][\x20\x09\x0B-\x0D]*(?=\n|\z)") / m,
+        "long_words": count(r"[^\x20\x09-\x0D]{21,}") / n,
+    }
+    return [F.when(words > 0, shapes[name]).otherwise(0.0).alias(name) for name in FEATURES]
 
 
 def _rows(docs: DataFrame, host: str | Column, path: str | Column) -> DataFrame:
@@ -56,27 +48,20 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str | Column, path: str |
     The regression is fitted on at most `most` labelled rows, those of the least hashes; of several labels of a
     document the lowest counts. Without labels of both kinds p is their share, or one half without any.
     """
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = F.broadcast(told.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in b.column(0)], pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
-
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).where("doc_id is not null and label is not null")
+    told = materialise(told.groupBy("doc_id").agg(F.min("label").alias("label")), "told")
+    chosen = F.broadcast(least_hashes(told, most, seed))  # pairs of numbers
     rows = _rows(docs, host, path)
-    sample = materialise(rows.join(chosen, "doc_id").select("text", F.col("quality").cast("double").alias("label")).mapInArrow(vectors, "x array<double>, label double"), "quality")
+    sample = materialise(rows.join(chosen, "doc_id").select("label", *features(F.col("text"))), "quality")
     least, most_, share = sample.agg(F.min("label"), F.max("label"), F.avg("label")).first()
     if least is None or least == most_:
         return rows.select("doc_id", "host", "path", F.lit(0.5 if share is None else share).alias("p"))
-    fit = LogisticRegression(maxIter=100, regParam=1e-4, standardization=True).fit(sample.select(array_to_vector("x").alias("features"), "label").cache())
-    w, bias = fit.coefficients.toArray(), float(fit.intercept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = np.array([features(t.as_py()) for t in b.column(3)], dtype=float).reshape(-1, len(w)) @ w + bias
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "host", "path", "p"])
-
-    return rows.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, p double")
+    gathered = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label")
+    fit = LogisticRegression(maxIter=100, regParam=1e-4, standardization=True).fit(gathered)
+    z = F.lit(float(fit.intercept))
+    for name, w in zip(FEATURES, fit.coefficients.toArray().tolist()):
+        z = z + F.lit(w) * F.col(name)
+    return rows.select("doc_id", "host", "path", *features(F.col("text"))).select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
 
 
 def _strength(groups: DataFrame, centre: Column) -> float:
@@ -95,10 +80,11 @@ def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "host", pat
 
     A host's posterior is the mean of its documents' evidence with the global mean added `strength` times, a path's
     the mean with its host's posterior added, so that sparse sites lean on what is above them; the strengths come
-    from the moments of the groups. quality is the document's odds with the global odds replaced by its path's.
-    `path` is taken within its host. Null texts count as empty, null hosts and paths as empty names; repeated rows
-    count and are returned each; an empty table gives an empty result. Only doc_id, text and the columns for host
-    and path are read, and doc_id and quality of the labels.
+    from the moments of the groups. For each document both leave its own evidence out, which counts once, beside them:
+    quality is the document's odds with the global odds replaced by its path's. `path` is taken within its host. Null
+    texts count as empty, null hosts and paths as empty names; repeated rows count and are returned each; an empty table
+    gives an empty result. Only doc_id, text and the columns for host and path are read, and doc_id and quality of the
+    labels.
     """
     rows = materialise(evidence(docs, labels, host, path, most), "evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss")]
@@ -107,11 +93,12 @@ def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "host", pat
     total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     prior = min(max(0.5 if total is None else total, 1e-4), 1 - 1e-4)
     k = _strength(hosts, F.lit(prior))
-    by_host = materialise(hosts.select("host", "paths", ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_posterior")), "host-posteriors")
-    sited = materialise(attach(paths, by_host, ["host"], "paths", F.col("path")), "sited")
-    k2 = _strength(sited, F.col("host_posterior"))
-    facts = materialise(sited.select("host", "path", "n", "host_posterior", ((F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2)).alias("path_posterior")), "path-posteriors")
-    out = attach(rows, facts, ["host", "path"], "n", F.col("doc_id"))
+    by_host = hosts.select("host", "paths", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    facts = materialise(attach(paths, by_host, ["host"], "paths", F.col("path")).select("host", "path", "n", "s", "ss", "host_n", "host_s"), "sited")
+    k2 = _strength(facts, (F.col("host_s") + k * prior) / (F.col("host_n") + k))
+    out = attach(rows, facts.drop("ss"), ["host", "path"], "n", F.col("doc_id"))
+    of_host = (F.col("host_s") - F.col("p") + k * prior) / (F.col("host_n") - 1 + k)
+    out = out.withColumn("host_posterior", of_host).withColumn("path_posterior", (F.col("s") - F.col("p") + k2 * F.col("host_posterior")) / (F.col("n") - 1 + k2))
     odds = lambda x: F.log(x / (1 - x))
     bound = lambda x: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), x))
     z = odds(bound(F.col("p"))) + odds(bound(F.col("path_posterior"))) - F.lit(math.log(prior / (1 - prior)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -14,12 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialise, scratch
+from .common import attach, materialise, new_folder
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # magic numbers of the seekable format
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "page_id long, bundle string, frame_start long, frame_bytes long, record_start long, record_bytes long"
+INDEX = "page_id long, bundle string, frame long, record_start long, record_bytes long"
 
 
 def digest(payload: bytes) -> str:
@@ -85,7 +86,7 @@ class BundleWriter:
             return
         packed = self.packer.compress(bytes(self.open))
         self.out.write(packed)
-        self.index += [(p, self.path, self.size, len(packed), a, n) for p, a, n in self.held]
+        self.index += [(p, self.path, len(self.frames), a, n) for p, a, n in self.held]
         self.frames.append((len(packed), len(self.open)))
         self.size += len(packed)
         self.open, self.held = bytearray(), []
@@ -106,10 +107,30 @@ def seek_table(tail: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", tail, len(tail) - 9 - 8 * (n - i)) for i in range(n)]
 
 
+class BundleReader:
+    """Records of one bundle: the footer's seek table tells where frames start, and only the frame asked for is read."""
+
+    def __init__(self, path: str):
+        fs, at = pafs.FileSystem.from_uri(path)
+        self.file, self.held, self.data = fs.open_input_file(at), None, b""
+        size = self.file.size()
+        self.file.seek(size - 9)
+        frames = struct.unpack("<IBI", self.file.read(9))[0]
+        self.file.seek(size - 9 - 8 * frames)
+        self.packed = [p for p, _ in seek_table(self.file.read())]
+        self.starts = [0, *itertools.accumulate(self.packed)]
+
+    def record(self, frame: int, start: int, size: int) -> bytes:
+        if frame != self.held:
+            self.file.seek(self.starts[frame])
+            self.data, self.held = zstandard.ZstdDecompressor().decompress(self.file.read(self.packed[frame])), frame
+        return self.data[start : start + size]
+
+
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 6
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "bundle", "frame_start", "frame_bytes", "record_start", "record_bytes"])
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["page_id", "bundle", "frame", "record_start", "record_bytes"])
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, frame: int = 1 << 20, bundle: int = 256 << 20) -> DataFrame:
@@ -144,22 +165,17 @@ def write(pages: DataFrame, folder: str, least: int = 0, frame: int = 1 << 20, b
 
 
 def read(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, read at its place in its bundle."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, read from its frame of its bundle."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = file = at = data = None
+        path = bundle = None
         for b in batches:
             out = []
             for r in b.to_pylist():
                 if r["bundle"] != path:
-                    path, at = r["bundle"], None
-                    fs, name = pafs.FileSystem.from_uri(path)
-                    file = fs.open_input_file(name)
-                if r["frame_start"] != at:
-                    file.seek(r["frame_start"])
-                    data, at = zstandard.ZstdDecompressor().decompress(file.read(r["frame_bytes"])), r["frame_start"]
-                out.append(parse(data[r["record_start"] : r["record_start"] + r["record_bytes"]]))
+                    path, bundle = r["bundle"], BundleReader(r["bundle"])
+                out.append(parse(bundle.record(r["frame"], r["record_start"], r["record_bytes"])))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in zip(names, kinds)], names=names)
 
@@ -171,6 +187,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
 
     Only page_id, url and html are read. A page_id that repeats has a record per row.
     """
-    folder = folder or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")[0].create_dir(folder.removeprefix("file://"), recursive=True)
-    return read(write(pages, folder if "://" in folder else f"file://{folder}", least))
+    at = new_folder(pages.sparkSession, "warc") if folder is None else folder if "://" in folder else f"file://{folder}"
+    fs, name = pafs.FileSystem.from_uri(at)
+    fs.create_dir(name, recursive=True)
+    return read(write(pages, at, least))
