@@ -36,10 +36,16 @@ def scratch(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str) -> str:
+    """The path of a new table in the shared folder."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
+    path = stored(df, name)
     if _open:
         _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
