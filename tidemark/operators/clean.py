@@ -68,3 +68,8 @@ def spread_duplicates(df: DataFrame, key: str, time: str, order: str) -> DataFra
     steps = blocks.withColumn("_step", F.greatest(F.lit(1000), F.least(F.lit(SECOND), F.floor(gap / F.col("_n")))))
     nth = F.row_number().over(Window.partitionBy(key, time).orderBy(order)) - 1
     return df.join(steps, [key, time]).withColumn("time_us", us + nth * F.col("_step")).drop("_n", "_step")
+
+
+def schema_difference(own: DataFrame, store: DataFrame) -> DataFrame:
+    """Rows of names that only `own` has (`kind` extra) or only `store` has (missing), once each."""
+    return own.subtract(store).withColumn("kind", F.lit("extra")).union(store.subtract(own).withColumn("kind", F.lit("missing")))

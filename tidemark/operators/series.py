@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import HOUR, SECOND, micros
+from ..functions.times import DAY, HOUR, SECOND, micros
 
 
 def ordered(key: str | Sequence[str], time: str = "time"):
@@ -85,34 +85,50 @@ def islands(df: DataFrame, key: str, time: str, label: str, max_gap: Column | in
     return df.withColumn("_new", flag).withColumn("run", F.sum("_new").over(running(key, time))).drop("_new")
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tolerance_us: int | None = None, how: str = "nearest") -> DataFrame:
+def _sampled(rows: DataFrame, samples: DataFrame, key: str, time: str, value: str, block_us: int, after: bool = True) -> DataFrame:
+    """`rows` with `_t` and the samples that surround them: `_b`, the last not after, and `_n`, the first not before (structs t, v).
+
+    Series are cut into blocks of time, so that a long one is many tasks; the last and first samples of the blocks, a
+    row a block, are carried over to the others. Both windows run from an end of the block up to the row, the second
+    one backwards in time, so that the work grows with the rows. Nothing is multiplied. Of samples that share a time,
+    which there should not be, one is taken.
+    """
+    one = rows.withColumns({"_left": F.lit(True), "_s": F.lit(None).cast("struct<t:bigint,v:double>")})
+    two = samples.where(F.col(value).isNotNull()).select(key, time, F.lit(False).alias("_left"), F.struct(micros(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_s"))
+    both = one.unionByName(two, allowMissingColumns=True).withColumn("_t", micros(time)).withColumn("_block", F.expr(f"_t div {block_us}"))
+    ends = both.groupBy(key, "_block").agg(F.max("_s").alias("_last"), F.min("_s").alias("_first"))
+    along = Window.partitionBy(key).orderBy("_block")
+    carried = ends.withColumns({
+        "_before": F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.last("_first", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)),
+    }).select(F.col(key).alias("_key"), F.col("_block").alias("_at"), "_before", "_after")
+    placed = both.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    inside = Window.partitionBy(key, "_block")
+    seen = placed.withColumn("_b", F.coalesce(F.last("_s", ignorenulls=True).over(inside.orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)), "_before"))
+    if after:
+        seen = seen.withColumn("_n", F.coalesce(F.last("_s", ignorenulls=True).over(inside.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)), "_after"))
+    return seen.where("_left")
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str, tolerance_us: int | None = None, how: str = "nearest", block_us: int = DAY) -> DataFrame:
     """`left` with the value and time of a sample of `right`: nearest (a tie takes the later), or the latest not after.
 
-    One union and one shuffle by key: each row sees its neighbours by last and first values of a window, so nothing
-    is multiplied. Samples must be distinct per key and time. Beyond the tolerance, which counts, the value is null.
+    Beyond the tolerance, which counts, the value is null. See _sampled for how rows find their samples.
     """
     cols = left.columns
-    one = left.withColumns({"_left": F.lit(True), "_s": F.lit(None).cast("struct<t:bigint,v:double>")})
-    two = right.select(key, time, F.lit(False).alias("_left"), F.struct(micros(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_s")).where(F.col(value).isNotNull())
-    both = one.unionByName(two, allowMissingColumns=True).withColumn("_t", micros(time))
-    w = Window.partitionBy(key).orderBy("_t")
-    back = both.withColumn("_b", F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    seen = _sampled(left, right, key, time, value, block_us, how != "backward")
     if how == "backward":
-        seen = back.where("_left").withColumn("_pick", F.col("_b"))
+        seen = seen.withColumn("_pick", F.col("_b"))
     else:
-        seen = back.withColumn("_n", F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("_left")
         later = F.col("_b").isNull() | ((F.col("_n.t") - F.col("_t")) <= (F.col("_t") - F.col("_b.t")))
         seen = seen.withColumn("_pick", F.when(F.col("_n").isNotNull() & later, F.col("_n")).otherwise(F.col("_b")))
     near = F.lit(True) if tolerance_us is None else F.abs(F.col("_pick.t") - F.col("_t")) <= tolerance_us
     return seen.select(*cols, F.when(near, F.col("_pick.v")).alias(f"{value}_match"), F.when(near, F.col("_pick.t")).alias("match_us"))
 
 
-def interpolate(grid: DataFrame, samples: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def interpolate(grid: DataFrame, samples: DataFrame, key: str, time: str, value: str, block_us: int = DAY) -> DataFrame:
     """`grid` with `value` linear in time between samples, and the nearest sample beyond their ends."""
-    two = samples.where(F.col(value).isNotNull()).select(key, time, F.lit(False).alias("_left"), F.struct(micros(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_s"))
-    both = grid.select(key, time, F.lit(True).alias("_left"), F.lit(None).cast("struct<t:bigint,v:double>").alias("_s")).union(two).withColumn("_t", micros(time))
-    w = Window.partitionBy(key).orderBy("_t")
-    seen = both.withColumns({"_b": F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_n": F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("_left")
+    seen = _sampled(grid.select(key, time), samples, key, time, value, block_us)
     share = (F.col("_t") - F.col("_b.t")) / (F.col("_n.t") - F.col("_b.t"))
     v = F.when(F.col("_b").isNull(), F.col("_n.v")).when(F.col("_n").isNull() | (F.col("_n.t") == F.col("_b.t")), F.col("_b.v")).otherwise(F.col("_b.v") + share * (F.col("_n.v") - F.col("_b.v")))
     return seen.select(key, time, v.alias(value))

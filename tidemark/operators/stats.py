@@ -65,3 +65,33 @@ def worst(level_: Column) -> Column:
     """Aggregate: the worst level of a group; gray counts only if there is nothing else."""
     rank = F.max(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level_))
     return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), rank.cast("int"))
+
+
+def below(value: Column, amber: float, red: float) -> Column:
+    """Levels of what is bad when low: red below `red`, amber below `amber`."""
+    return F.when(value.isNull(), "gray").when(value < red, "red").when(value < amber, "amber").otherwise("green")
+
+
+def count_level(n: Column, amber: float = 1.0) -> Column:
+    """green at 0, amber up to `amber`, else red."""
+    return F.when(n.isNull(), "gray").when(n <= 0, "green").when(n <= amber, "amber").otherwise("red")
+
+
+def age_level(age: Column, green: float = 10.0, amber: float = 30.0) -> Column:
+    return F.when(age.isNull(), "gray").when(age <= green, "green").when(age <= amber, "amber").otherwise("red")
+
+
+def band_level(value: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """`low` and `high` are (red, amber): red below low's or from high's first bound, amber likewise by the second."""
+    return F.when(value.isNull(), "gray").when((value < low[0]) | (value >= high[0]), "red").when((value < low[1]) | (value >= high[1]), "amber").otherwise("green")
+
+
+def margin_level(margin: Column, available: Column, red: float = 0.0) -> Column:
+    """Dew point margin: gray where the humidity isn't available, red at `red` and below."""
+    return F.when(F.coalesce(~available, F.lit(False)) | margin.isNull(), "gray").when(margin <= red, "red").otherwise("green")
+
+
+def depletion_level(watts: Column, soc: Column, hours: Column, capacity_kwh: float = 26.0, deadband: float = 50.0, green: float = 24.0, amber: float = 12.0) -> Column:
+    """Hours until a battery is empty, told or from its charge and power; green unless it is discharged beyond the deadband."""
+    left = F.coalesce(hours, F.greatest(soc, F.lit(0.0)) / 100 * capacity_kwh / (F.abs(watts) / 1000))
+    return F.when(watts.isNull() | soc.isNull(), "gray").when(watts >= -deadband, "green").when(left >= green, "green").when(left >= amber, "amber").otherwise("red")

@@ -174,10 +174,12 @@ def k4_best_candidate(spark, sf):
     return c.groupBy("event_type").agg(F.max_by("user_id", F.struct("h", -F.col("s"), -F.col("user_id"))).alias("best"))
 
 
-@query("SELECT n_name, r_name, row_number() OVER (ORDER BY r_regionkey DESC, n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, n_name, row_number() OVER (PARTITION BY n_name ORDER BY n_regionkey DESC, c_acctbal DESC, c_custkey) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def k5_panel_order(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).withColumn("place", F.row_number().over(Window.orderBy(F.desc("r_regionkey"), "n_nationkey"))).select("n_name", "r_name", "place")
+    """Panels of a page in their order: a page per nation, a panel per customer."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    w = Window.partitionBy("n_name").orderBy(F.desc("n_regionkey"), F.desc("c_acctbal"), "c_custkey")
+    return c.join(n, c.c_nationkey == n.n_nationkey).withColumn("place", F.row_number().over(w)).select("c_custkey", "n_name", "place")
 
 
 @query("SELECT event_id AS id, value AS a, NULL::DOUBLE AS b FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, value FROM events WHERE event_type = 'view'")
@@ -197,10 +199,13 @@ def u3_newest_days(spark, sf):
     return days.distinct().orderBy(F.desc("day")).limit(60)
 
 
-@query("SELECT o_custkey AS key, 'extra' AS kind FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 'missing' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50)
+SELECT user_id, event_type, 'extra' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, event_type, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u4_set_difference(spark, sf):
-    a, b = table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return a.subtract(b).withColumn("kind", F.lit("extra")).union(b.subtract(a).withColumn("kind", F.lit("missing")))
+    """Which columns a table of its own per user has beside, or lacks against, its store; a column is a kind of event."""
+    e = events(spark, sf)
+    own, store = e.where("value > 20"), e.where(F.get_json_object("props", "$.k").cast("double") > 50)
+    return op.schema_difference(own.select("user_id", "event_type"), store.select("user_id", "event_type"))
 
 
 @query("SELECT time_bucket(INTERVAL 15 minute, ts) AS time FROM events WHERE event_type = 'click' INTERSECT SELECT time_bucket(INTERVAL 15 minute, ts) FROM events WHERE event_type = 'error'")

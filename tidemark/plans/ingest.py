@@ -106,10 +106,10 @@ def s11_profile_assembly(spark, sf):
     return src.assemble_profile(g, "a", "b").withColumn("db", R("db"))
 
 
-@query("""WITH g AS (SELECT s_suppkey AS cell, (s_suppkey % 18) * 5.0::DOUBLE AS lat, (s_suppkey % 36) * 10.0::DOUBLE AS lon FROM supplier), n AS (SELECT arg_min(lat, (abs(lat - 72.6), lat)) AS a, arg_min(lon, (abs(lon - 321.5), lon)) AS o FROM g) SELECT cell FROM g, n WHERE lat = a AND lon = o""")
+@query("""WITH g AS (SELECT s_suppkey AS cell, (s_suppkey % 18) * 5.0::DOUBLE AS lat, (s_suppkey // 18 % 36) * 10.0::DOUBLE AS lon FROM supplier), n AS (SELECT arg_min(lat, (abs(lat - 62.6), lat)) AS a, arg_min(lon, (abs(lon - 1.5), lon)) AS o FROM g) SELECT cell FROM g, n WHERE lat = a AND lon = o""")
 def s12_nearest_cell(spark, sf):
-    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), ((F.col("s_suppkey") % 18) * 5.0).alias("lat"), ((F.col("s_suppkey") % 36) * 10.0).alias("lon"))
-    return src.nearest_cell(g, 72.6, -38.5).select("cell")
+    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"), ((F.col("s_suppkey") % 18) * 5.0).alias("lat"), (F.expr("s_suppkey div 18 % 36") * 10.0).alias("lon"))
+    return src.nearest_cell(g, 62.6, -358.5).select("cell")
 
 
 @query("""WITH r AS (SELECT time_bucket(INTERVAL 6 hour, ts) AS cycle, user_id % 20 AS member, event_id % 8 AS step, event_id, value FROM events) SELECT cycle, member, step, cycle + to_hours(CAST(3 * step AS INT)) AS valid_time, value FROM r QUALIFY row_number() OVER (PARTITION BY cycle, member, step ORDER BY event_id DESC) = 1""")

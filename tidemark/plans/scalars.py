@@ -38,12 +38,29 @@ def x4_unit_conversions(spark, sf):
     return events(spark, sf).select("event_id", R(fx.decibel(F.col("value"))).alias("db"), R(F.col("value") + 250 - F.lit(273.15)).alias("celsius"), R(F.col("event_id") / 1048576.0, 9).alias("mb"), F.abs(F.minute("ts") - 30).cast("long").alias("offset_min"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 90 THEN 'red' WHEN value >= 50 THEN 'amber' ELSE 'green' END AS used, CASE WHEN user_id % 60 < 11 THEN 'red' WHEN user_id % 60 < 24 THEN 'amber' ELSE 'green' END AS voltage FROM events")
-def x5_level_thresholds(spark, sf):
-    from ..operators.stats import level
+_LEVELS = """x AS (SELECT event_id, nullif(value, 0) AS used, nullif(event_id % 5, 4) AS n, nullif(event_id % 60, 7) AS age, 45 + user_id % 10 AS volt, user_id % 101 AS soc, event_id % 60 - 5 AS temp, event_id % 7 - 2 AS margin, nullif(event_id % 4, 3) = 0 AS humid, value * 40 - 1000 AS watts,
+CASE WHEN event_id % 3 = 0 THEN value END AS hours, value * 60 AS p95, event_id % 9 > 0 AS log_there, event_id % 500 AS log_age FROM events)"""
+
 
-    volt = F.col("user_id") % 60
-    return events(spark, sf).select("event_id", level(F.col("value"), 50, 90).alias("used"), F.when(volt < 11, "red").when(volt < 24, "amber").otherwise("green").alias("voltage"))
+@query(f"""WITH {_LEVELS} SELECT event_id,
+CASE WHEN used IS NULL THEN 'gray' WHEN used < 75 THEN 'green' WHEN used < 90 THEN 'amber' ELSE 'red' END AS used, CASE WHEN n IS NULL THEN 'gray' WHEN n <= 0 THEN 'green' WHEN n <= 1 THEN 'amber' ELSE 'red' END AS fails,
+CASE WHEN n IS NULL THEN 'gray' WHEN n <= 0 THEN 'green' WHEN n < 3 THEN 'amber' ELSE 'red' END AS probes, CASE WHEN age IS NULL THEN 'gray' WHEN age <= 10 THEN 'green' WHEN age <= 30 THEN 'amber' ELSE 'red' END AS age,
+CASE WHEN volt > 52 THEN 'green' WHEN volt >= 50 THEN 'amber' ELSE 'red' END AS voltage, CASE WHEN soc >= 50 THEN 'green' WHEN soc > 40 THEN 'amber' ELSE 'red' END AS soc,
+CASE WHEN temp < 5 OR temp >= 45 THEN 'red' WHEN temp < 10 OR temp >= 40 THEN 'amber' ELSE 'green' END AS temperature, CASE WHEN humid = false OR margin IS NULL THEN 'gray' WHEN margin <= 0 THEN 'red' ELSE 'green' END AS dewpoint,
+CASE WHEN watts >= -50 THEN 'green' WHEN coalesce(hours, soc / 100.0::DOUBLE * 26 / (abs(watts) / 1000)) >= 24 THEN 'green' WHEN coalesce(hours, soc / 100.0::DOUBLE * 26 / (abs(watts) / 1000)) >= 12 THEN 'amber' ELSE 'red' END AS depletion,
+CASE WHEN p95 <= 1000 THEN 'green' WHEN p95 <= 3000 THEN 'amber' ELSE 'red' END AS latency, CASE WHEN NOT log_there THEN 'red' WHEN log_age <= 30 THEN 'green' WHEN log_age <= 360 THEN 'amber' ELSE 'red' END AS perf_log FROM x""")
+def x5_level_thresholds(spark, sf):
+    """The levels of every health card, with its thresholds as parameters of its function."""
+    from ..operators import stats as op
+
+    c, e = F.col, F.col("event_id")
+    x = events(spark, sf).select(e, F.nullif("value", F.lit(0)).alias("used"), F.nullif(e % 5, F.lit(4)).alias("n"), F.nullif(e % 60, F.lit(7)).alias("age"), (45 + c("user_id") % 10).alias("volt"), (c("user_id") % 101).alias("soc"), (e % 60 - 5).alias("temp"), (e % 7 - 2).alias("margin"), (F.nullif(e % 4, F.lit(3)) == 0).alias("humid"), (c("value") * 40 - 1000).alias("watts"), F.when(e % 3 == 0, c("value")).alias("hours"), (c("value") * 60).alias("p95"), (e % 9 > 0).alias("log_there"), (e % 500).alias("log_age"))
+    return x.select(
+        e, op.level(c("used"), 75, 90).alias("used"), op.count_level(c("n")).alias("fails"), F.when(c("n") >= 3, "red").otherwise(op.count_level(c("n"), 2)).alias("probes"), op.age_level(c("age")).alias("age"),
+        F.when(c("volt") > 52, "green").otherwise(op.below(c("volt"), 53, 50)).alias("voltage"), F.when(c("soc") <= 40, "red").otherwise(op.below(c("soc"), 50, 40)).alias("soc"),
+        op.band_level(c("temp"), (5, 10), (45, 40)).alias("temperature"), op.margin_level(c("margin"), c("humid")).alias("dewpoint"), op.depletion_level(c("watts"), c("soc"), c("hours")).alias("depletion"),
+        op.age_level(c("p95"), 1000, 3000).alias("latency"), F.when(~c("log_there"), "red").otherwise(op.age_level(c("log_age"), 30, 360)).alias("perf_log"),
+    )
 
 
 @query("SELECT event_id, CASE WHEN w > 5 THEN 'charging' WHEN w < -5 THEN 'discharging' ELSE 'idle' END AS state, round(24.0::DOUBLE * soc / 100, 6) AS kwh, round(CASE WHEN w < -5 THEN 24000.0::DOUBLE * soc / 100 / -w END, 6) AS hours_left FROM (SELECT event_id, value - 20 AS w, user_id % 101 AS soc FROM events)")

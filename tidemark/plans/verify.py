@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, bucket, micros
+from ..operators import ensemble
 from ..operators import series as so
 from ..operators import stats as op
 from ..registry import query
@@ -214,17 +215,10 @@ def e39_continuation_rule(spark, sf, low=5.0, high=20.0):
     return g.withColumn("decision", F.when(F.col("dip").isNull(), "continue").when(F.col("recovery").isNull(), "stop").otherwise("resume"))
 
 
-@query(f"""WITH {MEMBERS}, d AS (SELECT issue_time, site, lead, forecast FROM archive), r AS (SELECT m.issue_time, m.site, member, least(1.8, greatest(0.2, median(value / forecast))) AS ratio FROM members m JOIN d ON m.issue_time = d.issue_time AND m.site = d.site AND m.lead = d.lead WHERE m.lead <= 12 AND forecast >= 1 GROUP BY 1, 2, 3)
-SELECT m.issue_time, m.site, m.lead, CAST(m.member AS INT) AS member, round(CASE WHEN m.lead <= 12 THEN value ELSE forecast * (1 + (coalesce(ratio, 1) - 1) * (1 + (m.lead - 12) / 96.0::DOUBLE)) END, 9) AS value FROM members m JOIN d ON m.issue_time = d.issue_time AND m.site = d.site AND m.lead = d.lead LEFT JOIN r ON r.issue_time = m.issue_time AND r.site = m.site AND r.member = m.member""")
-def e47_tail_extension(spark, sf, native=12):
-    """Beyond the native leads a member follows the deterministic series at its own median ratio, widened with the lead."""
-    m = members(spark, sf).select("issue_time", "site", "lead", "member", "value")
-    d = archive(spark, sf).select("issue_time", "site", "lead", "forecast")
-    j = m.join(d, ["issue_time", "site", "lead"])
-    near = F.when((F.col("lead") <= native) & (F.col("forecast") >= 1), F.col("value") / F.col("forecast"))
-    r = j.groupBy("issue_time", "site", "member").agg(F.median(near).alias("med")).select("issue_time", "site", "member", F.when(F.col("med").isNotNull(), F.least(F.lit(1.8), F.greatest(F.lit(0.2), F.col("med")))).alias("ratio"))
-    wide = F.col("forecast") * (1 + (F.coalesce("ratio", F.lit(1.0)) - 1) * (1 + (F.col("lead") - native) / 96.0))
-    return j.join(r, ["issue_time", "site", "member"], "left").select("issue_time", "site", "lead", F.col("member").cast("int"), R(F.when(F.col("lead") <= native, F.col("value")).otherwise(wide), 9).alias("value"))
+@query(f"""WITH {MEMBERS}, r AS (SELECT issue_time, site, lead, member, value, forecast, median(CASE WHEN lead <= 12 AND forecast >= 1 THEN value / forecast END) OVER (PARTITION BY issue_time, site, member) AS med FROM members)
+SELECT issue_time, site, lead, CAST(member AS INT) AS member, round(CASE WHEN lead <= 12 THEN value ELSE forecast * (1 + (CASE WHEN med IS NULL THEN 1 ELSE least(1.8, greatest(0.2, med)) END - 1) * (1 + (lead - 12) / 96.0::DOUBLE)) END, 9) AS value FROM r""")
+def e47_tail_extension(spark, sf):
+    return ensemble.tail_extension(members(spark, sf), ["issue_time", "site", "member"], "lead", "value", "forecast").select("issue_time", "site", "lead", "member", R("value", 9).alias("value"))
 
 
 _PHASE = "q AS (SELECT event_type AS phase, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1)"

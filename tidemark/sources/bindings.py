@@ -59,13 +59,13 @@ OBSERVED = "observed AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS time, median
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty members of each forecast."""
+    """Twenty members of each forecast, beside it."""
     m = F.explode(F.sequence(F.lit(1), F.lit(20)))
-    return archive(spark, sf_dir).withColumn("member", m).withColumn("value", F.col("forecast") * (0.75 + 0.5 * (F.col("member") - 1) / 19)).drop("forecast")
+    return archive(spark, sf_dir).withColumn("member", m).withColumn("value", F.col("forecast") * (0.75 + 0.5 * (F.col("member") - 1) / 19))
 
 
 MEMBERS = ARCHIVE + """, members AS (SELECT issue_time, cycle_time, site, lead, valid_time, member,
-  forecast * (0.75::DOUBLE + 0.5::DOUBLE * (member - 1) / 19) AS value FROM archive, (SELECT unnest(range(1, 21)) AS member))"""
+  forecast * (0.75::DOUBLE + 0.5::DOUBLE * (member - 1) / 19) AS value, forecast FROM archive, (SELECT unnest(range(1, 21)) AS member))"""
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
