@@ -199,12 +199,12 @@ def u3_newest_days(spark, sf):
     return days.distinct().orderBy(F.desc("day")).limit(60)
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50)
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) > 90)
 SELECT user_id, event_type, 'extra' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, event_type, 'missing' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u4_set_difference(spark, sf):
     """Which columns a table of its own per user has beside, or lacks against, its store; a column is a kind of event."""
     e = events(spark, sf)
-    own, store = e.where("value > 20"), e.where(F.get_json_object("props", "$.k").cast("double") > 50)
+    own, store = e.where("value > 60"), e.where(F.get_json_object("props", "$.k").cast("double") > 90)
     return op.schema_difference(own.select("user_id", "event_type"), store.select("user_id", "event_type"))
 
 

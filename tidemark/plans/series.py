@@ -59,16 +59,6 @@ def e5_energy(spark, sf):
     return op.trapezoid_energy(series(spark, sf), "key", "time", F.greatest(F.col("v") - 5, F.lit(0.0))).select("key", "time", F.round("kwh", 6).alias("kwh"))
 
 
-@query(f"""WITH {WIDE15}, p AS (SELECT time, CAST(time AS DATE) AS day, greatest(coalesce(click, 0) + coalesce(error, 0), 0) AS p, purchase + 0 AS a, signup AS b FROM wide15 WHERE click IS NOT NULL OR error IS NOT NULL),
-e AS (SELECT *, coalesce((p + lag(p) OVER w) / 2 * (epoch_us(time) - lag(epoch_us(time)) OVER w) / 3600000000 / 1000, 0) AS e FROM p WINDOW w AS (PARTITION BY day ORDER BY time))
-SELECT time, round(sum(e) OVER (PARTITION BY day ORDER BY time ROWS UNBOUNDED PRECEDING), 9) AS used_kwh, round(CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN greatest(coalesce(a, 0) + coalesce(b, 0), 0) END, 6) AS generated FROM e""")
-def e6_generated_and_used(spark, sf):
-    w = wide15(spark, sf).where("click IS NOT NULL OR error IS NOT NULL").withColumn("key", F.to_date("time"))
-    used = op.trapezoid_energy(w, "key", "time", F.greatest(F.coalesce("click", F.lit(0.0)) + F.coalesce("error", F.lit(0.0)), F.lit(0.0)))
-    total = F.when(F.col("purchase").isNotNull() | F.col("signup").isNotNull(), F.greatest(F.coalesce("purchase", F.lit(0.0)) + F.coalesce("signup", F.lit(0.0)), F.lit(0.0)))
-    return used.select("time", F.round("kwh", 9).alias("used_kwh"), F.round(total, 6).alias("generated"))
-
-
 @query(f"WITH {COUNTERS} SELECT key, time, round(greatest(0, (counter - lag(counter) OVER w) / ((epoch_us(time) - lag(epoch_us(time)) OVER w) / 1000000.0::DOUBLE)), 6) AS rate FROM counters WINDOW w AS (PARTITION BY key ORDER BY time)")
 def e7_rate(spark, sf):
     return op.rate(counters(spark, sf), "key", "time", "counter").select("key", "time", F.round("rate", 6).alias("rate"))
@@ -289,15 +279,6 @@ def e32_interpolate(spark, sf):
     return op.interpolate(grid, samples, "key", "time", "v").select("time", F.round("v", 6).alias("v"))
 
 
-@query(f"""WITH {OBSERVED}, z AS (SELECT max(time) AS z FROM observed), tail AS (SELECT unnest(generate_series(z + INTERVAL 1 hour, z + INTERVAL 24 hour, INTERVAL 1 hour)) AS time FROM z)
-SELECT tail.time, round(CASE WHEN o.obs IS NOT NULL THEN greatest(0, o.obs) END, 6) AS v FROM tail LEFT JOIN observed o ON o.time = tail.time - INTERVAL 24 hour""")
-def e33_diurnal_extension(spark, sf):
-    o = observed(spark, sf)
-    day = o.join(o.agg(F.max("time").alias("z")), F.lit(True)).where(F.col("time") > F.col("z") - F.make_dt_interval(F.lit(1))).select((F.col("time") + F.make_dt_interval(F.lit(1))).alias("time"), "obs")
-    tail = o.agg(F.max("time").alias("z")).select(F.explode(F.sequence(F.col("z") + F.make_dt_interval(hours=F.lit(1)), F.col("z") + F.make_dt_interval(hours=F.lit(24)), F.make_dt_interval(hours=F.lit(1)))).alias("time"))
-    return tail.join(day, "time", "left").select("time", F.round(F.when(F.col("obs").isNotNull(), F.greatest(F.lit(0.0), F.col("obs"))), 6).alias("v"))
-
-
 @query(f"""WITH {SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM series), b AS (SELECT *, least(8, ((i + 1) * 9 - 1) // n) AS b FROM r)
 SELECT key, time, v FROM b QUALIFY n <= 20 OR i = 0 OR i = n - 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v, i) = 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v DESC, i) = 1""")
 def e36_downsample(spark, sf):
@@ -349,15 +330,6 @@ def e24_ewma(spark, sf, base=0.1):
     return g.select("key", F.round(F.aggregate("s", zero, lambda a, y: F.struct((a["x"] + alpha(a["n"] + 1) * (y["v"] - a["x"])).alias("x"), (a["n"] + 1).alias("n")), lambda a: a["x"]), 6).alias("ewma"))
 
 
-@query(f"""WITH {SERIES}, t AS (SELECT *, epoch_us(time) / 60000000.0::DOUBLE AS m, max(epoch_us(time)) OVER (PARTITION BY key) / 60000000.0::DOUBLE AS z FROM series)
-SELECT key, round(least(100, greatest(0, regr_intercept(v, m - z) + 60 * regr_slope(v, m - z))), 6) AS projected FROM t WHERE m > z - 2880 GROUP BY 1 HAVING count(*) >= 2""")
-def e35_projection(spark, sf, minutes=2880, ahead=60):
-    s = series(spark, sf).withColumn("m", micros("time") / MINUTE)
-    t = s.withColumn("m", F.col("m") - F.max("m").over(Window.partitionBy("key"))).where(F.col("m") > -minutes)
-    g = t.groupBy("key").agg(F.regr_intercept("v", "m").alias("b"), F.regr_slope("v", "m").alias("k"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return g.select("key", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("b") + ahead * F.col("k"))), 6).alias("projected"))
-
-
 @query(f"WITH {SERIES}, f AS (SELECT *, min(CASE WHEN v > 30 THEN epoch_us(time) END) OVER (PARTITION BY key) AS first FROM series) SELECT key, time FROM f WHERE epoch_us(time) BETWEEN first AND first + 172800000000")
 def e44_trace_horizon(spark, sf):
     first = F.min(F.when(F.col("v") > 30, micros("time"))).over(Window.partitionBy("key"))

@@ -126,16 +126,6 @@ def a29_quantile_profile(spark, sf):
     return g.select("key", "samples", "episodes", *[R(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], grade.alias("maturity"))
 
 
-@query("""WITH b AS (SELECT user_id, median(value) AS base FROM events WHERE event_type = 'view' GROUP BY 1), i AS (SELECT event_type, greatest(0, value - coalesce(base, 10)) AS inc FROM events LEFT JOIN b USING (user_id) WHERE event_type IN ('click', 'signup'))
-SELECT event_type, round(quantile_cont(inc, 0.1), 6) AS p10, round(quantile_cont(inc, 0.5), 6) AS p50, round(quantile_cont(inc, 0.9), 6) AS p90, count(*) AS n FROM i GROUP BY 1""")
-def a30_charge_increment(spark, sf, fallback=10.0):
-    e = events(spark, sf)
-    base = e.where("event_type = 'view'").groupBy("user_id").agg(F.median("value").alias("base"))
-    inc = e.where("event_type IN ('click', 'signup')").join(base, "user_id", "left").withColumn("inc", F.greatest(F.lit(0.0), F.col("value") - F.coalesce("base", F.lit(fallback))))
-    q = F.percentile("inc", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return inc.groupBy("event_type").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select("event_type", *[R(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "n")
-
-
 _SPLIT = """v AS (SELECT user_id AS key, value AS v FROM events), g AS (SELECT key, v, lead(v) OVER (PARTITION BY key ORDER BY v) - v AS gap FROM v),
 cut AS (SELECT key, arg_max(v + gap / 2, (gap, -v)) AS cut, max(gap) AS gap FROM g GROUP BY 1)"""
 
@@ -152,18 +142,6 @@ def e16_largest_gap(spark, sf):
     return c.where("gap IS NOT NULL").select("key", R("cut").alias("cut"), R("gap").alias("gap"))
 
 
-@query(f"""WITH {_SPLIT}, s AS (SELECT v.key, v.v > cut AS high, median(v.v) AS med, count(*) AS n FROM v JOIN cut ON v.key = cut.key GROUP BY 1, 2),
-w AS (SELECT key, max(med) FILTER (high) AS hi, max(med) FILTER (NOT high) AS lo, coalesce(max(n) FILTER (high), 0) AS nh, coalesce(max(n) FILTER (NOT high), 0) AS nl FROM s WHERE high IS NOT NULL GROUP BY 1)
-SELECT key, CASE WHEN hi - lo >= 20 AND nh >= 3 AND nl >= 3 THEN 2 ELSE 1 END AS regimes, round(nh * 1.0::DOUBLE / (nh + nl), 6) AS weight_high FROM w""")
-def a31_regime_split(spark, sf):
-    """One or two regimes by the largest gap, two if medians differ enough and neither is sparse."""
-    v, c = _cuts(spark, sf)
-    s = v.join(c.where("cut IS NOT NULL"), "key").withColumn("high", F.col("v") > F.col("cut"))
-    w = s.groupBy("key").agg(F.median(F.when(F.col("high"), F.col("v"))).alias("hi"), F.median(F.when(~F.col("high"), F.col("v"))).alias("lo"), F.count_if("high").alias("nh"), F.count_if(~F.col("high")).alias("nl"))
-    two = (F.col("hi") - F.col("lo") >= 20) & (F.col("nh") >= 3) & (F.col("nl") >= 3)
-    return w.select("key", F.when(two, 2).otherwise(1).alias("regimes"), R(F.col("nh") * 1.0 / (F.col("nh") + F.col("nl"))).alias("weight_high"))
-
-
 @query("""WITH p AS (SELECT user_id, event_type, avg(value) AS mu, var_pop(value) AS s2, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS w FROM p),
 m AS (SELECT user_id, sum(w * mu) AS mean FROM w GROUP BY 1) SELECT w.user_id, round(mean, 8) AS mean, round(sum(w.w * (s2 + (mu - mean) * (mu - mean))), 6) AS variance FROM w JOIN m ON w.user_id = m.user_id GROUP BY 1, mean""")
 def a32_mixture_moments(spark, sf):
@@ -173,22 +151,6 @@ def a32_mixture_moments(spark, sf):
     return g.select("user_id", R("mean", 8).alias("mean"), R(F.col("second") - F.col("mean") * F.col("mean")).alias("variance"))
 
 
-@query(f"""WITH {WIDE15}, h AS (SELECT time_bucket(INTERVAL 30 minute, time) AS t, median(click) AS soc, median(view - error) AS p, median(purchase) AS load FROM wide15 GROUP BY 1), q AS (SELECT * FROM h WHERE soc IS NOT NULL AND p IS NOT NULL),
-d AS (SELECT *, soc - lag(soc) OVER w AS ds, (epoch_us(t) - lag(epoch_us(t)) OVER w) / 3600000000.0::DOUBLE AS hours, lag(soc) OVER w AS s0, (p + lag(p) OVER w) / 2 AS mp FROM q WINDOW w AS (ORDER BY t)),
-u AS (SELECT *, 100 * abs(mp) * hours / (1000 * abs(ds)) AS cap FROM d WHERE soc BETWEEN 5 AND 95 AND s0 BETWEEN 5 AND 95 AND hours BETWEEN 0.25 AND 1.5 AND abs(ds) >= 0.2 AND sign(ds) = CASE WHEN mp > 1 THEN 1 WHEN mp < -1 THEN -1 ELSE 0 END)
-SELECT count(*) AS n, round(CASE WHEN count(*) >= 6 THEN median(cap) ELSE 25 END, 6) AS capacity, round(quantile_cont(abs(mp), 0.995), 6) AS limit_w FROM u""")
-def a33_battery_calibration(spark, sf):
-    """Half-hour medians, usable steps, median capacity with a least number, power limit at 99.5 %. One station's state is one series."""
-    w15 = wide15(spark, sf).groupBy(bucket("time", 30).alias("t")).agg(F.median("click").alias("soc"), F.median(F.col("view") - F.col("error")).alias("p")).where("soc IS NOT NULL AND p IS NOT NULL")
-    w = Window.orderBy("t")
-    d = w15.withColumns({"s0": F.lag("soc").over(w), "ds": F.col("soc") - F.lag("soc").over(w), "hours": (micros("t") - F.lag(micros("t")).over(w)) / HOUR, "mp": (F.col("p") + F.lag("p").over(w)) / 2})
-    sign = F.when(F.col("mp") > 1, 1).when(F.col("mp") < -1, -1).otherwise(0)
-    u = d.where(F.col("soc").between(5, 95) & F.col("s0").between(5, 95) & F.col("hours").between(0.25, 1.5) & (F.abs("ds") >= 0.2) & (F.signum("ds") == sign))
-    cap = 100 * F.abs("mp") * F.col("hours") / (1000 * F.abs("ds"))
-    n = F.count(F.lit(1))
-    return u.agg(n.alias("n"), R(F.when(n >= 6, F.median(cap)).otherwise(25.0)).alias("capacity"), R(F.percentile(F.abs("mp"), F.lit(0.995))).alias("limit_w"))
-
-
 @query(f"WITH {WIDE15} SELECT CAST(time AS DATE) AS day, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN median(view) END, 6) AS baseline FROM wide15 WHERE click <= 30 AND (error IS NULL OR error < 40) AND view IS NOT NULL GROUP BY 1")
 def a36_clean_baseline(spark, sf):
     w = wide15(spark, sf).where("click <= 30 AND (error IS NULL OR error < 40) AND view IS NOT NULL")
@@ -283,15 +245,6 @@ def a48_nearest_level(spark, sf):
     return u.withColumn("near", near).select("user_id", F.when(F.col("near.d") <= F.greatest(F.lit(2.0), 0.2 * F.col("near.level")), F.col("near.label")).when(F.col("v") > 50, "high").otherwise("unknown").alias("label"))
 
 
-@query("""WITH m AS (SELECT user_id % 5 AS scenario, date_trunc('hour', ts) AS time, event_type AS phase, count(*) AS n FROM events GROUP BY 1, 2, 3), j AS (SELECT scenario, time, arg_max(phase, (n, phase)) AS phase FROM m GROUP BY 1, 2),
-c AS (SELECT *, CASE WHEN phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY scenario ORDER BY time) THEN 1 ELSE 0 END AS ch FROM j)
-SELECT scenario, time, phase, CAST(sum(ch) OVER (PARTITION BY scenario ORDER BY time ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM c""")
-def a49_majority_phase(spark, sf):
-    m = events(spark, sf).groupBy((F.col("user_id") % 5).alias("scenario"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("n"))
-    j = m.groupBy("scenario", "time").agg(F.max_by("phase", F.struct("n", "phase")).alias("phase"))
-    return so.islands(j, "scenario", "time", "phase").select("scenario", "time", "phase", F.col("run").alias("epoch"))
-
-
 @query("SELECT min(z) AS common_end FROM (SELECT event_type, max(ts) AS z FROM events GROUP BY 1)")
 def a50_common_end(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(F.max("ts").alias("z")).agg(F.min("z").alias("common_end"))
@@ -313,47 +266,9 @@ def e12_run_starts(spark, sf):
     return so.islands(e, "key", "time", "event_type", 24 * HOUR).groupBy("key", "run").agg(F.min("time").alias("time")).select("key", "time")
 
 
-@query("""WITH i AS (SELECT user_id AS key, ts, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM events),
-r AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i), s AS (SELECT key, run, min(ts) AS start, any_value(event_type) AS label, count(*) AS n FROM r GROUP BY 1, 2)
-SELECT key, start, coalesce(lead(start) OVER (PARTITION BY key ORDER BY start), start + INTERVAL 1 hour) AS stop, label, n FROM s""")
-def e14_mode_intervals(spark, sf):
-    e = events(spark, sf).select(F.col("user_id").alias("key"), F.col("ts").alias("time"), F.col("event_type").alias("label"))
-    s = so.islands(e, "key", "time", "label").groupBy("key", "run", "label").agg(F.min("time").alias("start"), F.count(F.lit(1)).alias("n"))
-    return s.select("key", "start", F.coalesce(F.lead("start").over(Window.partitionBy("key").orderBy("start")), F.col("start") + F.make_dt_interval(hours=F.lit(1))).alias("stop"), "label", "n")
-
-
 _LIST_MEDIAN = lambda c: (F.get(F.array_sort(c), F.floor((F.size(c) - 1) / 2).cast("int")) + F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int"))) / 2
 
 
-@query("""WITH s AS (SELECT user_id AS key, ts, median(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM events),
-m AS (SELECT *, median(v) OVER a AS before, count(v) OVER a AS nb, median(v) OVER z AS after, count(v) OVER z AS na FROM s WINDOW a AS (PARTITION BY key ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), z AS (PARTITION BY key ORDER BY ts ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
-c AS (SELECT *, abs(after - before) AS ch FROM m WHERE nb = 4 AND na = 4 AND abs(after - before) >= greatest(5, 0.08 * least(before, after)))
-SELECT key, ts AS boundary, round(ch, 6) AS change FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY ch DESC, ts) = 1""")
-def e15_startup_boundary(spark, sf):
-    """The strongest material change between the medians of four smoothed samples before and after."""
-    w = so.ordered("key", "ts")
-    med = lambda c, a, z: _LIST_MEDIAN(F.collect_list(c).over(w.rowsBetween(a, z)))
-    s = events(spark, sf).select(F.col("user_id").alias("key"), "ts", "value").withColumn("v", med("value", -1, 1))
-    m = s.withColumns({"b": F.collect_list("v").over(w.rowsBetween(-4, -1)), "a": F.collect_list("v").over(w.rowsBetween(0, 3))}).where("size(a) = 4 AND size(b) = 4")
-    m = m.withColumns({"before": _LIST_MEDIAN(F.col("b")), "after": _LIST_MEDIAN(F.col("a"))})
-    c = m.withColumn("ch", F.abs(F.col("after") - F.col("before"))).where(F.col("ch") >= F.greatest(F.lit(5.0), 0.08 * F.least("before", "after")))
-    g = c.groupBy("key").agg(F.max_by(F.struct("ts", "ch"), F.struct("ch", -micros("ts"))).alias("g"))
-    return g.select("key", F.col("g.ts").alias("boundary"), R("g.ch").alias("change"))
-
-
-@query("""WITH q AS (SELECT user_id AS key, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.9) AS z FROM (SELECT DISTINCT user_id, value FROM events WHERE value > 0) GROUP BY 1),
-d AS (SELECT DISTINCT user_id AS key, value AS v FROM events WHERE value > 0), k AS (SELECT d.key, v, a, z FROM d JOIN q ON d.key = q.key WHERE v BETWEEN a AND z), g AS (SELECT key, v, lead(v) OVER (PARTITION BY key ORDER BY v) AS n FROM k)
-SELECT key, round(exp((ln(1 + arg_max(v, (ln(1 + n) - ln(1 + v), -v))) + ln(1 + arg_max(n, (ln(1 + n) - ln(1 + v), -v)))) / 2) - 1, 5) AS threshold FROM g WHERE n IS NOT NULL GROUP BY 1""")
-def e17_log_gap_threshold(spark, sf):
-    d = events(spark, sf).where("value > 0").select(F.col("user_id").alias("key"), F.col("value").alias("v")).distinct()
-    q = d.groupBy("key").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    k = d.join(q, "key").where(F.col("v").between(F.col("q")[0], F.col("q")[1]))
-    g = k.withColumn("n", F.lead("v").over(Window.partitionBy("key").orderBy("v"))).where("n IS NOT NULL")
-    # the widths are compared as the logarithms of 1 + x, as the SQL does
-    t = g.groupBy("key").agg(F.max_by(F.struct("v", "n"), F.struct(F.log(1 + F.col("n")) - F.log(1 + F.col("v")), -F.col("v"))).alias("g"))
-    return t.select("key", F.round(F.exp((F.log(1 + F.col("g.v")) + F.log(1 + F.col("g.n"))) / 2) - 1, 5).alias("threshold"))
-
-
 @query("""WITH l AS (SELECT user_id AS key, ts, CASE WHEN value < 10 THEN 'low' WHEN value < 30 THEN 'mid' ELSE 'high' END AS label FROM events),
 i AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY key ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM l), r AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i),
 n AS (SELECT *, count(*) OVER (PARTITION BY key, run) AS n FROM r)
@@ -375,15 +290,6 @@ def e20_current_run(spark, sf):
     return c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), R(F.coalesce(recent, F.median("value"), F.lit(0.0))).alias("level"))
 
 
-@query("""WITH s AS (SELECT event_type AS mode, ts, value, epoch_us(ts) // 3600000000 AS h FROM events), k AS (SELECT mode, h, arg_max(value, ts) AS v FROM s GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY h DESC) AS rn FROM k)
-SELECT mode, count(*) AS n, round(median(v), 6) AS level FROM t WHERE rn <= 168 GROUP BY 1""")
-def e21_spaced_registry(spark, sf, keep=168):
-    """One observation an hour, the last replacing earlier ones; the newest `keep` make the level."""
-    s = events(spark, sf).groupBy(F.col("event_type").alias("mode"), F.expr(f"unix_micros(cast(ts as timestamp)) div {HOUR}").alias("h")).agg(F.max_by("value", "ts").alias("v"))
-    t = s.withColumn("rn", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("h")))).where(F.col("rn") <= keep)
-    return t.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), R(F.median("v")).alias("level"))
-
-
 @query("""WITH s AS (SELECT event_type AS mode, value AS v, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events), c AS (SELECT event_type AS mode, median(value) AS clean FROM events WHERE value < 60 GROUP BY 1),
 k AS (SELECT s.mode, v, ts FROM s JOIN c ON s.mode = c.mode WHERE abs(v - clean) <= greatest(10, 0.35 * clean) UNION ALL SELECT mode, clean, (SELECT max(ts) FROM events) + INTERVAL 1 hour FROM c),
 t AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY ts DESC, v) AS r FROM k) SELECT mode, count(*) AS n, round(median(v), 6) AS level FROM t WHERE r <= 168 GROUP BY 1""")

@@ -205,16 +205,6 @@ def e27_fixed_lead_hindcast(spark, sf, targets=(3, 24, 48), within=14):
     return g.select("valid_hour", "target", R("forecast").alias("forecast"))
 
 
-@query("""WITH s AS (SELECT user_id AS key, ts, value AS v FROM events), d AS (SELECT *, min(v) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS low FROM s), f AS (SELECT key, min(ts) FILTER (v < 5) AS dip, min(v) AS m FROM d GROUP BY 1),
-r AS (SELECT d.key, min(ts) AS rec FROM d JOIN f ON d.key = f.key WHERE ts > dip AND v >= 20 GROUP BY 1) SELECT f.key, dip, rec AS recovery, CASE WHEN dip IS NULL THEN 'continue' WHEN rec IS NULL THEN 'stop' ELSE 'resume' END AS decision FROM f LEFT JOIN r ON f.key = r.key""")
-def e39_continuation_rule(spark, sf, low=5.0, high=20.0):
-    """The first recovery after the first dip."""
-    s = events(spark, sf).select(F.col("user_id").alias("key"), "ts", F.col("value").alias("v"))
-    s = s.withColumn("dip", F.min(F.when(F.col("v") < low, F.col("ts"))).over(Window.partitionBy("key")))
-    g = s.groupBy("key").agg(F.max("dip").alias("dip"), F.min(F.when((F.col("ts") > F.col("dip")) & (F.col("v") >= high), F.col("ts"))).alias("recovery"))
-    return g.withColumn("decision", F.when(F.col("dip").isNull(), "continue").when(F.col("recovery").isNull(), "stop").otherwise("resume"))
-
-
 @query(f"""WITH {MEMBERS}, r AS (SELECT issue_time, site, lead, member, value, forecast, median(CASE WHEN lead <= 12 AND forecast >= 1 THEN value / forecast END) OVER (PARTITION BY issue_time, site, member) AS med FROM members)
 SELECT issue_time, site, lead, CAST(member AS INT) AS member, round(CASE WHEN lead <= 12 THEN value ELSE forecast * (1 + (CASE WHEN med IS NULL THEN 1 ELSE least(1.8, greatest(0.2, med)) END - 1) * (1 + (lead - 12) / 96.0::DOUBLE)) END, 9) AS value FROM r""")
 def e47_tail_extension(spark, sf):
