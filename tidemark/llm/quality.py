@@ -14,27 +14,45 @@ from .common import SPACE, WORD, attach, least_hashes, materialise
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "distinct", "repeated_lines", "line_words", "ended_lines", "long_words")
 
 
-def features(text: Column) -> list[Column]:
-    """Shape of a whole text, all 0 without words: lengths, shares of kinds of characters, repetition of words and lines."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
+def features(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and the shape of each whole `text`, all 0 without words: lengths, shares of kinds of characters, repetition of words and lines.
+
+    Everything is counted by built-in functions, each once: the counts are a projection of their own.
+    """
+    text = F.coalesce("text", F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    words, chars = count(WORD), F.char_length(text)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n, m = F.greatest(F.lit(1.0), words), F.greatest(F.lit(1), F.size(lines)).cast("double")
+    counted = rows.select(*keep, text.alias("text"), F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "").alias("_lines")).select(
+        *keep,
+        count(WORD).alias("_words"),
+        F.char_length("text").alias("_chars"),
+        F.char_length(F.regexp_replace("text", f"{SPACE}+", "")).alias("_ink"),
+        count(r"[^\p{L}\x20\x09-\x0D]").alias("_others"),  # far fewer than letters
+        count(r"\p{Lu}").alias("_upper"),
+        count(r"\p{Nd}").alias("_digits"),
+        count(r"[^\p{L}\p{N}\s.,'\"\-;:()]").alias("_symbols"),
+        count(r"[!|?*#=<>{}](?=[\x20\x09-\x0D]|\z)").alias("_marks"),
+        F.size(F.array_distinct(F.split("text", f"{SPACE}+"))).alias("_distinct"),
+        F.size("_lines").alias("_n_lines"),
+        F.size(F.array_distinct("_lines")).alias("_new_lines"),
+        count(r"[.!?][\x20\x09\x0B-\x0D]*(?=\n|\z)").alias("_ends"),
+        count(r"[^\x20\x09-\x0D]{21,}").alias("_long"),
+    )
+    c = F.col
+    n, m, chars = F.greatest(F.lit(1.0), c("_words")), F.greatest(F.lit(1), c("_n_lines")).cast("double"), F.greatest(F.lit(1), c("_chars"))
     shapes = {
-        "log_words": F.log1p(words),
-        "word_length": F.char_length(F.regexp_replace(text, f"{SPACE}+", "")) / n,
-        "upper": count(r"\p{Lu}") / F.greatest(F.lit(1.0), count(r"\p{L}")),
-        "digit": count(r"\p{Nd}") / chars,
-        "symbol": count(r"[^\p{L}\p{N}\s.,'\"\-;:()]") / chars,
-        "mark": count(r"[!|?*#=<>{}](?=[\x20\x09-\x0D]|\z)") / n,
-        "distinct": F.size(F.array_distinct(F.split(text, f"{SPACE}+"))) / F.pow(n, 0.8),
-        "repeated_lines": 1 - F.size(F.array_distinct(lines)) / m,
+        "log_words": F.log1p("_words"),
+        "word_length": c("_ink") / n,
+        "upper": c("_upper") / F.greatest(F.lit(1.0), c("_ink") - c("_others")),
+        "digit": c("_digits") / chars,
+        "symbol": c("_symbols") / chars,
+        "mark": c("_marks") / n,
+        "distinct": c("_distinct") / F.pow(n, 0.8),
+        "repeated_lines": 1 - c("_new_lines") / m,
         "line_words": F.log1p(n / m),
-        "ended_lines": count(r"[.!?][\x20\x09\x0B-\x0D]*(?=\n|\z)") / m,
-        "long_words": count(r"[^\x20\x09-\x0D]{21,}") / n,
+        "ended_lines": c("_ends") / m,
+        "long_words": c("_long") / n,
     }
-    return [F.when(words > 0, shapes[name]).otherwise(0.0).alias(name) for name in FEATURES]
+    return counted.select(*keep, *[F.when(c("_words") > 0, shapes[name]).otherwise(0.0).alias(name) for name in FEATURES])
 
 
 def _rows(docs: DataFrame, host: str | Column, path: str | Column) -> DataFrame:
@@ -52,7 +70,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str | Column, path: str |
     told = materialise(told.groupBy("doc_id").agg(F.min("label").alias("label")), "told")
     chosen = F.broadcast(least_hashes(told, most, seed))  # pairs of numbers
     rows = _rows(docs, host, path)
-    sample = materialise(rows.join(chosen, "doc_id").select("label", *features(F.col("text"))), "quality")
+    sample = materialise(features(rows.join(chosen, "doc_id"), ["label"]), "quality")
     least, most_, share = sample.agg(F.min("label"), F.max("label"), F.avg("label")).first()
     if least is None or least == most_:
         return rows.select("doc_id", "host", "path", F.lit(0.5 if share is None else share).alias("p"))
@@ -61,7 +79,7 @@ def evidence(docs: DataFrame, labels: DataFrame, host: str | Column, path: str |
     z = F.lit(float(fit.intercept))
     for name, w in zip(FEATURES, fit.coefficients.toArray().tolist()):
         z = z + F.lit(w) * F.col(name)
-    return rows.select("doc_id", "host", "path", *features(F.col("text"))).select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
+    return features(rows, ["doc_id", "host", "path"]).select("doc_id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("p"))
 
 
 def _strength(groups: DataFrame, centre: Column) -> float:
