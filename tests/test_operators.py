@@ -193,9 +193,35 @@ def test_schema_policies(spark):
 def test_alert_stream_holds_repeats_and_recovers(spark, tmp_path):
     rows = [(1, at(m), on) for m, on in ((0, True), (30, True), (70, True), (200, True), (70 + 721, True), (800, False), (900, True), (910, False))] + [(2, at(0), True), (2, at(10), False)]
     spark.createDataFrame(rows, "id long, ts timestamp, on boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = streams.run_to_table(streams.alert_states(streams.source(spark, str(tmp_path / "in"), "id long, ts timestamp, on boolean")), "alerts")
-    got = [(r.id, r.kind, r.ts) for r in out.orderBy("ts").collect()]
-    assert got == [(1, "alert", at(70)), (1, "alert", at(791)), (1, "recovery", at(800))]
+    told = lambda path, folder: [(r.id, r.kind, r.ts) for r in streams.alert_states(streams.source(spark, str(tmp_path / path), "id long, ts timestamp, on boolean"), str(tmp_path / folder)).orderBy("ts").collect()]
+    want = [(1, "alert", at(60)), (1, "alert", at(780)), (1, "recovery", at(800))]
+    assert told("in", "one") == want
+    # in two runs: the second goes on from the first's state; what is due by the newest event needs no further row of its id
+    write = lambda some: spark.createDataFrame(some, "id long, ts timestamp, on boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "parts"))
+    write([r for r in rows if r[1] < at(40)] + [(3, at(59), False)])
+    assert told("parts", "two") == []
+    write([(3, at(75), False)])
+    assert told("parts", "two") == want[:1] and told("parts", "two") == want[:1]
+    write([r for r in rows if r[1] > at(40)] + [(1, at(5), False), (None, at(900), True)])  # one row is late, one has no id
+    assert told("parts", "two") == want
+
+
+def test_asof_and_interpolation_across_blocks(spark):
+    import bisect
+
+    r = random.Random(1)
+    samples = sorted(r.sample(range(0, 60 * 24 * 12), 40))
+    probes = sorted(r.sample(range(-5000, 60 * 24 * 14), 300))
+    left = spark.createDataFrame([("k", at(m)) for m in probes], "key string, time timestamp").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    right = spark.createDataFrame([("k", at(m), float(m)) for m in samples] + [("k", at(1), None), ("other", at(3), 1.0)], "key string, time timestamp, v double").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    near = {x.time: x.v_match for x in series.asof(left, right, "key", "time", "v").collect()}
+    back = {x.time: x.v_match for x in series.asof(left, right, "key", "time", "v", how="backward").collect()}
+    line = {x.time: x.v for x in series.interpolate(left, right, "key", "time", "v").collect()}
+    for m, (t, v) in zip(probes, sorted(near.items())):
+        k = bisect.bisect_right(samples, m)
+        assert v == min(samples, key=lambda s: (abs(s - m), -s))
+        assert back[t] == (samples[k - 1] if k else None)
+        assert line[t] == pytest.approx(min(max(m, samples[0]), samples[-1]))
 
 
 def test_stream_equals_batch_after_a_second_run(spark, tmp_path):

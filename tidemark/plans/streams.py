@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -42,10 +40,16 @@ def t4_schema_repair(spark, sf):
     return shuffled.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "ts", "value")
 
 
-@query()
+_NOTICES = """ev AS (SELECT user_id AS id, epoch_us(ts) AS t, value > 25 AS on_ FROM events), nw AS (SELECT max(t) AS now FROM ev), ch AS (SELECT *, CASE WHEN on_ IS DISTINCT FROM lag(on_) OVER (PARTITION BY id ORDER BY t) THEN 1 ELSE 0 END AS c FROM ev),
+rn AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM ch), g AS (SELECT id, run, bool_or(on_) AS on_, min(t) AS first FROM rn GROUP BY 1, 2), en AS (SELECT *, lead(first) OVER (PARTITION BY id ORDER BY run) AS stop FROM g),
+un AS (SELECT *, coalesce(stop - 1, now) AS until FROM en, nw WHERE on_), nn AS (SELECT *, CASE WHEN until >= first + 3600000000 THEN (until - first - 3600000000) // 43200000000 + 1 ELSE 0 END AS n FROM un),
+notices AS (SELECT id, make_timestamp(CAST(first + 3600000000 + k * 43200000000 AS BIGINT)) AS ts, 'alert' AS kind, k AS nth FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM nn) UNION ALL SELECT id, make_timestamp(CAST(stop AS BIGINT)), 'recovery', CAST(n AS BIGINT) FROM nn WHERE stop IS NOT NULL AND n > 0)"""
+
+
+@query(f"WITH {_NOTICES} SELECT id, ts, kind, nth FROM notices")
 def t5_alert_states(spark, sf):
     a = _stream(spark, sf).select(F.col("user_id").alias("id"), "ts", (F.col("value") > 25).alias("on"))
-    return st.run_to_table(st.alert_states(a), "alerts").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return st.alert_states(a).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"WITH {WIDE15}, l AS (SELECT time, 'click' AS rule, click AS v, 40.0 AS lim FROM wide15 UNION ALL SELECT time, 'error', error, 60.0 FROM wide15) SELECT time, rule, round(v, 6) AS v FROM l WHERE v >= lim")
@@ -72,9 +76,7 @@ def t9_skip_unchanged(spark, sf):
 def t10_windowed_counters(spark, sf):
     """Daily counters in complete mode, so that the open day is there too."""
     out = st.window_counts(_stream(spark, sf), "ts", ["event_type"], "1 day")
-    name = f"counters_{uuid.uuid4().hex}"
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return st.run_to_snapshot(out, "counters").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("WITH l AS (SELECT user_id AS id, arg_max(event_id, event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY 1) SELECT id, seq, value FROM l ORDER BY seq DESC LIMIT 4096")

@@ -1,14 +1,18 @@
-"""Incremental jobs as streams: every one runs with `availableNow` and a checkpoint in the shared folder, and may be repeated."""
+"""Incremental jobs as streams, run with `availableNow`: each may be repeated and goes on where its checkpoint is.
+
+A job's output and checkpoint lie below the folder that it is given (`at`); without one they lie in a new folder of the
+shared scratch space, which suits a query that runs once over a whole table.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.times import micros
+from ..operators.series import islands
 from ..sources.scratch import folder
 
 
@@ -19,12 +23,20 @@ def source(spark: SparkSession, path: str, schema: str, files_per_batch: int | N
     return r.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Write what a stream has now to Parquet in the shared folder and return the table."""
+def run_to_table(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Append what a stream has now to a Parquet table and return the table."""
+    spark = stream.sparkSession
+    at = at or folder(spark, name)
+    stream.writeStream.format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/table")
+
+
+def run_to_snapshot(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Write the whole result of an aggregation to a Parquet table at each batch and return the newest."""
     spark = stream.sparkSession
-    out = folder(spark, name)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    at = at or folder(spark, name)
+    stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/table")).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/table")
 
 
 def frontier_append(stream: DataFrame, time: str, keys: list[str], lateness: str = "2 days") -> DataFrame:
@@ -66,31 +78,50 @@ def upsert_log(rows: DataFrame, key: str, seq: str, keep: int) -> DataFrame:
     return last.orderBy(F.desc(seq)).limit(keep)
 
 
-ALERT_SCHEMA = "id long, ts timestamp, kind string"
-_STATE = "first long, sent long, on boolean"
+ALERTS = "id long, ts timestamp, kind string, nth long"
+OPEN = "id long, `on` boolean, first long, sent long, last long, now long"
 
 
-def alert_states(stream: DataFrame, hold_s: int = 3600, repeat_s: int = 43200) -> DataFrame:
-    """id, ts, on -> notices: `alert` after the condition has held, again at each repeat, `recovery` if one was sent.
+def alert_step(state: DataFrame, rows: DataFrame, hold_us: int, repeat_us: int) -> tuple[DataFrame, DataFrame]:
+    """Notices and the new state of one batch: `rows` (id, ts, on) after `state` (see OPEN).
 
-    State per id is three numbers; rows of an id are taken in order of time inside a micro-batch.
+    A run of a condition gives `alert` once it has held, again after each repeat, and `recovery` at its end if it gave
+    one. Notices have the time at which they fall due, so that a condition which holds needs no further row: whatever is
+    due by the newest event of all ids (`now`) is sent. Rows that aren't later than the last of their id are late and left
+    out. All is windows over the ids' rows, which spill, so an id may have any number of rows.
     """
+    told = rows.select("id", micros("ts").alias("t"), F.coalesce("on", F.lit(False)).alias("on")).where("id IS NOT NULL AND t IS NOT NULL")
+    new = told.join(state.select("id", "last"), "id", "left").where("last IS NULL OR t > last").groupBy("id", "t").agg(F.bool_or("on").alias("on"))
+    now = told.agg(F.max("t").alias("a")).crossJoin(state.agg(F.max("now").alias("b"))).select(F.greatest("a", "b").alias("now"))
+    none = F.lit(None).cast("long")
+    both = state.select("id", F.col("last").alias("t"), "on", "first", "sent").union(new.select("id", "t", "on", none, none))
+    runs = islands(both.withColumn("time", F.timestamp_micros("t")), "id", "time", "on").groupBy("id", "run", "on").agg(F.coalesce(F.min("first"), F.min("t")).alias("first"), F.coalesce(F.max("sent"), F.lit(0)).alias("sent"), F.max("t").alias("last"))
+    ended = runs.withColumn("end", F.lead("first").over(Window.partitionBy("id").orderBy("run"))).crossJoin(F.broadcast(now))
+    # an end is itself no time of the condition
+    until = F.coalesce(F.col("end") - 1, F.col("now"))
+    n = F.when(F.col("on") & (until >= F.col("first") + hold_us), F.floor((until - F.col("first") - hold_us) / repeat_us) + 1).otherwise(0)
+    due = ended.withColumn("n", F.greatest(n, F.col("sent")))
+    alerts = due.where("on AND n > sent").select("id", "first", F.explode(F.sequence("sent", F.col("n") - 1)).alias("nth")).select("id", F.timestamp_micros(F.col("first") + hold_us + F.col("nth") * repeat_us).alias("ts"), F.lit("alert").alias("kind"), "nth")
+    over = due.where("on AND end IS NOT NULL AND n > 0").select("id", F.timestamp_micros("end").alias("ts"), F.lit("recovery").alias("kind"), F.col("n").cast("long").alias("nth"))
+    left = due.where("end IS NULL").select("id", "on", "first", F.col("n").cast("long").alias("sent"), "last", "now")
+    return alerts.union(over), left
+
+
+def alert_states(stream: DataFrame, at: str | None = None, hold_s: int = 3600, repeat_s: int = 43200) -> DataFrame:
+    """The notices of a stream of id, ts, on (see alert_step), as a table of id, ts, kind, nth.
+
+    Each batch reads the state that the one before wrote, a row an id, and writes notices and state under its own number,
+    so that a repeated batch does no harm.
+    """
+    spark = stream.sparkSession
+    at = at or folder(spark, "alerts")
+
+    def step(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        state = session.read.schema(OPEN).parquet(f"{at}/state/batch={batch - 1}") if batch else session.createDataFrame([], OPEN)
+        notices, left = alert_step(state, rows, hold_s * 1_000_000, repeat_s * 1_000_000)
+        left.write.mode("overwrite").parquet(f"{at}/state/batch={batch}")
+        notices.write.mode("overwrite").parquet(f"{at}/notices/batch={batch}")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, sent, on = state.get if state.exists else (0, 0, False)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, now_on in zip(rows["ts"], rows["on"]):
-            t = int(ts.value // 1000)
-            if now_on and not on:
-                first, sent = t, 0
-            if now_on and t - first >= hold_s * 1_000_000 and (not sent or t - sent >= repeat_s * 1_000_000):
-                sent = t
-                out.append((key[0], ts, "alert"))
-            if not now_on and on and sent:
-                out.append((key[0], ts, "recovery"))
-            on = bool(now_on)
-        state.update((first, sent, on))
-        yield pd.DataFrame(out, columns=["id", "ts", "kind"])
-
-    return stream.groupBy("id").applyInPandasWithState(step, ALERT_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{ALERTS}, batch int").parquet(f"{at}/notices").drop("batch")
