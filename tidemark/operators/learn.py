@@ -217,17 +217,17 @@ def on_summary(rows: DataFrame, scenario: str, time: str, on: str) -> DataFrame:
     return s.groupBy(scenario).agg(F.count_if(start).alias("starts"), F.min(F.when(start, F.col(time))).alias("first_start"), F.max(F.when(stop, F.col(time))).alias("last_stop"), F.count_if(F.col(on) & (F.col("_i") > 1)).alias("on_steps"))
 
 
-def diurnal_extension(df: DataFrame, key: str, time: str, value: str, horizon: DataFrame, fallback_us: int = 3 * HOUR) -> DataFrame:
+def diurnal_extension(df: DataFrame, key: str, time: str, value: str, horizon: DataFrame, fallback_us: int = 3 * HOUR, step_us: int | None = None) -> DataFrame:
     """key, time, value of the steps after a series' end up to its `horizon` (key, horizon): a day before's value, not below 0.
 
-    The steps are the median step of the series, and the horizon itself. A value is interpolated 24 hours earlier, or as
+    The steps are the median step of the series (or as told), and the horizon itself. A value is interpolated 24 hours earlier, or as
     many days as it takes to reach the series; where that is before its first sample, it is the last one.
     """
     day = 24 * HOUR
     w = Window.partitionBy(key).orderBy(time)
     steps = df.select(key, (micros(time) - F.lag(micros(time)).over(w)).alias("_d")).groupBy(key).agg(F.floor(F.median("_d")).alias("_step"))
     ends = df.groupBy(key).agg(F.min(micros(time)).alias("_a"), F.max(micros(time)).alias("_z"), F.max_by(value, time).alias("_last"))
-    base = ends.join(steps, key, "left").join(horizon.select(key, micros("horizon").alias("_h")), key).where("_h > _z").withColumn("_step", F.when(F.col("_step") > 0, F.col("_step")).otherwise(fallback_us))
+    base = ends.join(steps, key, "left").join(horizon.select(key, micros("horizon").alias("_h")), key).where("_h > _z").withColumn("_step", F.lit(step_us) if step_us else F.when(F.col("_step") > 0, F.col("_step")).otherwise(fallback_us))
     regular = F.when(F.col("_z") + F.col("_step") <= F.col("_h"), F.sequence(F.col("_z") + F.col("_step"), F.col("_h"), F.col("_step"))).otherwise(F.array().cast("array<bigint>"))
     grid = base.withColumn("_at", F.explode(F.array_union(regular, F.array("_h"))))
     back = F.col("_at") - day * F.ceil((F.col("_at") - F.col("_z")) / day)

@@ -34,7 +34,7 @@ def trapezoid_energy(df: DataFrame, key: str, time: str, power: Column) -> DataF
     return d.withColumn("_e", part).withColumn("kwh", F.sum("_e").over(running([key, "day"], time))).drop("_p", "_e")
 
 
-def rate(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def rate(df: DataFrame, key: str | Sequence[str], time: str, value: str) -> DataFrame:
     """`rate`: gain per second of an accumulated value, not below 0; null at the first sample."""
     w = ordered(key, time)
     return df.withColumn("rate", F.greatest(F.lit(0.0), (F.col(value) - F.lag(value).over(w)) / ((micros(time) - F.lag(micros(time)).over(w)) / SECOND)))
@@ -184,3 +184,25 @@ def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Colu
     zero = F.struct(F.array().cast("array<double>").alias("xs"), F.col("_x0").alias("x"))
     fold = F.aggregate("s", zero, lambda acc, e: F.struct(F.concat(acc["xs"], F.array(clip(acc["x"] + e["d"], F.lit(low), F.lit(high)))).alias("xs"), clip(acc["x"] + e["d"], F.lit(low), F.lit(high)).alias("x")), lambda acc: acc["xs"])
     return placed.withColumn("x", fold).select(key, F.explode(F.arrays_zip("s", "x")).alias("z")).select(key, F.col("z.s.t").alias(time), F.col("z.x").alias("balance"))
+
+
+def day_breaks(df: DataFrame, key: str | Sequence[str], time: str) -> DataFrame:
+    """key, time: the midnights that begin the day of a row whose predecessor is of another day."""
+    keys = [key] if isinstance(key, str) else list(key)
+    s = df.withColumn("_prev", F.lag(F.to_date(time)).over(ordered(keys, time)))
+    return s.where(F.to_date(time) != F.col("_prev")).select(*keys, F.date_trunc("day", time).cast("timestamp_ntz").alias(time))
+
+
+def plot_trace(df: DataFrame, key: str, time: str, value: str, low: float, high: float, horizon_us: int, smooth_minutes: int, budget: int) -> DataFrame:
+    """key, time_us, value of a line to draw: in range, up to a horizon from the first value, smoothed, downsampled, with nulls where the line breaks.
+
+    It breaks at gaps of the smoothed series and at midnights between the values that stay.
+    """
+    clean = df.where(F.col(value).between(low, high)).select(key, time, value)
+    first = F.min(micros(time)).over(Window.partitionBy(key))
+    seen = clean.withColumn("_a", first).where(micros(time) <= F.col("_a") + horizon_us).drop("_a")
+    smooth = rolling_mean(seen, key, time, value, smooth_minutes).select(key, time, F.round("mean", 9).alias(value))
+    kept = downsample(smooth, key, time, value, budget)
+    lines = kept.select(key, micros(time).alias("time_us"), value)
+    breaks = gap_markers(smooth, key, time).union(day_breaks(kept, key, time).select(key, micros(time)))
+    return lines.unionByName(breaks.distinct(), allowMissingColumns=True)

@@ -73,26 +73,26 @@ def a12_persistence_skill(spark, sf, least=0.5):
     return m.select("bucket", "n", R("mae").alias("mae"), R("ref_mae").alias("ref_mae"), R(F.when(F.col("ref_mae") >= least, 1 - F.col("mae") / F.col("ref_mae"))).alias("skill"))
 
 
-_READY = "count(*) >= 20 AND count(DISTINCT cycle_time) >= 10 AND avg(abs(error)) <= 25 AND abs(avg(error)) <= 15 AS ready"
+READY = "count(*) >= 20 AND count(DISTINCT cycle_time) >= 10 AND avg(abs(error)) <= 25 AND abs(avg(error)) <= 15 AS ready"
 
 
-def _ready():
+def ready():
     e = F.col("error")
     return ((F.count(F.lit(1)) >= 20) & (F.count_distinct("cycle_time") >= 10) & (F.avg(F.abs(e)) <= 25) & (F.abs(F.avg(e)) <= 15)).alias("ready")
 
 
-@query(f"WITH {PAIRS} SELECT bucket, count(DISTINCT cycle_time) AS cycles, {_READY} FROM pairs GROUP BY 1")
+@query(f"WITH {PAIRS} SELECT bucket, count(DISTINCT cycle_time) AS cycles, {READY} FROM pairs GROUP BY 1")
 def a13_readiness(spark, sf):
-    return pairs(spark, sf).groupBy("bucket").agg(F.count_distinct("cycle_time").alias("cycles"), _ready())
+    return pairs(spark, sf).groupBy("bucket").agg(F.count_distinct("cycle_time").alias("cycles"), ready())
 
 
-@query(f"WITH {PAIRS} SELECT site % 3 AS mode, bucket, {_M}, {_READY} FROM pairs WHERE site % 3 <> 2 GROUP BY 1, 2")
+@query(f"WITH {PAIRS} SELECT site % 3 AS mode, bucket, {_M}, {READY} FROM pairs WHERE site % 3 <> 2 GROUP BY 1, 2")
 def a14_mode_metrics(spark, sf):
-    g = pairs(spark, sf).where("site % 3 <> 2").groupBy((F.col("site") % 3).alias("mode"), "bucket").agg(*op.error_metrics(F.col("error")), _ready())
+    g = pairs(spark, sf).where("site % 3 <> 2").groupBy((F.col("site") % 3).alias("mode"), "bucket").agg(*op.error_metrics(F.col("error")), ready())
     return g.select("mode", "bucket", "n", *[R(c).alias(c) for c in ("mae", "bias", "rmse")], "ready")
 
 
-_CASES = f"""{PAIRS}, k AS (SELECT bucket, cycle_time, obs, ref, forecast, [forecast * (0.75::DOUBLE + 0.5::DOUBLE * (m - 1) / 19) for m in range(1, 21)] AS xs FROM pairs),
+CASES = f"""{PAIRS}, k AS (SELECT bucket, cycle_time, obs, ref, forecast, [forecast * (0.75::DOUBLE + 0.5::DOUBLE * (m - 1) / 19) for m in range(1, 21)] AS xs FROM pairs),
 cases AS (SELECT *, list_sum([abs(x - obs) for x in xs]) / 20 - list_sum([(2 * i - 21) * list_sort(xs)[i] for i in range(1, 21)]) / 400 AS crps, forecast * (0.75::DOUBLE + 0.5::DOUBLE * 1.9 / 19) AS p10, forecast * (0.75::DOUBLE + 0.5::DOUBLE * 17.1 / 19) AS p90,
 list_sum([CASE WHEN x < 10 THEN 1.0::DOUBLE ELSE 0 END for x in xs]) / 20 AS p_low FROM k)"""
 
@@ -105,19 +105,19 @@ def cases(spark, sf):
     return k.withColumns({"crps": op.crps(F.col("xs"), F.col("obs")), "p10": F.col("forecast") * (0.75 + 0.5 * 1.9 / 19), "p90": F.col("forecast") * (0.75 + 0.5 * 17.1 / 19), "p_low": low})
 
 
-@query(f"WITH {_CASES} SELECT bucket, round(avg(crps), 6) AS crps, round(1 - avg(crps) / avg(abs(ref - obs)), 6) AS skill, count(*) AS n FROM cases WHERE ref IS NOT NULL GROUP BY 1")
+@query(f"WITH {CASES} SELECT bucket, round(avg(crps), 6) AS crps, round(1 - avg(crps) / avg(abs(ref - obs)), 6) AS skill, count(*) AS n FROM cases WHERE ref IS NOT NULL GROUP BY 1")
 def a15_crps(spark, sf):
     c = cases(spark, sf).where("ref IS NOT NULL")
     return c.groupBy("bucket").agg(R(F.avg("crps")).alias("crps"), R(1 - F.avg("crps") / F.avg(F.abs(F.col("ref") - F.col("obs")))).alias("skill"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CASES} SELECT bucket, count(*) AS n, count_if(obs BETWEEN p10 AND p90) AS inside, round(avg(CASE WHEN obs BETWEEN p10 AND p90 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM cases GROUP BY 1")
+@query(f"WITH {CASES} SELECT bucket, count(*) AS n, count_if(obs BETWEEN p10 AND p90) AS inside, round(avg(CASE WHEN obs BETWEEN p10 AND p90 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM cases GROUP BY 1")
 def a16_interval_coverage(spark, sf):
     inside = F.col("obs").between(F.col("p10"), F.col("p90"))
     return cases(spark, sf).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("inside"), R(F.avg(inside.cast("double"))).alias("coverage"))
 
 
-@query(f"WITH {_CASES}, b AS (SELECT bucket, avg(pow(p_low - (obs < 10)::INT, 2)) AS brier, avg(CASE WHEN obs < 10 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM cases GROUP BY 1) SELECT bucket, round(brier, 6) AS brier, round(p * (1 - p), 6) AS reference, round(CASE WHEN p * (1 - p) > 0 THEN 1 - brier / (p * (1 - p)) END, 6) AS skill FROM b")
+@query(f"WITH {CASES}, b AS (SELECT bucket, avg(pow(p_low - (obs < 10)::INT, 2)) AS brier, avg(CASE WHEN obs < 10 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM cases GROUP BY 1) SELECT bucket, round(brier, 6) AS brier, round(p * (1 - p), 6) AS reference, round(CASE WHEN p * (1 - p) > 0 THEN 1 - brier / (p * (1 - p)) END, 6) AS skill FROM b")
 def a17_brier(spark, sf):
     hit = (F.col("obs") < 10).cast("double")
     b = cases(spark, sf).groupBy("bucket").agg(F.avg(F.pow(F.col("p_low") - hit, F.lit(2))).alias("brier"), F.avg(hit).alias("p"))
@@ -125,7 +125,7 @@ def a17_brier(spark, sf):
     return b.select("bucket", R("brier").alias("brier"), R(ref).alias("reference"), R(F.when(ref > 0, 1 - F.col("brier") / ref)).alias("skill"))
 
 
-@query(f"""WITH {_CASES}, c AS (SELECT bucket, count(*) AS n, avg(CASE WHEN obs BETWEEN p10 AND p90 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM cases GROUP BY 1), w AS (SELECT *, 1 + 3.8416::DOUBLE / n AS d FROM c),
+@query(f"""WITH {CASES}, c AS (SELECT bucket, count(*) AS n, avg(CASE WHEN obs BETWEEN p10 AND p90 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM cases GROUP BY 1), w AS (SELECT *, 1 + 3.8416::DOUBLE / n AS d FROM c),
 i AS (SELECT bucket, n, greatest(0, (p + 3.8416::DOUBLE / (2 * n)) / d - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d) AS low, least(1, (p + 3.8416::DOUBLE / (2 * n)) / d + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n)) / d) AS high FROM w)
 SELECT bucket, n, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high < 0.8 THEN 'too narrow' WHEN low > 0.8 THEN 'too wide' ELSE 'calibrated' END AS verdict FROM i""")
 def a18_wilson(spark, sf):
@@ -148,23 +148,23 @@ def a34_solar_factor(spark, sf):
     return f.crossJoin(F.broadcast(fb)).select("panel", "n", R(F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.when(F.col("n") >= 6, F.col("m")).otherwise(F.col("fb"))))).alias("factor"))
 
 
-_MOS = "least(1.4, greatest(0.4, CASE WHEN count(*) >= 12 THEN median(obs / forecast) ELSE 1 END))"
+MOS = "least(1.4, greatest(0.4, CASE WHEN count(*) >= 12 THEN median(obs / forecast) ELSE 1 END))"
 
 
-def _mos(p):
+def mos(p):
     return p.where("forecast > 0").groupBy("bucket").agg(F.least(F.lit(1.4), F.greatest(F.lit(0.4), F.when(F.count(F.lit(1)) >= 12, F.median(F.col("obs") / F.col("forecast"))).otherwise(1.0))).alias("factor"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {PAIRS} SELECT bucket, count(*) AS n, round({_MOS}, 6) AS factor FROM pairs WHERE forecast > 0 GROUP BY 1")
+@query(f"WITH {PAIRS} SELECT bucket, count(*) AS n, round({MOS}, 6) AS factor FROM pairs WHERE forecast > 0 GROUP BY 1")
 def a35_mos_factor(spark, sf):
-    return _mos(pairs(spark, sf)).select("bucket", "n", R("factor").alias("factor"))
+    return mos(pairs(spark, sf)).select("bucket", "n", R("factor").alias("factor"))
 
 
-@query(f"WITH {PAIRS}, m AS (SELECT bucket, {_MOS} AS factor FROM pairs WHERE forecast > 0 GROUP BY 1), r AS (SELECT a.*, {BUCKET} AS b, row_number() OVER (PARTITION BY site, issue_time ORDER BY lead) AS rn FROM archive a) SELECT site, issue_time, lead, round(CASE WHEN rn = 1 THEN forecast ELSE forecast * factor END, 6) AS corrected FROM r JOIN m ON r.b = m.bucket")
+@query(f"WITH {PAIRS}, m AS (SELECT bucket, {MOS} AS factor FROM pairs WHERE forecast > 0 GROUP BY 1), r AS (SELECT a.*, {BUCKET} AS b, row_number() OVER (PARTITION BY site, issue_time ORDER BY lead) AS rn FROM archive a) SELECT site, issue_time, lead, round(CASE WHEN rn = 1 THEN forecast ELSE forecast * factor END, 6) AS corrected FROM r JOIN m ON r.b = m.bucket")
 def e34_correction(spark, sf):
     """Each lead's factor is applied, the first anchor of an issue stays."""
     a = archive(spark, sf).withColumns({"bucket": op.lead_bucket(F.col("lead")), "rn": F.row_number().over(Window.partitionBy("site", "issue_time").orderBy("lead"))})
-    j = a.join(F.broadcast(_mos(pairs(spark, sf))), "bucket")  # four buckets
+    j = a.join(F.broadcast(mos(pairs(spark, sf))), "bucket")  # four buckets
     return j.select("site", "issue_time", "lead", R(F.when(F.col("rn") == 1, F.col("forecast")).otherwise(F.col("forecast") * F.col("factor"))).alias("corrected"))
 
 
@@ -174,7 +174,7 @@ def a41_advice_verification(spark, sf):
     return pairs(spark, sf).groupBy("site").agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.abs(e))).alias("mae"), R(F.avg(e)).alias("bias"), R(F.min("obs")).alias("min_actual"), F.bool_or(F.col("obs") < 5).alias("breach"), R(F.avg(((F.col("forecast") > 20) == (F.col("obs") > 20)).cast("double"))).alias("adherence"), F.count_distinct(F.date_trunc("hour", "valid_time")).alias("hours"))
 
 
-_INDEP = "indep AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY cycle_time, lead, date_trunc('hour', valid_time) ORDER BY issue_time DESC) = 1)"
+INDEP = "indep AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY cycle_time, lead, date_trunc('hour', valid_time) ORDER BY issue_time DESC) = 1)"
 
 
 def independent(p):
@@ -182,12 +182,12 @@ def independent(p):
     return p.withColumn("_h", F.date_trunc("hour", "valid_time")).withColumn("_rn", F.row_number().over(Window.partitionBy("cycle_time", "lead", "_h").orderBy(F.desc("issue_time")))).where("_rn = 1").drop("_rn", "_h")
 
 
-@query(f"WITH {PAIRS}, {_INDEP} SELECT cycle_time, lead, issue_time, round(error, 6) AS error FROM indep")
+@query(f"WITH {PAIRS}, {INDEP} SELECT cycle_time, lead, issue_time, round(error, 6) AS error FROM indep")
 def e26_independent_rows(spark, sf):
     return independent(pairs(spark, sf)).select("cycle_time", "lead", "issue_time", R("error").alias("error"))
 
 
-@query(f"""WITH {PAIRS}, {_INDEP}, w AS (SELECT time_bucket(INTERVAL 1 hour, valid_time - INTERVAL 1 microsecond) + to_hours(CAST(k AS INT)) AS now, error, ref, obs FROM indep, (SELECT unnest(range(1, 25)) AS k))
+@query(f"""WITH {PAIRS}, {INDEP}, w AS (SELECT time_bucket(INTERVAL 1 hour, valid_time - INTERVAL 1 microsecond) + to_hours(CAST(k AS INT)) AS now, error, ref, obs FROM indep, (SELECT unnest(range(1, 25)) AS k))
 SELECT now, count(*) AS n, round(avg(abs(error)), 9) AS mae, round(avg(error), 9) AS bias FROM w GROUP BY 1 HAVING count(*) >= 2""")
 def e25_trailing_metrics(spark, sf):
     """Metrics over (now - 24 h, now] for each hour; a row's hour decides its windows, so they see the independent rows alike."""
@@ -242,55 +242,12 @@ def e19_phase_learning(spark, sf):
 # ---- composed jobs
 
 
-@query("""WITH w AS (SELECT time_bucket(INTERVAL 15 minute, ts) AS time, """ + ", ".join(f"median(value) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + """, count(*) AS n FROM events GROUP BY 1),
-d AS (SELECT *, epoch_us(time) - lag(epoch_us(time)) OVER (ORDER BY time) AS d FROM w) SELECT time, round(click, 6) AS click, round(error, 6) AS error, round(purchase, 6) AS purchase, round(signup, 6) AS signup, round(view, 6) AS view, n, coalesce(d > 3.5 * 900000000, false) AS after_gap FROM d""")
-def p1_wide_summary(spark, sf):
-    """The flagship: 15-minute medians of all channels in one wide table, and where a gap precedes a row.
-
-    The rows are those of the buckets, so the window over all of them is as long as the span of time, not the events.
-    """
-    e = events(spark, sf)
-    w = e.groupBy(bucket("ts", 15).alias("time")).agg(*[F.median(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("click", "error", "purchase", "signup", "view")], F.count(F.lit(1)).alias("n"))
-    gap = micros("time") - F.lag(micros("time")).over(Window.orderBy("time"))
-    return w.select("time", *[R(t).alias(t) for t in ("click", "error", "purchase", "signup", "view")], "n", F.coalesce(gap > F.lit(3.5 * 900_000_000), F.lit(False)).alias("after_gap"))
-
-
-@query("""WITH p AS (SELECT user_id AS key, time_bucket(INTERVAL 60 minute, ts) AS time, avg(CASE WHEN value BETWEEN 0 AND 100 THEN value END) AS v FROM events GROUP BY 1, 2),
-s AS (SELECT key, time, avg(v) OVER (PARTITION BY key ORDER BY epoch_us(time) RANGE BETWEEN 7199999999 PRECEDING AND 7200000000 FOLLOWING) AS v FROM p WHERE v IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM s), b AS (SELECT *, least(18, ((i + 1) * 19 - 1) // n) AS b FROM r)
-SELECT key, time, round(v, 6) AS v FROM b QUALIFY n <= 40 OR i = 0 OR i = n - 1 OR row_number() OVER (PARTITION BY key, b ORDER BY round(v, 9), i) = 1 OR row_number() OVER (PARTITION BY key, b ORDER BY round(v, 9) DESC, i) = 1""")
-def p4_plot_traces(spark, sf):
-    """Clean, bucket, smooth and downsample every trace to a budget."""
-    p = events(spark, sf).groupBy(F.col("user_id").alias("key"), bucket("ts", 60).alias("time")).agg(F.avg(F.when(F.col("value").between(0, 100), F.col("value"))).alias("v")).where("v IS NOT NULL")
-    s = so.rolling_mean(p, "key", "time", "v", 240).select("key", "time", F.round("mean", 9).alias("v"))
-    return so.downsample(s, "key", "time", "v", 40).select("key", "time", R("v").alias("v"))
-
-
-@query(f"WITH {PAIRS}, {_INDEP} SELECT bucket, count(*) AS n, count(DISTINCT cycle_time) AS cycles, round(avg(abs(error)), 6) AS mae, round(avg(error), 6) AS bias, round(CASE WHEN avg(abs(ref - obs)) >= 0.5 THEN 1 - avg(abs(error)) / avg(abs(ref - obs)) END, 6) AS skill FROM indep GROUP BY 1 HAVING count(*) >= 2")
-def p5_verification(spark, sf):
-    """Archive to independent rows to metrics and skill per lead bucket."""
-    p = independent(pairs(spark, sf))
-    mae, ref = F.avg(F.abs("error")), F.avg(F.abs(F.col("ref") - F.col("obs")))
-    return p.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cycle_time").alias("cycles"), R(mae).alias("mae"), R(F.avg("error")).alias("bias"), R(F.when(ref >= 0.5, 1 - mae / ref)).alias("skill")).where("n >= 2")
-
-
-@query(f"""WITH {MEMBERS}, s AS (SELECT site, issue_time, member, list(value - 20 ORDER BY lead) AS ds, list(lead ORDER BY lead) AS ls FROM members GROUP BY 1, 2, 3),
-b AS (SELECT site, issue_time, member, unnest(ls) AS lead, unnest([list_reduce(ds[1:k], lambda x, y: least(100, greatest(0, x + y)), 60.0::DOUBLE) for k in range(1, len(ds) + 1)]) AS soc FROM s)
-SELECT site, issue_time, lead, round(quantile_cont(soc, 0.1), 6) AS p10, round(quantile_cont(soc, 0.5), 6) AS p50, round(quantile_cont(soc, 0.9), 6) AS p90, round(avg(CASE WHEN soc < 40 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p_low FROM b GROUP BY 1, 2, 3""")
-def p6_ensemble_bands(spark, sf):
-    """Each member's bounded balance, then the band and the probability of a low per issue and lead."""
-    m = members(spark, sf).withColumn("d", F.col("value") - 20)
-    b = so.bounded_balance(m, ["site", "issue_time", "member"], "lead", "d", 60.0)
-    g = b.groupBy("site", "issue_time", "lead").agg(F.percentile("balance", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), R(F.avg((F.col("balance") < 40).cast("double"))).alias("p_low"))
-    return g.select("site", "issue_time", "lead", *[R(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "p_low")
-
-
-_SCEN = f"""{MEMBERS}, c AS (SELECT site, issue_time, lead, member, value, scenario, CASE WHEN lead >= 3 + 9 * (scenario // 3) AND lead < 3 + 9 * (scenario // 3) + 24 THEN 6.0::DOUBLE * (scenario % 3) ELSE 0 END AS kit FROM members, (SELECT unnest(range(9)) AS scenario)),
+SCEN = f"""{MEMBERS}, c AS (SELECT site, issue_time, lead, member, value, scenario, CASE WHEN lead >= 3 + 9 * (scenario // 3) AND lead < 3 + 9 * (scenario // 3) + 24 THEN 6.0::DOUBLE * (scenario % 3) ELSE 0 END AS kit FROM members, (SELECT unnest(range(9)) AS scenario)),
 s AS (SELECT site, issue_time, member, scenario, list(value - 20 - kit ORDER BY lead) AS ds, sum(kit) AS used FROM c GROUP BY 1, 2, 3, 4), f AS (SELECT *, list_min([list_reduce(ds[1:k], lambda x, y: least(100, greatest(0, x + y)), 60.0::DOUBLE) for k in range(1, len(ds) + 1)]) AS low FROM s),
-e AS (SELECT site, issue_time, scenario, max(used) AS used, quantile_cont(low, 0.1) AS p10 FROM f GROUP BY 1, 2, 3)"""
+e AS (SELECT site, issue_time, scenario, max(used) AS used, quantile_cont(low, 0.1) AS p10, quantile_cont(low, 0.5) AS p50, quantile_cont(low, 0.9) AS p90, avg(CASE WHEN low < 40 THEN 1.0::DOUBLE ELSE 0 END) AS p_low FROM f GROUP BY 1, 2, 3)"""
 
 
-def _scenarios(spark, sf):
+def scenarios(spark, sf):
     """Members are gathered once, before the scenarios multiply them: what is shuffled doesn't grow with the scenarios."""
     keys = ["site", "issue_time", "member"]
     path = members(spark, sf).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lead", "value"))).alias("s"))
@@ -305,49 +262,17 @@ def _scenarios(spark, sf):
         return F.struct(x.alias("x"), F.least(acc["low"], x).alias("low"), (acc["used"] + kit(e)).alias("used"))
 
     low = m.select(*keys, "scenario", F.aggregate("s", zero, step).alias("f")).select(*keys, "scenario", "f.low", "f.used")
-    return low.groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.lit(0.1)).alias("p10"))
-
+    g = low.groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.avg((F.col("low") < 40).cast("double")).alias("p_low"))
+    return g.select("site", "issue_time", "scenario", "used", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "p_low")
 
-@query(f"WITH {_SCEN} SELECT site, issue_time, CAST(scenario AS INT) AS scenario, used, round(p10, 6) AS p10 FROM e")
-def p8_what_if(spark, sf):
-    """Start, duration and kit of each scenario over all members: the tenth percentile of the lowest balance."""
-    return _scenarios(spark, sf).select("site", "issue_time", "scenario", "used", R("p10").alias("p10"))
 
-
-@query(f"WITH {_SCEN} SELECT site, issue_time, CAST(arg_max(scenario, (p10 >= 20, used, round(p10, 6), -scenario)) AS INT) AS best FROM e GROUP BY 1, 2")
+@query(f"WITH {SCEN} SELECT site, issue_time, CAST(arg_max(scenario, (p10 >= 20, used, round(p10, 6), -scenario)) AS INT) AS best FROM e GROUP BY 1, 2")
 def p9_schedule_ranking(spark, sf, floor=20.0):
-    e = _scenarios(spark, sf)
+    e = scenarios(spark, sf)
     return e.groupBy("site", "issue_time").agg(F.max_by("scenario", F.struct(F.col("p10") >= floor, "used", R("p10").alias("p"), -F.col("scenario"))).alias("best"))
 
 
-@query("""WITH l AS (SELECT user_id, event_type, arg_max(value, ts) AS v, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) AS age FROM events GROUP BY 1, 2), k AS (SELECT user_id, CASE WHEN v >= 90 OR age > 864000000000 THEN 4 WHEN v >= 50 OR age > 259200000000 THEN 3 ELSE 2 END AS level FROM l)
-SELECT user_id, CASE max(level) WHEN 4 THEN 'red' WHEN 3 THEN 'amber' ELSE 'green' END AS worst, count_if(level = 4) AS red, count_if(level = 3) AS amber, count_if(level = 2) AS green FROM k GROUP BY 1""")
-def p11_health_assessment(spark, sf):
-    from ..functions.times import DAY
-
-    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    l = events(spark, sf).groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("v"), (micros(now) - micros(F.max("ts"))).alias("age"))  # noqa: E741
-    k = l.withColumn("level", F.when((F.col("v") >= 90) | (F.col("age") > 10 * DAY), "red").when((F.col("v") >= 50) | (F.col("age") > 3 * DAY), "amber").otherwise("green"))
-    return k.groupBy("user_id").agg(op.worst(F.col("level")).alias("worst"), *[F.count_if(F.col("level") == c).alias(c) for c in ("red", "amber", "green")])
-
-
 _ALERT = """a AS (SELECT user_id AS id, ts, value > 25 AS on_ FROM events), i AS (SELECT *, CASE WHEN on_ IS DISTINCT FROM lag(on_) OVER (PARTITION BY id ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM a),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i), g AS (SELECT id, run, bool_or(on_) AS on_, min(ts) AS first_seen, max(ts) AS last_seen FROM r GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_ALERT} SELECT id, first_seen, last_seen, 1 + (epoch_us(last_seen) - epoch_us(first_seen) - 3600000000) // 43200000000 AS sent FROM g WHERE on_ AND epoch_us(last_seen) - epoch_us(first_seen) >= 3600000000")
-def p12_alert_history(spark, sf, hold=HOUR, repeat=12 * HOUR):
-    """Alerts as runs of a condition: sent after a hold, and again every twelve hours; the batch twin of the stream."""
-    a = events(spark, sf).select(F.col("user_id").alias("id"), "ts", (F.col("value") > 25).alias("on"))
-    g = so.islands(a, "id", "ts", "on").where("on").groupBy("id", "run").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    d = micros("last_seen") - micros("first_seen")
-    return g.where(d >= hold).select("id", "first_seen", "last_seen", (1 + F.floor((d - hold) / repeat)).alias("sent"))
-
-
-@query(f"""WITH {PAIRS}, m AS (SELECT bucket, {_MOS} AS factor FROM pairs WHERE forecast > 0 GROUP BY 1), c AS (SELECT site, issue_time, lead, forecast * factor - 20 AS d FROM archive a JOIN m ON {BUCKET} = m.bucket),
-s AS (SELECT site, issue_time, list(d ORDER BY lead) AS ds, list(lead ORDER BY lead) AS ls FROM c GROUP BY 1, 2) SELECT site, issue_time, unnest(ls) AS lead, round(unnest([list_reduce(ds[1:k], lambda x, y: least(100, greatest(0, x + y)), 60.0::DOUBLE) for k in range(1, len(ds) + 1)]), 6) AS soc FROM s""")
-def p15_deterministic_forecast(spark, sf):
-    """Forecasts, corrected per lead bucket, as a bounded balance."""
-    a = archive(spark, sf).withColumn("bucket", op.lead_bucket(F.col("lead"))).join(F.broadcast(_mos(pairs(spark, sf))), "bucket")
-    b = so.bounded_balance(a.withColumn("d", F.col("forecast") * F.col("factor") - 20), ["site", "issue_time"], "lead", "d", 60.0)
-    return b.select("site", "issue_time", "lead", R("balance").alias("soc"))
