@@ -14,7 +14,7 @@ def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "max")
 
 
-def _middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float) -> DataFrame:
+def middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float) -> DataFrame:
     """keys, `name` (the median), _scale, _n per group."""
     med = rows.groupBy(*keys).agg(F.median(value).alias(name))
     dev = rows.join(med, list(keys)).groupBy(*keys, name).agg((F.median(F.abs(F.col(value) - F.col(name))) * 1.4826).alias("_mad"), F.count(value).alias("_n"))
@@ -23,7 +23,7 @@ def _middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor:
 
 def robust_kept(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0) -> DataFrame:
     """`df` without values farther than max(factor * scale, least) from their group's median."""
-    first = _middle(df, keys, value, "_m", floor).drop("_n")
+    first = middle(df, keys, value, "_m", floor).drop("_n")
     return df.join(first, list(keys)).where(F.abs(F.col(value) - F.col("_m")) <= F.greatest(factor * F.col("_scale"), F.lit(least))).drop("_m", "_scale")
 
 
@@ -32,7 +32,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str, floor: float =
 
     scale is 1.4826 times the median absolute deviation, at least `floor`.
     """
-    return _middle(robust_kept(df, keys, value, floor, factor, least), keys, value, "median", floor).select(*keys, "median", F.col("_scale").alias("scale"), F.col("_n").alias("n"))
+    return middle(robust_kept(df, keys, value, floor, factor, least), keys, value, "median", floor).select(*keys, "median", F.col("_scale").alias("scale"), F.col("_n").alias("n"))
 
 
 def error_metrics(error: Column) -> list[Column]:

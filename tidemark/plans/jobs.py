@@ -41,20 +41,6 @@ def p3_window_view(spark, sf, start="1997-01-01 00:00:00", end="1998-12-31 00:00
     return g.join(t, "time").groupBy("tb", "gate").agg(F.min("time").alias("time"), R(F.avg("v")).alias("v")).drop("tb")
 
 
-@query("""WITH p AS (SELECT user_id AS key, ts AS time, value, event_id FROM events WHERE event_type = 'click'), s AS (SELECT user_id AS key, ts AS time, value > 20 AS on_ FROM events WHERE event_type = 'signup'),
-o AS (SELECT p.*, coalesce(s.on_, false) AS on_ FROM p ASOF LEFT JOIN s ON p.key = s.key AND p.time >= s.time), m AS (SELECT *, CASE WHEN on_ AND value >= 15 THEN 'active' WHEN on_ THEN 'standby' ELSE 'off' END AS mode FROM o)
-SELECT mode, count(*) AS n, count(DISTINCT key) AS sites, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM m GROUP BY 1""")
-def p7_mode_learning(spark, sf):
-    """Samples with the state of their switch, classified, and each mode's profile."""
-    e = events(spark, sf)
-    p = e.where("event_type = 'click'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), "value")
-    s = e.where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), (F.col("value") > 20).cast("double").alias("v"))
-    on = F.coalesce("v_match", F.lit(0.0)) > 0
-    m = so.asof(p, s, "key", "time", "v", how="backward").withColumn("mode", F.when(on & (F.col("value") >= 15), "active").when(on, "standby").otherwise("off"))
-    g = m.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("sites"), F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return g.select("mode", "n", "sites", *[R(F.col("q")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
-
-
 @query(f"""WITH {MEDIA}, n AS (SELECT * FROM media WHERE event_id % 3 <> 0), u AS (SELECT *, 0 AS rev FROM media WHERE event_id % 3 = 0 UNION ALL SELECT *, 1 FROM n), h AS (SELECT *, date_trunc('hour', time) AS hour, epoch_us(time) % 3600000000 AS us FROM u)
 SELECT media_type, day, count(*) AS n, count(DISTINCT hour) AS hours, max(time) AS frontier, arg_min(event_id, (CASE kind WHEN 'video' THEN 0 ELSE 1 END, -epoch_us(time))) AS preferred FROM h GROUP BY 1, 2""")
 def p10_media_catalog(spark, sf):

@@ -214,31 +214,6 @@ def e47_tail_extension(spark, sf):
 _PHASE = "q AS (SELECT event_type AS phase, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1)"
 
 
-@query(f"""WITH {_PHASE}, s AS (SELECT min(p10) AS lo, max(p90) AS hi, max(p50) FILTER (phase = 'view') AS mid FROM q WHERE phase IN ('view', 'click')), u AS (SELECT * FROM q WHERE phase = 'signup'), g AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1),
-h AS (SELECT e.user_id, e.ts, (epoch_us(e.ts) - epoch_us(start)) <= 172800000000 AS up FROM events e JOIN g ON e.user_id = g.user_id)
-SELECT user_id, ts, round(CASE WHEN up THEN u.p10 ELSE s.lo END, 6) AS p10, round(CASE WHEN up THEN u.p50 ELSE s.mid END, 6) AS p50, round(CASE WHEN up THEN u.p90 ELSE s.hi END, 6) AS p90 FROM h, s, u""")
-def e48_phase_load_path(spark, sf):
-    """Startup until the start and a fixed time, then the steady phase with its band widened to all steady phases."""
-    e = events(spark, sf)
-    q = e.groupBy(F.col("event_type").alias("phase")).agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    steady = F.col("phase").isin("view", "click")
-    path = q.agg(F.min(F.when(steady, F.col("q")[0])).alias("lo"), F.max(F.when(F.col("phase") == "view", F.col("q")[1])).alias("mid"), F.max(F.when(steady, F.col("q")[2])).alias("hi"), F.max(F.when(F.col("phase") == "signup", F.col("q"))).alias("u"))
-    h = e.select("user_id", "ts", (micros("ts") - F.min(micros("ts")).over(Window.partitionBy("user_id")) <= 48 * HOUR).alias("up"))
-    pick = lambda i, c: R(F.when(F.col("up"), F.col("u")[i]).otherwise(F.col(c)))
-    return h.crossJoin(F.broadcast(path)).select("user_id", "ts", pick(0, "lo").alias("p10"), pick(1, "mid").alias("p50"), pick(2, "hi").alias("p90"))
-
-
-@query("""WITH l AS (SELECT user_id AS key, ts, CASE WHEN value < 15 THEN 'low' ELSE 'high' END AS phase, value FROM events), i AS (SELECT *, CASE WHEN phase IS DISTINCT FROM lag(phase) OVER (PARTITION BY key ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM l),
-r AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i), d AS (SELECT key, run, any_value(phase) AS phase, count(*) AS n FROM r GROUP BY 1, 2),
-s AS (SELECT key, phase, count(*) AS runs, median(n) AS dwell, sum(n) AS n FROM d GROUP BY 1, 2) SELECT key, phase, runs, dwell, round(n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY key), 6) AS weight FROM s""")
-def e19_phase_learning(spark, sf):
-    """Weights, dwell medians and number of runs of each phase of a state."""
-    l = events(spark, sf).select(F.col("user_id").alias("key"), "ts", F.when(F.col("value") < 15, "low").otherwise("high").alias("phase"))  # noqa: E741
-    d = so.islands(l, "key", "ts", "phase").groupBy("key", "run", "phase").agg(F.count(F.lit(1)).alias("n"))
-    s = d.groupBy("key", "phase").agg(F.count(F.lit(1)).alias("runs"), F.median("n").alias("dwell"), F.sum("n").alias("n"))
-    return s.select("key", "phase", "runs", "dwell", R(F.col("n") * 1.0 / F.sum("n").over(Window.partitionBy("key"))).alias("weight"))
-
-
 # ---- composed jobs
 
 

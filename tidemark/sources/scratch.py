@@ -25,3 +25,10 @@ def lines(df: DataFrame, name: str) -> str:
     path = folder(df.sparkSession, name)
     df.write.text(path)
     return path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder: what is read several times isn't computed as often, and a lost executor costs no more than its tasks."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
