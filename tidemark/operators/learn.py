@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, MINUTE, bucket, micros
+from ..sources.scratch import table
 from . import series as so
 from .stats import robust_kept, robust_scale
 
@@ -125,13 +126,14 @@ def regimes(df: DataFrame, key: str, value: str, minimum: int = 4, least_gap: fl
     gap = v.withColumn("_gap", F.lead("_v").over(Window.partitionBy(key).orderBy("_v")) - F.col("_v"))
     cut = gap.groupBy(key).agg(F.max(F.when(F.col("_gap").isNotNull(), F.struct(F.col("_gap").alias("gap"), (-F.col("_v")).alias("low")))).alias("_cut"), F.count(F.lit(1)).alias("_all"))
     sided = v.join(cut, key).withColumn("regime", F.coalesce((F.col("_v") > -F.col("_cut.low")).cast("int"), F.lit(0)))
+    sided = table(sided, "sides")
     sizes = sided.groupBy(key, "regime").agg(F.count(F.lit(1)).alias("_size"), F.max("_cut.gap").alias("_gap"), F.max("_all").alias("_all"))
-    sides = robust_scale(sided, [key, "regime"], "_v").join(sizes, [key, "regime"])
+    sides = table(robust_scale(sided, [key, "regime"], "_v").join(sizes, [key, "regime"]), "regimes")
     test = sides.groupBy(key).agg(F.count(F.lit(1)).alias("_sides"), F.min("_size").alias("_few"), F.max("_gap").alias("_gap"), F.sqrt(F.sum(F.col("scale") * F.col("scale"))).alias("_noise"))
     two = (F.col("_sides") == 2) & (F.col("_few") >= minimum) & (F.col("_gap") >= F.greatest(F.lit(least_gap), 3.0 * F.col("_noise")))
     split = test.select(key, F.coalesce(two, F.lit(False)).alias("_two"))
     apart = sides.join(split.where("_two"), key).select(key, "regime", F.col("median").alias("location"), "scale", (F.col("n") / F.col("_all")).alias("weight"), "n")
-    near = robust_kept(v.join(split.where("NOT _two"), key).select(key, "_v"), [key], "_v")
+    near = table(robust_kept(sided.join(split.where("NOT _two"), key).select(key, "_v"), [key], "_v"), "near")
     whole = near.groupBy(key).agg(F.count(F.lit(1)).alias("_near"))
     one = robust_scale(near, [key], "_v").join(whole, key).select(key, F.lit(0).alias("regime"), F.col("median").alias("location"), "scale", (F.col("n") / F.col("_near")).alias("weight"), "n")
     w = Window.partitionBy(key)

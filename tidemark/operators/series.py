@@ -164,6 +164,40 @@ def bounded_balance(df: DataFrame, key: str | Sequence[str], time: str, delta: s
     return steps.withColumn("x", fold).select(*keys, F.explode(F.arrays_zip("s", "x")).alias("z")).select(*keys, F.col("z.s.t").alias(time), F.col("z.x").alias("balance"))
 
 
+def _block_maps(df: DataFrame, key: str, time: str, delta: str, block: Column, low: float, high: float) -> DataFrame:
+    """key, _block, s (the block's steps in order) and m: the map x -> min(m.h, max(m.l, x + m.a)) that they are together."""
+    clip = lambda x: F.least(F.lit(high), F.greatest(F.lit(low), x))
+    parts = df.withColumn("_block", block).groupBy(key, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.coalesce(F.col(delta), F.lit(0.0)).alias("d")))).alias("s"))
+    ident = F.struct(F.lit(0.0).alias("a"), F.lit(float(low)).alias("l"), F.lit(float(high)).alias("h"))
+    step = lambda m, e: F.struct((m["a"] + e["d"]).alias("a"), clip(m["l"] + e["d"]).alias("l"), clip(m["h"] + e["d"]).alias("h"))
+    return parts.withColumn("m", F.aggregate("s", ident, step))
+
+
+def _listed(maps: DataFrame, key: str) -> DataFrame:
+    """key, ms: the blocks' maps in order, one small struct a block."""
+    return maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), F.col("m")))).alias("ms"))
+
+
+def last_balance(df: DataFrame, key: str, time: str, delta: str, block: Column, start: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
+    """key, balance: where bounded_balance ends; long series are folded block by block."""
+    after = F.aggregate("ms", F.lit(float(start)), lambda x, e: F.least(e["m"]["h"], F.greatest(e["m"]["l"], x + e["m"]["a"])))
+    return _listed(_block_maps(df, key, time, delta, block, low, high), key).select(key, after.alias("balance"))
+
+
+def ewma(df: DataFrame, key: str, time: str, value: str, weight) -> DataFrame:
+    """key, ewma: x += weight(n) * (v - x) from the first value on, n counting from 1, `weight` a function of columns below 1.
+
+    What is left of a value at the end is a product over the steps behind it, which running sums of logarithms give: a
+    window and a sum, however long the series.
+    """
+    w = Window.partitionBy(key).orderBy(time)
+    n = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w))
+    a = n.withColumn("_w", weight(F.col("_n"))).withColumn("_s", F.sum(F.when(F.col("_n") > 1, F.log(1 - F.col("_w"))).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.exp(F.min("_s").over(Window.partitionBy(key)) - F.col("_s"))
+    share = F.when(F.col("_n") == 1, left).otherwise(F.col("_w") * left)
+    return a.withColumn("_p", share * F.col(value)).groupBy(key).agg(F.sum("_p").alias("ewma"))
+
+
 def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Column, start: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """bounded_balance of long series: blocks (days, say) are folded to one map each, the maps give each block its start.
 
@@ -171,12 +205,8 @@ def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Colu
     over one short array per key; inside, every block is folded alone.
     """
     clip = lambda x, a, b: F.least(b, F.greatest(a, x))
-    d = df.withColumn("_block", block)
-    parts = d.groupBy(key, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.coalesce(F.col(delta), F.lit(0.0)).alias("d")))).alias("s"))
-    ident = F.struct(F.lit(0.0).alias("a"), F.lit(float(low)).alias("l"), F.lit(float(high)).alias("h"))
-    step = lambda m, e: F.struct((m["a"] + e["d"]).alias("a"), clip(m["l"] + e["d"], F.lit(low), F.lit(high)).alias("l"), clip(m["h"] + e["d"], F.lit(low), F.lit(high)).alias("h"))
-    maps = parts.withColumn("m", F.aggregate("s", ident, step))
-    listed = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), F.col("m")))).alias("ms"))
+    maps = _block_maps(df, key, time, delta, block, low, high)
+    listed = _listed(maps, key)
     first = F.struct(F.array().cast("array<double>").alias("xs"), F.lit(float(start)).alias("x"))
     along = F.aggregate("ms", first, lambda acc, e: F.struct(F.concat(acc["xs"], F.array(acc["x"])).alias("xs"), F.least(e["m"]["h"], F.greatest(e["m"]["l"], acc["x"] + e["m"]["a"])).alias("x")), lambda acc: acc["xs"])
     starts = listed.withColumn("x0", along).select(key, F.explode(F.arrays_zip("ms", "x0")).alias("z")).select(key, F.col("z.ms.b").alias("_block"), F.col("z.x0").alias("_x0"))

@@ -314,9 +314,8 @@ def e22_bounded_balance(spark, sf):
 @query("""WITH s AS (SELECT user_id AS key, ts AS time, value - 12 AS e FROM events WHERE event_type = 'error'), r AS (SELECT key, list(e ORDER BY time) AS es FROM s GROUP BY 1)
 SELECT key, round(list_reduce(es, lambda x, y: least(5, greatest(-5, x - 0.2 * y)), 0.0::DOUBLE), 6) AS bias FROM r""")
 def e23_bias_accumulator(spark, sf, alpha=0.2, limit=5.0):
-    s = events(spark, sf).where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), (F.col("value") - 12).alias("e"))
-    g = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("time", "e"))).alias("s"))
-    return g.select("key", F.round(F.aggregate("s", F.lit(0.0), lambda x, y: F.least(F.lit(limit), F.greatest(F.lit(-limit), x - alpha * y["e"]))), 6).alias("bias"))
+    s = events(spark, sf).where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), (-alpha * (F.col("value") - 12)).alias("d"))
+    return op.last_balance(s, "key", "time", "d", F.to_date("time"), 0.0, -limit, limit).select("key", F.round("balance", 6).alias("bias"))
 
 
 @query("""WITH s AS (SELECT user_id AS key, ts AS time, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type = 'error'),
@@ -324,10 +323,8 @@ a AS (SELECT *, least(0.45, greatest(0.08, greatest(0.1, 0.45 / sqrt(n)))) AS al
 SELECT key, round(list_reduce(l, lambda x, y: {v: x.v + y.a * (y.v - x.v), a: 0.0::DOUBLE}, {v: l[1].v, a: 0.0::DOUBLE}).v, 6) AS ewma FROM r""")
 def e24_ewma(spark, sf, base=0.1):
     s = events(spark, sf).where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), F.col("value").alias("v"))
-    g = s.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("time", "v"))).alias("s"))
     alpha = lambda n: F.least(F.lit(0.45), F.greatest(F.lit(0.08), F.greatest(F.lit(base), 0.45 / F.sqrt(n))))
-    zero = F.struct(F.element_at("s", 1)["v"].alias("x"), F.lit(0).alias("n"))
-    return g.select("key", F.round(F.aggregate("s", zero, lambda a, y: F.struct((a["x"] + alpha(a["n"] + 1) * (y["v"] - a["x"])).alias("x"), (a["n"] + 1).alias("n")), lambda a: a["x"]), 6).alias("ewma"))
+    return op.ewma(s, "key", "time", "v", alpha).select("key", F.round("ewma", 6).alias("ewma"))
 
 
 @query(f"WITH {SERIES}, f AS (SELECT *, min(CASE WHEN v > 30 THEN epoch_us(time) END) OVER (PARTITION BY key) AS first FROM series) SELECT key, time FROM f WHERE epoch_us(time) BETWEEN first AND first + 172800000000")
