@@ -25,8 +25,9 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
         # a hub has most edges of a large component: they are dealt out, see attach
         least = materialise(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n"), "least")
-        large = materialise(attach(both, least, ["x"], "n", F.col("y")).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        small = attach(large, low, ["u"], "n", F.col("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = attach(both, least, ["x"], "n", F.col("y")).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        # a node above many others has as many links here, until the next round: adaptive execution splits such a side of the join
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialise(small.where("u <> v").distinct(), "edges")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

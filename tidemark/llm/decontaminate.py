@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -276,21 +275,26 @@ def _indexes(items: DataFrame, shard: int, block: int, least_window: int) -> lis
     terms = counted.select("part", "term").join(total, "term")
     folder = new_folder(items.sparkSession, "bm25")
 
-    def make(held: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        got = sorted((int(i), *(question_answer(q) if a is None else (q, a))) for i, q, a in zip(held["item_id"], held["q"].replace({np.nan: None}), held["a"].replace({np.nan: None})))
-        got = [x for x in got if words(x[1]) or words(x[2])]
-        if not got:
-            return pd.DataFrame({"path": []}, dtype=str)
-        df = {t: (int(d), int(w)) for t, d, w in zip(told["term"], told["df"], told["all_words"])}
-        every, length = df.pop("")
-        made = build(got, block, least_window, Statistics(every, max(1.0, length / every), {t: x[0] for t, x in df.items()}))
-        path = f"{folder}/{uuid.uuid4().hex}"  # a repeated attempt writes another file; the path that is returned counts
-        fs, at = pafs.FileSystem.from_uri(path)
-        with fs.open_output_stream(at) as file:
-            file.write(pickle.dumps([tuple(getattr(ix, f.name) for f in fields(ix)) for ix in made]))
-        return pd.DataFrame({"path": [path]})
-
-    shards = dealt.groupBy("part").cogroup(terms.groupBy("part")).applyInPandas(make, "path string")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for held, told in zip(b.column(0), b.column(1)):
+                got = sorted((r["item_id"], *(question_answer(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in held.as_py())
+                got = [x for x in got if words(x[1]) or words(x[2])]
+                if not got:
+                    continue
+                df = {r["term"]: (r["df"], r["all_words"]) for r in told.as_py()}
+                every, length = df.pop("")
+                made = build(got, block, least_window, Statistics(every, max(1.0, length / every), {t: x[0] for t, x in df.items()}))
+                path = f"{folder}/{uuid.uuid4().hex}"  # a repeated attempt writes another file; the path that is returned counts
+                fs, at = pafs.FileSystem.from_uri(path)
+                with fs.open_output_stream(at) as file:
+                    file.write(pickle.dumps([tuple(getattr(ix, f.name) for f in fields(ix)) for ix in made]))
+                yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    # a row per shard: its items and their terms, about `shard` items whatever the input
+    held = dealt.groupBy("part").agg(F.collect_list(F.struct("item_id", "q", "a")).alias("held"))
+    told = terms.groupBy("part").agg(F.collect_list(F.struct("term", "df", "all_words")).alias("told"))
+    shards = held.join(told, "part").select("held", "told").mapInArrow(make, "path string")
     return sorted(r.path for r in materialise(shards, "shards").collect())
 
 

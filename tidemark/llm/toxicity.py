@@ -242,7 +242,7 @@ def _marked(rows: DataFrame, model: Model) -> DataFrame:
     mark = _marker(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(i, 1000) for part in batches for i in range(0, part.num_rows, 1000)):
             got = [mark(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc", "votes", "hits"])
 
