@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, spelling, substring_dedup, warc
 from . import toxicity as tox
 from .common import table
 
@@ -55,5 +55,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_unit_words=5).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo_every=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup, op11_spelling_variants)}
 ORACLES = {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
