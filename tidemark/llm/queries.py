@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, quality, simhash, spelling, substring_dedup, warc
+from . import chat, decontaminate, exact_dedup, licenses, merkle, minhash, mixing, quality, simhash, spelling, substring_dedup, warc
 from . import toxicity as tox
 from .common import table
 
@@ -59,5 +59,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo_every=199)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup, op11_spelling_variants)}
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by a checksum of doc_id, are received without their line ends."""
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), F.when(chosen, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup, op11_spelling_variants, op12_minhash_dedup, op13_merkle_manifest)}
 ORACLES = {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
