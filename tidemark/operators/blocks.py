@@ -63,8 +63,17 @@ def numbered(df: DataFrame, key: str | Sequence[str], time: str, order: Sequence
     return d.join(base, AT).withColumn("_i", F.col("_base") + own).drop("_key", "_t", "_block", "_base")
 
 
-def runs(df: DataFrame, key: str | Sequence[str], time: str, label: str, max_gap: Column | int | None = None, block_us: int = DAY) -> DataFrame:
-    """`df` with run: a number per series, from 1 on, that grows where the label changes or a gap is longer than `max_gap` microseconds.
+def filled(df: DataFrame, key: str | Sequence[str], time: str, value: str | Column, name: str, block_us: int = DAY) -> DataFrame:
+    """`df` with the last value that isn't null up to each row of its series."""
+    d = placed(df, key, time, block_us).withColumn("_v", value if isinstance(value, Column) else F.col(value))
+    lasts = d.groupBy(*AT).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_last"))
+    carried = lasts.select(*AT, F.last("_last", ignorenulls=True).over(_chain().rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy(*AT).orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))
+    return d.join(carried, AT).withColumn(name, F.coalesce(own, "_carried")).drop("_key", "_t", "_block", "_v", "_carried")
+
+
+def runs(df: DataFrame, key: str | Sequence[str], time: str, label: str, max_gap: Column | int | None = None, block_us: int = DAY, name: str = "run") -> DataFrame:
+    """`df` with `name`: a number per series, from 1 on, that grows where the label changes or a gap is longer than `max_gap` microseconds.
 
     A block's summary is its first and last label and time and the number of changes inside; chained, the summaries tell whether a
     block's first row begins a run and how many began before. `max_gap` may be an expression of a row's columns.
@@ -79,7 +88,7 @@ def runs(df: DataFrame, key: str | Sequence[str], time: str, label: str, max_gap
     begins = ends.withColumn("_begins", F.when(ahead.isNull() | new(F.col("_first._row"), ahead, F.col("_first._gap")), 1).otherwise(0))
     base = begins.select(*AT, (_so_far(F.col("_begins") + F.col("_changes")) + F.col("_begins")).alias("_base"))
     own = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return d.join(base, AT).withColumn("run", F.col("_base") + own).drop("_key", "_t", "_block", "_row", "_gap", "_new", "_base")
+    return d.join(base, AT).withColumn(name, F.col("_base") + own).drop("_key", "_t", "_block", "_row", "_gap", "_new", "_base")
 
 
 def rolling(df: DataFrame, key: str | Sequence[str], time: str, value: str, back_us: int, ahead_us: int, block_us: int = DAY) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import MINUTE, micros
 from ..sources.scratch import table
+from . import blocks
 from . import series as so
 from .learn import material, startup_boundary
 from .stats import middle
@@ -17,14 +18,17 @@ PHASES = ("low", "high", "steady", "startup")
 
 
 def debounced(df: DataFrame, keys: Sequence[str], time: str, label: str, least: int = 2) -> DataFrame:
-    """`label` of each run shorter than `least` becomes that of the run before; leading ones take the second run's. Series of under three rows stay."""
-    every = Window.partitionBy(*keys)
-    w = every.orderBy(time)
-    new = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)
-    r = df.withColumn("_new", new).withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_seg")), "_all": F.count(F.lit(1)).over(every), "_second": F.max(F.when(F.col("_seg") == 2, F.col(label))).over(every)})
-    carried = F.last(F.when(F.col("_n") >= least, F.col(label)), ignorenulls=True).over(every.orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn(label, F.when(F.col("_all") < 3, F.col(label)).otherwise(F.coalesce(carried, "_second", label))).drop("_new", "_seg", "_n", "_all", "_second")
+    """`label` of each run shorter than `least` becomes that of the run before; leading ones take the second run's. Series of under three rows stay.
+
+    Runs are numbered block by block and counted by aggregation, the labels of long ones carried on from block to block.
+    """
+    keys = list(keys)
+    r = table(blocks.runs(df.withColumn("_g", F.struct(*keys)), keys, time, label, name="_seg"), "runs")
+    size = r.groupBy("_g", "_seg").agg(F.count(F.lit(1)).alias("_n"), F.first(label).alias("_l"))
+    whole = size.groupBy("_g").agg(F.sum("_n").alias("_all"), F.max(F.when(F.col("_seg") == 2, F.col("_l"))).alias("_second"))
+    known = r.join(size.drop("_l"), ["_g", "_seg"]).join(whole, "_g")
+    carried = blocks.filled(known, keys, time, F.when(F.col("_n") >= least, F.col(label)), "_carried_label")
+    return carried.withColumn(label, F.when(F.col("_all") < 3, F.col(label)).otherwise(F.coalesce("_carried_label", "_second", label))).drop("_g", "_seg", "_n", "_all", "_second", "_carried_label")
 
 
 def phase_learning(df: DataFrame, key: str, time: str, value: str, state: str, gap_factor: float = 2.5, least_gap_us: int = 30 * MINUTE, limit_minutes: float = 720.0, minimum: int = 4, occurrences: int = 2, least: float = 20.0, relative: float = 0.08) -> DataFrame:

@@ -13,33 +13,30 @@ from ..sources.scratch import table
 GRID, EXACT = 64, 10_000
 
 
-def _sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("_n"))
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], small: int = 100_000, few: int = 10_000) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], more: Sequence[Column] = (), small: int = 100_000, few: int = 10_000) -> DataFrame:
     """keys, n (values that aren't null), q (an array, one quantile a share), as `percentile` gives them: exact, linear between neighbours.
 
-    Groups of up to `small` rows are left to `percentile`, which keeps a group's values in one task. The others never meet in
+    Groups of up to `small` values are left to `percentile`, which keeps a group's values in one task. The others never meet in
     a task: a summary that tasks merge brackets each wanted rank between two values, the rows below and between are
     counted, and the rows between are bracketed again, until at most `few` are left or the rank falls among
     rows that equal a bracket's end. Each pass leaves a few hundredths of the rows at most, and counts decide, so the result is exact
     whatever the summary's error. NaN is the greatest value, -0.0 counts as 0.0; a group without values has null.
+    `more` are further aggregates of the groups, with names.
     """
-    keys, v = list(keys), F.col(value).cast("double") + F.lit(0.0)
-    rows = df.select(*keys, v.alias("_v"))
-    n = table(_sizes(rows, keys, "_v"), "sizes")
-    plain = lambda d: d.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
-    if n.where(F.col("_n") > small).isEmpty():
-        return plain(rows)
-    named = F.struct(*keys).alias("_g") if keys else F.struct(F.lit(0).alias("one")).alias("_g")
-    rows = rows.select(named, "_v")
-    n = n.select(named, "_n")
-    large, rest = n.where(F.col("_n") > small), n.where(F.col("_n") <= small)
-    found = _selected(rows.where("_v IS NOT NULL"), large, list(shares), few)
-    back = lambda d: d.select(*[F.col("_g").getField(k).alias(k) for k in keys], "n", "q")
-    under = rows.join(rest.select("_g"), "_g", "left_semi").select(*[F.col("_g").getField(k).alias(k) for k in keys], "_v")
-    return back(found).unionByName(plain(under)) if keys else back(found)
+    keys = list(keys)
+    d = df.withColumn("_v", (F.col(value) if isinstance(value, str) else value).cast("double") + F.lit(0.0))
+    plain = lambda rows: rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"), *more)
+    named = F.struct(*keys) if keys else F.struct(F.lit(0).alias("one"))
+    n = table(d.groupBy(named.alias("_g")).agg(F.count("_v").alias("_n")), "sizes")
+    large = n.where(F.col("_n") > small)
+    if large.isEmpty():
+        return plain(d)
+    d = d.withColumn("_g", named)
+    rest, big = d.join(n.where(F.col("_n") <= small), "_g", "left_semi"), d.join(large, "_g", "left_semi")
+    found = _selected(big.where("_v IS NOT NULL").select("_g", "_v"), large, list(shares), few)
+    whole = found.join(big.groupBy("_g").agg(*more), "_g") if more else found
+    of_group = whole.select(*[F.col("_g").getField(k).alias(k) for k in keys], *[c for c in whole.columns if c != "_g"])
+    return of_group.unionByName(plain(rest)) if keys else of_group
 
 
 def _selected(rows: DataFrame, groups: DataFrame, shares: list[float], few: int) -> DataFrame:
@@ -50,17 +47,16 @@ def _selected(rows: DataFrame, groups: DataFrame, shares: list[float], few: int)
     state = table(ranks.withColumns({"_low": F.lit(None).cast("double"), "_high": F.lit(None).cast("double"), "_below": F.lit(0).cast("long"), "_m": F.col("_n"), "_found": F.lit(None).cast("double")}), "ranks")
     # the first pass serves all ranks of a group in one scan, without a copy of a row for each
     near = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-3 / EXACT, 3 / EXACT)})
-    first = rows.join(groups.select("_g"), "_g", "left_semi")
-    told = first.groupBy("_g").agg(F.percentile_approx("_v", near, EXACT).alias("_q"))
+    told = rows.groupBy("_g").agg(F.percentile_approx("_v", near, EXACT).alias("_q"))
     ends = state.join(told, "_g").select(*state.columns[:4], F.element_at("_q", _nearest(near, shares, -1)).alias("_a"), F.element_at("_q", _nearest(near, shares, 1)).alias("_b"))
     ends = table(ends, "brackets")
     bounds = table(ends.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "_a", "_b"))).alias("_t")), "bounds")
     # five counts for each rank of a group, in one row of arrays
     count = lambda i, ok: F.count_if(ok(F.col("_v"), F.col("_t")[i])).alias
     sums = [F.struct(*[count(i, ok)(c) for c, ok in _COUNTS.items()]).alias(f"_c{i}") for i in range(len(wanted))]
-    counted = first.join(bounds, "_g").groupBy("_g").agg(*sums).select("_g", F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(len(wanted))])).alias("_r", "_c"))
+    counted = rows.join(bounds, "_g").groupBy("_g").agg(*sums).select("_g", F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(len(wanted))])).alias("_r", "_c"))
     state = table(_narrowed(state.join(ends.select("_g", "_r", "_a", "_b"), ["_g", "_r"]).join(counted, ["_g", "_r"])), "ranks")
-    left = first
+    left = rows
     while not (open_ := state.where("_found IS NULL")).where(F.col("_m") > few).isEmpty():
         left = table(_inside(left, open_), "left")
         told = left.groupBy("_g", "_r").agg(F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], EXACT).alias("_q"))

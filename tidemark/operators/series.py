@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, SECOND, micros
+from ..sources.scratch import table
+from . import blocks
+from .quantiles import quantiles
 
 
 def ordered(key: str | Sequence[str], time: str = "time"):
@@ -40,10 +43,14 @@ def rate(df: DataFrame, key: str | Sequence[str], time: str, value: str) -> Data
     return df.withColumn("rate", F.greatest(F.lit(0.0), (F.col(value) - F.lag(value).over(w)) / ((micros(time) - F.lag(micros(time)).over(w)) / SECOND)))
 
 
-def cadence(df: DataFrame, key: str, time: str) -> DataFrame:
-    """key, cadence: the median positive step, whole microseconds."""
-    steps = df.select(key, (micros(time) - F.lag(micros(time)).over(ordered(key, time))).alias("_d"))
-    return steps.where("_d > 0").groupBy(key).agg(F.median("_d").cast("long").alias("cadence"))
+def steps(df: DataFrame, key: str, time: str, block_us: int = DAY) -> DataFrame:
+    """`df` with _back: microseconds since the row before in its series, null for the first."""
+    return blocks.before(df, key, time, block_us=block_us).withColumn("_back", micros(time) - F.col("_before._t")).drop("_before")
+
+
+def cadence(steps: DataFrame, key: str) -> DataFrame:
+    """key, cadence: the median positive step, whole microseconds, of rows with _back (see steps)."""
+    return quantiles(steps.where("_back > 0"), [key], "_back", [0.5]).select(key, F.col("q")[0].cast("long").alias("cadence"))
 
 
 def gap_markers(df: DataFrame, key: str, time: str, factor: float = 3.5, least: int = 60 * SECOND) -> DataFrame:
@@ -52,37 +59,29 @@ def gap_markers(df: DataFrame, key: str, time: str, factor: float = 3.5, least:
     A gap gets a row a pad after its start and before its end, or one at its middle if the two would cross; the pad
     is the cadence, a third of the gap at most.
     """
-    w = ordered(key, time)
-    steps = df.select(key, micros(time).alias("_t"), (F.lead(micros(time)).over(w) - micros(time)).alias("_d"))
-    gaps = steps.join(cadence(df, key, time), key).where(F.col("_d") > F.greatest(F.floor(F.col("cadence") * factor), F.lit(least)))
-    pad = F.least(F.col("cadence"), F.greatest(F.lit(1), F.expr("_d div 3")))
-    a, b = F.col("_t") + pad, F.col("_t") + F.col("_d") - pad
-    return gaps.select(key, F.explode(F.when(a < b, F.array(a, b)).otherwise(F.array(F.col("_t") + F.expr("_d div 2")))).alias("time_us"))
+    own = table(steps(df.select(key, time), key, time).select(key, (micros(time) - F.col("_back")).alias("_t"), "_back"), "steps")
+    gaps = own.join(cadence(own, key), key).where(F.col("_back") > F.greatest(F.floor(F.col("cadence") * factor), F.lit(least)))
+    pad = F.least(F.col("cadence"), F.greatest(F.lit(1), F.expr("_back div 3")))
+    a, b = F.col("_t") + pad, F.col("_t") + F.col("_back") - pad
+    return gaps.select(key, F.explode(F.when(a < b, F.array(a, b)).otherwise(F.array(F.col("_t") + F.expr("_back div 2")))).alias("time_us"))
 
 
 def segments(df: DataFrame, key: str, time: str, factor: float = 4.0, least: int = 300 * SECOND) -> DataFrame:
     """`segment`: a number that grows by 1 at each gap longer than max(factor * cadence, least)."""
-    w = ordered(key, time)
-    gap = df.withColumn("_d", micros(time) - F.lag(micros(time)).over(w)).join(cadence(df, key, time), key, "left")
-    flag = F.when(F.col("_d") > F.greatest(F.col("cadence") * factor, F.lit(least)), 1).otherwise(0)
-    return gap.withColumn("_f", flag).withColumn("segment", F.sum("_f").over(running(key, time))).drop("_d", "_f", "cadence")
+    own = table(steps(df, key, time), "steps")
+    flag = F.when(F.col("_back") > F.greatest(F.col("cadence") * factor, F.lit(least)), 1).otherwise(0)
+    return blocks.running_sum(own.join(cadence(own, key), key, "left"), key, time, flag, "segment").drop("_back", "cadence")
 
 
 def rolling_mean(df: DataFrame, key: str, time: str, value: str, minutes: int = 30) -> DataFrame:
-    """`mean` over (t - half, t + half], at least one value."""
+    """`mean` over (t - half, t + half], at least one value; see blocks.rolling."""
     half = minutes * 30 * SECOND
-    w = Window.partitionBy(key).orderBy(micros(time)).rangeBetween(-half + 1, half)
-    return df.withColumn("mean", F.avg(value).over(w))
+    return blocks.rolling(df, key, time, value, half, half).withColumn("mean", F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).drop("_sum", "_count")
 
 
 def islands(df: DataFrame, key: str, time: str, label: str, max_gap: Column | int | None = None) -> DataFrame:
     """`run`: a number per key that grows where the label changes or a gap is longer than `max_gap` microseconds."""
-    w = ordered(key, time)
-    new = ~F.col(label).eqNullSafe(F.lag(label).over(w))
-    if max_gap is not None:
-        new = new | ((micros(time) - F.lag(micros(time)).over(w)) > max_gap)
-    flag = F.when(F.lag(micros(time)).over(w).isNull() | new, 1).otherwise(0)
-    return df.withColumn("_new", flag).withColumn("run", F.sum("_new").over(running(key, time))).drop("_new")
+    return blocks.runs(df, key, time, label, max_gap)
 
 
 def _sampled(rows: DataFrame, samples: DataFrame, key: str, time: str, value: str, block_us: int, after: bool = True) -> DataFrame:
@@ -134,20 +133,54 @@ def interpolate(grid: DataFrame, samples: DataFrame, key: str, time: str, value:
     return seen.select(key, time, v.alias(value))
 
 
-def downsample(df: DataFrame, key: str, time: str, value: str, budget: int) -> DataFrame:
-    """Rows of each series that keep its ends and every bucket's extremes, `budget` at most.
+def even_pick(df: DataFrame, key: str, time: str, most: Column | int, order: Sequence[str] = ()) -> DataFrame:
+    """`most` rows of each series at the floors of even steps from its first to its last, all if there are no more; `most` may be a column, the same in a series."""
+    k = F.lit(most).cast("long") if isinstance(most, int) else most
+    r = blocks.numbered(df.withColumn("_k", k), key, time, order)
+    # i is picked if some j < k has floor(j (n - 1) / (k - 1)) = i
+    picked = F.expr("((_i * (_k - 1) + _n - 2) div greatest(_n - 1, 1)) * (_n - 1) div greatest(_k - 1, 1) = _i")
+    return r.where((F.col("_n") <= F.col("_k")) | ((F.col("_k") > 0) & ((F.col("_i") == 0) | ((F.col("_k") > 1) & picked)))).drop("_k", "_i", "_n")
+
+
+def stride(df: DataFrame, key: str, time: str, most: int) -> DataFrame:
+    """Every so manieth row of each series, from its first on, so that `most` at most are left."""
+    return blocks.numbered(df, key, time).where(f"_i % greatest(1, (_n + {most - 1}) div {most}) = 0").drop("_i", "_n")
 
-    (budget - 2) // 2 buckets of consecutive rows; in each the first least and the first greatest value stay.
+
+def downsample(df: DataFrame, key: str, time: str, value: str, budget: Column | int) -> DataFrame:
+    """Rows of each series that keep its ends and every bucket's extremes, `budget` at most, at least 2; it may be a column, the same in a series.
+
+    (budget - 2) // 2 buckets, or one, of consecutive rows; in each the first least and the first greatest value stay, found by
+    aggregation, null and NaN left out. What is then too many for a budget under 4 is picked evenly.
     """
-    buckets = max(1, (budget - 2) // 2)
-    w = Window.partitionBy(key)
-    r = df.withColumns({"_i": F.row_number().over(w.orderBy(time)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    k = F.lit(budget).cast("long") if isinstance(budget, int) else budget
+    cols = df.columns
+    r = blocks.numbered(df.withColumn("_k", F.greatest(k, F.lit(2).cast("long"))), key, time, [value]).withColumn("_own", F.struct("_i", *cols))
+    few, many = r.where("_n <= _k"), r.where("_n > _k")
     # bucket b holds the rows i with floor(b n / k) <= i < floor((b + 1) n / k)
-    r = r.withColumn("_b", F.expr(f"least({buckets - 1}, ((_i + 1) * {buckets} - 1) div _n)"))
-    g = Window.partitionBy(key, "_b")
-    lo, hi = F.row_number().over(g.orderBy(value, "_i")), F.row_number().over(g.orderBy(F.desc(value), "_i"))
-    kept = r.withColumns({"_lo": lo, "_hi": hi}).where((F.col("_n") <= budget) | (F.col("_lo") == 1) | (F.col("_hi") == 1) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1))
-    return kept.drop("_i", "_n", "_b", "_lo", "_hi")
+    bucket = F.expr("((_i + 1) * greatest(1, (_k - 2) div 2) - 1) div _n").alias("_b")
+    valued = many.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    found = valued.groupBy(key, bucket).agg(F.first("_k").alias("_k"), F.min_by("_own", F.struct(F.col(value), F.col("_i"))).alias("_low"), F.max_by("_own", F.struct(F.col(value), -F.col("_i"))).alias("_high"))
+    ends = many.where("_i = 0 OR _i = _n - 1").select("_k", "_own")
+    kept = ends.unionByName(found.select("_k", F.explode(F.array("_low", "_high")).alias("_own"))).distinct()
+    picked = even_pick(kept.where("_k < 4").select("_k", "_own.*"), key, time, F.col("_k"), ["_i"])
+    return few.select(*cols).unionByName(kept.where("_k >= 4").select("_own.*").select(*cols)).unionByName(picked.select(*cols))
+
+
+def gapped(df: DataFrame, key: str, time: str, value: str, budget: int, markers: DataFrame | None = None) -> DataFrame:
+    """key, time_us, value: `budget` rows a series at most, of which those without a value break the line at gaps.
+
+    Of the markers (gap_markers, or key and time_us of others) budget - 2 at most stay, picked evenly; the rest of the budget is
+    for values, of which 2 stay in any case. Rows of `df` without a value are markers too.
+    """
+    told = gap_markers(df, key, time) if markers is None else markers
+    none = df.where(F.col(value).isNull()).select(key, micros(time).alias("time_us"))
+    at = told.select(key, "time_us").unionByName(none).distinct().withColumn("_at", F.timestamp_micros("time_us"))
+    kept = even_pick(at, key, "_at", max(0, budget - 2)).select(key, "time_us")
+    counts = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_g"))
+    values = df.where(F.col(value).isNotNull()).select(key, time, value).join(counts, key, "left").withColumn("_left", F.greatest(F.lit(2), F.lit(budget) - F.coalesce("_g", F.lit(0))).cast("long"))
+    thin = downsample(values.drop("_g"), key, time, value, F.col("_left")).select(key, micros(time).alias("time_us"), value)
+    return thin.unionByName(kept, allowMissingColumns=True)
 
 
 def bounded_balance(df: DataFrame, key: str | Sequence[str], time: str, delta: str, start: float, low: float = 0.0, high: float = 100.0) -> DataFrame:
@@ -219,20 +252,21 @@ def balance_by_block(df: DataFrame, key: str, time: str, delta: str, block: Colu
 def day_breaks(df: DataFrame, key: str | Sequence[str], time: str) -> DataFrame:
     """key, time: the midnights that begin the day of a row whose predecessor is of another day."""
     keys = [key] if isinstance(key, str) else list(key)
-    s = df.withColumn("_prev", F.lag(F.to_date(time)).over(ordered(keys, time)))
-    return s.where(F.to_date(time) != F.col("_prev")).select(*keys, F.date_trunc("day", time).cast("timestamp_ntz").alias(time))
+    s = blocks.before(df.select(*keys, time), keys, time)
+    day = F.date_trunc("day", time).cast("timestamp_ntz")
+    return s.where(micros(day) > F.col("_before._t")).select(*keys, day.alias(time))
 
 
 def plot_trace(df: DataFrame, key: str, time: str, value: str, low: float, high: float, horizon_us: int, smooth_minutes: int, budget: int) -> DataFrame:
-    """key, time_us, value of a line to draw: in range, up to a horizon from the first value, smoothed, downsampled, with nulls where the line breaks.
+    """key, time_us, value of a line to draw: in range, up to a horizon from the first value, smoothed, `budget` rows a series with gap markers, with nulls at midnights besides.
 
-    It breaks at gaps of the smoothed series and at midnights between the values that stay.
+    A midnight breaks the line between the values that stay; these rows come on top of the budget, a day at most one.
     """
     clean = df.where(F.col(value).between(low, high)).select(key, time, value)
-    first = F.min(micros(time)).over(Window.partitionBy(key))
-    seen = clean.withColumn("_a", first).where(micros(time) <= F.col("_a") + horizon_us).drop("_a")
-    smooth = rolling_mean(seen, key, time, value, smooth_minutes).select(key, time, F.round("mean", 9).alias(value))
-    kept = downsample(smooth, key, time, value, budget)
-    lines = kept.select(key, micros(time).alias("time_us"), value)
-    breaks = gap_markers(smooth, key, time).union(day_breaks(kept, key, time).select(key, micros(time)))
-    return lines.unionByName(breaks.distinct(), allowMissingColumns=True)
+    first = clean.groupBy(key).agg(F.min(micros(time)).alias("_a"))
+    seen = clean.join(first, key).where(micros(time) <= F.col("_a") + horizon_us).drop("_a")
+    smooth = table(rolling_mean(seen, key, time, value, smooth_minutes).select(key, time, F.round("mean", 9).alias(value)), "smooth")
+    lines = table(gapped(smooth, key, time, value, budget), "lines")
+    drawn = lines.where(F.col(value).isNotNull()).select(key, F.timestamp_micros("time_us").cast("timestamp_ntz").alias(time))
+    breaks = day_breaks(drawn, key, time).select(key, micros(time).alias("time_us"))
+    return lines.unionByName(breaks.join(lines.where(F.col(value).isNull()), [key, "time_us"], "left_anti"), allowMissingColumns=True)

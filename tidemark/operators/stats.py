@@ -7,18 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import table
+from .quantiles import quantiles
+
 
 def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """count, mean, p50, p95 and max per group; quantiles are exact and interpolate linearly."""
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max(value).alias("max"))
+    """count, mean, p50, p95 and max per group; quantiles are exact and interpolate linearly, and no group meets in a task."""
+    g = quantiles(df, keys, value, [0.5, 0.95], [F.avg(value).alias("mean"), F.max(value).alias("max")])
     return g.select(*keys, "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "max")
 
 
 def middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float) -> DataFrame:
     """keys, `name` (the median), _scale, _n per group."""
-    med = rows.groupBy(*keys).agg(F.median(value).alias(name))
-    dev = rows.join(med, list(keys)).groupBy(*keys, name).agg((F.median(F.abs(F.col(value) - F.col(name))) * 1.4826).alias("_mad"), F.count(value).alias("_n"))
-    return dev.withColumn("_scale", F.greatest(F.lit(floor), F.col("_mad"))).drop("_mad")
+    keys = list(keys)
+    med = table(quantiles(rows, keys, value, [0.5]).select(*keys, F.col("q")[0].alias(name)), "medians")
+    dev = quantiles(rows.join(med, keys), [*keys, name], F.abs(F.col(value) - F.col(name)), [0.5])
+    return dev.select(*keys, name, F.greatest(F.lit(floor), F.col("q")[0] * 1.4826).alias("_scale"), F.col("n").alias("_n"))
 
 
 def robust_kept(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clean as op
+from ..operators import series as so
 from ..registry import query
 from ..sources.bindings import SERIES, WIDE15, events, series, table, wide15
 
@@ -162,10 +163,7 @@ def k2_tail_ascending(spark, sf):
 SELECT user_id, event_id FROM r WHERE n <= 10 OR i = 0 OR ((i * 9 + n - 2) // (n - 1)) * (n - 1) // 9 = i""")
 def k3_even_pick(spark, sf, k=10):
     """Rows at the floors of k even steps from first to last, per series: i is picked if some j has floor(j (n-1) / (k-1)) = i."""
-    w = Window.partitionBy("user_id")
-    r = events(spark, sf).select("user_id", "event_id", (F.row_number().over(w.orderBy("ts")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    picked = F.expr(f"((i * {k - 1} + n - 2) div greatest(n - 1, 1)) * (n - 1) div {k - 1} = i")
-    return r.where((F.col("n") <= k) | (F.col("i") == 0) | picked).select("user_id", "event_id")
+    return so.even_pick(events(spark, sf), "user_id", "ts", k).select("user_id", "event_id")
 
 
 @query("SELECT event_type, arg_max(user_id, (h, -s, -user_id)) AS best FROM (SELECT event_type, user_id, count(*) AS h, count(*) FILTER (value > 50) AS s FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -15,6 +15,7 @@ from ..registry import query
 from ..sources.bindings import ARCHIVE, MEMBERS, OBSERVED, archive, events, members, observed, table
 from ..streaming.streams import OPEN, alert_step
 from .learning import ENERGY, energy
+from .series import gapped_sql
 from .verify import BUCKET, CASES, INDEP, MOS, PAIRS, READY, SCEN, cases, independent, mos, pairs, ready, scenarios
 
 R = lambda c, n=6: F.round(c, n)
@@ -40,15 +41,14 @@ def p1_wide_summary(spark, sf):
     return j.select("key", "time", "label", *[R(c).alias(c) for c in ("click", "error", "view")], "n", "a_gain", "b_gain", "generated", R("used_kwh").alias("used_kwh"), "after_gap")
 
 
-@query("""WITH p AS (SELECT user_id AS key, time_bucket(INTERVAL 60 minute, ts) AS time, avg(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT * FROM p WHERE v BETWEEN 0 AND 100),
+@query(f"""WITH p AS (SELECT user_id AS key, time_bucket(INTERVAL 60 minute, ts) AS time, avg(value) AS v FROM events GROUP BY 1, 2), c AS (SELECT * FROM p WHERE v BETWEEN 0 AND 100),
 h AS (SELECT * FROM (SELECT *, min(epoch_us(time)) OVER (PARTITION BY key) AS a FROM c) WHERE epoch_us(time) <= a + 1728000000000),
 s AS (SELECT key, time, round(avg(v) OVER (PARTITION BY key ORDER BY epoch_us(time) RANGE BETWEEN 7199999999 PRECEDING AND 7200000000 FOLLOWING), 9) AS v FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM s), b AS (SELECT *, least(18, ((i + 1) * 19 - 1) // n) AS b FROM r),
-k AS (SELECT key, time, v FROM b QUALIFY n <= 40 OR i = 0 OR i = n - 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v, i) = 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v DESC, i) = 1),
 d AS (SELECT key, epoch_us(time) AS t, epoch_us(time) - lag(epoch_us(time)) OVER w AS back, lead(epoch_us(time)) OVER w - epoch_us(time) AS d FROM s WINDOW w AS (PARTITION BY key ORDER BY time)), ca AS (SELECT key, CAST(trunc(median(back)) AS BIGINT) AS cadence FROM d WHERE back > 0 GROUP BY 1),
 g AS (SELECT d.key, t, d, least(cadence, greatest(1, d // 3)) AS pad FROM d JOIN ca ON d.key = ca.key WHERE d > greatest(floor(cadence * 3.5), 60000000)),
-m AS (SELECT key, unnest(CASE WHEN t + pad < t + d - pad THEN [t + pad, t + d - pad] ELSE [t + d // 2] END) AS time_us FROM g UNION SELECT key, epoch_us(date_trunc('day', time)) FROM (SELECT *, lag(CAST(time AS DATE)) OVER (PARTITION BY key ORDER BY time) AS pd FROM k) WHERE CAST(time AS DATE) <> pd)
-SELECT key, epoch_us(time) AS time_us, round(v, 6) AS v FROM k UNION ALL SELECT key, time_us, NULL FROM m""")
+m AS (SELECT key, unnest(CASE WHEN t + pad < t + d - pad THEN [t + pad, t + d - pad] ELSE [t + d // 2] END) AS time_us FROM g), {gapped_sql("s", "m", 40)},
+n AS (SELECT key, epoch_us(date_trunc('day', time)) AS time_us FROM (SELECT *, lag(CAST(time AS DATE)) OVER (PARTITION BY key ORDER BY time) AS pd FROM kp) WHERE CAST(time AS DATE) <> pd)
+SELECT key, epoch_us(time) AS time_us, round(v, 6) AS v FROM kp UNION ALL SELECT key, time_us, NULL FROM (SELECT * FROM mp UNION SELECT * FROM n)""")
 def p4_plot_traces(spark, sf):
     p = events(spark, sf).groupBy(F.col("user_id").alias("key"), bucket("ts", 60).alias("time")).agg(F.avg("value").alias("v"))
     return so.plot_trace(p, "key", "time", "v", 0, 100, 20 * DAY, 240, 40).withColumn("v", R("v"))

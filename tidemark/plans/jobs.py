@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as fx
 from ..functions.times import micros
 from ..operators import clean as co
-from ..operators import series as so
+from ..operators import grids
 from ..registry import query
 from ..sources.bindings import MEDIA, PERFLOG, WIDE15, events, media, perflog, table, wide15
 from .series import _HOURS, hours
@@ -28,17 +27,16 @@ def p2_meteorology_summary(spark, sf):
     return s.select("time", R("u").alias("u"), R("v").alias("v"), R(speed).alias("speed"), R(direction).alias("direction"))
 
 
-@query("""WITH g AS (SELECT CAST(l_shipdate AS DATE) AS time, l_linenumber AS gate, avg(l_quantity) AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate <= TIMESTAMP '1998-12-31' AND l_linenumber <= 4 GROUP BY 1, 2),
-t AS (SELECT time, (row_number() OVER (ORDER BY time) - 1) // 5 AS tb, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM g))
-SELECT min(time) AS time, gate, round(avg(v), 6) AS v FROM g JOIN t USING (time) WHERE (tb + 1) * 5 <= n GROUP BY tb, gate""")
-def p3_window_view(spark, sf, start="1997-01-01 00:00:00", end="1998-12-31 00:00:00", gates=4, block=5):
-    """A window and range of a grid, coarsened in time."""
-    rows = co.window_slice(table(spark, sf, "lineitem"), "l_shipdate", start, end).where(F.col("l_linenumber") <= gates)
-    g = rows.groupBy(F.to_date("l_shipdate").alias("time"), F.col("l_linenumber").alias("gate")).agg(F.avg("l_quantity").alias("v"))
-    # one row per day of the window is ordered, whatever the grid holds
-    w = Window.orderBy("time")
-    t = g.select("time").distinct().withColumns({"tb": F.floor((F.row_number().over(w) - 1) / block), "n": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where(f"(tb + 1) * {block} <= n")
-    return g.join(t, "time").groupBy("tb", "gate").agg(F.min("time").alias("time"), R(F.avg("v")).alias("v")).drop("tb")
+@query("""WITH g AS (SELECT CAST(l_shipdate AS DATE) AS time, l_partkey AS gate, avg(l_quantity) AS v FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND l_partkey BETWEEN 0 AND 2500 GROUP BY 1, 2),
+s AS (SELECT g.* FROM g JOIN (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i FROM (SELECT DISTINCT time FROM g)) t ON g.time = t.time AND i % 2 = 0),
+h AS (SELECT gate, row_number() OVER (ORDER BY gate) - 1 AS i, count(*) OVER () AS n, greatest(1, CAST(ceil(count(*) OVER () / 300.0) AS BIGINT)) AS k FROM (SELECT DISTINCT gate FROM s)),
+t AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n, greatest(1, CAST(ceil(count(*) OVER () / 300.0) AS BIGINT)) AS k FROM (SELECT DISTINCT time FROM s)),
+hc AS (SELECT gate, avg(gate) OVER (PARTITION BY i // k) AS c FROM h WHERE (i // k + 1) * k <= n), tc AS (SELECT time, CAST(sum(epoch_us(time)) OVER w // count(*) OVER w AS BIGINT) AS c FROM t WHERE (i // k + 1) * k <= n WINDOW w AS (PARTITION BY i // k)),
+m AS (SELECT time, hc.c AS gate, avg(v) AS v FROM s JOIN hc USING (gate) GROUP BY 1, 2) SELECT make_timestamp(tc.c) AS time, gate, round(avg(v), 6) AS v FROM m JOIN tc ON m.time = tc.time GROUP BY 1, 2""")
+def p3_window_view(spark, sf, start="1997-01-01 00:00:00", end="1998-12-31 00:00:00"):
+    """Two years and 2,500 gates of a grid, thinned and coarsened in gates and time to what a view of that size needs."""
+    g = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("time"), F.col("l_partkey").alias("gate")).agg(F.avg("l_quantity").alias("v"))
+    return grids.window_view(g, "time", "gate", "v", start, end, 0.0, 2500.0).withColumn("v", R("v"))
 
 
 @query(f"""WITH {MEDIA}, n AS (SELECT * FROM media WHERE event_id % 3 <> 0), u AS (SELECT *, 0 AS rev FROM media WHERE event_id % 3 = 0 UNION ALL SELECT *, 1 FROM n), h AS (SELECT *, date_trunc('hour', time) AS hour, epoch_us(time) % 3600000000 AS us FROM u)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, MINUTE, SECOND, bucket, micros
+from ..operators import blocks, grids
 from ..operators import series as op
 from ..registry import query
 from ..sources.bindings import COUNTERS, OBSERVED, SERIES, WIDE15, counters, events, observed, series, table, wide15
@@ -33,15 +34,14 @@ def _grid(spark, sf):
 
 
 @query("""WITH g AS (SELECT CAST(l_shipdate AS DATE) AS time, l_linenumber AS gate, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
-t AS (SELECT time, (row_number() OVER (ORDER BY time) - 1) // 7 AS tb, count(*) OVER () AS n, row_number() OVER (ORDER BY time) AS i FROM (SELECT DISTINCT time FROM g)),
-h AS (SELECT gate, (row_number() OVER (ORDER BY gate) - 1) // 2 AS gb, count(*) OVER () AS n FROM (SELECT DISTINCT gate FROM g))
-SELECT min(g.time) AS time, min(g.gate) AS gate, round(avg(v), 6) AS v FROM g JOIN t USING (time) JOIN h USING (gate) WHERE (tb + 1) * 7 <= t.n AND (gb + 1) * 2 <= h.n GROUP BY tb, gb""")
+t AS (SELECT time, (row_number() OVER (ORDER BY time) - 1) // 7 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM g)),
+h AS (SELECT gate, (row_number() OVER (ORDER BY gate) - 1) // 2 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT gate FROM g)),
+tc AS (SELECT time, CAST(sum(epoch_us(time)) OVER w // count(*) OVER w AS BIGINT) AS c FROM t WHERE (b + 1) * 7 <= n WINDOW w AS (PARTITION BY b)),
+hc AS (SELECT gate, avg(gate) OVER (PARTITION BY b) AS c FROM h WHERE (b + 1) * 2 <= n), m AS (SELECT time, hc.c AS gate, avg(v) AS v FROM g JOIN hc USING (gate) GROUP BY 1, 2)
+SELECT make_timestamp(tc.c) AS time, m.gate, round(avg(v), 6) AS v FROM m JOIN tc ON m.time = tc.time GROUP BY 1, 2""")
 def a4_coarsen(spark, sf, by_time=7, by_gate=2):
-    """Means of blocks of consecutive times and gates; incomplete blocks at the ends are dropped."""
-    g = _grid(spark, sf)
-    axis = lambda c, k, name: g.select(c).distinct().withColumns({name: F.expr(f"(row_number() over (order by {c}) - 1) div {k}"), f"{name}_n": F.expr(f"count(*) over (order by {c} rows between unbounded preceding and unbounded following)")}).where(f"({name} + 1) * {k} <= {name}_n").drop(f"{name}_n")
-    blocks = g.join(axis("time", by_time, "tb"), "time").join(F.broadcast(axis("gate", by_gate, "gb")), "gate")
-    return blocks.groupBy("tb", "gb").agg(F.min("time").alias("time"), F.min("gate").alias("gate"), F.round(F.avg("v"), 6).alias("v")).drop("tb", "gb")
+    """Means of blocks of consecutive gates, then times; incomplete blocks at the ends are dropped."""
+    return grids.coarsen(_grid(spark, sf), "v", {"gate": by_gate, "time": by_time}).withColumn("v", F.round("v", 6))
 
 
 @query(f"""WITH {COUNTERS}, c AS (SELECT *, CASE WHEN epoch_us(time) // 1000000 % 11 <> 0 THEN counter END AS c, CAST(time AS DATE) AS day FROM counters),
@@ -81,8 +81,7 @@ def e9_segments(spark, sf):
 
 @query(f"WITH {SERIES} SELECT key, date_trunc('day', time) AS time FROM series QUALIFY CAST(time AS DATE) <> lag(CAST(time AS DATE)) OVER (PARTITION BY key ORDER BY time)")
 def e10_day_breaks(spark, sf):
-    s = series(spark, sf).withColumn("prev", F.lag(F.to_date("time")).over(op.ordered("key")))
-    return s.where(F.to_date("time") != F.col("prev")).select("key", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time"))
+    return op.day_breaks(series(spark, sf), "key", "time")
 
 
 @query(f"WITH {SERIES} SELECT key, time, round(avg(v) OVER (PARTITION BY key ORDER BY epoch_us(time) RANGE BETWEEN 899999999 PRECEDING AND 900000000 FOLLOWING), 6) AS mean FROM series")
@@ -285,22 +284,29 @@ def e36_downsample(spark, sf):
     return op.downsample(series(spark, sf), "key", "time", "v", 20)
 
 
-@query(f"""WITH {_CADENCE}, g AS (SELECT d.key, t, d, least(cadence, greatest(1, d // 3)) AS pad FROM d JOIN c ON d.key = c.key WHERE d > greatest(floor(cadence * 3.5), 60000000)),
-m AS (SELECT key, unnest(CASE WHEN t + pad < t + d - pad THEN [t + pad, t + d - pad] ELSE [t + d // 2] END) AS time_us FROM g),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM series), b AS (SELECT *, least(8, ((i + 1) * 9 - 1) // n) AS b FROM r),
-k AS (SELECT key, epoch_us(time) AS time_us, v FROM b QUALIFY n <= 20 OR i = 0 OR i = n - 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v, i) = 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v DESC, i) = 1)
-SELECT key, time_us, v FROM k UNION ALL SELECT key, time_us, NULL FROM m""")
+def gapped_sql(base, markers, k):
+    """CTEs mp (key, time_us: the markers that stay) and kp (key, time, v: the values that stay) of at most k rows a series."""
+    return f"""mk AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time_us) - 1 AS j, count(*) OVER (PARTITION BY key) AS g FROM {markers}),
+mp AS (SELECT key, time_us FROM mk WHERE g <= {k - 2} OR j = 0 OR ((j * {k - 3} + g - 2) // (g - 1)) * (g - 1) // {k - 3} = j), mc AS (SELECT key, count(*) AS g FROM mp GROUP BY 1),
+kr AS (SELECT b.*, row_number() OVER (PARTITION BY b.key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY b.key) AS n, greatest(2, {k} - coalesce(g, 0)) AS fb FROM {base} b LEFT JOIN mc ON mc.key = b.key),
+kb AS (SELECT *, ((i + 1) * greatest(1, (fb - 2) // 2) - 1) // n AS b FROM kr),
+ks AS (SELECT * FROM kb QUALIFY n <= fb OR i = 0 OR i = n - 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v, i) = 1 OR row_number() OVER (PARTITION BY key, b ORDER BY v DESC, i) = 1),
+kn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY key) AS c FROM ks), kp AS (SELECT key, time, v FROM kn WHERE c <= fb OR p = 0 OR ((p * (fb - 1) + c - 2) // (c - 1)) * (c - 1) // (fb - 1) = p)"""
+
+
+_GAPS = """g AS (SELECT d.key, t, d, least(cadence, greatest(1, d // 3)) AS pad FROM d JOIN c ON d.key = c.key WHERE d > greatest(floor(cadence * 3.5), 60000000)),
+m AS (SELECT key, unnest(CASE WHEN t + pad < t + d - pad THEN [t + pad, t + d - pad] ELSE [t + d // 2] END) AS time_us FROM g)"""
+
+
+@query(f"WITH {_CADENCE}, {_GAPS}, {gapped_sql('series', 'm', 20)} SELECT key, epoch_us(time) AS time_us, v FROM kp UNION ALL SELECT key, time_us, NULL FROM mp")
 def e37_gapped_downsample(spark, sf):
-    s = series(spark, sf)
-    kept = op.downsample(s, "key", "time", "v", 20).select("key", micros("time").alias("time_us"), "v")
-    return kept.unionByName(op.gap_markers(s, "key", "time"), allowMissingColumns=True)
+    """Values and the markers of gaps, 20 rows a series together: 18 markers at most, evenly picked."""
+    return op.gapped(series(spark, sf), "key", "time", "v", 20)
 
 
 @query(f"WITH {SERIES} SELECT key, time, v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM series) WHERE i % greatest(1, CAST(ceil(n / 25.0) AS BIGINT)) = 0")
 def e38_stride(spark, sf, most=25):
-    w = Window.partitionBy("key")
-    r = series(spark, sf).withColumns({"i": F.row_number().over(w.orderBy("time")) - 1, "n": F.count(F.lit(1)).over(w)})
-    return r.where(f"i % greatest(1, (n + {most - 1}) div {most}) = 0").select("key", "time", "v")
+    return op.stride(series(spark, sf), "key", "time", most).select("key", "time", "v")
 
 
 @query("""WITH s AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, ts AS time, value - 20 AS d FROM events),

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, bucket, micros
+from ..operators import blocks
 from ..operators import series as so
 from ..operators import stats as op
+from ..operators.phases import debounced
 from ..registry import query
 from ..sources.bindings import MEDIA, OBSERVED, PERFLOG, TYPES, WIDE15, events, media, observed, perflog, wide15
 from .series import _HOURS, hours
@@ -105,10 +107,10 @@ e AS (SELECT *, CASE WHEN on_ AND NOT coalesce(pon AND epoch_us(ts) - epoch_us(p
 
 
 def _episodes(spark, sf):
-    w = so.ordered("key", "ts")
     s = events(spark, sf).select(F.col("user_id").alias("key"), "ts", "value", (F.col("value") > 10).alias("on"))
-    before = F.coalesce(F.lag("on").over(w) & (micros("ts") - F.lag(micros("ts")).over(w) <= 24 * HOUR), F.lit(False))
-    return s.withColumn("start", (F.col("on") & ~before).cast("int"))
+    s = blocks.before(s, "key", "ts", ["on"])
+    before = F.coalesce(F.col("_before.on") & (micros("ts") - F.col("_before._t") <= 24 * HOUR), F.lit(False))
+    return s.withColumn("start", (F.col("on") & ~before).cast("int")).drop("_before")
 
 
 @query(f"WITH {_EPISODE} SELECT key, CAST(sum(start) AS BIGINT) AS episodes, count_if(on_) * 0.25 AS hours FROM e GROUP BY 1")
@@ -269,15 +271,16 @@ def e12_run_starts(spark, sf):
 _LIST_MEDIAN = lambda c: (F.get(F.array_sort(c), F.floor((F.size(c) - 1) / 2).cast("int")) + F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int"))) / 2
 
 
-@query("""WITH l AS (SELECT user_id AS key, ts, CASE WHEN value < 10 THEN 'low' WHEN value < 30 THEN 'mid' ELSE 'high' END AS label FROM events),
+@query("""WITH l AS (SELECT user_id AS key, ts, ['low', 'mid', 'high'][CASE WHEN abs(value - 5) <= least(abs(value - 20), abs(value - 60)) THEN 1 WHEN abs(value - 20) <= abs(value - 60) THEN 2 ELSE 3 END] AS label FROM events),
 i AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY key ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM l), r AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i),
-n AS (SELECT *, count(*) OVER (PARTITION BY key, run) AS n FROM r)
-SELECT key, ts, coalesce(last_value(CASE WHEN n >= 2 THEN label END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING), label) AS label FROM n""")
+n AS (SELECT *, count(*) OVER (PARTITION BY key, run) AS n, count(*) OVER (PARTITION BY key) AS whole, max(CASE WHEN run = 2 THEN label END) OVER (PARTITION BY key) AS second FROM r)
+SELECT key, ts, CASE WHEN whole < 3 THEN label ELSE coalesce(last_value(CASE WHEN n >= 2 THEN label END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING), second, label) END AS label FROM n""")
 def e18_debounced_label(spark, sf):
-    """Labels of runs shorter than two samples are replaced by the last longer run's."""
-    l = events(spark, sf).select(F.col("user_id").alias("key"), "ts", F.when(F.col("value") < 10, "low").when(F.col("value") < 30, "mid").otherwise("high").alias("label"))  # noqa: E741
-    r = so.islands(l, "key", "ts", "label").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "run")))
-    return r.select("key", "ts", F.coalesce(F.last(F.when(F.col("n") >= 2, F.col("label")), ignorenulls=True).over(so.running("key", "ts")), F.col("label")).alias("label"))
+    """Each value's nearest centre, the first of two alike; single samples take the label before them, leading ones the one after."""
+    centres = {"low": 5.0, "mid": 20.0, "high": 60.0}
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("value") - c).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("label")) for i, (n, c) in enumerate(centres.items())]))
+    l = events(spark, sf).select(F.col("user_id").alias("key"), "ts", near["label"].alias("label"))  # noqa: E741
+    return debounced(l, ["key"], "ts", "label").select("key", "ts", "label")
 
 
 @query("""WITH z AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS opp FROM events GROUP BY 1), c AS (SELECT e.user_id, value, ts, max(ts) OVER (PARTITION BY e.user_id) AS last FROM events e JOIN z ON e.user_id = z.user_id WHERE opp IS NULL OR ts > opp)
@@ -304,8 +307,8 @@ def e46_registry_repair(spark, sf, keep=168):
 
 @query("SELECT count_if(ch AND NOT st) AS violations, count(*) AS n FROM (SELECT value <> lag(value) OVER w AS ch, event_type <> lag(event_type) OVER w AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))")
 def e40_state_invariance(spark, sf):
-    w = so.ordered("user_id", "ts")
-    c = events(spark, sf).select((F.col("value") != F.lag("value").over(w)).alias("ch"), (F.col("event_type") != F.lag("event_type").over(w)).alias("st"))
+    c = blocks.before(events(spark, sf).select("user_id", "ts", "value", "event_type"), "user_id", "ts", ["value", "event_type"])
+    c = c.select((F.col("value") != F.col("_before.value")).alias("ch"), (F.col("event_type") != F.col("_before.event_type")).alias("st"))
     return c.agg(F.count_if(F.col("ch") & ~F.col("st")).alias("violations"), F.count(F.lit(1)).alias("n"))
 
 
@@ -313,7 +316,7 @@ def e40_state_invariance(spark, sf):
 r AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM i) SELECT key, ts FROM r QUALIFY run = max(run) OVER (PARTITION BY key)""")
 def e42_latest_geometry_run(spark, sf):
     r = so.islands(events(spark, sf).select(F.col("user_id").alias("key"), "ts", "event_type"), "key", "ts", "event_type")
-    return r.withColumn("m", F.max("run").over(Window.partitionBy("key"))).where("run = m").select("key", "ts")
+    return r.join(r.groupBy("key").agg(F.max("run").alias("run")), ["key", "run"]).select("key", "ts")
 
 
 @query(f"""WITH {_EPISODE}, q AS (SELECT key, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM e GROUP BY 1) SELECT count_if(NOT (p10 <= p50 AND p50 <= p90)) AS violations, count(*) AS n FROM q""")
