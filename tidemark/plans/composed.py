@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, bucket, micros
-from ..operators import learn
+from ..operators import learn, panes
+from ..operators.quantiles import quantiles
 from ..operators import series as so
 from ..operators import stats as op
 from ..registry import query
 from ..sources.bindings import ARCHIVE, MEMBERS, OBSERVED, archive, events, members, observed, table
+from ..sources.scratch import table as kept
 from ..streaming.streams import OPEN, alert_step
 from .learning import ENERGY, energy
 from .series import gapped_sql
-from .verify import BUCKET, CASES, INDEP, MOS, PAIRS, READY, SCEN, cases, independent, mos, pairs, ready, scenarios
+from .verify import BUCKET, CASES, INDEP, MOS, PAIRS, READY, SCEN, TRAILING, cases, independent, mos, pairs, ready, scenarios, solar_factor
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -58,24 +60,25 @@ _M9 = "count(*) AS n, round(avg(abs(error)), 9) AS mae, round(avg(error), 9) AS
 
 
 @query(f"""WITH {PAIRS}, {INDEP},
-w AS (SELECT time_bucket(INTERVAL 1 hour, valid_time - INTERVAL 1 microsecond) + to_hours(CAST(k AS INT)) AS now, error FROM indep, (SELECT unnest(range(1, 25)) AS k)),
+{TRAILING},
 hc AS (SELECT date_trunc('hour', valid_time) AS vh, target, lead, issue_time, forecast, abs(lead - target) AS d FROM archive, (SELECT unnest([3, 24, 48]) AS target) WHERE abs(lead - target) <= 14),
 hp AS (SELECT target, forecast - obs AS error FROM (SELECT * FROM hc QUALIFY row_number() OVER (PARTITION BY vh, target ORDER BY d, issue_time DESC) = 1) h JOIN observed o ON o.time = h.vh)
 SELECT 'bucket' AS section, bucket AS name, {_M9}, round(sqrt(avg(error * error)), 9) AS rmse, round(CASE WHEN avg(abs(ref - obs)) >= 0.5 THEN 1 - avg(abs(error)) / avg(abs(ref - obs)) END, 6) AS skill, count(DISTINCT cycle_time) AS cycles, {READY} FROM indep GROUP BY 2 HAVING count(*) >= 2
 UNION ALL SELECT 'mode', (site % 3) || ' ' || bucket, {_M9}, round(sqrt(avg(error * error)), 9), NULL, count(DISTINCT cycle_time), {READY} FROM indep WHERE site % 3 <> 2 GROUP BY 2
-UNION ALL SELECT 'trailing', strftime(now, '%Y-%m-%d %H'), {_M9}, NULL, NULL, NULL, NULL FROM w GROUP BY 2 HAVING count(*) >= 2
+UNION ALL SELECT 'trailing', strftime(now, '%Y-%m-%d %H'), {_M9}, NULL, NULL, NULL, NULL FROM trail GROUP BY 2 HAVING count(*) >= 2
 UNION ALL SELECT 'hindcast', CAST(target AS VARCHAR), {_M9}, round(sqrt(avg(error * error)), 9), NULL, NULL, NULL FROM hp GROUP BY 2""")
 def p5_verification(spark, sf):
     """Archive to independent rows; metrics, skill and readiness per lead bucket and mode, of the trailing day, and of hindcasts at fixed leads."""
-    p, e = independent(pairs(spark, sf)), F.col("error")
+    every, e = kept(pairs(spark, sf), "pairs"), F.col("error")
+    p = kept(independent(every), "independent")
     m = lambda: [F.count(F.lit(1)).alias("n"), R(F.avg(F.abs(e)), 9).alias("mae"), R(F.avg(e), 9).alias("bias")]
     rmse = lambda: R(F.sqrt(F.avg(e * e)), 9).alias("rmse")
     ref = F.avg(F.abs(F.col("ref") - F.col("obs")))
     named = lambda df, section: df.withColumn("section", F.lit(section))
     buckets = p.groupBy(F.col("bucket").alias("name")).agg(*m(), rmse(), R(F.when(ref >= 0.5, 1 - F.avg(F.abs(e)) / ref)).alias("skill"), F.count_distinct("cycle_time").alias("cycles"), ready()).where("n >= 2")
     modes = p.where("site % 3 <> 2").groupBy(F.concat_ws(" ", (F.col("site") % 3).cast("string"), "bucket").alias("name")).agg(*m(), rmse(), F.count_distinct("cycle_time").alias("cycles"), ready())
-    day = p.withColumn("now", F.window(F.col("valid_time") - F.make_dt_interval(secs=F.lit(0.000001)), "24 hours", "1 hour")["end"])
-    trailing = day.groupBy(F.date_format("now", "yyyy-MM-dd HH").alias("name")).agg(*m()).where("n >= 2")
+    day = panes.trailing_errors(every, "valid_time", ["cycle_time", "lead"], "issue_time", "error").where("n >= 2")
+    trailing = day.select(F.date_format("now", "yyyy-MM-dd HH").alias("name"), "n", R("mae", 9).alias("mae"), R("bias", 9).alias("bias"))
     a = archive(spark, sf).withColumns({"time": F.date_trunc("hour", "valid_time").cast("timestamp_ntz"), "target": F.explode(F.array(F.lit(3), F.lit(24), F.lit(48)))})
     d = F.abs(F.col("lead") - F.col("target"))
     held = a.where(d <= 14).groupBy("time", "target").agg(F.min_by("forecast", F.struct(d, -micros("issue_time"))).alias("forecast")).join(observed(spark, sf), "time").withColumn("error", F.col("forecast") - F.col("obs"))
@@ -139,7 +142,7 @@ def p12_alert_history(spark, sf):
     hits = e.join(rules, "event_type").select((F.col("user_id") * 10 + F.col("code")).alias("id"), F.col("user_id").alias("key"), F.col("ts").alias("time"), (F.col("value") >= F.col("lim")).alias("hit"))
     switch = e.where("event_type = 'signup'").select(F.col("user_id").alias("key"), F.col("ts").alias("time"), (F.col("value") > 15).cast("double").alias("v"))
     seen = so.asof(hits, switch, "key", "time", "v", 24 * HOUR, "backward")
-    rows = seen.select("id", F.col("time").cast("timestamp").alias("ts"), (F.col("hit") & ~F.coalesce(F.col("v_match") == 0, F.lit(False))).alias("on"))
+    rows = kept(seen.select("id", F.col("time").cast("timestamp").alias("ts"), (F.col("hit") & ~F.coalesce(F.col("v_match") == 0, F.lit(False))).alias("on")), "snapshots")
     notices, _ = alert_step(spark.createDataFrame([], OPEN), rows, HOUR, 12 * HOUR)
     return notices.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -160,20 +163,17 @@ SELECT site, issue_time, lead, round(soc, 5) AS soc, round(least(100, CASE WHEN
 def p15_deterministic_forecast(spark, sf):
     """Accumulated irradiance to rates, extended a day by persistence, to power by the panel's factor, less the current load, to a bounded balance, corrected per lead."""
     issue, key = ["site", "issue_time"], F.concat_ws("|", F.col("site").cast("string"), micros("issue_time").cast("string"))
-    a = archive(spark, sf)
-    acc = a.withColumn("acc", F.sum("forecast").over(Window.partitionBy(*issue).orderBy("lead").rowsBetween(Window.unboundedPreceding, 0)))
-    native = so.rate(acc, issue, "valid_time", "acc").where("rate IS NOT NULL").select(*issue, key.alias("key"), F.col("valid_time").alias("time"), (F.col("rate") * 36000).alias("irr"))
+    acc = archive(spark, sf).withColumn("acc", F.sum("forecast").over(Window.partitionBy(*issue).orderBy("lead").rowsBetween(Window.unboundedPreceding, 0)))
+    native = kept(so.rate(acc, issue, "valid_time", "acc").where("rate IS NOT NULL").select(*issue, key.alias("key"), F.col("valid_time").alias("time"), (F.col("rate") * 36000).alias("irr")), "native")
     # two steps after the last one: half a day and a day
     steps = native.groupBy("key").agg(F.max("time").alias("z")).select("key", F.explode(F.array(F.lit(12), F.lit(24))).alias("h"), (F.col("z") + F.make_dt_interval(hours=F.col("h"))).alias("horizon"))
     half = [learn.diurnal_extension(native, "key", "time", "irr", steps.where(F.col("h") == h), fallback_us=48 * HOUR, step_us=48 * HOUR) for h in (12, 24)]
     tail = half[0].union(half[1]).select(F.split("key", "[|]")[0].cast("long").alias("site"), F.timestamp_micros(F.split("key", "[|]")[1].cast("long")).cast("timestamp_ntz").alias("issue_time"), "time", "irr")
-    p = pairs(spark, sf)
-    fallback = p.agg((F.percentile("obs", F.lit(0.95)) / F.percentile("forecast", F.lit(0.95))).alias("fb"))
-    panels = p.where("forecast > 5").groupBy((F.col("site") % 10).alias("panel")).agg(F.count(F.lit(1)).alias("n"), F.median(F.col("obs") / F.col("forecast")).alias("m")).crossJoin(F.broadcast(fallback))
-    factor = panels.select("panel", F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.when(F.col("n") >= 6, F.col("m")).otherwise(F.col("fb")))).alias("factor"))
+    p = kept(pairs(spark, sf), "pairs")
+    factor = kept(solar_factor(p).select("panel", "factor"), "factors")
     e = events(spark, sf).withColumn("opp", F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).over(Window.partitionBy("user_id")))
-    load = e.where("opp IS NULL OR ts >= opp").groupBy(F.col("user_id").alias("site")).agg(F.median("value").alias("load"))
-    st = native.drop("key").union(tail).withColumn("panel", F.col("site") % 10).join(F.broadcast(factor), "panel", "left").join(load, "site")
+    load = quantiles(e.where("opp IS NULL OR ts >= opp").withColumnRenamed("user_id", "site"), ["site"], "value", [0.5]).select("site", F.col("q")[0].alias("load"))
+    st = native.drop("key").union(tail).withColumn("panel", F.col("site") % 10).join(factor, "panel", "left").join(load, "site")
     st = st.withColumn("d", F.col("irr") * F.coalesce("factor", F.lit(1.0)) - F.col("load"))
     b = so.bounded_balance(st, issue, "time", "d", 60.0)
     b = b.withColumns({"lead": F.expr(f"(unix_micros(cast(time as timestamp)) - unix_micros(cast(issue_time as timestamp))) div {HOUR}"), "i": F.row_number().over(Window.partitionBy(*issue).orderBy("time"))})

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import exprs as fx
 from ..functions.times import micros
 from ..operators import clean as co
-from ..operators import grids
+from ..operators import coverage, grids, perf
 from ..registry import query
-from ..sources.bindings import MEDIA, PERFLOG, WIDE15, events, media, perflog, table, wide15
-from .series import _HOURS, hours
+from ..sources.bindings import MEDIA, PERFLOG, TYPES, WIDE15, events, media, perflog, table, wide15
+from ..sources.scratch import table as kept
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -52,20 +52,39 @@ def p10_media_catalog(spark, sf):
     return cat.groupBy("media_type", "day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.date_trunc("hour", "time")).alias("hours"), F.max("time").alias("frontier"), F.min_by("event_id", F.struct(rank, -micros("time"))).alias("preferred"))
 
 
-@query(f"""WITH {PERFLOG} SELECT 'latency' AS section, event AS name, round(quantile_cont(duration_ms, 0.95), 6) AS value FROM perflog GROUP BY 2 UNION ALL SELECT 'sessions', event, count(DISTINCT session) FROM perflog GROUP BY 2
-UNION ALL SELECT 'level', event, CASE WHEN quantile_cont(duration_ms, 0.95) <= 40 THEN 1 WHEN quantile_cont(duration_ms, 0.95) <= 80 THEN 2 ELSE 3 END FROM perflog GROUP BY 2
-UNION ALL SELECT * FROM (SELECT 'slowest', CAST(event_id AS VARCHAR), duration_ms FROM perflog ORDER BY duration_ms DESC, event_id LIMIT 10)""")
+_LOG = f"""{PERFLOG}, lg AS (SELECT *, 'c' || (session % 3) AS control, ['', 'Googlebot/2.1', 'Mozilla (iPad)', 'Mozilla (iPhone; Mobile)', 'Mozilla (X11)'][event_id % 5 + 1] AS agent, CASE WHEN event_id % 4 > 0 THEN '/p' || (session % 13) END AS path FROM perflog)"""
+_OF = lambda rows, keys, v: f"SELECT {keys} AS name, count({v}) AS n, round(avg({v}), 6) AS value, round(quantile_cont({v}, 0.5), 6) AS p50, round(quantile_cont({v}, 0.95), 6) AS p95, max({v}) AS high FROM {rows} WHERE {v} IS NOT NULL GROUP BY 1"
+_TOP = lambda rows, name, most: f"SELECT {name} AS name, count(*) AS n, NULL AS value, NULL AS p50, NULL AS p95, NULL AS high FROM {rows} GROUP BY 1" + (f" ORDER BY n DESC, name LIMIT {most}" if most else "")
+
+
+@query(f"""WITH {_LOG}, ph AS (SELECT instrument, phase, v FROM (SELECT instrument, duration_ms AS phase_a, k AS phase_b FROM lg WHERE event = 'click') UNPIVOT (v FOR phase IN (phase_a, phase_b)))
+SELECT 'timing' AS section, * FROM ({_OF("lg", "event || '/' || instrument", "duration_ms")}) UNION ALL SELECT 'phase', * FROM ({_OF("ph", "instrument || '/' || phase", "v")})
+UNION ALL SELECT 'session', name, NULL, value, NULL, NULL, NULL FROM (SELECT unnest(['sessions', 'loaded', 'closed', 'heartbeats', 'max_k', 'max_duration_ms']) AS name, unnest([count(DISTINCT session), count_if(event = 'signup'), count_if(event = 'purchase'), count_if(event = 'error'), max(k), max(duration_ms)]::DOUBLE[]) AS value FROM lg)
+UNION ALL SELECT 'change', * FROM ({_TOP("(SELECT * FROM lg WHERE event = 'view')", "instrument || '/' || control", 10)}) UNION ALL SELECT 'client', * FROM ({_TOP("(SELECT ['unknown', 'bot', 'tablet', 'mobile', 'desktop'][event_id % 5 + 1] AS f FROM lg WHERE event = 'signup')", "f", 0)})
+UNION ALL SELECT 'path', * FROM ({_TOP("(SELECT path FROM lg WHERE event = 'signup' AND path IS NOT NULL)", "path", 10)}) UNION ALL SELECT 'coverage', * FROM ({_TOP("(SELECT instrument FROM lg WHERE event IN ('click', 'view'))", "CAST(instrument AS VARCHAR)", 0)})
+UNION ALL SELECT 'slowest', CAST(event_id AS VARCHAR), NULL, round(duration_ms, 6), NULL, NULL, NULL FROM (SELECT * FROM lg WHERE duration_ms IS NOT NULL ORDER BY duration_ms DESC, event_id LIMIT 10)""")
 def p13_performance_summary(spark, sf):
-    p = perflog(spark, sf)
-    s = p.groupBy("event").agg(F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.count_distinct("session").cast("double").alias("n"))
-    s = s.withColumn("level", F.when(F.col("p95") <= 40, 1.0).when(F.col("p95") <= 80, 2.0).otherwise(3.0))
-    long = s.select("event", R("p95").alias("latency"), F.col("n").alias("sessions"), "level").unpivot("event", ["latency", "sessions", "level"], "section", "value").select("section", F.col("event").alias("name"), "value")
-    slow = p.orderBy(F.desc("duration_ms"), "event_id").limit(10).select(F.lit("slowest").alias("section"), F.col("event_id").cast("string").alias("name"), F.col("duration_ms").alias("value"))
-    return long.union(slow)
-
-
-@query(f"""WITH {_HOURS}, o AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT event_type) AS k, count(*) AS n FROM events GROUP BY 1) SELECT cal.hour, CASE WHEN coalesce(k, 0) = 0 THEN 0 WHEN k < 5 THEN 1 ELSE 2 END AS state, coalesce(n, 0) AS n FROM cal LEFT JOIN o USING (hour)""")
-def p14_availability_strip(spark, sf, types=5):
-    o = events(spark, sf).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("event_type").alias("k"), F.count(F.lit(1)).alias("n"))
-    k = F.coalesce("k", F.lit(0))
-    return hours(spark, sf).join(o, "hour", "left").select("hour", F.when(k == 0, 0).when(k < types, 1).otherwise(2).alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
+    agents = F.array(*[F.lit(x) for x in ("", "Googlebot/2.1", "Mozilla (iPad)", "Mozilla (iPhone; Mobile)", "Mozilla (X11)")])
+    log = perflog(spark, sf).withColumns({"control": F.concat(F.lit("c"), F.col("session") % 3), "agent": F.get(agents, (F.col("event_id") % 5).cast("int")), "path": F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("/p"), F.col("session") % 13)), "phase_a": F.col("duration_ms"), "phase_b": F.col("k")})
+    s = perf.performance_summary(log, ["phase_a", "phase_b"], ["k", "duration_ms"], "click", "signup", "purchase", "error", "view", ["click", "view"])
+    return s.select("section", "name", "n", *[R(c).alias(c) for c in ("value", "p50", "p95")], "high")
+
+
+@query("""WITH d AS (SELECT event_type AS name, CAST(ts AS DATE) AS day, CAST(bit_or(1::BIGINT << CAST(hour(ts) AS INT)) AS BIGINT) AS bits FROM events WHERE value > 15 GROUP BY 1, 2), w AS (SELECT TIMESTAMP '2024-01-05 06:30:00' AS a, TIMESTAMP '2024-01-20 18:00:00' AS z),
+h AS (SELECT event_type AS name, count(DISTINCT date_trunc('hour', ts)) AS seen FROM events, w WHERE value > 15 AND date_trunc('hour', ts) BETWEEN date_trunc('hour', a) AND date_trunc('hour', z) GROUP BY 1), x AS (SELECT date_diff('hour', date_trunc('hour', a), date_trunc('hour', z)) + 1 AS expected FROM w),
+g AS (SELECT event_type AS name, least(63, (epoch_us(ts) - epoch_us(a)) * 64 // (epoch_us(z) - epoch_us(a))) AS s FROM events, w WHERE value > 15 AND ts BETWEEN a AND z),
+k AS (SELECT day, hh, count(DISTINCT name) AS n FROM (SELECT DISTINCT day FROM d) JOIN (SELECT unnest(range(24)) AS hh) ON true LEFT JOIN (SELECT day AS dy, name, bits FROM d) b ON b.dy = day AND (bits >> CAST(hh AS INT)) & 1 = 1 GROUP BY 1, 2)
+SELECT 'bits' AS section, name || ' ' || day AS name, bits, CAST(bit_count(bits) AS BIGINT) AS seen, 24 - bit_count(bits) AS missing FROM d UNION ALL SELECT 'hours', name, NULL, seen, expected - seen FROM h, x
+UNION ALL SELECT 'segments', name, CAST(bit_or(CASE WHEN s < 32 THEN 1::BIGINT << CAST(s AS INT) ELSE 0 END) AS BIGINT), count(DISTINCT s), 64 - count(DISTINCT s) FROM g GROUP BY 2
+UNION ALL SELECT 'state', day || ' ' || lpad(CAST(hh AS VARCHAR), 2, '0'), CASE WHEN n = 5 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END, NULL, NULL FROM k""")
+def p14_availability_strip(spark, sf, start="2024-01-05 06:30:00", end="2024-01-20 18:00:00"):
+    """Hour bits of each kind and day, the hours of a window that are missing, its 64 segments (of their bits the lower half), and each hour's state."""
+    e = events(spark, sf).where("value > 15").select(F.col("event_type").alias("name"), "ts")
+    days = kept(coverage.day_hours(e, "ts", ["name"]), "hours")
+    seen = F.bit_count("hours").cast("long")
+    bits = days.select(F.lit("bits").alias("section"), F.concat_ws(" ", "name", F.col("day").cast("string")).alias("name"), F.col("hours").alias("bits"), seen.alias("seen"), (24 - seen).alias("missing"))
+    hours_ = coverage.hour_coverage(days, ["name"], start, end).select(F.lit("hours").alias("section"), "name", F.lit(None).cast("long").alias("bits"), "seen", "missing")
+    parts = coverage.segment_bits(e, "ts", ["name"], start, end).select(F.lit("segments").alias("section"), "name", F.col("bits").bitwiseAND(F.lit((1 << 32) - 1)).alias("bits"), "seen", "missing")
+    none = F.lit(None).cast("long")
+    state = coverage.hour_states(days, "name", TYPES).select(F.lit("state").alias("section"), F.concat_ws(" ", F.col("day").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0")).alias("name"), F.col("state").cast("long").alias("bits"), none.alias("seen"), none.alias("missing"))
+    return bits.union(hours_).union(parts).union(state)

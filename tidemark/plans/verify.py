@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, bucket, micros
-from ..operators import ensemble
+from ..operators import ensemble, panes
 from ..operators import series as so
 from ..operators import stats as op
+from ..operators.quantiles import quantiles
 from ..registry import query
 from ..sources.bindings import ARCHIVE, MEMBERS, OBSERVED, archive, events, members, observed
+from ..sources.scratch import table as materialised
 
 R = lambda c, n=6: F.round(c, n)
 BUCKET = "CASE WHEN lead < 6 THEN '0-6' WHEN lead < 24 THEN '6-24' WHEN lead < 48 THEN '24-48' ELSE '48-96' END"
@@ -142,17 +144,28 @@ def a19_evidence_status(spark, sf):
 
 @query(f"WITH {PAIRS}, r AS (SELECT site % 10 AS panel, obs / forecast AS r FROM pairs WHERE forecast > 5), f AS (SELECT panel, count(*) AS n, median(r) AS m FROM r GROUP BY 1), a AS (SELECT quantile_cont(obs, 0.95) / quantile_cont(forecast, 0.95) AS fb FROM pairs) SELECT panel, n, round(least(20, greatest(0, CASE WHEN n >= 6 THEN m ELSE fb END)), 6) AS factor FROM f, a")
 def a34_solar_factor(spark, sf):
-    p = pairs(spark, sf)
-    fb = p.agg((F.percentile("obs", F.lit(0.95)) / F.percentile("forecast", F.lit(0.95))).alias("fb"))
-    f = p.where("forecast > 5").groupBy((F.col("site") % 10).alias("panel")).agg(F.count(F.lit(1)).alias("n"), F.median(F.col("obs") / F.col("forecast")).alias("m"))
-    return f.crossJoin(F.broadcast(fb)).select("panel", "n", R(F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.when(F.col("n") >= 6, F.col("m")).otherwise(F.col("fb"))))).alias("factor"))
+    f = solar_factor(materialised(pairs(spark, sf), "pairs"))
+    return f.select("panel", "n", R("factor").alias("factor"))
+
+
+def solar_factor(p):
+    """panel, n, factor: the median ratio of observed to forecast above 5; below six pairs the ratio of the P95 of all."""
+    top = lambda c, name: quantiles(p, [], c, [0.95]).select(F.col("q")[0].alias(name))
+    fallback = top("obs", "a").crossJoin(top("forecast", "b")).select((F.col("a") / F.col("b")).alias("fb"))  # a row each
+    panels = p.where("forecast > 5").withColumn("panel", F.col("site") % 10)
+    f = quantiles(panels, ["panel"], F.col("obs") / F.col("forecast"), [0.5], [F.count(F.lit(1)).alias("pairs")])
+    factor = F.least(F.lit(20.0), F.greatest(F.lit(0.0), F.when(F.col("pairs") >= 6, F.col("q")[0]).otherwise(F.col("fb"))))
+    return f.crossJoin(F.broadcast(fallback)).select("panel", F.col("pairs").alias("n"), factor.alias("factor"))
 
 
 MOS = "least(1.4, greatest(0.4, CASE WHEN count(*) >= 12 THEN median(obs / forecast) ELSE 1 END))"
 
 
 def mos(p):
-    return p.where("forecast > 0").groupBy("bucket").agg(F.least(F.lit(1.4), F.greatest(F.lit(0.4), F.when(F.count(F.lit(1)) >= 12, F.median(F.col("obs") / F.col("forecast"))).otherwise(1.0))).alias("factor"), F.count(F.lit(1)).alias("n"))
+    """bucket, factor, n: the median ratio of observed to forecast, 1 below 12 pairs."""
+    q = quantiles(p.where("forecast > 0"), ["bucket"], F.col("obs") / F.col("forecast"), [0.5], [F.count(F.lit(1)).alias("pairs")])
+    factor = F.least(F.lit(1.4), F.greatest(F.lit(0.4), F.when(F.col("pairs") >= 12, F.col("q")[0]).otherwise(1.0)))
+    return q.select("bucket", factor.alias("factor"), F.col("pairs").alias("n"))
 
 
 @query(f"WITH {PAIRS} SELECT bucket, count(*) AS n, round({MOS}, 6) AS factor FROM pairs WHERE forecast > 0 GROUP BY 1")
@@ -187,13 +200,15 @@ def e26_independent_rows(spark, sf):
     return independent(pairs(spark, sf)).select("cycle_time", "lead", "issue_time", R("error").alias("error"))
 
 
-@query(f"""WITH {PAIRS}, {INDEP}, w AS (SELECT time_bucket(INTERVAL 1 hour, valid_time - INTERVAL 1 microsecond) + to_hours(CAST(k AS INT)) AS now, error, ref, obs FROM indep, (SELECT unnest(range(1, 25)) AS k))
-SELECT now, count(*) AS n, round(avg(abs(error)), 9) AS mae, round(avg(error), 9) AS bias FROM w GROUP BY 1 HAVING count(*) >= 2""")
+TRAILING = """w AS (SELECT time_bucket(INTERVAL 1 hour, valid_time - INTERVAL 1 microsecond) + to_hours(CAST(k AS INT)) AS now, cycle_time, lead, valid_time, issue_time, error FROM pairs, (SELECT unnest(range(1, 25)) AS k)),
+trail AS (SELECT now, arg_max(error, issue_time) AS error FROM w GROUP BY now, cycle_time, lead, date_trunc('hour', valid_time))"""
+
+
+@query(f"WITH {PAIRS}, {TRAILING} SELECT now, count(*) AS n, round(avg(abs(error)), 9) AS mae, round(avg(error), 9) AS bias FROM trail GROUP BY 1 HAVING count(*) >= 2")
 def e25_trailing_metrics(spark, sf):
-    """Metrics over (now - 24 h, now] for each hour; a row's hour decides its windows, so they see the independent rows alike."""
-    p = independent(pairs(spark, sf)).withColumn("now", F.window(F.col("valid_time") - F.make_dt_interval(secs=F.lit(0.000001)), "24 hours", "1 hour")["end"])
-    g = p.groupBy("now").agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.abs("error")), 9).alias("mae"), R(F.avg("error"), 9).alias("bias"))
-    return g.where("n >= 2")
+    """Metrics over (now - 24 h, now] for each hour, of the latest issue in the window of each cycle, lead and clock hour."""
+    g = panes.trailing_errors(pairs(spark, sf), "valid_time", ["cycle_time", "lead"], "issue_time", "error")
+    return g.where("n >= 2").select("now", "n", R("mae", 9).alias("mae"), R("bias", 9).alias("bias"))
 
 
 @query(f"""WITH {ARCHIVE}, t AS (SELECT unnest([3, 24, 48]) AS target), c AS (SELECT date_trunc('hour', valid_time) AS vh, target, lead, issue_time, forecast, abs(lead - target) AS d FROM archive, t WHERE abs(lead - target) <= 14)

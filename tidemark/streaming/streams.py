@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros
 from ..operators.series import islands
-from ..sources.scratch import folder
+from ..sources.scratch import folder, table
 
 
 def source(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -91,16 +91,16 @@ def alert_step(state: DataFrame, rows: DataFrame, hold_us: int, repeat_us: int)
     out. All is windows over the ids' rows, which spill, so an id may have any number of rows.
     """
     told = rows.select("id", micros("ts").alias("t"), F.coalesce("on", F.lit(False)).alias("on")).where("id IS NOT NULL AND t IS NOT NULL")
+    now = told.agg(F.max("t").alias("a")).crossJoin(state.agg(F.max("now").alias("b"))).select(F.greatest("a", "b").alias("now")).first()["now"]  # a number
     new = told.join(state.select("id", "last"), "id", "left").where("last IS NULL OR t > last").groupBy("id", "t").agg(F.bool_or("on").alias("on"))
-    now = told.agg(F.max("t").alias("a")).crossJoin(state.agg(F.max("now").alias("b"))).select(F.greatest("a", "b").alias("now"))
     none = F.lit(None).cast("long")
     both = state.select("id", F.col("last").alias("t"), "on", "first", "sent").union(new.select("id", "t", "on", none, none))
     runs = islands(both.withColumn("time", F.timestamp_micros("t")), "id", "time", "on").groupBy("id", "run", "on").agg(F.coalesce(F.min("first"), F.min("t")).alias("first"), F.coalesce(F.max("sent"), F.lit(0)).alias("sent"), F.max("t").alias("last"))
-    ended = runs.withColumn("end", F.lead("first").over(Window.partitionBy("id").orderBy("run"))).crossJoin(F.broadcast(now))
+    ended = runs.withColumn("end", F.lead("first").over(Window.partitionBy("id").orderBy("run"))).withColumn("now", F.lit(now).cast("long"))
     # an end is itself no time of the condition
     until = F.coalesce(F.col("end") - 1, F.col("now"))
     n = F.when(F.col("on") & (until >= F.col("first") + hold_us), F.floor((until - F.col("first") - hold_us) / repeat_us) + 1).otherwise(0)
-    due = ended.withColumn("n", F.greatest(n, F.col("sent")))
+    due = table(ended.withColumn("n", F.greatest(n, F.col("sent"))), "due")  # notices and state are both taken from it
     alerts = due.where("on AND n > sent").select("id", "first", F.explode(F.sequence("sent", F.col("n") - 1)).alias("nth")).select("id", F.timestamp_micros(F.col("first") + hold_us + F.col("nth") * repeat_us).alias("ts"), F.lit("alert").alias("kind"), "nth")
     over = due.where("on AND end IS NOT NULL AND n > 0").select("id", F.timestamp_micros("end").alias("ts"), F.lit("recovery").alias("kind"), F.col("n").cast("long").alias("nth"))
     left = due.where("end IS NULL").select("id", "on", "first", F.col("n").cast("long").alias("sent"), "last", "now")
