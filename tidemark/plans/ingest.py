@@ -10,6 +10,8 @@ from ..registry import query
 from ..sources import files as src
 from ..sources.bindings import MEDIA, TYPES, WIDE15, events, media, table, wide15
 from ..sources.scratch import folder, lines
+from ..streaming.store import Store
+from ..streaming.streams import source
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -176,12 +178,14 @@ def s20_camera_index(spark, sf):
     return src.camera_index(events(spark, sf).select(own.alias("path")))
 
 
-@query("SELECT event_id, value, NULL::DOUBLE AS note FROM events")
+@query("SELECT event_id, value, CASE WHEN event_id % 2 = 1 THEN event_type END AS event_type FROM events")
 def t3_schema_policy(spark, sf):
-    """Extra columns are dropped, missing ones are null, in the order of the store."""
-    from ..streaming.streams import align_schema
-
-    return align_schema(events(spark, sf), {"event_id": "bigint", "value": "double", "note": "double"})
+    """A store of two columns grows by the one that is allowed when a second stream has it; that stream's other columns are dropped."""
+    stream = source(spark, f"{sf}/events.parque[t]", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    at = folder(spark, "policy")
+    store = Store(spark, f"{at}/store", ["event_id"], "event_id", policy="expand", allowed=["event_type"])
+    store.follow(stream.where("event_id % 2 = 0").select("event_id", "value"), f"{at}/even", "even")
+    return store.follow(stream.where("event_id % 2 = 1").select("event_id", "value", "event_type", "props"), f"{at}/odd", "odd")
 
 
 @query("SELECT max(epoch_us(ts)) < epoch_us(TIMESTAMP '2024-01-31 06:00:00') - 3600000000 AS stale FROM events")

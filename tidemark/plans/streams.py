@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.times import bucket
+from ..functions.times import micros
+from ..operators import panes
 from ..registry import query
 from ..sources.bindings import MEDIA, WIDE15, events, media, wide15
+from ..sources.scratch import folder
 from ..streaming import streams as st
+from ..streaming.store import followed
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -33,11 +36,12 @@ def t2_hold_back(spark, sf):
 
 @query("SELECT user_id, ts, value FROM (SELECT DISTINCT ON (user_id, date_trunc('minute', ts)) * FROM events ORDER BY user_id, date_trunc('minute', ts), event_id)")
 def t4_schema_repair(spark, sf):
-    """A store that is out of order or has repeats is rebuilt: sorted, the first of each minute."""
+    """A store with repeats, in no order, is found faulty and rebuilt: the first record of each minute, in order of time; the old one stays."""
     e = events(spark, sf)
-    shuffled = e.union(e.where("event_id % 3 = 0"))
-    w = Window.partitionBy("user_id", F.date_trunc("minute", "ts")).orderBy("event_id")
-    return shuffled.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "ts", "value")
+    at = folder(spark, "faulty")
+    e.union(e.where("event_id % 3 = 0")).withColumn("minute", F.date_trunc("minute", "ts").cast("timestamp_ntz")).write.parquet(at)
+    fixed, _ = st.repaired(spark, at, "user_id", "minute", "event_id")
+    return fixed.select("user_id", "ts", "value")
 
 
 _NOTICES = """ev AS (SELECT user_id AS id, epoch_us(ts) AS t, value > 25 AS on_ FROM events), nw AS (SELECT max(t) AS now FROM ev), ch AS (SELECT *, CASE WHEN on_ IS DISTINCT FROM lag(on_) OVER (PARTITION BY id ORDER BY t) THEN 1 ELSE 0 END AS c FROM ev),
@@ -61,8 +65,12 @@ def t6_alert_rules(spark, sf):
 
 @query("WITH r AS (SELECT user_id AS site, time_bucket(INTERVAL 1 hour, ts) AS issue, event_id AS seq, value FROM events), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY site, issue ORDER BY seq DESC) = 1) SELECT site, issue, seq, value FROM l WHERE issue >= (SELECT max(issue) FROM r) - INTERVAL 21 day")
 def t7_rolling_retention(spark, sf):
-    r = events(spark, sf).select(F.col("user_id").alias("site"), bucket("ts", 60).alias("issue"), F.col("event_id").alias("seq"), "value")
-    return st.retain(r, ["site", "issue"], "issue", "seq", 21)
+    """Issues merge into a store as they arrive, the last one of an hour wins; what is older than 21 days before the newest is pruned."""
+    r = _stream(spark, sf).select(F.col("user_id").alias("site"), F.date_trunc("hour", "ts").alias("issue"), F.col("event_id").alias("seq"), "value")
+    store = followed(r, ["site", "issue"], "seq")
+    newest = store.read().agg(F.max("issue")).first()[0]
+    store.prune(F.col("issue") >= F.lit(newest) - F.make_dt_interval(F.lit(21)))
+    return store.read().withColumn("issue", F.col("issue").cast("timestamp_ntz"))
 
 
 @query("WITH s AS (SELECT user_id, ts, CAST(floor(value / 20) AS BIGINT) AS sig FROM events) SELECT user_id, ts FROM s QUALIFY sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY user_id ORDER BY ts)")
@@ -72,16 +80,22 @@ def t9_skip_unchanged(spark, sf):
     return s.where(~F.col("sig").eqNullSafe(F.col("prev"))).select("user_id", "ts")
 
 
-@query("SELECT time_bucket(INTERVAL 1 day, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("""WITH p AS (SELECT event_type, time_bucket(INTERVAL 1 hour, ts - INTERVAL 1 microsecond) + INTERVAL 1 hour AS pane, value FROM events), w AS (SELECT event_type, pane + to_hours(CAST(k AS INT)) AS now, value FROM p, (SELECT unnest(range(24)) AS k))
+SELECT event_type, now, count(*) AS n, count_if(value > 30) AS high FROM w GROUP BY 1, 2""")
 def t10_windowed_counters(spark, sf):
-    """Daily counters in complete mode, so that the open day is there too."""
-    out = st.window_counts(_stream(spark, sf), "ts", ["event_type"], "1 day")
-    return st.run_to_snapshot(out, "counters").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Counts of the trailing day, for each hour: the stream keeps hourly panes, of which a window is 24."""
+    w = F.window(F.col("ts") - F.make_dt_interval(secs=F.lit(0.000001)), "1 hour")
+    e = _stream(spark, sf).withWatermark("ts", "1 hour").groupBy("event_type", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 30).alias("high"))
+    hourly = st.run_to_snapshot(e.select("event_type", micros(F.col("w.end")).alias("pane"), "n", "high"), "panes")
+    day = panes.slid(hourly, "pane", ["n", "high"], ["event_type"]).where("n > 0")
+    return day.select("event_type", F.timestamp_micros("pane").cast("timestamp_ntz").alias("now"), "n", "high")
 
 
 @query("WITH l AS (SELECT user_id AS id, arg_max(event_id, event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY 1) SELECT id, seq, value FROM l ORDER BY seq DESC LIMIT 4096")
 def t11_decision_log(spark, sf):
-    return st.upsert_log(events(spark, sf).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value"), "id", "seq", 4096)
+    """Decisions merge into a store by id; of the log the newest 4096 are shown."""
+    store = followed(_stream(spark, sf).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value"), ["id"], "seq")
+    return st.upsert_log(store.read(), "id", "seq", 4096)
 
 
 @query("SELECT (SELECT max(ts) FROM events WHERE event_type = 'view') >= TIMESTAMP '2024-01-31' - INTERVAL 2 day AS fresh, (SELECT max(ts) + INTERVAL 60 hour FROM events WHERE event_type = 'signup') >= TIMESTAMP '2024-01-31' + INTERVAL 24 hour AS covered")

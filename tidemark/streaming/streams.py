@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..operators.blocks import before
 from ..operators.series import islands
 from ..sources.scratch import folder, table
 
@@ -32,11 +33,61 @@ def run_to_table(stream: DataFrame, name: str, at: str | None = None) -> DataFra
 
 
 def run_to_snapshot(stream: DataFrame, name: str, at: str | None = None) -> DataFrame:
-    """Write the whole result of an aggregation to a Parquet table at each batch and return the newest."""
+    """Write the whole result of an aggregation at each batch, under the batch's number, and return the newest; an empty table before the first.
+
+    A batch that breaks off is written again before it counts as done, so the newest finished snapshot is always whole; older ones
+    than the last two are deleted.
+    """
     spark = stream.sparkSession
     at = at or folder(spark, name)
-    stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/table")).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/table")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/table/batch={batch}")
+        _forget(spark, f"{at}/table", batch - 1)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    done = [b for b in _batches(spark, f"{at}/table") if _finished(spark, f"{at}/table/batch={b}")]
+    return spark.read.schema(stream.schema).parquet(f"{at}/table/batch={done[-1]}") if done else spark.createDataFrame([], stream.schema)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _path(spark, path)
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if "=" in x.getPath().getName()) if fs.exists(at) else []
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def _forget(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the batches' folders with lower numbers than `before`."""
+    for b in _batches(spark, path):
+        if b < before:
+            fs, at = _path(spark, f"{path}/batch={b}")
+            fs.delete(at, True)
+
+
+def repaired(spark: SparkSession, path: str, key: str, time: str, order: str) -> tuple[DataFrame, str]:
+    """The table below `path` with strictly increasing times in each series, and the folder that holds it.
+
+    If no two rows of a series share a time, the table stays as it is. Otherwise it is rebuilt beside the old one, which stays:
+    of rows that share a time the one of least `order`, sorted by series and time inside each file.
+    """
+    rows = spark.read.parquet(path)
+    steps = before(rows, key, time, [order]).where(F.unix_micros(F.col(time).cast("timestamp")) <= F.col("_before._t"))
+    if steps.isEmpty():
+        return rows, path
+    at = f"{path}-rebuilt"
+    w = Window.partitionBy(key, time).orderBy(order)
+    first = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    first.repartitionByRange(key, time).sortWithinPartitions(key, time).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at), at
 
 
 def frontier_append(stream: DataFrame, time: str, keys: list[str], lateness: str = "2 days") -> DataFrame:
@@ -122,6 +173,9 @@ def alert_states(stream: DataFrame, at: str | None = None, hold_s: int = 3600, r
         notices, left = alert_step(state, rows, hold_s * 1_000_000, repeat_s * 1_000_000)
         left.write.mode("overwrite").parquet(f"{at}/state/batch={batch}")
         notices.write.mode("overwrite").parquet(f"{at}/notices/batch={batch}")
+        _forget(session, f"{at}/state", batch - 1)
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not _batches(spark, f"{at}/notices"):
+        return spark.createDataFrame([], ALERTS)
     return spark.read.schema(f"{ALERTS}, batch int").parquet(f"{at}/notices").drop("batch")
