@@ -103,10 +103,10 @@ def p6_ensemble_bands(spark, sf):
     return stacked([bands, skill])
 
 
-@query(f"WITH {SCEN} SELECT site, issue_time, CAST(scenario AS INT) AS scenario, used, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p_low, 6) AS p_low FROM e")
+@query(f"WITH {SCEN} SELECT site, issue_time, CAST(scenario AS INT) AS scenario, used, hours, round(min_p10, 6) AS min_p10, round(final_p10, 6) AS final_p10, round(p_low, 6) AS p_low FROM e")
 def p8_what_if(spark, sf):
-    """Start, duration and kit of each scenario over all members: the band of the lowest balance, and the probability that it is below 40."""
-    return scenarios(spark, sf).select("site", "issue_time", "scenario", "used", *[R(c).alias(c) for c in ("p10", "p50", "p90", "p_low")])
+    """Start, duration and kit of each scenario over all members: what the kit takes, the lowest and the last P10 of the balance, and the greatest probability that it is below 40."""
+    return scenarios(spark, sf).select("site", "issue_time", "scenario", "used", "hours", *[R(c).alias(c) for c in ("min_p10", "final_p10", "p_low")])
 
 
 @query("""WITH l AS (SELECT user_id, event_type, arg_max(value, ts) AS v, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 60000000 AS age FROM events GROUP BY 1, 2),

@@ -10,6 +10,7 @@ from ..operators import ensemble, panes
 from ..operators import series as so
 from ..operators import stats as op
 from ..operators.quantiles import quantiles
+from ..operators.scenarios import best_schedule, what_if
 from ..registry import query
 from ..sources.bindings import ARCHIVE, MEMBERS, OBSERVED, archive, events, members, observed
 from ..sources.scratch import table as materialised
@@ -232,34 +233,23 @@ _PHASE = "q AS (SELECT event_type AS phase, quantile_cont(value, 0.1) AS p10, qu
 # ---- composed jobs
 
 
-SCEN = f"""{MEMBERS}, c AS (SELECT site, issue_time, lead, member, value, scenario, CASE WHEN lead >= 3 + 9 * (scenario // 3) AND lead < 3 + 9 * (scenario // 3) + 24 THEN 6.0::DOUBLE * (scenario % 3) ELSE 0 END AS kit FROM members, (SELECT unnest(range(9)) AS scenario)),
-s AS (SELECT site, issue_time, member, scenario, list(value - 20 - kit ORDER BY lead) AS ds, sum(kit) AS used FROM c GROUP BY 1, 2, 3, 4), f AS (SELECT *, list_min([list_reduce(ds[1:k], lambda x, y: least(100, greatest(0, x + y)), 60.0::DOUBLE) for k in range(1, len(ds) + 1)]) AS low FROM s),
-e AS (SELECT site, issue_time, scenario, max(used) AS used, quantile_cont(low, 0.1) AS p10, quantile_cont(low, 0.5) AS p50, quantile_cont(low, 0.9) AS p90, avg(CASE WHEN low < 40 THEN 1.0::DOUBLE ELSE 0 END) AS p_low FROM f GROUP BY 1, 2, 3)"""
+SCEN = f"""{MEMBERS}, sc AS (SELECT *, row_number() OVER (ORDER BY start, duration, kit) - 1 AS scenario FROM (SELECT unnest([3, 12, 30]) AS start), (SELECT unnest([12, 24, 48]) AS duration), (SELECT unnest([0.0, 6.0, 12.0]::DOUBLE[]) AS kit)),
+c AS (SELECT site, issue_time, lead, member, value, scenario, CASE WHEN lead >= start AND lead < start + duration THEN kit ELSE 0 END AS kit FROM members, sc),
+s AS (SELECT site, issue_time, member, scenario, list(value - 20 - kit ORDER BY lead) AS ds, sum(kit) AS used, count_if(kit > 0) AS hours FROM c GROUP BY 1, 2, 3, 4),
+f AS (SELECT site, issue_time, scenario, used, hours, unnest(range(1, len(ds) + 1)) AS k, unnest([list_reduce(ds[1:k], lambda x, y: least(100, greatest(0, x + y)), 60.0::DOUBLE) for k in range(1, len(ds) + 1)]) AS soc FROM s),
+q AS (SELECT site, issue_time, scenario, k, max(used) AS used, max(hours) AS hours, quantile_cont(soc, 0.1) AS p10, avg(CASE WHEN soc < 40 THEN 1.0::DOUBLE ELSE 0 END) AS p_low FROM f GROUP BY 1, 2, 3, 4),
+e AS (SELECT site, issue_time, scenario, max(used) AS used, max(hours) AS hours, min(p10) AS min_p10, arg_max(p10, k) AS final_p10, max(p_low) AS p_low FROM q GROUP BY 1, 2, 3)"""
 
 
 def scenarios(spark, sf):
-    """Members are gathered once, before the scenarios multiply them: what is shuffled doesn't grow with the scenarios."""
-    keys = ["site", "issue_time", "member"]
-    path = members(spark, sf).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lead", "value"))).alias("s"))
-    m = path.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    start = 3 + 9 * F.expr("scenario div 3")
-    kit = lambda e: F.when((e["lead"] >= start) & (e["lead"] < start + 24), 6.0 * (F.col("scenario") % 3)).otherwise(0.0)
-    # only the lowest balance and the kit's sum are asked for, so the fold carries them instead of listing the balances
-    zero = F.struct(F.lit(60.0).alias("x"), F.lit(100.0).alias("low"), F.lit(0.0).alias("used"))
-
-    def step(acc, e):
-        x = F.least(F.lit(100.0), F.greatest(F.lit(0.0), acc["x"] + (e["value"] - 20 - kit(e))))
-        return F.struct(x.alias("x"), F.least(acc["low"], x).alias("low"), (acc["used"] + kit(e)).alias("used"))
-
-    low = m.select(*keys, "scenario", F.aggregate("s", zero, step).alias("f")).select(*keys, "scenario", "f.low", "f.used")
-    g = low.groupBy("site", "issue_time", "scenario").agg(F.max("used").alias("used"), F.percentile("low", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.avg((F.col("low") < 40).cast("double")).alias("p_low"))
-    return g.select("site", "issue_time", "scenario", "used", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "p_low")
-
-
-@query(f"WITH {SCEN} SELECT site, issue_time, CAST(arg_max(scenario, (p10 >= 20, used, round(p10, 6), -scenario)) AS INT) AS best FROM e GROUP BY 1, 2")
-def p9_schedule_ranking(spark, sf, floor=20.0):
-    e = scenarios(spark, sf)
-    return e.groupBy("site", "issue_time").agg(F.max_by("scenario", F.struct(F.col("p10") >= floor, "used", R("p10").alias("p"), -F.col("scenario"))).alias("best"))
+    """Three starts, durations and kits over all members."""
+    m = members(spark, sf).withColumn("d", F.col("value") - 20)
+    return what_if(m, ["site", "issue_time"], "member", "lead", "d", [3, 12, 30], [12, 24, 48], [0.0, 6.0, 12.0], 60.0)
+
+
+@query(f"WITH {SCEN} SELECT site, issue_time, CAST(arg_max(e.scenario, (min_p10 >= 40, hours, -CAST(hours > 0 AS INT), round(min_p10, 6), -start, -e.scenario)) AS INT) AS best, bool_or(min_p10 >= 40) AS safe FROM e JOIN sc ON e.scenario = sc.scenario GROUP BY 1, 2")
+def p9_schedule_ranking(spark, sf):
+    return best_schedule(scenarios(spark, sf), ["site", "issue_time"])
 
 
 _ALERT = """a AS (SELECT user_id AS id, ts, value > 25 AS on_ FROM events), i AS (SELECT *, CASE WHEN on_ IS DISTINCT FROM lag(on_) OVER (PARTITION BY id ORDER BY ts) THEN 1 ELSE 0 END AS ch FROM a),
