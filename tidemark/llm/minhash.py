@@ -122,88 +122,118 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. A text is sent once for each of its pairs as b; rows of one a follow each other."""
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, mine = None, None
         for batch in batches:
-            hit = []
-            for a, b, text_a, text_b in zip(*(batch.column(k) for k in range(4)), strict=True):
-                if a != now:
-                    now, mine = a, shingles(text_a.as_py(), size, seed)
-                hit.append(similar(mine, shingles(text_b.as_py(), size, seed), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_())), batch.column(1).filter(pa.array(hit, pa.bool_()))], names=["a", "b"])
-
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+            hit = [similar(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    of = lambda x: held.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
     met = pairs.join(of("b"), "b").join(of("a"), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def _tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """rows (key, node, root, n, sketch) as tiles (key, tile, held) of about `tile` members."""
-    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
-    dealt = rows.join(parts, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "parts"))
-    return dealt.groupBy("key", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("held"))
-
+    """rows (family, node, root, n, sketch, shingles) as tiles (family, tile, held) of about `tile` members."""
+    parts = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
+    dealt = rows.join(parts, "family").withColumn("tile", F.pmod(F.xxhash64("node"), "parts"))
+    return dealt.groupBy("family", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch", "shingles")).alias("held"))
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each set of a shares with each of b: products of the incidence matrices, some columns at a time."""
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
+    every = [np.concatenate(x) for x in (a, b)]
+    shared = np.intersect1d(*every)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    at = [np.searchsorted(shared, e) for e in every]
+    kept = [(i < len(shared)) & (shared[np.minimum(i, max(0, len(shared) - 1))] == e) if len(shared) else np.zeros(len(e), bool) for i, e in zip(at, every, strict=True)]
+    for k in range(0, len(shared), columns):
+        part = []
+        for x, r, i, ok in zip((a, b), rows, at, kept, strict=True):
+            own = ok & (i >= k) & (i < k + columns)
+            m = np.zeros((len(x), min(columns, len(shared) - k)), dtype=np.float32)
+            m[r[own], i[own] - k] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
 
-def apart(members: DataFrame, facts: DataFrame, percent: int, tile: int) -> DataFrame:
-    """The pairs (a, b) of members (key, node, root) that share a key, have different roots, and whose sizes and sketches allow the similarity.
 
-    In each key the members of all roots but the most frequent meet all members, tile by tile, so that a large group whose
-    members are joined already costs nothing, and what isn't costs bounded pieces.
+def joining(a: dict, b: dict, percent: int, least: int) -> Iterator[tuple[int, int]]:
+    """Links between members of two tiles of different roots: as many as join the roots that any link joins, and no more."""
+    met = (a["root"][:, None] != b["root"][None, :]) & (100 * np.minimum(a["n"][:, None], b["n"][None, :]) >= percent * np.maximum(a["n"][:, None], b["n"][None, :]))
+    for i in range(len(met)):  # a row at a time: a byte a coordinate
+        j = np.flatnonzero(met[i])
+        met[i, j] = (b["sketch"][j] == a["sketch"][i]).sum(axis=1) >= least
+    mine, theirs = np.flatnonzero(met.any(axis=1)), np.flatnonzero(met.any(axis=0))
+    if not len(mine):
+        return
+    both = overlaps([a["set"][i] for i in mine], [b["set"][j] for j in theirs])
+    hit = met[np.ix_(mine, theirs)] & (100 * both >= percent * (a["n"][mine][:, None] + b["n"][theirs][None, :] - both))
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            x = y
+        return x
+
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        i, j = mine[i], theirs[j]
+        x, y = root(int(a["root"][i])), root(int(b["root"][j]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            yield int(a["node"][i]), int(b["node"][j])
+
+
+def apart(members: DataFrame, percent: int, tile: int) -> DataFrame:
+    """The links (a, b) that members (family, node, root, n, sketch, shingles) of different roots lack to be joined.
+
+    In each family the members of all roots but the most frequent meet all members, tile by tile: overlaps of full sets are
+    products inside a task, and only links that join roots leave it. So no pairs are listed, a family whose members are
+    joined already costs nothing, and what isn't costs bounded pieces.
     """
 
-    def columns(cell: pa.ListScalar) -> list[np.ndarray]:
+    def columns(cell: pa.ListScalar) -> dict:
         held = cell.values
-        return [held.field(k).to_numpy() for k in range(3)] + [_sketches(held.field(3))]
+        return {k: held.field(i).to_numpy() for i, k in enumerate(("node", "root", "n"))} | {"sketch": _sketches(held.field(3)), "set": [np.frombuffer(x, "<u8") for x in held.field(4).to_pylist()]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for mine, theirs in zip(batch.column(0), batch.column(1), strict=True):
-                (a, ra, na, sa), (b, rb, nb, sb) = columns(mine), columns(theirs)
-                met = (ra[:, None] != rb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :]))
-                i, j = np.nonzero(met)
-                hit = np.concatenate([(sa[i[k : k + 65536]] == sb[j[k : k + 65536]]).sum(axis=1) >= least for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-                a, b = a[i[hit]], b[j[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                found = list(joining(columns(mine), columns(theirs), percent, least))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     least = least_agreement(percent)
-    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("most"))
-    known = materialise(members.join(mixed, "key").join(facts.select("node", "n", "sketch"), "node"), "apart")
-    every, rest = _tiled(known.drop("most"), tile), _tiled(known.where("root <> most").drop("most"), tile)
-    met = rest.select("key", F.col("held").alias("mine")).join(every.select("key", "held"), "key").select("mine", "held")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    by_root = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_root.groupBy("family").agg(F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("family", F.col("most.root").alias("most"))
+    known = materialise(members.join(mixed, "family"), "apart")
+    every, rest = materialise(_tiled(known.drop("most"), tile), "tiles"), _tiled(known.where("root <> most").drop("most"), tile)
+    met = rest.select("family", F.col("held").alias("mine")).join(every.select("family", "held"), "family").select("mine", "held")
+    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, size: int, seed: int, tile: int) -> DataFrame:
+def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int) -> DataFrame:
     """Links (a, b) of classes that join all pairs that are similar enough and share a band into the same components.
 
-    First each class is held against the least of those that it shares a band with, then against one chosen by a hash
-    for each band, where these aren't joined yet, then all pairs that share a band and aren't joined yet. So
-    a group of n near copies takes about n checks of full sets instead of n², and no link between groups is lost.
+    Classes that share a band, directly or by others, are a family. First each class is held against one of those that
+    it shares a band with, the one with the most company, which is the likeliest to be what the others are copies of; most of
+    a group of near copies is joined then, by a check of full sets for each. What isn't meets its family in tiles.
     """
     keyed = classes.select("node", F.explode("bands").alias("key")).distinct()
-    chosen = F.min_by("node", F.xxhash64("key", "node"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), chosen.alias("other"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = materialise(keyed.join(shared, "key"), "members")
-    facts = materialise(classes.join(members.select("node").distinct(), "node", "left_semi").drop("bands"), "facts")
-    texts = materialise(texts_of(facts.select("node", "first")), "texts")
-    hubs = members.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    found = materialise(verified(materialise(close(hubs, facts, percent), "close"), texts, percent, size, seed), "links")
-    rooted = _rooted(members, found)
-    root_of = rooted.select(F.col("node").alias("other"), F.col("root").alias("other_root")).distinct()
-    others = rooted.where("other <> node").join(root_of, "other").where("root <> other_root").select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
-    found = materialise(found.union(verified(materialise(close(others, facts, percent), "close"), texts, percent, size, seed)), "links")
-    left = materialise(apart(_rooted(members, found).select("key", "node", "root"), facts, percent, tile), "close")
-    return found.union(verified(left, texts, percent, size, seed))
-
-
-def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members with root, that of their component so far."""
-    roots = components(found)
-    return materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialise(keyed.join(sizes, "key"), "shared")
+    company = materialise(shared.groupBy("node").agg(F.sum("m").alias("company")), "company")
+    hubs = shared.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("hub"))
+    members = materialise(shared.join(hubs, "key").select("node", "hub"), "members")
+    facts = materialise(classes.join(company.select("node"), "node", "left_semi").drop("bands"), "facts")
+    held = materialise(sets_of(facts.select("node", "first")), "held")
+    best = members.where(F.col("hub.node") != F.col("node")).groupBy(F.col("node").alias("b")).agg(F.max("hub").alias("hub")).select(F.col("hub.node").alias("a"), "b")
+    found = materialise(verified(materialise(close(best, facts, percent), "close"), held, percent), "links")
+    families = components(members.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+    placed = facts.select("node", "n", "sketch").join(families.withColumnRenamed("root", "family"), "node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found.union(apart(placed.join(held, "node"), percent, tile))
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: int = 42, tile: int = 512) -> DataFrame:
@@ -226,13 +256,18 @@ def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: in
     classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     again = repeated_ids(docs)
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """The texts of some classes, one each."""
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node, shingles (the sorted hashes) of some classes."""
         wanted = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.at").alias("place"))
         found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place"))).select("node", "text")
-        return found if again is None else found.groupBy("node").agg(F.first("text").alias("text"))
+        one = found if again is None else found.groupBy("node").agg(F.first("text").alias("text"))
+        return one.mapInArrow(run, "node long, shingles binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle, seed).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
 
-    roots = materialise(components(links(classes, texts_of, percent, shingle, seed, tile)), "roots")
+    roots = materialise(components(links(classes, sets_of, percent, tile)), "roots")
     rooted = materialise(classes.join(roots, "node", "left").select("set", "node", "least", "copies", F.coalesce("root", "node").alias("root")), "rooted")
     ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")), "components")
     facts = materialise(attach(rooted, ids, ["root"], "classes", F.col("node")).select("set", "copies", "component_id"), "facts")
