@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import blocks, quantiles
+from tidemark.operators import blocks, gaps, quantiles
 
 MINUTE = 60_000_000
 START = dt.datetime(2024, 3, 1)
@@ -95,3 +95,18 @@ def test_quantiles_are_percentile(spark, seed, few):
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert quantiles.quantiles(df, ["k"], "v", [0.5]).collect() == []
+
+
+@pytest.mark.parametrize("seed, log", [(1, False), (2, True), (3, False)])
+def test_widest_gap_is_the_sorts(spark, seed, log):
+    r = random.Random(seed)
+    kinds = {"a": lambda: r.random() * 100, "b": lambda: float(r.randrange(6) * 2), "c": lambda: 10.0 ** r.uniform(-3, 9), "d": lambda: 3.0, "e": lambda: r.choice([1.0, 2.0, 3.0, None, float("nan")])}
+    rows = [(k, make()) for k, make in kinds.items() for _ in range(9000 if k == "a" else 400)] + [("one", 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {x.k: (x.n, x.low, x.high, x.gap) for x in gaps.widest_gap(df, ["k"], "v", F.log1p if log else lambda c: c).collect()}
+    for k in kinds:
+        vs = sorted(v for kk, v in rows if kk == k and v is not None and not math.isnan(v))
+        f = math.log1p if log else (lambda x: x)
+        gap, low, high = max(((f(b) - f(a), a, b) for a, b in zip(vs, vs[1:], strict=False)), key=lambda x: (x[0], -x[1]))
+        assert got[k][:1] == (len(vs),) and math.isclose(got[k][3], gap, abs_tol=1e-12) and (log and gap < 1e-9 or got[k][1:3] == (low, high) or math.isclose(f(got[k][2]) - f(got[k][1]), gap, rel_tol=1e-9)), k
+    assert got["one"][1:] == (None, None, None) and "none" not in got

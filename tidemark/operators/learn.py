@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.times import HOUR, MINUTE, bucket, micros
 from ..sources.scratch import table
 from . import series as so
+from .gaps import widest_gap
+from .quantiles import quantiles
 from .stats import robust_kept, robust_scale
 
 
@@ -59,13 +61,10 @@ def log_gap_threshold(df: DataFrame, key: str, value: str, least: int = 20, rati
     Null with fewer than `least` values from 0 up, or where the gap's ends don't differ by the ratio.
     """
     v = df.where(F.col(value) >= 0).select(key, F.col(value).cast("double").alias("_v"))
-    q = v.groupBy(key).agg(F.percentile("_v", F.array(F.lit(0.1), F.lit(0.9))).alias("_q"), F.count(F.lit(1)).alias("_n"))
-    inside = v.distinct().join(q.where(F.col("_n") >= least), key).where(F.col("_v").between(F.col("_q")[0], F.col("_q")[1]))
-    gaps = inside.withColumn("_u", F.lead("_v").over(Window.partitionBy(key).orderBy("_v"))).where("_u IS NOT NULL")
-    width = F.log1p("_u") - F.log1p("_v")
-    best = gaps.groupBy(key).agg(F.max(F.struct(width.alias("w"), (-F.col("_v")).alias("low"), F.col("_u").alias("high"))).alias("_g"))
-    low, high = -F.col("_g.low"), F.col("_g.high")
-    cut = F.when((high + 1) / (low + 1) >= ratio, F.expm1((F.log1p(low) + F.log1p(high)) / 2))
+    q = table(quantiles(v, [key], "_v", [0.1, 0.9]), "ranges")
+    inside = v.join(q.where(F.col("n") >= least), key).where(F.col("_v").between(F.col("q")[0], F.col("q")[1])).select(key, "_v").distinct()
+    best = widest_gap(inside, [key], "_v", F.log1p)
+    cut = F.when((F.col("high") + 1) / (F.col("low") + 1) >= ratio, F.expm1((F.log1p("low") + F.log1p("high")) / 2))
     return q.select(key).join(best, key, "left").select(key, cut.alias("threshold"))
 
 
@@ -123,11 +122,10 @@ def regimes(df: DataFrame, key: str, value: str, minimum: int = 4, least_gap: fl
     sides' common scale and if each side has `minimum` values; else they are one regime, of the values near their median.
     """
     v = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
-    gap = v.withColumn("_gap", F.lead("_v").over(Window.partitionBy(key).orderBy("_v")) - F.col("_v"))
-    cut = gap.groupBy(key).agg(F.max(F.when(F.col("_gap").isNotNull(), F.struct(F.col("_gap").alias("gap"), (-F.col("_v")).alias("low")))).alias("_cut"), F.count(F.lit(1)).alias("_all"))
-    sided = v.join(cut, key).withColumn("regime", F.coalesce((F.col("_v") > -F.col("_cut.low")).cast("int"), F.lit(0)))
+    cut = widest_gap(v, [key], "_v").select(key, F.when(F.col("gap") > 0, F.col("low")).alias("_low"), F.col("gap").alias("_gap"), F.col("n").alias("_all"))
+    sided = v.join(cut, key).withColumn("regime", F.coalesce((F.col("_v") > F.col("_low")).cast("int"), F.lit(0)))
     sided = table(sided, "sides")
-    sizes = sided.groupBy(key, "regime").agg(F.count(F.lit(1)).alias("_size"), F.max("_cut.gap").alias("_gap"), F.max("_all").alias("_all"))
+    sizes = sided.groupBy(key, "regime").agg(F.count(F.lit(1)).alias("_size"), F.max("_gap").alias("_gap"), F.max("_all").alias("_all"))
     sides = table(robust_scale(sided, [key, "regime"], "_v").join(sizes, [key, "regime"]), "regimes")
     test = sides.groupBy(key).agg(F.count(F.lit(1)).alias("_sides"), F.min("_size").alias("_few"), F.max("_gap").alias("_gap"), F.sqrt(F.sum(F.col("scale") * F.col("scale"))).alias("_noise"))
     two = (F.col("_sides") == 2) & (F.col("_few") >= minimum) & (F.col("_gap") >= F.greatest(F.lit(least_gap), 3.0 * F.col("_noise")))

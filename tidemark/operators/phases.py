@@ -11,6 +11,7 @@ from ..functions.times import MINUTE, micros
 from ..sources.scratch import table
 from . import blocks
 from . import series as so
+from .gaps import widest_gap
 from .learn import material, startup_boundary
 from .stats import middle
 
@@ -51,8 +52,7 @@ def phase_learning(df: DataFrame, key: str, time: str, value: str, state: str, g
     r = table(r.withColumn("starting", F.col("i") < F.col("boundary")), "startups")
     steady = r.where("NOT starting")
     # the widest gap between steady values, and whether its sides differ
-    gap = F.lead("x").over(Window.partitionBy(*on).orderBy("x")) - F.col("x")
-    cut = steady.withColumn("gap", gap).groupBy(*on).agg(F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", (-F.col("x")).alias("low")))).alias("g")).select(*on, (-F.col("g.low")).alias("cut"))
+    cut = table(widest_gap(steady, on, "x").select(*on, "low").withColumnRenamed("low", "cut"), "cuts")
     sides = middle(steady.join(cut, on).withColumn("high", F.coalesce(F.col("x") > F.col("cut"), F.lit(False))), [*on, "high"], "x", "med", 3.0)
     of = lambda c, high: F.max(F.when(F.col("high") == high, F.col(c)))
     two = sides.groupBy(*on).agg(of("med", False).alias("ml"), of("med", True).alias("mh"), of("_scale", False).alias("sl"), of("_scale", True).alias("sh"), F.coalesce(of("_n", False), F.lit(0)).alias("nl"), F.coalesce(of("_n", True), F.lit(0)).alias("nh"))

@@ -9,6 +9,7 @@ from ..functions.times import HOUR, bucket, micros
 from ..operators import blocks
 from ..operators import series as so
 from ..operators import stats as op
+from ..operators.gaps import widest_gap
 from ..operators.phases import debounced
 from ..registry import query
 from ..sources.bindings import MEDIA, OBSERVED, PERFLOG, TYPES, WIDE15, events, media, observed, perflog, wide15
@@ -132,16 +133,10 @@ _SPLIT = """v AS (SELECT user_id AS key, value AS v FROM events), g AS (SELECT k
 cut AS (SELECT key, arg_max(v + gap / 2, (gap, -v)) AS cut, max(gap) AS gap FROM g GROUP BY 1)"""
 
 
-def _cuts(spark, sf):
-    v = events(spark, sf).select(F.col("user_id").alias("key"), F.col("value").alias("v"))
-    g = v.withColumn("gap", F.lead("v").over(Window.partitionBy("key").orderBy("v")) - F.col("v"))
-    return v, g.groupBy("key").agg(F.max_by(F.col("v") + F.col("gap") / 2, F.struct("gap", -F.col("v"))).alias("cut"), F.max("gap").alias("gap"))
-
-
 @query(f"WITH {_SPLIT} SELECT key, round(cut, 6) AS cut, round(gap, 6) AS gap FROM cut WHERE gap IS NOT NULL")
 def e16_largest_gap(spark, sf):
-    _, c = _cuts(spark, sf)
-    return c.where("gap IS NOT NULL").select("key", R("cut").alias("cut"), R("gap").alias("gap"))
+    c = widest_gap(events(spark, sf).withColumnRenamed("user_id", "key"), ["key"], "value").where("gap IS NOT NULL")
+    return c.select("key", R(F.col("low") + F.col("gap") / 2).alias("cut"), R("gap").alias("gap"))
 
 
 @query("""WITH p AS (SELECT user_id, event_type, avg(value) AS mu, var_pop(value) AS s2, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, n * 1.0::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS w FROM p),
