@@ -9,6 +9,7 @@ from ..operators import clean as co
 from ..registry import query
 from ..sources import files as src
 from ..sources.bindings import MEDIA, TYPES, WIDE15, events, media, table, wide15
+from ..sources.listing import listing
 from ..sources.scratch import folder, lines
 from ..streaming.store import Store
 from ..streaming.streams import source
@@ -81,10 +82,15 @@ def s7_outlet_names(spark, sf):
     return src.outlet_names(events(spark, sf).select((F.col("user_id") % 4).alias("outlet"), F.col("event_type").alias("name")))
 
 
-@query("SELECT event_type || '_' || strftime(ts, '%Y%m%d_%H%M') || '.nc' AS path, date_trunc('minute', ts) AS time FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_id % 9 <> 0")
+@query("SELECT DISTINCT event_type || '_' || strftime(ts, '%Y%m%d') || '_0000.nc' AS path, date_trunc('day', ts) AS time, event_type <> 'view' AS readable FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'signup'")
 def s8_dated_files(spark, sf):
-    name = F.when(F.col("event_id") % 9 == 0, F.concat(F.col("event_type"), F.lit(".nc"))).otherwise(F.concat(F.col("event_type"), F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmm"), F.lit(".nc")))
-    return src.dated_files(events(spark, sf).select(name.alias("path")), "2024-01-15 00:00:00")
+    """A file a kind and day is written and listed: those with a date in their name from a day on, and whether they begin with the kind's signature."""
+    day = F.when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit("_0000")))
+    name = F.concat("event_type", day, F.lit(".nc"))
+    e, at = events(spark, sf).select(name.alias("name"), F.when(F.col("event_type") == "view", "?").otherwise("CDF").alias("value")), folder(spark, "dated")
+    e.repartition("name").write.partitionBy("name").text(at)
+    files = listing(spark, at, "*.txt", head=3).select(F.regexp_extract("path", "name=([^/]+)", 1).alias("path"), (F.col("head") == F.encode(F.lit("CDF"), "utf-8")).alias("readable"))
+    return src.dated_files(files, "2024-01-15 00:00:00").select("path", "time", "readable")
 
 
 @query("WITH f AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'day/' ELSE '' END || 'f' || (event_id // 2) AS path, 'f' || (event_id // 2) AS name, event_id % 3 = 0 AS nested FROM events) SELECT path, name, nested FROM f QUALIFY nested OR NOT max(nested) OVER (PARTITION BY name)")

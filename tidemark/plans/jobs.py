@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as fx
 from ..functions.times import micros
 from ..operators import clean as co
-from ..operators import coverage, grids, perf
+from ..operators import catalog, coverage, grids, perf
 from ..registry import query
 from ..sources.bindings import MEDIA, PERFLOG, TYPES, WIDE15, events, media, perflog, table, wide15
 from ..sources.scratch import table as kept
@@ -39,17 +39,27 @@ def p3_window_view(spark, sf, start="1997-01-01 00:00:00", end="1998-12-31 00:00
     return grids.window_view(g, "time", "gate", "v", start, end, 0.0, 2500.0).withColumn("v", R("v"))
 
 
-@query(f"""WITH {MEDIA}, n AS (SELECT * FROM media WHERE event_id % 3 <> 0), u AS (SELECT *, 0 AS rev FROM media WHERE event_id % 3 = 0 UNION ALL SELECT *, 1 FROM n), h AS (SELECT *, date_trunc('hour', time) AS hour, epoch_us(time) % 3600000000 AS us FROM u)
-SELECT media_type, day, count(*) AS n, count(DISTINCT hour) AS hours, max(time) AS frontier, arg_min(event_id, (CASE kind WHEN 'video' THEN 0 ELSE 1 END, -epoch_us(time))) AS preferred FROM h GROUP BY 1, 2""")
+_MEDIA_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH {MEDIA}, n AS (SELECT * FROM media WHERE event_id % 3 <> 0), u AS (SELECT *, 0 AS rev FROM media WHERE event_id % 3 = 0 UNION ALL SELECT *, 1 FROM n), h AS (SELECT *, CAST(hour(time) AS INT) AS hr, epoch_us(time) % 3600000000 AS us FROM u),
+rep AS (SELECT media_type, day, hr, event_id FROM h QUALIFY row_number() OVER (PARTITION BY media_type, day, hr ORDER BY abs(us // 1000000 - 1800), us // 1000000, us) = 1), st AS (SELECT day, hr, count(DISTINCT media_type) AS k FROM h GROUP BY 1, 2)
+SELECT 'day' AS section, media_type AS name, day, NULL::INT AS hour, count(*) AS n, count(DISTINCT hr) AS hours, max(time) AS frontier, arg_min(event_id, (CASE kind WHEN 'video' THEN 0 ELSE 1 END, -epoch_us(time))) AS record, NULL AS records FROM h GROUP BY 2, 3
+UNION ALL SELECT 'hour', NULL, day, hr, NULL, NULL, NULL, NULL, concat_ws(',', {", ".join(f"coalesce(CAST(max(event_id) FILTER (media_type = '{t}') AS VARCHAR), '-')" for t in _MEDIA_TYPES)}) FROM rep GROUP BY day, hr
+UNION ALL SELECT 'state', NULL, d.day, g.hr, CASE WHEN k = 5 THEN 2 WHEN k > 0 THEN 1 ELSE 0 END, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT day FROM st) d CROSS JOIN (SELECT CAST(unnest(range(24)) AS INT) AS hr) g LEFT JOIN st ON st.day = d.day AND st.hr = g.hr""")
 def p10_media_catalog(spark, sf):
-    """New or changed files join the catalog; daily numbers, frontier and preferred record."""
+    """New or changed files join the catalog; its days with frontier and preferred record, each hour's representatives by kind, and each hour's presence."""
     m = media(spark, sf)
     known = m.where("event_id % 3 = 0")
     new = m.join(known.select("path", "size", "time"), ["path", "size", "time"], "left_anti")
     both = known.withColumn("rev", F.lit(0)).unionByName(new.withColumn("rev", F.lit(1)))
-    cat = co.first_per_key(both, ["path"], [F.desc("rev")])
-    rank = F.when(F.col("kind") == "video", 0).otherwise(1)
-    return cat.groupBy("media_type", "day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.date_trunc("hour", "time")).alias("hours"), F.max("time").alias("frontier"), F.min_by("event_id", F.struct(rank, -micros("time"))).alias("preferred"))
+    cat = kept(co.first_per_key(both, ["path"], [F.desc("rev")]), "catalog")
+    days = catalog.preferred(cat, "media_type", "time", "event_id", "kind").withColumnsRenamed({"media_type": "name", "preferred": "record"}).withColumn("section", F.lit("day"))
+    wide = catalog.hourly_pivot(catalog.representative_hours(cat, "media_type", "time", "event_id"), "media_type", "event_id", _MEDIA_TYPES)
+    hours_ = wide.select(F.lit("hour").alias("section"), "day", "hour", F.concat_ws(",", *[F.coalesce(F.col(t).cast("string"), F.lit("-")) for t in _MEDIA_TYPES]).alias("records"))
+    states = catalog.presence(cat, "media_type", "time", _MEDIA_TYPES).select(F.lit("state").alias("section"), "day", "hour", F.col("state").cast("long").alias("n"))
+    whole = days.unionByName(hours_, allowMissingColumns=True).unionByName(states, allowMissingColumns=True)
+    return whole.select("section", "name", "day", "hour", "n", "hours", "frontier", "record", "records")
 
 
 _LOG = f"""{PERFLOG}, lg AS (SELECT *, 'c' || (session % 3) AS control, ['', 'Googlebot/2.1', 'Mozilla (iPad)', 'Mozilla (iPhone; Mobile)', 'Mozilla (X11)'][event_id % 5 + 1] AS agent, CASE WHEN event_id % 4 > 0 THEN '/p' || (session % 13) END AS path FROM perflog)"""

@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, HOUR, MINUTE, SECOND, bucket, micros
-from ..operators import blocks, grids
+from ..operators import grids, health
 from ..operators import series as op
 from ..registry import query
 from ..sources.bindings import COUNTERS, OBSERVED, SERIES, WIDE15, counters, events, observed, series, table, wide15
+from ..sources.listing import changed, listing
+from ..sources.scratch import folder
+from ..sources.scratch import table as kept
 
 
 @query(f"WITH {SERIES} SELECT key, time_bucket(INTERVAL 1 minute, time) AS time, round(avg(v), 6) AS v FROM series GROUP BY 1, 2")
@@ -178,12 +181,22 @@ def j10_latest_per_day(spark, sf):
     return e.join(top, ["event_type", "day", "ts"]).select("event_id", "event_type", "day")
 
 
-@query("""SELECT event_id FROM events e WHERE event_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id = e.event_id AND k.user_id % 4 = 0)""")
+@query("SELECT CAST(ts AS DATE) AS day, 'new' AS change FROM events GROUP BY 1 HAVING day(CAST(ts AS DATE)) % 3 = 0 UNION ALL SELECT CAST(ts AS DATE), 'changed' FROM events GROUP BY 1 HAVING day(CAST(ts AS DATE)) % 3 = 1")
 def j11_changed_files(spark, sf):
-    e = events(spark, sf)
-    key = ["event_id", "value", "ts"]
-    known, unreadable = e.where("event_id % 3 = 0").select(key), e.where("user_id % 4 = 0").select(key)
-    return e.join(known, key, "left_anti").join(unreadable, key, "left_anti").select("event_id")
+    """A file a day is written; between two listings a third of the files change, and another third appear."""
+    at = folder(spark, "files")
+    e = events(spark, sf).select(F.to_date("ts").alias("day"), F.col("event_id").cast("string").alias("value")).repartition("day")
+    third = F.day("day") % 3
+    e.where(third != 0).write.partitionBy("day").text(at)
+    known = kept(listing(spark, at, "*.txt"), "known")
+    e.where(third == 0).write.mode("append").partitionBy("day").text(at)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in known.where(F.day(F.regexp_extract("path", "day=([0-9-]+)", 1).cast("date")) % 3 == 1).select("path").collect():  # a row a day
+        p = fs.Path(row["path"])
+        s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        s.setTimes(p, s.getFileStatus(p).getModificationTime() + 60_000, -1)
+    found = changed(listing(spark, at, "*.txt"), known).join(known.select("path", F.lit(True).alias("was")), "path", "left")
+    return found.select(F.regexp_extract("path", "day=([0-9-]+)", 1).cast("date").alias("day"), F.when(F.col("was"), "changed").otherwise("new").alias("change")).distinct()
 
 
 @query("""WITH h AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS hour FROM events) SELECT event_type, hour FROM h WHERE (event_type, hour) NOT IN (SELECT event_type, date_trunc('hour', ts) FROM events WHERE value > 10)""")
@@ -235,14 +248,14 @@ def j17_upsert(spark, sf):
     return both.groupBy("k").agg(F.max_by("v", "rev").alias("v"))
 
 
-@query("""WITH s AS (SELECT user_id, arg_max(value > 30, ts) AS on_ FROM events WHERE event_type = 'signup' AND user_id % 3 <> 0 GROUP BY 1), i AS (SELECT user_id, count(*) AS issues FROM events WHERE event_type = 'error' GROUP BY 1)
+@query("""WITH s AS (SELECT user_id, arg_max(value > 30, ts) AS on_ FROM events WHERE event_type = 'signup' AND user_id % 3 <> 0 GROUP BY 1 HAVING epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts)) <= 864000000000), i AS (SELECT user_id, count(*) AS issues FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT i.user_id, issues FROM i LEFT JOIN s USING (user_id) WHERE s.on_ IS NULL OR s.on_""")
 def j18_suppression(spark, sf):
-    """An issue is held back only if its switch is known to be off."""
+    """An issue is held back only if its switch is known to be off, and not for longer than ten days."""
     e = events(spark, sf)
-    switch = e.where("event_type = 'signup' AND user_id % 3 <> 0").groupBy("user_id").agg(F.max_by(F.col("value") > 30, "ts").alias("on"))
+    switch = e.where("event_type = 'signup' AND user_id % 3 <> 0").withColumn("on", F.col("value") > 30)
     issues = e.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("issues"))
-    return issues.join(switch, "user_id", "left").where(~F.col("on").eqNullSafe(F.lit(False))).select("user_id", "issues")
+    return health.let_through(issues, switch, "user_id", "ts", "on", F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"), 10 * DAY).select("user_id", "issues")
 
 
 @query("""SELECT abs(epoch_us(a.t) - epoch_us(b.t)) <= 3600000000 AS compatible, epoch_us(a.t) - epoch_us(b.t) AS age_us FROM (SELECT max(ts) AS t FROM events WHERE event_type = 'click') a, (SELECT max(ts) AS t FROM events WHERE event_type = 'view') b""")

@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import HOUR, bucket, micros
-from ..operators import blocks
+from ..operators import blocks, health
 from ..operators import series as so
 from ..operators import stats as op
 from ..operators.gaps import widest_gap
 from ..operators.phases import debounced
 from ..registry import query
 from ..sources.bindings import MEDIA, OBSERVED, PERFLOG, TYPES, WIDE15, events, media, observed, perflog, wide15
+from ..sources.scratch import table as kept
 from .series import _HOURS, hours
 
 R = lambda c, n=6: F.round(c, n)
@@ -212,11 +213,20 @@ def a44_day_extremes(spark, sf):
     return events(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.max("value").alias("high"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("high_error"))
 
 
-@query("""WITH s AS (SELECT user_id, event_type, arg_max(value, ts) AS v FROM events GROUP BY 1, 2) SELECT user_id, count(*) AS services, count_if(v > 40) AS failing, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (v > 40), '') AS failed FROM s GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id, event_type, CASE WHEN epoch_us(max(ts)) < epoch_us(TIMESTAMP '2024-01-10') THEN NULL ELSE arg_max(value, ts) <= 40 END AS ok FROM events GROUP BY 1, 2),
+g AS (SELECT user_id, CASE WHEN count_if(event_type = 'view' AND NOT ok) > 0 THEN 'red' WHEN count_if(event_type = 'view' AND ok) > 0 THEN 'green' ELSE 'unknown' END AS source_level, CASE WHEN count_if(event_type <> 'view' AND NOT ok) > 0 THEN 'red' WHEN count_if(event_type <> 'view' AND ok) > 0 THEN 'green' ELSE 'unknown' END AS service_level,
+count_if(event_type <> 'view' AND ok) AS healthy, count_if(event_type <> 'view') AS services, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (event_type <> 'view' AND NOT ok), '') AS failed, list(event_type ORDER BY event_type) FILTER (event_type <> 'view' AND NOT ok) AS bad FROM s GROUP BY 1),
+r AS (SELECT *, CASE WHEN 'red' IN (source_level, service_level) THEN 'red' WHEN 'green' IN (source_level, service_level) THEN 'green' ELSE 'unknown' END AS level FROM g), c AS (SELECT count_if(source_level = 'red') AS s, count_if(level = 'red' AND source_level <> 'red') AS p FROM r)
+SELECT 'stream' AS section, CAST(user_id AS VARCHAR) AS name, level, source_level, service_level, healthy, services, failed, CASE WHEN source_level = 'red' THEN 'Source is unhealthy' WHEN len(bad) > 0 THEN 'Unhealthy: ' || array_to_string(bad[1:3], ', ') WHEN level = 'green' THEN 'Source and services healthy' ELSE 'No current status' END AS detail, NULL AS streams FROM r
+UNION ALL SELECT 'cause', 'source', CASE WHEN s > 0 THEN 'red' ELSE 'green' END, NULL, NULL, NULL, NULL, NULL, NULL, s FROM c UNION ALL SELECT 'cause', 'processing', CASE WHEN p > 0 THEN 'red' ELSE 'green' END, NULL, NULL, NULL, NULL, NULL, NULL, p FROM c""")
 def a45_stream_health(spark, sf):
-    s = events(spark, sf).groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("v"))
-    bad = F.when(F.col("v") > 40, F.col("event_type"))
-    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("services"), F.count(bad).alias("failing"), F.array_join(F.array_sort(F.collect_list(bad)), ",").alias("failed"))
+    """Each site's source and services by their newest state, which isn't known if it is old; and the root causes."""
+    newest = events(spark, sf).groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("v"), F.max("ts").alias("at"))
+    known = F.col("at") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    states = newest.select(F.col("user_id").cast("string").alias("stream"), F.when(F.col("event_type") == "view", "source").otherwise("service").alias("role"), F.col("event_type").alias("name"), F.when(known, F.col("v") <= 40).alias("ok"))
+    streams = kept(health.stream_health(states), "streams")
+    causes = health.root_causes(streams).select(F.lit("cause").alias("section"), F.col("cause").alias("name"), "level", "streams")
+    return streams.withColumnRenamed("stream", "name").withColumn("section", F.lit("stream")).unionByName(causes, allowMissingColumns=True).select("section", "name", "level", "source_level", "service_level", "healthy", "services", "failed", "detail", "streams")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count_if(event_type = 'error') AS blocked, count_if(event_type = 'signup') AS diagnostic, round(avg(value), 6) AS mean FROM events GROUP BY 1")
