@@ -86,3 +86,28 @@ def test_stream_in_two_runs_equals_one(spark, tmp_path):
     two = followed(source(spark, src, SHAPE, 1), ["id"], "seq", str(tmp_path / "two"))
     one = followed(source(spark, src, SHAPE), ["id"], "seq", str(tmp_path / "one"))
     assert found(two) == found(one) and len(found(one)) == 6
+
+
+def test_publishing_in_batches_equals_one_run(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.streaming.publish import publish_changes
+
+    shape = "id long, t timestamp, level double, kind string"
+    start, src = dt.datetime(2024, 1, 1), str(tmp_path / "in")
+    rows = [(i % 4, start + dt.timedelta(minutes=i), [1.0, 1.0, 1.0 + 1e-9, 2.0, None][(i * 7 // 5) % 5], "ab"[i // 9 % 2] if i % 6 else None) for i in range(120)]
+
+    def run(at, per):
+        return sorted((x.id, x.t, tuple(x.reasons)) for x in publish_changes(source(spark, src, shape, per), "id", "t", ["level", "kind"], str(tmp_path / at), buckets=3).collect())
+
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], shape).coalesce(1).write.mode("append").parquet(src)
+        three = run("three", 1)
+    want, now = [], {}
+    for i, t, level, kind in rows:
+        old = now.setdefault(i, {})
+        why = [n for n, v in (("level", level), ("kind", kind)) if v is not None and not (n in old and (abs(old[n] - v) <= 1e-6 if n == "level" else old[n] == v))]
+        old.update({n: v for n, v in (("level", level), ("kind", kind)) if v is not None})
+        if why:
+            want.append((i, t, tuple(why)))
+    assert three == run("one", None) == sorted(want)

@@ -11,6 +11,7 @@ from ..registry import query
 from ..sources.bindings import MEDIA, WIDE15, events, media, wide15
 from ..sources.scratch import folder
 from ..streaming import streams as st
+from ..streaming.publish import publish_changes
 from ..streaming.store import followed
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -73,11 +74,13 @@ def t7_rolling_retention(spark, sf):
     return store.read().withColumn("issue", F.col("issue").cast("timestamp_ntz"))
 
 
-@query("WITH s AS (SELECT user_id, ts, CAST(floor(value / 20) AS BIGINT) AS sig FROM events) SELECT user_id, ts FROM s QUALIFY sig IS DISTINCT FROM lag(sig) OVER (PARTITION BY user_id ORDER BY ts)")
+@query("""WITH s AS (SELECT user_id, ts, CAST(floor(value / 20) AS BIGINT) AS level, event_type AS kind FROM events), p AS (SELECT *, lag(level) OVER w AS a, lag(kind) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, ts, concat_ws(',', CASE WHEN level IS DISTINCT FROM a THEN 'level' END, CASE WHEN kind IS DISTINCT FROM b THEN 'kind' END) AS reasons FROM p WHERE level IS DISTINCT FROM a OR kind IS DISTINCT FROM b""")
 def t9_skip_unchanged(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts")
-    s = events(spark, sf).select("user_id", "ts", F.floor(F.col("value") / 20).alias("sig")).withColumns({"prev": F.lag("sig").over(w)})
-    return s.where(~F.col("sig").eqNullSafe(F.col("prev"))).select("user_id", "ts")
+    """What a station publishes when its inputs change, and which did; its last inputs are kept in a store."""
+    s = _stream(spark, sf).select("user_id", "ts", F.floor(F.col("value") / 20).alias("level"), F.col("event_type").alias("kind"))
+    out = publish_changes(s, "user_id", "ts", ["level", "kind"])
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""WITH p AS (SELECT event_type, time_bucket(INTERVAL 1 hour, ts - INTERVAL 1 microsecond) + INTERVAL 1 hour AS pane, value FROM events), w AS (SELECT event_type, pane + to_hours(CAST(k AS INT)) AS now, value FROM p, (SELECT unnest(range(24)) AS k))

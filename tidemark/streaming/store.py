@@ -57,6 +57,18 @@ class Store:
         m = self._manifest()
         return None if m["schema"] is None else self._rows(m)
 
+    def read_of(self, keys: DataFrame) -> DataFrame | None:
+        """The store's rows with the keys of `keys`, read from their buckets only; None before the first batch."""
+        m = self._manifest()
+        if m["schema"] is None:
+            return None
+        touched = sorted(r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect())  # `buckets` numbers at most
+        return self._rows(m, touched).join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def last_batch(self, writer: str = "") -> int:
+        """The number of a writer's last merged batch, -1 before the first."""
+        return self._manifest()["batches"].get(writer, -1)
+
     def _rows(self, manifest: dict, only: Sequence[int] | None = None) -> DataFrame:
         schema = StructType.fromJson(manifest["schema"])
         paths = self._paths(manifest, only)
