@@ -57,10 +57,10 @@ def corpus(seed, groups=8, copies=12):
     return rows + [(4001, None), (4002, ""), (4003, " \n"), (4004, "a b"), (4005, "A  b"), (None, "a b"), (None, "lone words here now"), (None, None), rows[0], rows[0], (4006, "long " * 300_000), (4007, " ".join(map(str, range(150_000)))), (4008, " ".join(map(str, range(2_000, 150_000))))]
 
 
-@pytest.mark.parametrize("seed, percent, size, tile", [(1, 85, 3, 512), (2, 85, 3, 4), (3, 80, 5, 512)])
-def test_components(spark, seed, percent, size, tile):
+@pytest.mark.parametrize("seed, percent, size, tile, known", [(1, 85, 3, 512, 2_000_000), (2, 85, 3, 4, 0), (3, 80, 5, 512, 2_000_000)])
+def test_components(spark, seed, percent, size, tile, known):
     rows = corpus(seed)
-    got = minhash.minhash_dedup(rows_of(spark, rows), size, percent, tile=tile)
+    got = minhash.minhash_dedup(rows_of(spark, rows), size, percent, tile=tile, known=known)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, percent, size)
 

@@ -139,7 +139,8 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
     """rows (family, node, root, n, sketch, shingles) as tiles (family, tile, held) of about `tile` members."""
     parts = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"))
     dealt = rows.join(parts, "family").withColumn("tile", F.pmod(F.xxhash64("node"), "parts"))
-    return dealt.groupBy("family", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch", "shingles")).alias("held"))
+    # dealt anew, as the join leaves a family in one place
+    return dealt.repartition("family", "tile").groupBy("family", "tile").agg(F.collect_list(F.struct("node", "root", "n", "sketch", "shingles")).alias("held"))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -236,14 +237,15 @@ def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     return found.union(apart(placed.join(held, "node"), percent, tile))
 
 
-def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: int = 42, tile: int = 512) -> DataFrame:
+def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: int = 42, tile: int = 512, known: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of distinct word shingles have a Jaccard similarity of `percent` hundredths at least;
     fewer words than a shingle are one shingle. component_id is the smallest doc_id that links reach, the own
     included, kept tells whether it is the own. Candidates share one of 20 bands of four coordinates: a pair at 85
     percent is missed once in 2.6 million, one at 90 percent once in 10^9; every link is checked on full sets. Documents with equal sets are one
-    class, so copies are never paired.
+    class, so copies are never paired. Up to `known` classes with company are broadcast, as a hash each, to pick their texts; of
+    more all texts are shuffled for the same join.
 
     Texts without words, null ones too, are linked with nothing: component_id is the own doc_id. A null doc_id gets
     a component like others, null only if no member has an id, and is kept then. Rows that repeat each have a row. An
@@ -258,8 +260,10 @@ def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: in
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node, shingles (the sorted hashes) of some classes."""
-        wanted = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.at").alias("place"))
-        found = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place"))).select("node", "text")
+        wanted, texts = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.at").alias("place")), _texts(docs)
+        if nodes.count() <= known:  # 64 bits a row: texts that aren't wanted aren't shuffled
+            texts = texts.join(F.broadcast(wanted.select(F.xxhash64("id", "place").alias("_k"))), F.xxhash64("doc_id", "at") == F.col("_k"), "left_semi")
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place"))).select("node", "text")
         one = found if again is None else found.groupBy("node").agg(F.first("text").alias("text"))
         return one.mapInArrow(run, "node long, shingles binary")
 
