@@ -286,21 +286,21 @@ def brute_units(rows, least):
     import xxhash
 
     occ, seen = [], {}
-    for i, t in {(i, t or "") for i, t in rows}:
+    for row, (i, t) in enumerate((i, t or "") for i, t in rows):
         key, k, at = xxhash.xxh3_64_intdigest(t.encode()), 0, 0
         key -= (key >> 63) << 64
         for raw in re.split(r"(\n|(?<=\.)(?=[ \t\x0b\x0c\r]))", t):
             norm = re.sub(r"[\x20\x09-\x0D]+", " ", raw.lower()).strip(" ")
             if norm:
-                occ.append((i, key, k, at, at + len(raw), norm, len(norm.split(" "))))
+                occ.append((i, key, k, at, at + len(raw), norm, len(norm.split(" ")), row))
                 k += 1
             at += len(raw)
-    rank = lambda o: (o[0] is None, o[0] or 0, o[2], o[1])
+    rank = lambda o: (o[0] is None, o[0] or 0, o[2], o[1], o[7])
     for o in occ:
         seen[o[5]] = min(seen.get(o[5], rank(o)), rank(o))
     out, by = [], defaultdict(list)
     for o in occ:
-        by[o[:2]].append(o)
+        by[o[7]].append(o)
     for part in by.values():
         run = []
         for o in [*sorted(part, key=lambda o: o[2]), None]:
@@ -332,6 +332,15 @@ def test_passage_dedup(spark, least):
     assert substring_dedup.repeated_units(docs(spark, []), least).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "one text of six words. here"), (1, "one text of six words. here"), (None, "A line\nanother"), (None, "A line\nanother"), (None, "A line\nanother"), (2, "lone")]
+    cut = substring_dedup.remove_repeats(docs(spark, rows), 30, 5).collect()
+    assert sorted((str(x.doc_id), x.text.strip()) for x in cut) == [("1", ""), ("1", "one text of six words. here"), ("2", "lone"), ("None", ""), ("None", ""), ("None", "A line\nanother")]
+    assert [c for c in cut[0].asDict() if c not in ("removed",)] == [c.split()[0] for c in DOCS.split(", ")]
+    found = substring_dedup.repeated_units(docs(spark, rows), 30, 5)
+    assert "_row" not in found.columns and sorted((str(x.doc_id), x.unit) for x in found.collect()) == [("1", 0), ("1", 1)] + [("None", 0)] * 2 + [("None", 1)] * 2
+
+
 def test_passage_dedup_of_lines_and_sentences(spark):
     r = random.Random(4)
     pool = ["one two three four five", "one two. three four", "Short", "", "  a\tb  ", "tail. of it. twice.", "of it.", "Of it.  tail.", "six words are here at last"]
@@ -539,6 +548,26 @@ def test_licenses_over_line_ends():
         assert found == pytest.approx(want)
 
 
+def test_related_licenses_are_told_apart():
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.\n" + "code here " * 40
+    bsd2 = "".join(x for x in re.split(r"(?=3\. Neither|THIS SOFTWARE)", licenses._BSD) if not x.startswith("3."))
+    cases = {
+        "GPL-2.0": gnu.format("General Public License", 2), "GPL-3.0": gnu.format("General Public License", 3), "LGPL-2.1": gnu.format("Lesser General Public License", "2.1"),
+        "LGPL-3.0": gnu.format("Lesser General Public License", 3), "AGPL-3.0": gnu.format("Affero General Public License", 3), "BSD-2-Clause": bsd2, "BSD-3-Clause": licenses._BSD,
+        "CC-BY-SA-3.0": "Licensed under CC BY-SA 3.0.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "ISC": licenses.TEMPLATES["ISC"][1], "MIT": licenses._MIT,
+        "Apache-2.0": licenses.TEMPLATES["Apache-2.0"][1], "GPL-2.0-only": "// SPDX-License-Identifier: GPL-2.0-only\nint x;", None: "This is not released under the MIT License.",
+        "ambiguous": "This work is licensed under the GNU General Public License.",
+    }
+    from collections import Counter
+
+    for seed in (1, 2, 3):
+        r = random.Random(seed)
+        vocabulary = sorted({w for x in licenses.TEMPLATES.values() for f in x for w in licenses.terms(f)})
+        common = {w for t in cases.values() for w in Counter(licenses.terms(t))}
+        m = licenses.Matcher(licenses.TEMPLATES, {w: r.randrange(0, 60 if w in common else 30) for w in vocabulary}, 1000, 0.8)
+        assert {k: m.scan(t)[0] for k, t in cases.items()} == {k: k for k in cases}
+
+
 def test_license_anchors_lose_nothing():
     r = random.Random(8)
     forms = [f for x in licenses.TEMPLATES.values() for f in x]

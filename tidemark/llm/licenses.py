@@ -21,10 +21,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
     "BSD-3-Clause": ("Licensed under the 3-Clause BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    **{f"CC-{part}-{version}": (f"Licensed under CC {part} {version}.",) for part in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("4.0", "3.0", "2.0")},
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "Proprietary": ("All rights reserved.",),
 }
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
@@ -62,10 +61,42 @@ LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|copyright)[^/]*$"
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
+#: A line that tells the identifier itself.
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.+-]*)")
+_NEGATED = re.compile(r"\b(?:not|never|nor)(?: \w+){0,2} (?:released|licensed|distributed|available|under)\b")
+_VERSION = re.compile(r"\b(?:(?:version|v) ?|gplv?)(\d+(?:\.\d+)*)\b")
+AMBIGUOUS = "ambiguous"
+
+
 def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
+def required(name: str, own: list[str], after: list[str], whole: frozenset[str] | set[str]) -> str:
+    """The license that a match tells, by the terms that tell relatives apart: versions, lesser, affero, the parts of CC, endorse.
+
+    `own` are the matching words, `after` those behind them, `whole` the terms of the text. Where a version is due and there is
+    none, AMBIGUOUS.
+    """
+    text = " ".join(own)
+    version = _VERSION.search(text) or _VERSION.search(" ".join(own[-2:] + after))
+    number = version[1] if version else None
+    full = lambda v: v if "." in v else f"{v}.0"
+    if re.match("A?L?GPL-", name):
+        kind = "AGPL" if "affero" in own else "LGPL" if "lesser" in own or "library general public" in text else "GPL"
+        return f"{kind}-{full(number)}" if number else AMBIGUOUS
+    if name.startswith("CC-BY"):
+        part = [w for w in own[own.index("cc") + 1 :] if w in ("by", "nc", "sa", "nd")] if "cc" in own else []
+        number = next((w for w in own + after[:2] if re.fullmatch(r"[1-4]\.\d", w)), None)
+        return f"CC-{'-'.join(part).upper()}-{number}" if part and number else AMBIGUOUS
+    if name.startswith("BSD-"):
+        told = re.search(r"\b([234]) clause\b", text)
+        return f"BSD-{told[1] if told else 3 if 'endorse' in whole else 2}-Clause"
+    if name.split("-")[0] in ("Apache", "MPL") and number:
+        return f"{name.split('-')[0]}-{full(number)}"
+    return name
+
+
 class Matcher:
     """Cosines of a text's lines, word windows and the whole text with the templates, under the corpus's inverse document frequencies.
 
@@ -141,33 +172,42 @@ class Matcher:
     def scan(self, text: str | None) -> tuple[str | None, float, int, float]:
         """License, score and line (-1: the whole text) of the best match, and the share of words in lines or windows that match.
 
-        A match of a license that isn't GENERIC outranks all that are.
+        A match of a license that isn't GENERIC outranks all that are, one that is AMBIGUOUS comes last; a match that is negated
+        is none. The line of an SPDX identifier outranks all. See `required` for relatives.
         """
-        best, name, at, every, of = (False, 0.0), None, None, [], []
-        said = set()
-
-        def offer(s: float, x: str, line: int) -> None:
-            nonlocal best, name, at
-            if name is None or (x not in GENERIC, s) > (best[0], best[1] + (1e-9 if best[0] == (x not in GENERIC) else 0)):
-                best, name, at = (x not in GENERIC, s), x, line
-
+        every, of, met = [], [], []  # words, their lines, matches (score, name, start, end, line)
+        spdx = None
         for i, line in enumerate((text or "").split("\n")):
             words = terms(line)
+            if spdx is None and (told := _SPDX.search(line)):
+                spdx = (told[1], i)
+                met.append((1.0, None, len(every), len(every) + len(words), i))
             s, x = self.best(words)
             if s >= self.threshold:
-                said.update(range(len(every), len(every) + len(words)))
-                offer(s, x, i)
+                met.append((s, x, len(every), len(every) + len(words), i))
             every += words
             of += [i] * len(words)
         if every and not self.anchors.isdisjoint(every):
-            for s, x, a, z in self.slide(every):
-                said.update(range(a, z))
-                offer(s, x, of[a])
+            met += [(s, x, a, z, of[a]) for s, x, a, z in self.slide(every)]
             s, x = self.best(every)
             if s >= self.threshold:
-                said.update(range(len(every)))
-                offer(s, x, -1)
-        return name, round(best[1], 6), -2 if at is None else at, len(said) / len(every) if every else 0.0
+                met.append((s, x, 0, len(every), -1))
+        best, name, at, said, whole = (-1, 0.0), None, None, set(), set(every) if met else set()
+        for s, x, a, z, line in met:
+            if x is None:
+                said.update(range(a, z))
+                continue
+            if _NEGATED.search(" ".join(every[max(0, a - 4) : z])):
+                continue
+            x = required(x, every[a:z], every[z : z + 8], whole)
+            rank = 0 if x == AMBIGUOUS else 1 if x in GENERIC else 2
+            said.update(range(a, z))
+            if name is None or (rank, s) > (best[0], best[1] + (1e-9 if best[0] == rank else 0)):
+                best, name, at = (rank, s), x, line
+        share = len(said) / len(every) if every else 0.0
+        if spdx:
+            return spdx[0], 1.0, spdx[1], share
+        return name, round(best[1], 6) if name else 0.0, -2 if at is None else at, share
 
 
 def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -205,13 +245,15 @@ def license_scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None
     `header` for another file whose own text matches, `inherited` for one that takes the license of the licence file
     in the nearest directory above it or its own, else `none` with a null license. Of several licence files in a
     directory that of the highest score, then the least path counts; of several licenses in a file the best match
-    (in a line, a window over line ends or the whole), then the first line, GENERIC ones last. Directories are joined by path: each distinct directory is listed with its ancestors, so
+    (in a line, a window over line ends or the whole), then the first line, GENERIC ones last, `ambiguous` behind them: a text
+    of a family whose version or kind isn't told. Versions and relatives are told apart by required terms, SPDX lines count as they are, a
+    negated match doesn't. Directories are joined by path: each distinct directory is listed with its ancestors, so
     that what grows with a directory's files is one lookup per file. Null and empty texts match nothing, null paths
     lie in the root, repeated rows are each returned, an empty table gives an empty result; other columns than
     file_id, path and text aren't read.
     """
     found = materialise(detect(files, templates, threshold).withColumn("dir", F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1)), "licenses")
-    licence = F.col("license").isNotNull() & (F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) | (F.col("share") >= file_share))
+    licence = F.col("license").isNotNull() & (F.col("license") != AMBIGUOUS) & (F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) | (F.col("share") >= file_share))
     first = F.min(F.struct((-F.col("score")).alias("low"), F.col("path").alias("from_path"), F.col("license").alias("dir_license")))
     given = found.where(licence).groupBy("dir").agg(first.alias("g")).select(F.col("dir").alias("above"), "g.from_path", "g.dir_license", (-F.col("g.low")).alias("dir_score"))
     dirs = materialise(found.groupBy("dir").agg(F.count(F.lit(1)).alias("n")), "dirs")
