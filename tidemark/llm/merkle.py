@@ -167,3 +167,32 @@ def _finished(leaves: DataFrame, outer: DataFrame, root: str, fanout: int, heigh
     rows = leaves.select("tree", "pos", "n", "node", "told", F.col("doc_id").cast("string").alias("doc_id"), F.expr(f"pos div {wide}").alias("block"))
     done = rows.groupBy("tree", "block").cogroup(outer.groupBy("tree", "pos")).applyInPandas(finish, shape)
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+#: The same rows, of the query's parameters, by plain comparison.
+ORACLE = r"""
+WITH RECURSIVE bytes AS (SELECT doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS id FROM documents),
+crc AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(id) + 1), lambda i: CAST(ascii(substr(id, CAST(i AS INT), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c FROM bytes),
+told AS (SELECT *, CASE WHEN xor(c, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS got FROM crc),
+f AS (SELECT doc_id, source, got IS DISTINCT FROM text AS cut, concat(
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS a, coalesce(strlen(got) || ':' || got, '-') AS b FROM told),
+leaf AS (SELECT doc_id, source, sha256(head || a) AS leaf, sha256(head || b) AS told FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+low AS (SELECT source, 0 AS lv, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY source
+  UNION ALL SELECT source, lv + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM low WHERE len(nodes) > 1),
+sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM low WHERE len(nodes) = 1),
+high AS (SELECT 0 AS lv, list(subroot ORDER BY pos) AS nodes FROM sub
+  UNION ALL SELECT lv + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM high WHERE len(nodes) > 1),
+steps AS (SELECT p.source, p.pos, p.doc_id, p.leaf, lv, nodes[p.pos // CAST(pow(3, lv) AS BIGINT) // 3 * 3 + 1 : p.pos // CAST(pow(3, lv) AS BIGINT)] AS l, nodes[p.pos // CAST(pow(3, lv) AS BIGINT) + 2 : p.pos // CAST(pow(3, lv) AS BIGINT) // 3 * 3 + 3] AS r
+  FROM placed p JOIN low ON p.source IS NOT DISTINCT FROM low.source WHERE len(nodes) > 1),
+tops AS (SELECT s.source, s.subroot, lv, nodes[s.pos // CAST(pow(3, lv) AS BIGINT) // 3 * 3 + 1 : s.pos // CAST(pow(3, lv) AS BIGINT)] AS l, nodes[s.pos // CAST(pow(3, lv) AS BIGINT) + 2 : s.pos // CAST(pow(3, lv) AS BIGINT) // 3 * 3 + 3] AS r FROM sub s, high WHERE len(nodes) > 1),
+paths AS (SELECT source, pos, list({'l': array_to_string(l, ''), 'r': array_to_string(r, '')} ORDER BY lv) AS path FROM steps GROUP BY source, pos),
+outers AS (SELECT source, list({'l': array_to_string(l, ''), 'r': array_to_string(r, '')} ORDER BY lv) AS path FROM tops GROUP BY source),
+whole AS (SELECT p.doc_id, p.leaf, p.told, s.subroot, list_concat(coalesce(a.path, []), coalesce(o.path, [])) AS path FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN paths a ON a.source IS NOT DISTINCT FROM p.source AND a.pos = p.pos LEFT JOIN outers o ON o.source IS NOT DISTINCT FROM p.source),
+done AS (SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256,
+  list_reduce(list_prepend({'l': '', 'r': told}, path), lambda x, y: {'l': '', 'r': sha256(y.l || x.r || y.r)}).r AS folded_root FROM whole)
+SELECT *, folded_root = root AS verified FROM done
+"""

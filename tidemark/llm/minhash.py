@@ -278,3 +278,15 @@ def minhash_dedup(docs: DataFrame, shingle: int = 3, percent: int = 85, seed: in
     some = attach(rows.where("n > 0").select("doc_id", "n", "set"), facts, ["set"], "copies", F.col("doc_id")).select("doc_id", "n", "component_id")
     none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.union(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The same rows, of the query's parameters, by plain comparison.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(2, len(ws) - 1)), lambda i: array_to_string(ws[i : i + 2], ' ')))) AS sh FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -70,4 +70,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_decontamination, op4_warc, op5_chat_formatting, op6_mixing, op7_exact_dedup, op8_quality, op9_simhash_dedup, op10_substring_dedup, op11_spelling_variants, op12_minhash_dedup, op13_merkle_manifest)}
-ORACLES = {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_minhash_dedup": minhash.ORACLE, "op13_merkle_manifest": merkle.ORACLE}

@@ -245,3 +245,21 @@ def spelling_variants(docs: DataFrame, least: int = 6, min_count: int = 5, ratio
     told = materialise(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(some, F.col("near")).alias("form"), F.when(some, F.col("near_n")).alias("form_n")), "near")
     roots = followed(told.where("form is not null"))
     return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The same rows, of the query's parameters, by plain comparison.
+ORACLE = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256)) AS k))),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY 1, 2), x AS (SELECT run, n, hex(encode(doc_id || ':' || run)) AS h FROM g),
+c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS INT)])), 4294967295) AS crc FROM x, tab),
+v AS (SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, CAST(crc % length(run) AS INT)) || substr(run, CAST(crc % length(run) AS INT) + 2) ELSE run END AS word, n FROM c),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words), q AS (SELECT word, n, substr(word, 1, CAST(i AS INT) - 1) || '*' || substr(word, CAST(i AS INT) + 1) AS k, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS less FROM p),
+near AS (SELECT a.word, b.word AS other FROM q a JOIN q b ON a.k = b.k AND a.word <> b.word UNION SELECT q.word, w.word FROM q JOIN words w ON w.word = q.less UNION SELECT w.word, q.word FROM q JOIN words w ON w.word = q.less),
+best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS near_n, arg_min(other, (-o.n, encode(other))) AS other FROM near JOIN words o ON o.word = other GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN other END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ch AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT ch.word, f.form FROM ch JOIN f ON f.word = ch.root WHERE f.form IS NOT NULL),
+ends AS (SELECT ch.word, ch.root FROM ch JOIN f ON f.word = ch.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON ends.word = f.word
+"""
