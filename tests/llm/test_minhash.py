@@ -83,13 +83,13 @@ def test_shared_passage_links_nothing(spark):
 def test_recall_of_bands():
     """Sets at the threshold share a band, and about as many coordinates as their similarity says."""
     r = np.random.default_rng(0)
-    agree, shared = [], 0
+    agree, shared, perms = [], 0, minhash.permutations()
     for _ in range(300):
         h = r.integers(0, 2**63, 400, dtype=np.uint64)
         a, b = np.unique(h[:368]), np.unique(np.r_[h[:338], h[368:398]])
         both = len(np.intersect1d(a, b))
         assert both / (len(a) + len(b) - both) >= 0.849
-        x, y = minhash.signature(a), minhash.signature(b)
+        x, y = minhash.signature(a, perms), minhash.signature(b, perms)
         agree.append((x == y).mean())
         shared += bool(len(np.intersect1d(minhash.band_keys(x), minhash.band_keys(y))))
     assert shared == 300 and abs(np.mean(agree) - 0.85) < 0.01 and min(agree) * minhash.COORDINATES >= minhash.least_agreement(85)
@@ -97,11 +97,11 @@ def test_recall_of_bands():
 
 def test_all_coordinates_are_shifts():
     h = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
-    first, _ = minhash.permutations(42)
-    second = np.array([minhash.permutations(42)[1][x, 0] for x in range(minhash.UNIVERSE)])
+    first, shifted = minhash.permutations()
+    second = shifted[:, 0]
     places = first[(h % np.uint64(minhash.UNIVERSE)).astype(int)].astype(int)
     want = [second[(places + k) % minhash.UNIVERSE].min() for k in range(minhash.COORDINATES)]
-    assert minhash.signature(h).tolist() == want
+    assert minhash.signature(h, (first, shifted)).tolist() == want
 
 
 def test_pieces_of_long_texts():

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +41,16 @@ def shingles(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-@lru_cache(1)
-def permutations(seed: int) -> tuple[np.ndarray, np.ndarray]:
+def permutations(seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and the second one's circular shifts: row x holds what they give for place x, one column a shift."""
     r = np.random.default_rng(seed)
     first, second = r.permutation(UNIVERSE).astype(np.uint32), r.permutation(UNIVERSE).astype(np.uint32)
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: COORDINATES - 1]]), COORDINATES)
 
 
-def signature(hashes: np.ndarray, seed: int = 42) -> np.ndarray:
-    """All coordinates of a set: the least of the second permutation, shifted by 0, 1, 2 and so on, over the places that the first one gives."""
-    first, shifted = permutations(seed)
+def signature(hashes: np.ndarray, both: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """All coordinates of a set: the least of the second permutation, shifted by 0, 1, 2 and so on, over the places that the first one gives. `both` are permutations()."""
+    first, shifted = both
     places = first[(hashes % np.uint64(UNIVERSE)).astype(np.int64)]
     out = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint32)
     for k in range(0, len(places), 4096):
@@ -70,13 +68,14 @@ def sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
     """doc_id, at (a hash of the text, to find it again), n, set (a digest of the shingle set), bands, sketch (a byte of each coordinate) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = permutations(seed)
         for b in batches:
             n, digests, bands, sketches = [], [], [], []
             for t in b.column(2):
                 found = shingles(t.as_py(), size, seed)
                 n.append(len(found))
                 if len(found):
-                    s = signature(found, seed)
+                    s = signature(found, both)
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bands.append(band_keys(s))
                     sketches.append(s.astype(np.uint8).tobytes())
