@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The functions below travel to the executors with their code, so that those need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FOUND = ("used", "hours", "min_p10", "final_p10", "p_low")
 
 
