@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..operators import panes
 from ..registry import query
-from ..sources.bindings import MEDIA, WIDE15, events, media, wide15
+from ..sources.bindings import WIDE15, events, wide15
+from ..sources.listing import listing
 from ..sources.scratch import folder
 from ..streaming import streams as st
 from ..streaming.publish import publish_changes
@@ -29,10 +30,20 @@ def t1_frontier_append(spark, sf):
     return st.run_to_table(st.frontier_append(e.union(e), "ts", ["event_id"], "40 days").select("event_id", "value"), "appended")
 
 
-@query(f"WITH {MEDIA}, f AS (SELECT *, time + INTERVAL 1 minute * (event_id % 90) AS modified FROM media), d AS (SELECT min(time) AS first FROM f WHERE modified > TIMESTAMP '2024-01-29 23:50:00') SELECT path FROM f, d WHERE modified <= TIMESTAMP '2024-01-29 23:50:00' AND (first IS NULL OR time < first)")
+@query("""WITH m AS (SELECT DISTINCT CAST(ts AS DATE) AS day, date_trunc('day', ts) + INTERVAL 1 day + to_hours(CAST(day(ts) * 7 % 5 AS INT)) AS modified FROM events), d AS (SELECT min(day) AS first FROM m WHERE modified > TIMESTAMP '2024-01-20 01:50:00')
+SELECT day, modified FROM m, d WHERE modified <= TIMESTAMP '2024-01-20 01:50:00' AND (first IS NULL OR day < first)""")
 def t2_hold_back(spark, sf):
-    f = media(spark, sf).withColumn("modified", F.col("time") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int")))
-    return st.held_back(f, "modified", "2024-01-30 00:00:00", 600).select("path")
+    """A file a day is written and listed with its time of change: what isn't settled for ten minutes, and all that is later, waits."""
+    at = folder(spark, "days")
+    events(spark, sf).select(F.to_date("ts").alias("day"), F.col("event_id").cast("string").alias("value")).repartition("day").write.partitionBy("day").text(at)
+    day = F.regexp_extract("path", "day=([0-9-]+)", 1).cast("date")
+    changed = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1), (F.day("day") * 7 % 5).cast("int"))
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in listing(spark, at, "*.txt").select("path", day.alias("day")).select("path", (micros(changed) / 1000).cast("long").alias("ms")).collect():  # a row a day
+        p = fs.Path(row["path"])
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(p, row["ms"], -1)
+    files = listing(spark, at, "*.txt").select("path", "modified", day.alias("day"), day.cast("timestamp_ntz").alias("time"))
+    return st.held_back(files, "modified", "2024-01-20 02:00:00", 600).select("day", "modified").distinct()
 
 
 @query("SELECT user_id, ts, value FROM (SELECT DISTINCT ON (user_id, date_trunc('minute', ts)) * FROM events ORDER BY user_id, date_trunc('minute', ts), event_id)")
