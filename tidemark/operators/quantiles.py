@@ -27,10 +27,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: S
     d = df.withColumn("_v", (F.col(value) if isinstance(value, str) else value).cast("double") + F.lit(0.0))
     plain = lambda rows: rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"), *more)
     named = F.struct(*keys) if keys else F.struct(F.lit(0).alias("one"))
-    n = table(d.groupBy(named.alias("_g")).agg(F.count("_v").alias("_n")), "sizes")
-    large = n.where(F.col("_n") > small)
-    if large.isEmpty():
+    sizes = d.groupBy(named.alias("_g")).agg(F.count("_v").alias("_n"))
+    if sizes.where(F.col("_n") > small).isEmpty():
         return plain(d)
+    n = table(sizes, "sizes")
+    large = n.where(F.col("_n") > small)
     d = d.withColumn("_g", named)
     rest, big = d.join(n.where(F.col("_n") <= small), "_g", "left_semi"), d.join(large, "_g", "left_semi")
     found = _selected(big.where("_v IS NOT NULL").select("_g", "_v"), large, list(shares), few)
