@@ -110,3 +110,12 @@ def test_widest_gap_is_the_sorts(spark, seed, log):
         gap, low, high = max(((f(b) - f(a), a, b) for a, b in zip(vs, vs[1:], strict=False)), key=lambda x: (x[0], -x[1]))
         assert got[k][:1] == (len(vs),) and math.isclose(got[k][3], gap, abs_tol=1e-12) and (log and gap < 1e-9 or got[k][1:3] == (low, high) or math.isclose(f(got[k][2]) - f(got[k][1]), gap, rel_tol=1e-9)), k
     assert got["one"][1:] == (None, None, None) and "none" not in got
+
+
+@pytest.mark.parametrize("small, few", [(10, 5), (10, 10_000), (100_000, 5)])
+def test_weighted_quantiles_are_those_of_repeated_rows(spark, small, few):
+    r = random.Random(4)
+    rows = [(k, r.choice([None, float("nan"), r.gauss(0, 9), 2.0]), r.randrange(1, 9)) for k in ("a", "b") for _ in range(300)] + [("c", None, 3)]
+    df = spark.createDataFrame(rows, "k string, v double, w int").repartition(3)
+    at = lambda d, **w: {x.k: (x.n, x.q) for x in quantiles.quantiles(d, ["k"], "v", [0.1, 0.5, 0.93], small=small, few=few, **w).collect()}
+    same(at(df, weight="w"), at(df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("w"))))))

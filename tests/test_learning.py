@@ -87,3 +87,21 @@ def test_tail_extension_keeps_all_rows(spark):
     rows = [(1, lead, 1.5 * c, c) for lead, c in ((3, 10.0), (12, 20.0), (60, 30.0))] + [(2, 60, 7.0, 30.0), (2, 3, 0.4, 0.5)]
     got = {(x.m, x.lead): x.v for x in ensemble.tail_extension(spark.createDataFrame(rows, "m int, lead int, v double, c double"), ["m"], "lead", "v", "c").collect()}
     assert got[(1, 3)] == 15 and got[(1, 60)] == pytest.approx(30 * (1 + 0.5 * 1.5)) and got[(2, 60)] == 30 and len(got) == 5
+
+
+def test_regimes_of_a_large_group(spark):
+    """A group beyond the quantiles' bound for one task: the split of plain sorting."""
+    from pyspark.sql import functions as F
+
+    n = 130_000
+    v = F.when(F.col("id") % 3 == 0, 900 + F.col("id") % 40).otherwise(100 + F.col("id") % 25).cast("double")
+    df = spark.range(n).select(F.lit("a").alias("k"), v.alias("v")).union(spark.createDataFrame([("a", float("nan")), ("a", None)], "k string, v double"))
+    got = {x.regime: x for x in learn.regimes(df, "k", "v").collect()}
+    low = sorted(100.0 + i % 25 for i in range(n) if i % 3)
+    high = sorted(900.0 + i % 40 for i in range(n) if i % 3 == 0)
+    middle = lambda s: (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+    assert set(got) == {0, 1}
+    for i, side in enumerate((low, high)):
+        loc = middle(side)
+        assert got[i].n == len(side) and got[i].location == loc and got[i].weight == pytest.approx(len(side) / n)
+        assert got[i].scale == pytest.approx(max(3.0, 1.4826 * middle(sorted(abs(x - loc) for x in side))))

@@ -120,20 +120,23 @@ def regimes(df: DataFrame, key: str, value: str, minimum: int = 4, least_gap: fl
 
     The values are cut at their widest gap, the first of several, if that is at least `least_gap` and three times the
     sides' common scale and if each side has `minimum` values; else they are one regime, of the values near their median.
+    Equal values of a key are one row with their number from the start; null and NaN don't count.
     """
-    v = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
-    cut = widest_gap(v, [key], "_v").select(key, F.when(F.col("gap") > 0, F.col("low")).alias("_low"), F.col("gap").alias("_gap"), F.col("n").alias("_all"))
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(key, F.col(value).cast("double").alias("_v"))
+    v = table(v.agg(F.count(F.lit(1)).alias("_w")), "values")
+    cut = widest_gap(v, [key], "_v").select(key, F.when(F.col("gap") > 0, F.col("low")).alias("_low"), F.col("gap").alias("_gap"))
     sided = v.join(cut, key).withColumn("regime", F.coalesce((F.col("_v") > F.col("_low")).cast("int"), F.lit(0)))
     sided = table(sided, "sides")
-    sizes = sided.groupBy(key, "regime").agg(F.count(F.lit(1)).alias("_size"), F.max("_gap").alias("_gap"), F.max("_all").alias("_all"))
-    sides = table(robust_scale(sided, [key, "regime"], "_v").join(sizes, [key, "regime"]), "regimes")
+    sizes = sided.groupBy(key, "regime").agg(F.sum("_w").alias("_size"), F.max("_gap").alias("_gap"))
+    sizes = sizes.withColumn("_all", F.sum("_size").over(Window.partitionBy(key)))
+    sides = table(robust_scale(sided, [key, "regime"], "_v", weight="_w").join(sizes, [key, "regime"]), "regimes")
     test = sides.groupBy(key).agg(F.count(F.lit(1)).alias("_sides"), F.min("_size").alias("_few"), F.max("_gap").alias("_gap"), F.sqrt(F.sum(F.col("scale") * F.col("scale"))).alias("_noise"))
     two = (F.col("_sides") == 2) & (F.col("_few") >= minimum) & (F.col("_gap") >= F.greatest(F.lit(least_gap), 3.0 * F.col("_noise")))
     split = test.select(key, F.coalesce(two, F.lit(False)).alias("_two"))
     apart = sides.join(split.where("_two"), key).select(key, "regime", F.col("median").alias("location"), "scale", (F.col("n") / F.col("_all")).alias("weight"), "n")
-    near = table(robust_kept(sided.join(split.where("NOT _two"), key).select(key, "_v"), [key], "_v"), "near")
-    whole = near.groupBy(key).agg(F.count(F.lit(1)).alias("_near"))
-    one = robust_scale(near, [key], "_v").join(whole, key).select(key, F.lit(0).alias("regime"), F.col("median").alias("location"), "scale", (F.col("n") / F.col("_near")).alias("weight"), "n")
+    near = table(robust_kept(sided.join(split.where("NOT _two"), key).select(key, "_v", "_w"), [key], "_v", weight="_w"), "near")
+    whole = near.groupBy(key).agg(F.sum("_w").alias("_near"))
+    one = robust_scale(near, [key], "_v", weight="_w").join(whole, key).select(key, F.lit(0).alias("regime"), F.col("median").alias("location"), "scale", (F.col("n") / F.col("_near")).alias("weight"), "n")
     w = Window.partitionBy(key)
     share = F.col("weight") / F.sum("weight").over(w)
     mixed = apart.union(one).withColumn("_share", share).withColumn("mean", F.sum(F.col("_share") * F.col("location")).over(w))

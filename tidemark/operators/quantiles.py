@@ -1,120 +1,81 @@
-"""Exact quantiles of groups of any size: brackets from mergeable summaries, narrowed until few values are left."""
+"""Exact quantiles of groups of any size: equal values are counted once, and what is still many is ranked by ranges."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import table
 
-#: Even ranks of the summaries of a later pass, and how exact summaries are: one part of so many.
-GRID, EXACT = 64, 10_000
 
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], more: Sequence[Column] = (), small: int = 100_000, few: int = 10_000) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], more: Sequence[Column] = (), small: int = 100_000, few: int = 100_000, weight: str | None = None) -> DataFrame:
     """keys, n (values that aren't null), q (an array, one quantile a share), as `percentile` gives them: exact, linear between neighbours.
 
-    Groups of up to `small` values are left to `percentile`, which keeps a group's values in one task. The others never meet in
-    a task: a summary that tasks merge brackets each wanted rank between two values, the rows below and between are
-    counted, and the rows between are bracketed again, until at most `few` are left or the rank falls among
-    rows that equal a bracket's end. Each pass leaves a few hundredths of the rows at most, and counts decide, so the result is exact
-    whatever the summary's error. NaN is the greatest value, -0.0 counts as 0.0; a group without values has null.
-    `more` are further aggregates of the groups, with names.
+    Groups of up to `small` rows are left to `percentile`, which keeps a group's values in one task. The others are counted value by
+    value, which tasks merge. Where `few` different values or less are left, `percentile` takes these with their counts; else the values are
+    dealt by ranges, a row a range tells where a rank falls, and the range is counted through. So no task holds a large group, the rows
+    are read three times, and the result is exact. NaN is the greatest value, -0.0 counts as 0.0; a group without values has null.
+    `weight` names a column of whole numbers, how often a row counts. `more` are further aggregates of the groups, with names.
     """
     keys = list(keys)
     d = df.withColumn("_v", (F.col(value) if isinstance(value, str) else value).cast("double") + F.lit(0.0))
-    plain = lambda rows: rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q"), *more)
+    n, q = _whole(shares, weight)
+    plain = lambda rows: rows.groupBy(*keys).agg(n, q, *more)
     named = F.struct(*keys) if keys else F.struct(F.lit(0).alias("one"))
     sizes = d.groupBy(named.alias("_g")).agg(F.count("_v").alias("_n"))
     if sizes.where(F.col("_n") > small).isEmpty():
         return plain(d)
-    n = table(sizes, "sizes")
-    large = n.where(F.col("_n") > small)
+    large = table(sizes.where(F.col("_n") > small), "sizes")
     d = d.withColumn("_g", named)
-    rest, big = d.join(n.where(F.col("_n") <= small), "_g", "left_semi"), d.join(large, "_g", "left_semi")
-    found = _selected(big.where("_v IS NOT NULL").select("_g", "_v"), large, list(shares), few)
+    rest, big = d.join(large, "_g", "left_anti"), d.join(large, "_g", "left_semi")
+    found = _selected(big.where("_v IS NOT NULL").select("_g", "_v", (F.lit(1) if weight is None else F.col(weight)).alias("_w")), list(shares), few)
     whole = found.join(big.groupBy("_g").agg(*more), "_g") if more else found
     of_group = whole.select(*[F.col("_g").getField(k).alias(k) for k in keys], *[c for c in whole.columns if c != "_g"])
     return of_group.unionByName(plain(rest)) if keys else of_group
 
 
-def _selected(rows: DataFrame, groups: DataFrame, shares: list[float], few: int) -> DataFrame:
-    """_g, n, q of `groups` (_g, _n) from rows (_g, _v): a state row for each wanted rank of a group."""
-    place = lambda s: F.lit(float(s)) * (F.col("_n") - 1)
-    wanted = [x for s in shares for x in (F.floor(place(s)), F.ceil(place(s)))]
-    ranks = groups.select("_g", "_n", F.posexplode(F.array(*wanted)).alias("_r", "_k"))
-    state = table(ranks.withColumns({"_low": F.lit(None).cast("double"), "_high": F.lit(None).cast("double"), "_below": F.lit(0).cast("long"), "_m": F.col("_n"), "_found": F.lit(None).cast("double")}), "ranks")
-    # the first pass serves all ranks of a group in one scan, without a copy of a row for each
-    near = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-3 / EXACT, 3 / EXACT)})
-    told = rows.groupBy("_g").agg(F.percentile_approx("_v", near, EXACT).alias("_q"))
-    ends = state.join(told, "_g").select(*state.columns[:4], F.element_at("_q", _nearest(near, shares, -1)).alias("_a"), F.element_at("_q", _nearest(near, shares, 1)).alias("_b"))
-    ends = table(ends, "brackets")
-    bounds = table(ends.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_r", "_a", "_b"))).alias("_t")), "bounds")
-    # five counts for each rank of a group, in one row of arrays
-    count = lambda i, ok: F.count_if(ok(F.col("_v"), F.col("_t")[i])).alias
-    sums = [F.struct(*[count(i, ok)(c) for c, ok in _COUNTS.items()]).alias(f"_c{i}") for i in range(len(wanted))]
-    counted = rows.join(bounds, "_g").groupBy("_g").agg(*sums).select("_g", F.posexplode(F.array(*[F.col(f"_c{i}") for i in range(len(wanted))])).alias("_r", "_c"))
-    state = table(_narrowed(state.join(ends.select("_g", "_r", "_a", "_b"), ["_g", "_r"]).join(counted, ["_g", "_r"])), "ranks")
-    left = rows
-    while not (open_ := state.where("_found IS NULL")).where(F.col("_m") > few).isEmpty():
-        left = table(_inside(left, open_), "left")
-        told = left.groupBy("_g", "_r").agg(F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], EXACT).alias("_q"))
-        at = (F.col("_k") - F.col("_below")) * GRID / F.greatest(F.col("_m") - 1, F.lit(1))
-        pick = lambda i: F.element_at("_q", F.least(F.lit(GRID), F.greatest(F.lit(0), i)).cast("int") + 1)
-        ends = table(open_.join(told, ["_g", "_r"]).withColumns({"_a": pick(F.floor(at - 0.1)), "_b": pick(F.ceil(at + 0.1))}), "brackets")
-        t = F.struct("_a", "_b")
-        c = left.join(ends.select("_g", "_r", "_a", "_b"), ["_g", "_r"]).groupBy("_g", "_r").agg(F.struct(*[F.count_if(ok(F.col("_v"), t)).alias(n) for n, ok in _COUNTS.items()]).alias("_c"))
-        state = table(state.where("_found IS NOT NULL").unionByName(_narrowed(ends.drop("_q").join(c, ["_g", "_r"]))), "ranks")
-    return _finished(_inside(left, state.where("_found IS NULL")), state, shares)
-
-
-_COUNTS = {
-    "less": lambda v, t: v < t["_a"],
-    "low": lambda v, t: v == t["_a"],
-    "inside": lambda v, t: (v > t["_a"]) & (v < t["_b"]),
-    "high": lambda v, t: (v == t["_b"]) & (t["_a"] != t["_b"]),
-}
-
-
-def _nearest(near: list[float], shares: list[float], side: int) -> Column:
-    """The place in `near` of the bracket's end for the rank's share."""
-    at = [near.index(min(1.0, max(0.0, s + side * 3 / EXACT))) + 1 for s in shares for _ in (0, 1)]
-    return F.element_at(F.array(*[F.lit(i) for i in at]), F.col("_r") + 1)
-
-
-def _narrowed(found: DataFrame) -> DataFrame:
-    """The state after a pass: the value, if the rank falls on an end of the bracket, else the open interval in which it lies."""
-    k, c = F.col("_k") - F.col("_below"), F.col("_c")
-    to_low, to_inside, to_high = c["less"], c["less"] + c["low"], c["less"] + c["low"] + c["inside"]
-    value = F.when((k >= to_low) & (k < to_inside), F.col("_a")).when((k >= to_high) & (k < to_high + c["high"]), F.col("_b"))
-    lower, within = k < to_low, (k >= to_inside) & (k < to_high)
-    return found.select(
-        "_g", "_n", "_r", "_k",
-        F.when(lower, F.col("_low")).when(within, F.col("_a")).otherwise(F.col("_b")).alias("_low"),
-        F.when(lower, F.col("_a")).when(within, F.col("_b")).otherwise(F.col("_high")).alias("_high"),
-        (F.col("_below") + F.when(lower, 0).when(within, to_inside).otherwise(to_high + c["high"])).alias("_below"),
-        F.when(lower, to_low).when(within, c["inside"]).otherwise(F.col("_m") - to_high - c["high"]).alias("_m"),
-        value.alias("_found"),
-    )
-
-
-def _inside(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """_g, _r, _v: the rows in the open intervals of the ranks that aren't found yet."""
-    at = ["_g", "_r"] if "_r" in rows.columns else ["_g"]
-    j = rows.join(open_.select("_g", "_r", "_low", "_high"), at)
-    return j.where((F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") < F.col("_high")))).select("_g", "_r", "_v")
-
-
-def _finished(left: DataFrame, state: DataFrame, shares: list[float]) -> DataFrame:
-    lists = left.groupBy("_g", "_r").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
-    x = F.coalesce("_found", F.element_at("_vs", (F.col("_k") - F.col("_below")).cast("int") + 1))
-    by_group = state.join(lists, ["_g", "_r"], "left").withColumn("_x", x).groupBy("_g", "_n").agg(F.array_sort(F.collect_list(F.struct("_r", "_x"))).alias("_xs"))
-    low, high = (lambda i: F.col("_xs")[2 * i]["_x"]), (lambda i: F.col("_xs")[2 * i + 1]["_x"])
+def _whole(shares: Sequence[float], weight: str | None) -> tuple[Column, Column]:
+    """n and q of a group in one task."""
+    at = F.array(*[F.lit(float(s)) for s in shares])
+    if weight is None:
+        return F.count("_v").alias("n"), F.percentile("_v", at).alias("q")
+    n = F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col(weight))), F.lit(0)).cast("long")
+    return n.alias("n"), F.percentile("_v", at, F.col(weight)).alias("q")
+
+
+def _selected(rows: DataFrame, shares: list[float], few: int) -> DataFrame:
+    """_g, n, q from rows (_g, _v, _w)."""
+    counts = table(rows.groupBy("_g", "_v").agg(F.sum("_w").alias("_w")), "counts")
+    many = counts.groupBy("_g").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > few)
+    n, q = _whole(shares, "_w")
+    if many.isEmpty():
+        return counts.groupBy("_g").agg(n, q)
+    many = table(many.select("_g"), "many")
+    by_ranges = _ranked(counts.join(many, "_g", "left_semi"), shares)
+    return by_ranges.unionByName(counts.join(many, "_g", "left_anti").groupBy("_g").agg(n, q))
+
+
+def _ranked(counts: DataFrame, shares: list[float]) -> DataFrame:
+    """_g, n, q from the different values of groups and their counts (_g, _v, _w)."""
+    dealt = table(counts.repartitionByRange("_g", "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    along = Window.partitionBy("_g")
+    sums = dealt.groupBy("_g", "_part").agg(F.sum("_w").alias("_s"))
+    parts = sums.select("_g", "_part", "_s", F.sum("_s").over(along).alias("n"), F.coalesce(F.sum("_s").over(along.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    place = lambda s: F.lit(float(s)) * (F.col("n") - 1)
+    wanted = F.array(*[x.cast("long") for s in shares for x in (F.floor(place(s)), F.ceil(place(s)))])
+    inside = lambda k, begin, size: (k >= begin) & (k < begin + size)
+    ranks = parts.select("*", F.posexplode(wanted).alias("_r", "_k")).where(inside(F.col("_k"), F.col("_base"), F.col("_s")))
+    asked = ranks.groupBy("_g", "_part", "n", "_base").agg(F.collect_list(F.struct("_r", "_k")).alias("_ks"))
+    so_far = F.col("_base") + F.sum("_w").over(Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    seen = dealt.join(asked, ["_g", "_part"]).withColumn("_end", so_far)
+    hit = F.filter("_ks", lambda x: inside(x["_k"], F.col("_end") - F.col("_w"), F.col("_w")))
+    by_group = seen.select("_g", "n", "_v", F.explode(hit).alias("_x")).groupBy("_g", "n").agg(F.array_sort(F.collect_list(F.struct("_x._r", "_v"))).alias("_xs"))
+    low, high = (lambda i: F.col("_xs")[2 * i]["_v"]), (lambda i: F.col("_xs")[2 * i + 1]["_v"])
 
     def between(i: int, share: float) -> Column:
-        at = F.lit(float(share)) * (F.col("_n") - 1)
+        at = F.lit(float(share)) * (F.col("n") - 1)
         return F.when(low(i) == high(i), low(i)).otherwise((F.ceil(at) - at) * low(i) + (at - F.floor(at)) * high(i))
 
-    return by_group.select("_g", F.col("_n").alias("n"), F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))
+    return by_group.select("_g", "n", F.array(*[between(i, s) for i, s in enumerate(shares)]).alias("q"))

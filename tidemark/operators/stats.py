@@ -17,26 +17,26 @@ def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "max")
 
 
-def middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float) -> DataFrame:
-    """keys, `name` (the median), _scale, _n per group."""
+def middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float, weight: str | None = None) -> DataFrame:
+    """keys, `name` (the median), _scale, _n per group; `weight` is how often a row counts."""
     keys = list(keys)
-    med = table(quantiles(rows, keys, value, [0.5]).select(*keys, F.col("q")[0].alias(name)), "medians")
-    dev = quantiles(rows.join(med, keys), [*keys, name], F.abs(F.col(value) - F.col(name)), [0.5])
+    med = table(quantiles(rows, keys, value, [0.5], weight=weight).select(*keys, F.col("q")[0].alias(name)), "medians")
+    dev = quantiles(rows.join(med, keys), [*keys, name], F.abs(F.col(value) - F.col(name)), [0.5], weight=weight)
     return dev.select(*keys, name, F.greatest(F.lit(floor), F.col("q")[0] * 1.4826).alias("_scale"), F.col("n").alias("_n"))
 
 
-def robust_kept(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0) -> DataFrame:
+def robust_kept(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0, weight: str | None = None) -> DataFrame:
     """`df` without values farther than max(factor * scale, least) from their group's median."""
-    first = middle(df, keys, value, "_m", floor).drop("_n")
+    first = middle(df, keys, value, "_m", floor, weight).drop("_n")
     return df.join(first, list(keys)).where(F.abs(F.col(value) - F.col("_m")) <= F.greatest(factor * F.col("_scale"), F.lit(least))).drop("_m", "_scale")
 
 
-def robust_scale(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0) -> DataFrame:
+def robust_scale(df: DataFrame, keys: Sequence[str], value: str, floor: float = 3.0, factor: float = 5.0, least: float = 20.0, weight: str | None = None) -> DataFrame:
     """median, scale, n per group after rejecting values farther than max(factor * scale, least) from a first median.
 
     scale is 1.4826 times the median absolute deviation, at least `floor`.
     """
-    return middle(robust_kept(df, keys, value, floor, factor, least), keys, value, "median", floor).select(*keys, "median", F.col("_scale").alias("scale"), F.col("_n").alias("n"))
+    return middle(robust_kept(df, keys, value, floor, factor, least, weight), keys, value, "median", floor, weight).select(*keys, "median", F.col("_scale").alias("scale"), F.col("_n").alias("n"))
 
 
 def error_metrics(error: Column) -> list[Column]:
