@@ -227,10 +227,14 @@ def diurnal_extension(df: DataFrame, key: str, time: str, value: str, horizon: D
     many days as it takes to reach the series; where that is before its first sample, it is the last one.
     """
     day = 24 * HOUR
-    w = Window.partitionBy(key).orderBy(time)
-    steps = df.select(key, (micros(time) - F.lag(micros(time)).over(w)).alias("_d")).groupBy(key).agg(F.floor(F.median("_d")).alias("_step"))
-    ends = df.groupBy(key).agg(F.min(micros(time)).alias("_a"), F.max(micros(time)).alias("_z"), F.max_by(value, time).alias("_last"))
-    base = ends.join(steps, key, "left").join(horizon.select(key, micros("horizon").alias("_h")), key).where("_h > _z").withColumn("_step", F.lit(step_us) if step_us else F.when(F.col("_step") > 0, F.col("_step")).otherwise(fallback_us))
+    base = df.groupBy(key).agg(F.min(micros(time)).alias("_a"), F.max(micros(time)).alias("_z"), F.max_by(value, time).alias("_last"))
+    base = base.join(horizon.select(key, micros("horizon").alias("_h")), key).where("_h > _z")
+    if step_us:
+        base = base.withColumn("_step", F.lit(step_us))
+    else:
+        back = micros(time) - F.lag(micros(time)).over(Window.partitionBy(key).orderBy(time))
+        steps = df.select(key, back.alias("_d")).groupBy(key).agg(F.floor(F.median("_d")).alias("_step"))
+        base = base.join(steps, key, "left").withColumn("_step", F.when(F.col("_step") > 0, F.col("_step")).otherwise(fallback_us))
     regular = F.when(F.col("_z") + F.col("_step") <= F.col("_h"), F.sequence(F.col("_z") + F.col("_step"), F.col("_h"), F.col("_step"))).otherwise(F.array().cast("array<bigint>"))
     grid = base.withColumn("_at", F.explode(F.array_union(regular, F.array("_h"))))
     back = F.col("_at") - day * F.ceil((F.col("_at") - F.col("_z")) / day)
