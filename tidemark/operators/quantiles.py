@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import table
 
+#: Rows, or different values, of a group that one task takes.
+SMALL = 100_000
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], more: Sequence[Column] = (), small: int = 100_000, few: int = 100_000, weight: str | None = None) -> DataFrame:
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], more: Sequence[Column] = (), small: int = SMALL, few: int = SMALL, weight: str | None = None, all_small: bool = False) -> DataFrame:
     """keys, n (values that aren't null), q (an array, one quantile a share), as `percentile` gives them: exact, linear between neighbours.
 
     Groups of up to `small` rows are left to `percentile`, which keeps a group's values in one task. The others are counted value by
     value, which tasks merge. Where `few` different values or less are left, `percentile` takes these with their counts; else the values are
     dealt by ranges, a row a range tells where a rank falls, and the range is counted through. So no task holds a large group, the rows
     are read three times, and the result is exact. NaN is the greatest value, -0.0 counts as 0.0; a group without values has null.
-    `weight` names a column of whole numbers, how often a row counts. `more` are further aggregates of the groups, with names.
+    `weight` names a column of whole numbers, how often a row counts; `all_small` says that no group is larger, so that none is counted. `more` are further aggregates of the groups, with names.
     """
     keys = list(keys)
     d = df.withColumn("_v", (F.col(value) if isinstance(value, str) else value).cast("double") + F.lit(0.0))
     n, q = _whole(shares, weight)
     plain = lambda rows: rows.groupBy(*keys).agg(n, q, *more)
+    if all_small:
+        return plain(d)
     named = F.struct(*keys) if keys else F.struct(F.lit(0).alias("one"))
     sizes = d.groupBy(named.alias("_g")).agg(F.count("_v").alias("_n"))
     if sizes.where(F.col("_n") > small).isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import table
-from .quantiles import quantiles
+from .quantiles import SMALL, quantiles
 
 
 def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -20,8 +20,9 @@ def latency_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def middle(rows: DataFrame, keys: Sequence[str], value: str, name: str, floor: float, weight: str | None = None) -> DataFrame:
     """keys, `name` (the median), _scale, _n per group; `weight` is how often a row counts."""
     keys = list(keys)
-    med = table(quantiles(rows, keys, value, [0.5], weight=weight).select(*keys, F.col("q")[0].alias(name)), "medians")
-    dev = quantiles(rows.join(med, keys), [*keys, name], F.abs(F.col(value) - F.col(name)), [0.5], weight=weight)
+    med = table(quantiles(rows, keys, value, [0.5], weight=weight).select(*keys, F.col("q")[0].alias(name), F.col("n").alias("_size")), "medians")
+    known = med.where(F.col("_size") > SMALL).isEmpty()  # the distances' groups have the same rows
+    dev = quantiles(rows.join(med.drop("_size"), keys), [*keys, name], F.abs(F.col(value) - F.col(name)), [0.5], weight=weight, all_small=known)
     return dev.select(*keys, name, F.greatest(F.lit(floor), F.col("q")[0] * 1.4826).alias("_scale"), F.col("n").alias("_n"))
 
 
