@@ -64,10 +64,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(spark, sf_dir).withColumn("member", m).withColumn("value", F.col("forecast") * (0.75 + 0.5 * (F.col("member") - 1) / 19))
 
 
-def ensembles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forecasts with their twenty members' values in an array, in the members' order."""
-    values = F.array(*[F.col("forecast") * (0.75 + 0.5 * F.lit(m - 1) / 19) for m in range(1, 21)])
-    return archive(spark, sf_dir).withColumn("values", values)
+#: A forecast's twenty members as factors, and what is taken off each for the change of a balance.
+SPREAD = (tuple(0.75 + 0.5 * (m - 1) / 19 for m in range(1, 21)), 20.0)
 
 
 MEMBERS = ARCHIVE + """, members AS (SELECT issue_time, cycle_time, site, lead, valid_time, member,
